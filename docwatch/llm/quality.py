@@ -5,9 +5,9 @@ the smoothed bucket distribution of the labelled good documents, the raw model t
 log weight is the sum of log(target / raw) over its n-grams. Adding standard Gumbel noise (seeded by id and length)
 to the log weights and keeping the k largest samples k documents without replacement in proportion to the weights.
 
-k is the number of documents whose log weight reaches the threshold that, on the labelled documents, keeps the share
-`keep` of the good ones; so the sample replaces a fixed cut only near its border. Counts come from all documents; the
-target's from at most max_labelled good documents (those of the smallest hashes).
+k is the number of documents whose log weight reaches the threshold that keeps the share `keep` of labelled good
+documents that were held out from the target model; so the sample differs from a fixed cut only near its border.
+Counts come from all documents; target and threshold from at most max_labelled good documents (the smallest hashes).
 
 Defined cases: null and empty texts have log weight 0; a document without a label is judged like any other; repeated
 and null ids are kept, each row judged for itself; without good labels every weight is 0 and all documents stay; ties
@@ -130,12 +130,13 @@ class Sampler:
         return weigh(docs, self.ratio, self.doc_id, self.text).where(F.col("__key") >= self.border).drop("__weight", "__key")
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: float = 0.995, buckets: int = 1 << 16, max_labelled: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> Sampler:
+def fit(docs: DataFrame, labels: DataFrame, keep: float = 0.998, buckets: int = 1 << 15, max_labelled: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> Sampler:
     """labels(doc_id, quality, toxic): a good document has quality 1 and is not toxic."""
     slim = columns(docs, doc_id=doc_id, text=text)
     marked = columns(labels, doc_id="doc_id", quality="quality", toxic="toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).alias("good"))
-    chosen = cut(marked.where("good").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(max_labelled).select("doc_id"))
-    target, raw = bucket_counts(slim.join(chosen, "doc_id", "left_semi"), "text", buckets), bucket_counts(slim, "text", buckets)
+    chosen = cut(marked.where("good").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(max_labelled).select("doc_id", (F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(4)) == 0).alias("held_out")))
+    good = slim.join(chosen.where("not held_out"), "doc_id", "left_semi")
+    target, raw = bucket_counts(good, "text", buckets), bucket_counts(slim, "text", buckets)
     ratio = np.zeros(buckets)
     if target.sum():
         background = (raw + 1e-9) / raw.sum()
@@ -143,6 +144,6 @@ def fit(docs: DataFrame, labels: DataFrame, keep: float = 0.995, buckets: int =
         ratio[raw == 0] = 0
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     scored = cut(weigh(slim, shared).select("doc_id", "__weight", "__key"))
-    threshold = scored.join(chosen, "doc_id", "left_semi").agg(F.percentile("__weight", F.lit(1 - keep))).first()[0]
+    threshold = scored.join(chosen.where("held_out"), "doc_id", "left_semi").agg(F.percentile("__weight", F.lit(1 - keep))).first()[0]
     k = scored.where(F.col("__weight") >= threshold).count() if threshold is not None else scored.count()
     return Sampler(shared, kth_largest(scored, k), doc_id, text)

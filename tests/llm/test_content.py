@@ -140,13 +140,13 @@ def test_kth_largest(spark):
 
 def test_held_out_quality(spark):
     """Accuracy on labelled documents that the fit has not seen."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     judged = quality.fit(docs, labels.where(half)).judge(docs).join(labels.where(~half), "doc_id").where("toxic = 0")
     good, bad = judged.where("quality = 1"), judged.where("quality = 0")
     assert good.where("kept").count() >= 0.97 * good.count()
-    assert bad.where("not kept").count() >= 0.8 * bad.count()
+    assert bad.where("not kept").count() >= 0.85 * bad.count()
 
 
 def test_url_rules_and_index(spark):
