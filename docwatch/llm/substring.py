@@ -6,11 +6,11 @@ modulo `period` lies in a difference cover: for any two positions some shift bel
 positions, so two equal windows always share an aligned anchor. Three passes over chunks of documents:
 
 1. a chunk reports each anchor hash once; hashes seen twice in the corpus are handed back to their chunks;
-2. the windows around such anchors are hashed whole (two 64-bit hashes); a chunk reports each once, with its first place;
-3. windows that occur twice come back with the corpus-wide first place; all others lose their words.
+2. the windows around such anchors are hashed whole (96 bits); a chunk reports each once, with its first place in it;
+3. windows that occur twice come back, marked where their first place of all lies; at all others the words go.
 
 Whatever is shared by how many documents, an exchange sees it at most once per chunk. Chunks hold chunk_bytes of text
-and are dealt by hash, the texts are shuffled once and that exchange serves all three passes.
+and are dealt by hash, the texts are shuffled once (compressed) and that exchange serves all three passes.
 
 Defined cases: null text has no words; documents without a repeated window keep their text (words joined by one
 space); a null id counts as larger than all others; equal ids are one document, of which windows at equal starts do
@@ -19,9 +19,12 @@ not precede each other; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,29 +34,21 @@ from docwatch.llm.common import columns, shuffle_partitions
 PERIOD, COVER = 13, (0, 1, 3, 9)
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for frequent words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+KEY = np.dtype([("a", "<i8"), ("b", "<i4")])
 
 
 class Chunk:
     """The words of a chunk's documents, one after another."""
 
-    def __init__(self, rows: pa.Table, hashes: WordHashes, window: int):
+    def __init__(self, rows: pa.Table, window: int):
         self.window = window
-        self.ids = [LAST if x is None else x for x in rows.column("doc_id").to_pylist()]
-        self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in rows.column("text").to_pylist()]
+        self.ids = np.array([LAST if x is None else x for x in rows.column("doc_id").to_pylist()], np.int64)
+        unzip = zstandard.ZstdDecompressor().decompress
+        self.words = [unzip(z).split() for z in rows.column("text").to_pylist()]
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.begin = np.r_[0, np.cumsum(sizes)]
         n = int(self.begin[-1])
-        self.hash = np.fromiter((h for w in self.words for h in map(hashes.__getitem__, w)), np.uint64, n)
+        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(self.words)), np.uint64, n)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.place = np.arange(n) - self.begin[self.doc]
         self.left = self.begin[self.doc + 1] - np.arange(n)
@@ -80,8 +75,11 @@ class Chunk:
         return at, self.rolled(length, FACTORS[0])[at].view(np.int64)
 
     def windows(self) -> np.ndarray:
-        """(n, 2) hashes."""
-        return np.stack([self.rolled(self.window, f).view(np.int64) for f in FACTORS], axis=1)
+        """96-bit hash of the window from each position, as a structured array."""
+        out = np.zeros(len(self.hash), KEY)
+        out["a"] = self.rolled(self.window, FACTORS[0]).view(np.int64)
+        out["b"] = (self.rolled(self.window, FACTORS[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,70 +89,82 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20
     slim = columns(docs, doc_id=doc_id, text=text)
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(total // chunk_bytes + 1, 4 * shuffle_partitions(docs.sparkSession))
+
+    def zipped(batches):
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = pa.array([zip_((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("doc_id"), texts], names=["chunk", "doc_id", "text"])
+
     dealt = slim.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes = WordHashes()
+    by_chunk = dealt.mapInArrow(zipped, "chunk long, doc_id long, text binary").groupBy("chunk")
 
     def report_anchors(rows: pa.Table) -> pa.Table:
-        hashed, n = np.unique(Chunk(rows, hashes, window).anchors()[1], return_counts=True)
+        hashed, n = np.unique(Chunk(rows, window).anchors()[1], return_counts=True)
         return pa.table({"h": hashed, "chunk": np.full(len(hashed), rows.column("chunk")[0].as_py()), "n": np.minimum(n, 2).astype(np.int32)})
 
-    anchors = dealt.groupBy("chunk").applyInArrow(report_anchors, "h long, chunk long, n int")
+    anchors = by_chunk.applyInArrow(report_anchors, "h long, chunk long, n int")
     shared = anchors.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where("`all` > 1").select("chunk", "h")
 
     def report_windows(rows: pa.Table, found: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
-        if not rows.num_rows or not found.num_rows:
-            return empty
-        c = Chunk(rows, hashes, window)
-        at, h = c.anchors()
-        at = at[np.isin(h, found.column("h").to_numpy())]
-        mark = np.zeros(len(c.hash) + 1, np.int64)  # starts from at - (PERIOD - 1) to at, in the document
-        np.add.at(mark, np.maximum(at - (PERIOD - 1), c.begin[c.doc[at]]), 1)
-        np.add.at(mark, at + 1, -1)
-        starts = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (c.left >= window))
-        if not len(starts):
-            return empty
-        hashed = c.windows()[starts]
-        ids = np.array(c.ids, np.int64)[c.doc[starts]]
-        order = np.lexsort((c.place[starts], ids, hashed[:, 1], hashed[:, 0]))
-        hashed, ids, places = hashed[order], ids[order], c.place[starts][order]
-        first = np.flatnonzero(np.r_[True, (hashed[1:] != hashed[:-1]).any(axis=1)])
-        n = np.minimum(np.diff(np.r_[first, len(hashed)]), 2).astype(np.int32)
-        return pa.table({"a": hashed[first, 0], "b": hashed[first, 1], "chunk": np.full(len(first), rows.column("chunk")[0].as_py()), "doc": ids[first], "start": places[first], "n": n})
-
-    by_chunk = dealt.groupBy("chunk")
-    windows = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(report_windows, "a long, b long, chunk long, doc long, start long, n int")
+        first, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, ids, places = np.zeros(0, KEY), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if rows.num_rows and found.num_rows:
+            c = Chunk(rows, window)
+            at, h = c.anchors()
+            at = at[np.isin(h, found.column("h").to_numpy())]
+            mark = np.zeros(len(c.hash) + 1, np.int64)  # starts from at - (PERIOD - 1) to at, in the document
+            np.add.at(mark, np.maximum(at - (PERIOD - 1), c.begin[c.doc[at]]), 1)
+            np.add.at(mark, at + 1, -1)
+            starts = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (c.left >= window))
+            key, ids, places = c.windows()[starts], c.ids[c.doc[starts]], c.place[starts]
+            order = np.lexsort((places, ids, key["b"], key["a"]))
+            new = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.zeros(0, bool)
+            n = np.diff(np.r_[np.flatnonzero(new), len(order)])
+            back = np.argsort(order[new], kind="stable")  # neighbours in the text stay neighbours, which compresses well
+            first, n = order[new][back], np.minimum(n[back], 2)
+        chunk = found.column("chunk")[0].as_py() if found.num_rows else 0
+        return pa.table({"a": key["a"][first], "b": key["b"][first], "start": places[first].astype(np.int32), "n": n.astype(np.int32), "doc": ids[first], "chunk": np.full(len(first), chunk)})
+
+    windows = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(report_windows, "a long, b int, start int, n int, doc long, chunk long")
     key = Window.partitionBy("a", "b")
-    repeated = windows.withColumn("all", F.sum("n").over(key)).withColumn("first", F.min(F.struct("doc", "start")).over(key)).where("`all` > 1").select("chunk", "a", "b", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"))
+    here = F.struct("doc", "start")
+    judged = windows.withColumn("all", F.sum("n").over(key)).withColumn("keep", F.min(here).over(key) == here)
+    repeated = judged.where("`all` > 1 and not (keep and n = 1)").select("chunk", "a", "b", "keep")
 
     def cut_out(rows: pa.Table, found: pa.Table) -> pa.Table:
-        words = [None] * rows.num_rows
-        removed = np.zeros(rows.num_rows, np.int64)
-        if rows.num_rows and found.num_rows:
-            c = Chunk(rows, hashes, window)
-            words, hashed = c.words, c.windows()
-            fa, fb, fdoc, fstart = (found.column(k).to_numpy() for k in ("a", "b", "doc", "start"))
-            order = np.lexsort((fb, fa))
-            fa, fb, fdoc, fstart = fa[order], fb[order], fdoc[order], fstart[order]
-            maybe = np.flatnonzero((c.left >= window) & np.isin(hashed[:, 0], fa))
-            kind = np.dtype([("a", "<i8"), ("b", "<i8")])
-            keys = np.zeros(len(fa), kind)
-            keys["a"], keys["b"] = fa, fb
-            ask = np.zeros(len(maybe), kind)
-            ask["a"], ask["b"] = hashed[maybe, 0], hashed[maybe, 1]
-            k = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-            ids = np.array(c.ids, np.int64)[c.doc[maybe]]
-            later = (keys[k] == ask) & ((fdoc[k] != ids) | (fstart[k] != c.place[maybe]))
+        c = Chunk(rows, window) if rows.num_rows else None
+        kept, removed = [], np.zeros(rows.num_rows, np.int64)
+        if c and found.num_rows:
+            keys = np.zeros(found.num_rows, KEY)
+            keys["a"], keys["b"] = found.column("a").to_numpy(), found.column("b").to_numpy()
+            order = np.argsort(keys)
+            keys, keep = keys[order], found.column("keep").to_numpy(zero_copy_only=False)[order]
+            all_windows = c.windows()
+            maybe = np.flatnonzero((c.left >= window) & np.isin(all_windows["a"], keys["a"]))
+            k = np.minimum(np.searchsorted(keys, all_windows[maybe]), len(keys) - 1)
+            hit = keys[k] == all_windows[maybe]
+            maybe, k = maybe[hit], k[hit]
+            # of a window whose first place of all is in this chunk, the places with the least id and start stay
+            order = np.lexsort((c.place[maybe], c.ids[c.doc[maybe]], k))
+            least = np.zeros(len(maybe), bool)
+            if len(order):
+                k_, id_, place_ = k[order], c.ids[c.doc[maybe]][order], c.place[maybe][order]
+                head = np.flatnonzero(np.r_[True, k_[1:] != k_[:-1]])
+                of = np.repeat(head, np.diff(np.r_[head, len(order)]))
+                least[order] = (id_ == id_[of]) & (place_ == place_[of])
+            gone_at = maybe[~(keep[k] & least)]
             mark = np.zeros(len(c.hash) + 1, np.int64)
-            np.add.at(mark, maybe[later], 1)
-            np.add.at(mark, maybe[later] + window, -1)
+            np.add.at(mark, gone_at, 1)
+            np.add.at(mark, gone_at + window, -1)
             gone = np.cumsum(mark[:-1]) > 0
-            removed = np.add.reduceat(np.r_[gone, False].astype(np.int64), c.begin[:-1]) if len(c.begin) > 1 else removed
-            removed = np.where(np.diff(c.begin) > 0, removed, 0)
-            kept = [[w for w, g in zip(ws, gone[c.begin[i] : c.begin[i + 1]].tolist()) if not g] if removed[i] else ws for i, ws in enumerate(words)]
-        else:
-            words = kept = [(t or "").encode("utf-8", "surrogatepass").split() for t in rows.column("text").to_pylist()]
-        texts = pa.array([b" ".join(ws) for ws in kept], pa.binary()).cast(pa.string())
-        return pa.table({"doc_id": rows.column("doc_id"), "kept_text": texts, "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array(removed, pa.int64())})
+            sums = np.r_[0, np.cumsum(gone)]
+            removed = sums[c.begin[1:]] - sums[c.begin[:-1]]
+        for i in range(rows.num_rows):
+            ws = c.words[i]
+            kept.append(b" ".join([w for w, g in zip(ws, gone[c.begin[i] : c.begin[i + 1]].tolist()) if not g] if removed[i] else ws))
+        texts = pa.array(kept, pa.binary()).cast(pa.string())
+        n = np.diff(c.begin) if c else np.zeros(0, np.int64)
+        return pa.table({"doc_id": rows.column("doc_id"), "kept_text": texts, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64())})
 
     return by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(cut_out, "doc_id long, kept_text string, n_words long, n_removed long")
