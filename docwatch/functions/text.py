@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that don't tell one party from another.
 STOP_WORDS = ("the", "and", "for", "inc", "llc", "corp", "company", "state", "city", "county", "united", "states", "llp", "ltd")
@@ -180,14 +181,14 @@ def assemble_items(df: DataFrame) -> DataFrame:
     fallback = F.when(blank_to_null(F.col("docket")).isNotNull(), F.array(F.trim("docket"))).otherwise(F.array().cast("array<string>"))
     areas = F.coalesce("areas", F.array().cast("array<string>"))
     return df.withColumns({
-        "dockets": F.when(F.size(filled) > 0, F.transform(filled, F.trim)).otherwise(fallback),
+        "dockets": F.when(F.size(filled) > 0, F.transform(filled, lambda d: F.trim(d))).otherwise(fallback),
         "disposition": F.lower(blank_to_null(F.col("disposition"))),
         "holdings": full,
         "all_areas": F.array_distinct(F.concat(areas, F.flatten(F.transform(full, lambda h: h["areas"])))),
     })
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """HTML entities to characters; the one step without a native function."""
     return s.map(html.unescape, na_action="ignore")
