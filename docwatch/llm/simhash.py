@@ -29,8 +29,8 @@ from docwatch.llm.common import columns, components, cut
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64 bits; a bit is set if more than half of the shingles' XXH64 values (seed 42) have it."""
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """64 bits; a bit is set if more than half of the shingles' XXH64 values have it."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
@@ -38,7 +38,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     stops = (ends - 1).tolist()
-    hashes = [digest(one[a:b], 42) for a, b in zip(starts, stops[shingle - 1 :] or stops[-1:])]
+    hashes = [digest(one[a:b], seed) for a, b in zip(starts, stops[shingle - 1 :] or stops[-1:])]
     total = np.zeros(64, np.int64)
     array = np.array(hashes, dtype="<u8")
     for part in range(0, len(array), 8192):
@@ -76,33 +76,37 @@ def add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def within(planes: np.ndarray, word: np.ndarray, query: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For comparison k of query[k] with the 64 lanes of word[k]: the mask of valid lanes within radius (0 to 7).
+    """For comparison k of query[k] (a row of 64-bit parts) with the 64 lanes of word[k]: the mask of valid lanes within radius.
 
     Returns the comparisons that have any, and their masks.
     """
     at = np.arange(len(word))
-    one, two, four, over = (np.zeros(len(word), np.uint64) for _ in range(4))
-    for byte in range(0, 64, 8):
-        d = [planes[b][word] ^ np.where((query >> np.uint64(b)) & np.uint64(1), ONES, np.uint64(0)) for b in range(byte, byte + 8)]
+    counter = [np.zeros(len(word), np.uint64) for _ in range(max(3, radius.bit_length()))]  # weights 1, 2, 4, ...
+    over = np.zeros(len(word), np.uint64)
+    for byte in range(0, len(planes), 8):
+        d = [planes[b][word] ^ np.where((query[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1), ONES, np.uint64(0)) for b in range(byte, byte + 8)]
         twos = []
         for k in range(0, 8, 2):
-            one, carry = add(one, d[k], d[k + 1])
+            counter[0], carry = add(counter[0], d[k], d[k + 1])
             twos.append(carry)
-        two, low = add(two, twos[0], twos[1])
-        two, high = add(two, twos[2], twos[3])
-        four, carry = add(four, low, high)
+        counter[1], low = add(counter[1], twos[0], twos[1])
+        counter[1], high = add(counter[1], twos[2], twos[3])
+        counter[2], carry = add(counter[2], low, high)
+        for k in range(3, len(counter)):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
         over |= carry
         more, equal = over.copy(), ONES
-        for plane, bit in ((four, 4), (two, 2), (one, 1)):
-            if radius & bit:
-                equal = equal & plane
+        for k in reversed(range(len(counter))):
+            if radius >> k & 1:
+                equal = equal & counter[k]
             else:
-                more |= equal & plane
-                equal = equal & ~plane
+                more |= equal & counter[k]
+                equal = equal & ~counter[k]
         valid = valid & ~more
         live = np.flatnonzero(valid)
         if len(live) < len(valid):
-            at, word, query, valid, one, two, four, over = (x[live] for x in (at, word, query, valid, one, two, four, over))
+            at, word, query, valid, over = (x[live] for x in (at, word, query, valid, over))
+            counter = [x[live] for x in counter]
         if not len(at):
             break
     return at, valid
@@ -122,22 +126,25 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def stars(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, smallest linked row) among the rows of each run of equal group numbers."""
+def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int):
+    """Yields (row, later row) arrays of all pairs within radius among the rows of each run of equal group numbers; fps is (rows, parts)."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[starts, len(group)])
     words = -(-size // 64)
     first = np.r_[0, np.cumsum(words)[:-1]]
     of = np.repeat(np.arange(len(size)), size)
     local = np.arange(len(group)) - starts[of]
-    lanes = np.zeros((int(words.sum()), 64), np.uint64)
-    lanes.reshape(-1)[first[of] * 64 + local] = fps
-    planes = bit_planes(lanes)
-    row_of = np.full(len(lanes) * 64, -1, np.int64)
-    row_of[first[of] * 64 + local] = np.arange(len(group))
+    lane_of = first[of] * 64 + local
+    planes = []
+    for part in range(fps.shape[1]):
+        lanes = np.zeros((int(words.sum()), 64), np.uint64)
+        lanes.reshape(-1)[lane_of] = fps[:, part]
+        planes.append(bit_planes(lanes))
+    planes = np.concatenate(planes)
+    row_of = np.full(int(words.sum()) * 64, -1, np.int64)
+    row_of[lane_of] = np.arange(len(group))
     todo = words[of] - local // 64
     begin = np.r_[0, np.cumsum(todo)]
-    a = b = np.zeros(0, np.int64)
     row = 0
     while row < len(group):
         upto = max(row + 1, int(np.searchsorted(begin, begin[row] + at_once, "right")) - 1)
@@ -152,18 +159,77 @@ def stars(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 1
         if len(item):
             bits = np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             hit, lane = np.nonzero(bits)
-            other = row_of[(first[of[rows[item[hit]]]] + lane_word[item[hit]]) * 64 + lane]
-            a, b = np.r_[a, rows[item[hit]]], np.r_[b, other]
-            if len(a) > 4 * len(group):
-                label = roots(len(group), a, b)
-                a = np.flatnonzero(label != np.arange(len(group)))
-                b = label[a]
+            yield rows[item[hit]], row_of[(first[of[rows[item[hit]]]] + lane_word[item[hit]]) * 64 + lane]
         row = upto
+
+
+def stars(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, smallest linked row) that connect what close_pairs would."""
+    a = b = np.zeros(0, np.int64)
+    for x, y in close_pairs(fps[:, None], group, radius, at_once):
+        a, b = np.r_[a, x], np.r_[b, y]
+        if len(a) > 4 * len(group):
+            label = roots(len(group), a, b)
+            a = np.flatnonzero(label != np.arange(len(group)))
+            b = label[a]
     label = roots(len(group), a, b)
     a = np.flatnonzero(label != np.arange(len(group)))
     return a, label[a]
 
 
+def two_partners(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """(row, earlier row) pairs within radius: for each row its first and its nearest earlier one in its run."""
+    first = np.full(len(group), len(group))
+    near, at = np.full(len(group), 255), np.zeros(len(group), np.int64)
+    for x, y in close_pairs(fps, group, radius, at_once):
+        np.minimum.at(first, y, x)
+        distance = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64)
+        order = np.lexsort((x, distance, y))
+        head = order[np.r_[True, y[order][1:] != y[order][:-1]]]
+        better = head[distance[head] < near[y[head]]]
+        near[y[better]], at[y[better]] = distance[better], x[better]
+    rows = np.flatnonzero(near < 255)
+    other = rows[at[rows] != first[rows]]
+    return np.r_[rows, other], np.r_[first[rows], at[other]]
+
+
+def by_key(compare):
+    """A function for mapInArrow over rows sorted by `key`: compare(key, *other columns) sees whole runs of two rows at least."""
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            held = now if held is None else [np.r_[x, y] for x, y in zip(held, now)]
+            if len(held[0]):  # the last key may go on in the next batch
+                end = int(np.searchsorted(held[0], held[0][-1], "left"))
+                yield from whole([x[:end] for x in held])
+                held = [x[end:] for x in held]
+        if held is not None:
+            yield from whole(held)
+
+    def whole(rows):
+        same = rows[0][1:] == rows[0][:-1]
+        keep = np.r_[False, same] | np.r_[same, False] if len(rows[0]) else np.zeros(0, bool)
+        rows = [x[keep] for x in rows]
+        if len(rows[0]):
+            yield compare(*rows)
+
+    return work
+
+
+def in_tiles(rows: DataFrame, by: str, tile: int) -> DataFrame:
+    """rows(key, ...) where a key of more than `tile` rows is cut: sub-block i meets sub-block j, both whole, under a key of the pair."""
+    large = cut(rows.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") * 2 / tile).cast("int").alias("k")))
+    if large.isEmpty():
+        return rows
+    cols = rows.columns
+    tiles = rows.join(large, "key", "left").withColumn("i", F.pmod(F.xxhash64(by), F.coalesce("k", F.lit(1))).cast("int"))
+    tiles = tiles.withColumn("j", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+    pair = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
+    return tiles.withColumn("key", F.when(F.col("k").isNull(), F.col("key")).otherwise(pair)).select(*cols)
+
+
 def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, tile: int = 1 << 15) -> DataFrame:
     """Edges (u, v) that connect all fp BIGINT within radius of each other, transitively as the full set would."""
     blocks = blocks or radius + 2
@@ -175,37 +241,14 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, tile: int
         keys.append(F.xxhash64(F.lit(t), *(part[k] for k in chosen)))
     distinct = fps.select("fp").distinct()
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    large = cut(rows.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") * 2 / tile).cast("int").alias("k")))
-    if large.isEmpty():
-        tiles = rows
-    else:  # sub-block i meets sub-block j in the tile of both
-        tiles = rows.join(large, "key", "left").withColumn("i", F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))
-        tiles = tiles.select("fp", "key", "i", "k", other.alias("j")).select("fp", F.when(F.col("k").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))).alias("key"))
-
-    def work(batches):
-        held: list[pa.RecordBatch] = []
+    tiles = in_tiles(rows, "fp", tile)
 
-        def compare(key, fp):
-            same = key[1:] == key[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
-            key, fp = key[keep], fp[keep].view(np.uint64)
-            if len(key):
-                a, b = stars(fp, key, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["u", "v"])
-
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            key = np.r_[key, batch.column("key").to_numpy(zero_copy_only=False)]
-            fp = np.r_[fp, batch.column("fp").to_numpy(zero_copy_only=False)]
-            if len(key):  # the last key may go on in the next batch
-                end = int(np.searchsorted(key, key[-1], "left"))
-                yield from compare(key[:end], fp[:end])
-                key, fp = key[end:], fp[end:]
-        yield from compare(key, fp)
+    def compare(key, fp):
+        a, b = stars(fp.view(np.uint64), key, radius)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["u", "v"])
 
     dealt = tiles.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.select("key", "fp").mapInArrow(work, "u bigint, v bigint")
+    return dealt.select("key", "fp").mapInArrow(by_key(compare), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -220,10 +263,64 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one row of each component, the one with the smallest id; rows without an id have no group and stay."""
-    found = near_duplicates(docs, doc_id, text, shingle, radius)
-    ids = cut(found.where("component_id is not null").select(F.col("component_id").alias(doc_id)).distinct())
+def shingle_set(text: str | None, shingle: int) -> set[int]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), 42) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 48, bits: int = 14, radius: int = 28, tile: int = 1 << 15) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) to (classes, edges): classes(id, ...) has the smallest id of each set of copies (equal words),
+    edges(u, v) are pairs of classes whose shingle sets have a Jaccard similarity of at least `similarity`.
+
+    At 0.8 some 20 of 128 fingerprint bits differ, too many for exact pigeonhole tables. Each table samples `bits` of
+    them, so that about 98 of 100 such pairs meet in one, and buckets are compared bit-sliced on all 128. A row names its first and its nearest partner in each
+    bucket, so a large group stays linear; named pairs are then compared on their whole texts.
+    """
+
+    def work(batches):
+        for batch in batches:
+            fps, keys = np.zeros((batch.num_rows, 2), np.uint64), []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                fps[k] = [fingerprint(t, shingle), fingerprint(t, shingle, 43)]
+                keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(keys)], names=["doc_id", "fp", "fp2", "words"])
+
+    seen = cut(docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, fp bigint, fp2 bigint, words string"))
+    classes = cut(seen.where("doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")))
+    rng = np.random.default_rng(5)
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    masks = [sum(1 << int(b) for b in rng.choice(128, bits, replace=False)) for _ in range(tables)]
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(signed(m % (1 << 64))), F.col("fp2").bitwiseAND(signed(m >> 64))) for t, m in enumerate(masks)))
+    rows = in_tiles(classes.select("id", "fp", "fp2", F.explode(keys).alias("key")), "id", tile)
+
+    def compare(key, ids, fp, fp2):
+        a, b = two_partners(np.stack([fp, fp2], axis=1).view(np.uint64), key, radius)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
+
+    dealt = rows.select("key", "id", "fp", "fp2").repartition("key").sortWithinPartitions("key", "id")
+    pairs = cut(dealt.mapInArrow(by_key(compare), "u bigint, v bigint").where("u <> v").distinct())
+    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    texts = docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def verify(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                a, b = shingle_set(x, shingle), shingle_set(y, shingle)
+                good.append(len(a & b) >= similarity * len(a | b))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v")
+    edges = cut(both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint"))
+    return classes.select("id"), edges
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of similar_pairs(), the one with the smallest id; rows without an id have no group and stay."""
+    classes, edges = similar_pairs(columns(docs, doc_id=doc_id, text=text), **options)
+    later = components(edges).where("node <> root").select(F.col("node").alias("id"))
+    ids = cut(classes.join(later, "id", "left_anti").select(F.col("id").alias(doc_id)))
     first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
     named = docs.join(ids, doc_id, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
     return named.union(docs.where(F.col(doc_id).isNull()))

@@ -69,14 +69,17 @@ def test_links_of_dense_balls_match_brute_force(spark, tile):
     assert groups({f: found.get(f, f) for f in fps}) == groups(want)
 
 
-@pytest.mark.parametrize("radius", range(8))
-def test_carry_save_counters(radius):
+@pytest.mark.parametrize("parts", [1, 2])
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 7, 8, 15, 28])
+def test_carry_save_counters(radius, parts):
     r = np.random.default_rng(radius)
-    lanes = r.integers(0, 2**64, (9, 64), dtype=np.uint64)
-    query = lanes[np.arange(9), 3] ^ np.uint64(0b1011001)
-    lanes[:, :9] = query[:, None] ^ np.uint64([(1 << n) - 1 for n in range(9)])
-    at, mask = simhash.within(simhash.bit_planes(lanes), np.arange(9), query, np.full(9, simhash.ONES), radius)
-    want = {(w, lane) for w in range(9) for lane in range(64) if int(lanes[w, lane] ^ query[w]).bit_count() <= radius}
+    lanes = r.integers(0, 2**64, (9, 64, parts), dtype=np.uint64)
+    query = lanes[:, 3] ^ np.uint64(0b1011001)
+    for n in range(40):
+        lanes[:, n] = query ^ np.uint64((1 << n) - 1)
+    planes = np.concatenate([simhash.bit_planes(lanes[:, :, p]) for p in range(parts)])
+    at, mask = simhash.within(planes, np.arange(9), query, np.full(9, simhash.ONES), radius)
+    want = {(w, lane) for w in range(9) for lane in range(64) if sum(int(lanes[w, lane, p] ^ query[w, p]).bit_count() for p in range(parts)) <= radius}
     assert {(int(w), b) for w, m in zip(at, mask) for b in range(64) if int(m) >> b & 1} == want
 
 
@@ -86,15 +89,64 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
-def test_deduplicate_keeps_one_of_each_group(docs, none):
+def test_two_partners_are_first_and_nearest():
+    r = np.random.default_rng(3)
+    group = np.sort(r.integers(0, 7, 300))
+    fps = r.integers(0, 2**64, (300, 2), dtype=np.uint64)
+    for k in range(1, 300):
+        if r.random() < 0.8:
+            j = r.integers(0, k)
+            fps[k] = fps[j] ^ np.uint64(int(sum(1 << int(b) for b in r.choice(64, 3, replace=False))))
+    got = set(zip(*(x.tolist() for x in simhash.two_partners(fps, group, 12, at_once=50))))
+    want = set()
+    for y in range(300):
+        near = [(int(np.bitwise_count(fps[x] ^ fps[y]).sum()), x) for x in range(y) if group[x] == group[y]]
+        near = [(d, x) for d, x in near if d <= 12]
+        if near:
+            want |= {(y, min(x for _, x in near)), (y, min(near)[1])}
+    assert got == want
+
+
+def test_deduplicate_keeps_one_of_each_group(spark, none):
+    from tests.llm.conftest import make_docs
+
+    r = random.Random(9)
+    words = lambda n: [f"{r.choice('abcdefgh')}{r.randint(0, 400)}" for _ in range(n)]
+    rows, groups = [], []
+    for g in range(60):
+        base = words(150)
+        rows.append((10 * g, " ".join(base), "s"))
+        for k in range(1, 4):
+            w = list(base)
+            if k > 1:
+                w[r.randrange(150)] = "changed"
+            rows.append((10 * g + k, ("\t " if k == 1 else " ").join(w).upper(), "s"))
+        far = list(base)
+        for at in r.sample(range(150), 40):
+            far[at] = "far"
+        rows.append((10 * g + 9, " ".join(far), "s"))
+        groups.append({10 * g, 10 * g + 9})
+    rows += [(5000, "", "s"), (5001, None, "s"), (None, "x y", "s"), (None, None, "s"), (20, rows[10][1], "s"), (5002, "tiny text", "s"), (5003, "tiny text two", "s")]
+    docs = make_docs(spark, rows)
     kept = simhash.deduplicate(docs)
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    ids = [r.doc_id for r in kept.where("doc_id is not null").collect()]
-    assert sorted(ids) == sorted({c for c in found.values() if c is not None})
+    ids = sorted(x.doc_id for x in kept.where("doc_id is not null").collect())
+    assert ids == sorted(set().union(*groups) | {5000, 5002, 5003})
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
     assert simhash.deduplicate(none).count() == 0
 
 
+def test_similar_pairs_are_similar_and_mostly_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classes, edges = simhash.similar_pairs(docs.select("doc_id", "text"))
+    texts = {x.doc_id: simhash.shingle_set(x.text, 5) for x in docs.collect()}
+    ids = [x.id for x in classes.collect()]
+    similar = lambda a, b: len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])
+    got = {tuple(sorted(e)) for e in edges.collect()}
+    assert all(similar(a, b) for a, b in got)
+    want = {(a, b) for a, b in itertools.combinations(sorted(ids), 2) if texts[a] and similar(a, b)}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def brute_repeats(rows, window):
     last = 1 << 63
     seen = {}
