@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docwatch.llm.common import columns, cut
+from docwatch.llm.common import columns, cut, shuffle_partitions
 
 #: Pseudo-counts of raw text in the target model.
 SMOOTH = 1000.0
@@ -52,27 +52,34 @@ def ngrams(text: str | None, hashes: Hashes, buckets: int) -> np.ndarray:
     return np.concatenate((one, two)).astype(np.int64) % buckets
 
 
-def bucket_counts(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
-    """n-gram counts of all rows; each batch counts for itself, so at most `buckets` sums reach the driver."""
+def bucket_counts(docs: DataFrame, buckets: int) -> np.ndarray:
+    """docs(text, good BOOLEAN) to n-gram counts of (all rows, good rows). Every task sends one vector; vectors are summed
+    in a tree, so neither rows nor sums grow with what a task reads."""
 
-    def work(batches):
+    def count(batches):
         hashes = Hashes()
-        total = np.zeros(buckets, np.int64)
-        held: list[np.ndarray] = []
+        total = np.zeros((2, buckets), np.int64)
+        for batch in batches:
+            for t, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = ngrams(t, hashes, buckets)
+                for row in total[: 2 if good else 1]:
+                    if len(found) < buckets // 16:
+                        np.add.at(row, found, 1)
+                    else:
+                        row += np.bincount(found, minlength=buckets)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+
+    def add(batches):
+        total = np.zeros((2, buckets), np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.append(ngrams(t, hashes, buckets))
-                if sum(map(len, held[-64:])) > buckets or len(held) >= 64:
-                    total += np.bincount(np.concatenate(held), minlength=buckets)
-                    held.clear()
-        total += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+            for row in batch.column(0):
+                total += np.frombuffer(row.as_buffer(), np.int64).reshape(2, buckets)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    out = np.zeros(buckets, np.int64)
-    for bucket, n in columns(docs, text=text).mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[bucket] = n
-    return out
+    sums = docs.mapInArrow(count, "counts binary")
+    for width in (shuffle_partitions(docs.sparkSession), 8):
+        sums = sums.repartition(width).mapInArrow(add, "counts binary")
+    return sum((np.frombuffer(r[0], np.int64).reshape(2, buckets) for r in sums.collect()), np.zeros((2, buckets), np.int64))
 
 
 def weigh(docs: DataFrame, ratio: Broadcast, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: float = 0.998, buckets: int =
     slim = columns(docs, doc_id=doc_id, text=text)
     marked = columns(labels, doc_id="doc_id", quality="quality", toxic="toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).alias("good"))
     chosen = cut(marked.where("good").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(max_labelled).select("doc_id", (F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(4)) == 0).alias("held_out")))
-    good = slim.join(chosen.where("not held_out"), "doc_id", "left_semi")
-    target, raw = bucket_counts(good, "text", buckets), bucket_counts(slim, "text", buckets)
+    marks = F.broadcast(chosen)  # max_labelled rows at most
+    raw, target = bucket_counts(slim.join(marks, "doc_id", "left").select("text", F.coalesce(~F.col("held_out"), F.lit(False)).alias("good")), buckets)
     ratio = np.zeros(buckets)
     if target.sum():
         background = (raw + 1e-9) / raw.sum()
@@ -144,6 +151,6 @@ def fit(docs: DataFrame, labels: DataFrame, keep: float = 0.998, buckets: int =
         ratio[raw == 0] = 0
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     scored = cut(weigh(slim, shared).select("doc_id", "__weight", "__key"))
-    threshold = scored.join(chosen.where("held_out"), "doc_id", "left_semi").agg(F.percentile("__weight", F.lit(1 - keep))).first()[0]
+    threshold = scored.join(marks, "doc_id").where("held_out").agg(F.percentile("__weight", F.lit(1 - keep))).first()[0]
     k = scored.where(F.col("__weight") >= threshold).count() if threshold is not None else scored.count()
     return Sampler(shared, kth_largest(scored, k), doc_id, text)

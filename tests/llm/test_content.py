@@ -114,7 +114,8 @@ def brute_weights(rows, good, ratio, buckets):
 def test_quality_counts_weights_and_selection(spark, docs, rows):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0, 1, 2) for i in range(60)] + [(None, 1, 0, 1, 2), (3, 1, 1, 1, 2)], "doc_id long, quality int, toxic int, text int, good int")
     sampler = quality.fit(docs, labels, buckets=512, keep=0.9)
-    counts = quality.bucket_counts(docs, "text", 512)
+    counts, good = quality.bucket_counts(docs.select("text", (F.col("doc_id") < 50).alias("good")), 512)
+    assert good.sum() == sum(len(quality.ngrams(t, quality.Hashes(), 512)) for i, t, _ in rows if i is not None and i < 50)
     hashes = quality.Hashes()
     want = Counter(int(b) for _, t, _ in rows for b in quality.ngrams(t, hashes, 512))
     assert {k: int(v) for k, v in enumerate(counts) if v} == dict(want)
