@@ -83,6 +83,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pii_disclosure, op2_simhash_near_dedup, op3_url_filters, op4_mixing, op5_sharding, op6_exact_top_k, op7_merkle_fingerprints, op8_substring_dedup, op9_best_fit_packing, op10_quality_classifier, pipeline)}
 
 ORACLES = {
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),
+        k AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS seq FROM s),
+        f AS (SELECT doc_id, i, min(doc_id * 10000000 + i) OVER (PARTITION BY seq) < doc_id * 10000000 + i AS later FROM k),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE later),
+        w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE len(ws) > 0),
+        t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) USING (doc_id)""",
     "op3_url_filters": r"""
         WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
         h AS (SELECT page_id, url, rest, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw FROM u),
