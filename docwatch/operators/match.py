@@ -18,38 +18,46 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def same_item_pairs(df: DataFrame, common: int | None = None) -> DataFrame:
-    """Pairs a < b of items(item_id, source, date, docket_tokens, party_tokens) of one source that share a docket
-    token, or the date and two party tokens. common drops party tokens more frequent than that per source and date
-    (a stop list by count; None keeps all)."""
-    dockets = df.select("item_id", "source", F.explode("docket_tokens").alias("token"))
-    by_docket = dockets.alias("x").join(dockets.alias("y"), ["source", "token"]).where("x.item_id < y.item_id").select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"))
-    parties = df.where("date is not null").select("item_id", "source", "date", F.explode("party_tokens").alias("token"))
-    if common is not None:
-        usual = parties.groupBy("source", "date", "token").count().where(F.col("count") > common)
-        parties = parties.join(usual, ["source", "date", "token"], "left_anti")
-    shared = parties.alias("x").join(parties.alias("y"), ["source", "date", "token"]).where("x.item_id < y.item_id").groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).count()
-    return by_docket.union(shared.where("count >= 2").select("a", "b")).distinct()
-
-
-def dedup_greedy(df: DataFrame, pairs: DataFrame, rank: str = "item_id") -> DataFrame:
-    """In rank order, an item goes if it matches an accepted earlier one; one that went shadows nobody.
-
-    pairs(a, b) of item ids. Every round accepts all undecided items without an undecided earlier neighbour and drops
-    the neighbours of accepted ones; the lowest undecided item is always decided, so rounds end.
+def token_pairs(tokens: str) -> F.Column:
+    """All pairs of different tokens of a name, as `first|second` in order; names have few tokens."""
+    t = F.array_sort(F.array_distinct(tokens))
+    return F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.greatest(F.size(t) - i - 1, F.lit(0))), lambda y: F.concat_ws("|", x, y))))
+
+
+def same_item_keys(df: DataFrame) -> DataFrame:
+    """(item_id, key) of items(item_id, source, date, docket_tokens, party_tokens). Two items are the same case iff
+    they share a key: one source and a docket token, or one source, the date and two party tokens."""
+    dockets = F.transform("docket_tokens", lambda t: F.concat_ws("|", F.lit("d"), "source", t))
+    parties = F.when(F.col("date").isNotNull(), F.transform(token_pairs("party_tokens"), lambda p: F.concat_ws("|", F.lit("p"), "source", F.col("date").cast("string"), p)))
+    return df.select("item_id", F.explode(F.array_distinct(F.concat(dockets, F.coalesce(parties, F.array().cast("array<string>"))))).alias("key"))
+
+
+def same_item_links(df: DataFrame) -> DataFrame:
+    """(item_id, key, first_id): every item that shares a key, with the first item of that key's class. Pairs within a class are not written out."""
+    keys = same_item_keys(df)
+    shared = keys.groupBy("key").agg(F.min("item_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return keys.join(shared, "key").where("item_id <> first_id").select("item_id", "key", "first_id")
+
+
+def dedup_greedy(df: DataFrame, keys: DataFrame, rank: str = "item_id") -> DataFrame:
+    """In rank order, an item goes if it shares a key with an accepted earlier one; one that went shadows nobody.
+
+    keys(item_id, key), as of same_item_keys. Every round accepts all undecided items that are the first undecided one
+    of each of their keys, and drops the others of those keys; the lowest undecided item is always accepted, so rounds
+    end. No round writes pairs.
     """
     ranks = df.select("item_id", F.col(rank).alias("r"))
-    edges = pairs.join(ranks.select(F.col("item_id").alias("a"), F.col("r").alias("ra")), "a").join(ranks.select(F.col("item_id").alias("b"), F.col("r").alias("rb")), "b")
-    a_first = (F.col("ra") < F.col("rb")) | ((F.col("ra") == F.col("rb")) & (F.col("a") < F.col("b")))
-    open_ = checkpointed(edges.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late")).distinct())
+    busy = keys.groupBy("key").count().where("count > 1").select("key")
+    open_ = checkpointed(keys.join(busy, "key", "left_semi").join(ranks, "item_id").select("item_id", "key", "r"))
     dropped = None
     while not open_.isEmpty():
-        waiting = open_.select(F.col("late").alias("early")).distinct()
-        accepted = open_.select("early").distinct().join(waiting, "early", "left_anti")
-        gone = checkpointed(open_.join(accepted, "early", "left_semi").select(F.col("late").alias("item_id")).distinct())
+        low = checkpointed(open_.groupBy("key").agg(F.min(F.struct("r", "item_id")).alias("low")))
+        marked = open_.join(low, "key").withColumn("first", F.col("low.item_id") == F.col("item_id"))
+        accepted = checkpointed(marked.groupBy("item_id").agg(F.every("first").alias("all")).where("all").select("item_id"))
+        taken = open_.join(accepted, "item_id", "left_semi").select("key").distinct()
+        gone = checkpointed(open_.join(taken, "key", "left_semi").join(accepted, "item_id", "left_anti").select("item_id").distinct())
         dropped = gone if dropped is None else checkpointed(dropped.union(gone))
-        decided = accepted.select(F.col("early").alias("item_id")).union(gone)
-        open_ = checkpointed(open_.join(decided.select(F.col("item_id").alias("early")), "early", "left_anti").join(gone.select(F.col("item_id").alias("late")), "late", "left_anti").select("early", "late"))
+        open_ = checkpointed(open_.join(accepted.union(gone), "item_id", "left_anti"))
     return df if dropped is None else df.join(dropped, "item_id", "left_anti")
 
 
@@ -64,11 +72,10 @@ def dedup_by_identity(df: DataFrame) -> DataFrame:
     return df.join(beaten, "item_id", "left_anti")
 
 
-def party_match(df: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
-    """candidates(item_id, party_tokens) that share two distinctive tokens with a curated item having at least two."""
-    curated = items.where(F.size("party_tokens") >= least).select(F.col("item_id").alias("other"), F.explode("party_tokens").alias("token"))
-    mine = df.select("item_id", F.explode("party_tokens").alias("token"))
-    hits = mine.join(curated, "token").groupBy("item_id", "other").count().where(F.col("count") >= least).select("item_id").distinct()
+def party_match(df: DataFrame, items: DataFrame) -> DataFrame:
+    """candidates(item_id, party_tokens) that share two distinctive tokens with a curated item: a semi-join on pairs of tokens."""
+    curated = items.select(F.explode(token_pairs("party_tokens")).alias("pair")).distinct()
+    hits = df.select("item_id", F.explode(token_pairs("party_tokens")).alias("pair")).join(curated, "pair", "left_semi").select("item_id").distinct()
     return df.join(hits, "item_id", "left_semi")
 
 

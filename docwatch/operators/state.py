@@ -19,23 +19,25 @@ def change_event(items: DataFrame) -> DataFrame:
 def rolling_usage(events: DataFrame, account: str, ts: str, budgets: dict[str, tuple[int, int]]) -> DataFrame:
     """calls in the trailing windows (name -> seconds, budget) before each call, the window that binds longest, and the seconds until a slot is free there.
 
-    A window is strictly shorter than its span and leaves out the call itself. Accounts are the parallel unit.
+    A window is strictly shorter than its span and leaves out the call itself. The timeline of an account is cut into
+    stretches of the longest span; a call also visits the next stretch, where it is only looked back at, so that a
+    busy account spreads over many tasks.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.withColumn("__us", us)
+    longest = max(seconds for seconds, _ in budgets.values()) * 1_000_000
+    rows = events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__own", F.floor(F.col("__us") / longest))
+    rows = rows.withColumn("__at", F.explode(F.array("__own", F.col("__own") + 1)))
+    part = [account, "__at"]
     waits = []
-    by_time = Window.partitionBy(account).orderBy("__us", "event_id")
     for name, (seconds, budget) in budgets.items():
-        span = Window.partitionBy(account).orderBy("__us").rangeBetween(-seconds * 1_000_000 + 1, 0)
-        same = Window.partitionBy(account, "__us")
+        span = Window.partitionBy(*part).orderBy("__us").rangeBetween(-seconds * 1_000_000 + 1, 0)
         # calls at the same instant count only if they come earlier by id
-        later = F.count("*").over(same) - F.row_number().over(Window.partitionBy(account, "__us").orderBy("event_id"))
+        later = F.count("*").over(Window.partitionBy(*part, "__us")) - F.row_number().over(Window.partitionBy(*part, "__us").orderBy("event_id"))
         rows = rows.withColumn(f"used_{name}", F.count("*").over(span) - 1 - later)
-        freeing = F.lag("__us", budget).over(by_time)
+        freeing = F.lag("__us", budget).over(Window.partitionBy(*part).orderBy("__us", "event_id"))
         wait = F.when(F.col(f"used_{name}") >= budget, F.greatest(F.lit(0), F.ceil((freeing + seconds * 1_000_000 - F.col("__us")) / 1_000_000)))
         waits.append(F.struct(F.coalesce(wait, F.lit(0)).cast("long").alias("wait"), F.lit(name).alias("window")))
-    rows = rows.withColumn("__w", F.greatest(*waits) if len(waits) > 1 else waits[0])
-    return rows.withColumn("wait_seconds", F.col("__w.wait")).withColumn("binding", F.when(F.col("__w.wait") > 0, F.col("__w.window"))).drop("__w", "__us")
+    rows = rows.withColumn("__w", F.greatest(*waits) if len(waits) > 1 else waits[0]).where("__at = __own")
+    return rows.withColumn("wait_seconds", F.col("__w.wait")).withColumn("binding", F.when(F.col("__w.wait") > 0, F.col("__w.window"))).drop("__w", "__us", "__own", "__at")
 
 
 def status_transition(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -89,11 +89,11 @@ def consensus(attempts: DataFrame, tries: int) -> DataFrame:
 
 
 def weekly_digest(items: DataFrame) -> DataFrame:
-    """Per Monday the new ids by first_seen and the flagged ids by treatment_date, each ordered newest first."""
+    """(week, list, position, item_id): per Monday the new ids by first_seen and the flagged ids by treatment_date, each list newest first."""
     new = items.select(F.to_date(F.date_trunc("week", "first_seen")).alias("week"), F.lit("new").alias("list"), F.col("first_seen").alias("day"), "item_id")
     flags = items.where("status <> 'ok' and treatment_date is not null").select(F.to_date(F.date_trunc("week", "treatment_date")).alias("week"), F.lit("flag").alias("list"), F.col("treatment_date").alias("day"), "item_id")
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("day", "item_id")), asc=False), lambda x: x["item_id"])
-    return new.union(flags).where("week is not null").groupBy("week", "list").agg(listed.alias("items"), F.count("*").alias("n"))
+    position = F.row_number().over(Window.partitionBy("week", "list").orderBy(F.desc("day"), F.desc("item_id")))
+    return new.union(flags).where("week is not null").withColumn("position", position).select("week", "list", "position", "item_id")
 
 
 def thin_coverage(added: DataFrame, golden: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:

@@ -15,9 +15,8 @@ from docwatch.plans.roles import cand, edges, golden, items, log, query, table,
 DOC_ITEMS = f"""di AS (SELECT doc_id AS item_id, source, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date, substr(text, 1, 40) AS name,
     CASE WHEN doc_id % 3 = 0 THEN ['D' || CAST(1000 + doc_id % 400 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS docket_tokens,
     {TOKENS.format('substr(text, 1, 40)', STOPS)} AS party_tokens, doc_id % 4 AS holdings FROM documents)"""
-PAIRS = """dk AS (SELECT item_id, source, unnest(docket_tokens) AS token FROM di), pt AS (SELECT item_id, source, date, unnest(party_tokens) AS token FROM di),
-    pairs AS (SELECT x.item_id AS a, y.item_id AS b FROM dk x JOIN dk y ON x.source = y.source AND x.token = y.token AND x.item_id < y.item_id
-    UNION SELECT x.item_id, y.item_id FROM pt x JOIN pt y ON x.source = y.source AND x.date = y.date AND x.token = y.token AND x.item_id < y.item_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
+KEYS = """ks AS (SELECT item_id, 'd|' || source || '|' || t AS key FROM (SELECT item_id, source, unnest(docket_tokens) AS t FROM di)
+    UNION SELECT x.item_id, 'p|' || x.source || '|' || CAST(x.date AS VARCHAR) || '|' || x.t || '|' || y.t FROM (SELECT item_id, source, date, unnest(party_tokens) AS t FROM di) x JOIN (SELECT item_id, unnest(party_tokens) AS t FROM di) y ON x.item_id = y.item_id AND x.t < y.t)"""
 
 
 def doc_items(spark, d):
@@ -27,15 +26,15 @@ def doc_items(spark, d):
     return docs.select(F.col("doc_id").alias("item_id"), "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"), head.alias("name"), docket_tokens(docket).alias("docket_tokens"), party_tokens(head).alias("party_tokens"), (F.col("doc_id") % 4).alias("holdings"))
 
 
-@query("d1_same_item_pairs", f"WITH {DOC_ITEMS}, {PAIRS} SELECT a, b FROM pairs")
+@query("d1_same_item_links", f"WITH {DOC_ITEMS}, {KEYS} SELECT item_id, key, first_id FROM (SELECT *, min(item_id) OVER (PARTITION BY key) AS first_id FROM ks) WHERE item_id <> first_id")
 def d1(spark, d):
-    return M.same_item_pairs(doc_items(spark, d))
+    return M.same_item_links(doc_items(spark, d))
 
 
 @query("d2_dedup_greedy")
 def d2(spark, d):
     rows = doc_items(spark, d)
-    return M.dedup_greedy(rows, M.same_item_pairs(rows)).select("item_id")
+    return M.dedup_greedy(rows, M.same_item_keys(rows)).select("item_id")
 
 
 @query("d3_dedup_by_identity", f"""WITH {DOC_ITEMS}, k AS (SELECT item_id, source, holdings, CASE WHEN len(docket_tokens) > 0 THEN 'd|' || docket_tokens[1] ELSE 'n|' || name || '|' || CAST(date AS VARCHAR) END AS key FROM di)
@@ -270,10 +269,9 @@ def e10(spark, d):
 
 
 @query("e11_weekly_digest", """, r AS (SELECT date_trunc('week', first_seen) AS w, 'new' AS list, first_seen AS day, item_id FROM items UNION ALL SELECT date_trunc('week', treatment_date), 'flag', treatment_date, item_id FROM items WHERE status <> 'ok' AND treatment_date IS NOT NULL)
-    SELECT CAST(CAST(w AS DATE) AS VARCHAR) AS week, list, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY day DESC, item_id DESC) AS items, count(*) AS n FROM r GROUP BY w, list""".replace(", r AS", "SELECT * FROM (WITH r AS", 1) + ")", "items")
+    SELECT CAST(CAST(w AS DATE) AS VARCHAR) AS week, list, CAST(row_number() OVER (PARTITION BY w, list ORDER BY day DESC, item_id DESC) AS INTEGER) AS position, item_id FROM r""".replace(", r AS", "SELECT * FROM (WITH r AS", 1) + ")", "items")
 def e11(spark, d):
-    out = E.weekly_digest(items(spark, d))
-    return out.select(*text("week"), "list", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "n")
+    return E.weekly_digest(items(spark, d)).select(*text("week"), "list", "position", "item_id")
 
 
 @query("e12_thin_coverage", """, a AS (SELECT item_id, expect_relevant, unnest(['s:' || source, 'l:' || lang]) AS tag FROM golden), t AS (SELECT DISTINCT tag FROM a), c AS (SELECT tag, count(*) AS n FROM a WHERE expect_relevant AND item_id % 4 = 0 GROUP BY 1)

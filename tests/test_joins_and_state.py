@@ -31,16 +31,24 @@ def test_rotating_slices_cover_everything(spark):
 def test_greedy_dedup_is_the_sequential_one(spark):
     r = random.Random(2)
     for n, m in ((30, 40), (12, 11), (25, 0)):
-        pairs = {tuple(sorted(r.sample(range(n), 2))) for _ in range(m)} if m != 11 else {(k, k + 1) for k in range(11)}
+        groups = [r.sample(range(n), r.choice([2, 2, 3, 5])) for _ in range(m)] if m != 11 else [(k, k + 1) for k in range(11)]
         df = spark.createDataFrame([(k,) for k in range(n)], "item_id long")
-        got = {x.item_id for x in M.dedup_greedy(df, spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+        keys = spark.createDataFrame([(k, f"g{g}") for g, members in enumerate(groups) for k in members], "item_id long, key string")
+        got = {x.item_id for x in M.dedup_greedy(df, keys).collect()}
         kept = []
         for k in range(n):
-            if not any((j, k) in pairs for j in kept):
+            if not any(k in members and j in members for members in groups for j in kept):
                 kept.append(k)
         assert got == set(kept)
 
 
+def test_same_item_keys(spark):
+    schema = "item_id long, source string, date date, docket_tokens array<string>, party_tokens array<string>"
+    rows = [(1, "a", D(2024, 1, 1), ["D100"], ["smith", "jones"]), (2, "a", None, ["D100"], ["smith", "jones"]), (3, "a", D(2024, 1, 1), [], ["roe", "smith", "jones"]), (4, "b", D(2024, 1, 1), ["D100"], ["smith", "jones"]), (5, "a", D(2024, 1, 1), [], ["smith", "doe"]), (6, "a", D(2024, 1, 1), None, None)]
+    links = {(x.item_id, x.first_id) for x in M.same_item_links(spark.createDataFrame(rows, schema)).collect()}
+    assert links == {(2, 1), (3, 1)}
+
+
 def test_reverse_sweep_caps_and_order(spark):
     items = spark.createDataFrame([(1, "ok", D(2024, 1, 1), None), (2, "ok", D(2020, 1, 1), D(2024, 1, 1)), (3, "superseded", D(2024, 1, 1), None)], "item_id long, status string, date date, full_at date")
     e = [(k, 1, D(2024, 2, k)) for k in range(4, 15)] + [(1, 1, D(2024, 2, 1)), (30, 2, D(2020, 5, 1)), (31, 2, D(2024, 5, 1)), (32, 3, D(2024, 5, 1)), (33, 1, D(2023, 1, 1))]
