@@ -169,10 +169,8 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_text
     seen = cut(detect(slim))
     total = slim.count()
     held = seen.where(F.size("base") > 0)
-    linked = held.select("key", F.explode("near").alias("c")).groupBy("key", "c.entity", "c.term").agg(F.count("*").alias("spans"))
-    # per text: how many documents carry it
-    carried = held.groupBy("key").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("near").alias("near"))
-    carried = cut(carried)
+    # a text once, with the number of documents that carry it
+    carried = cut(held.groupBy("key").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("near").alias("near")))
     linked = carried.select("key", "copies", F.explode("near").alias("c")).select("key", "copies", "c.entity", "c.term").distinct()
     pairs = cut(linked.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts))
     empty = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
@@ -207,7 +205,6 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     def work(batches):
         for batch in batches:
             out = []
-            place = batch.schema.get_field_index(text)
             for t, base, terms in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, "__base", "__terms"))):
                 marks = [(s["start"], -s["end"], f"[{KINDS[s['kind']].upper()}]") for s in base or ()]
                 for s in terms or ():
