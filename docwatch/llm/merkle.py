@@ -1,15 +1,16 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs. DataFrame functions only.
 
-Sections end at blank lines. A section's paragraphs are its lines, and a line of several sentences is cut after each
-sentence end, so that a long line has branches too; nothing is lost between the cuts. A paragraph hashes its text, a
-section its paragraphs' hashes, the root its sections' hashes (SHA-256). The fingerprint prints the tree from the
-root: `root:section(leaf,leaf)section(leaf)`, sections and leaves shortened to 12 hex digits.
+Sections end at blank lines. A section's paragraphs are its lines, a line of several sentences is cut after each
+sentence end, and what is still longer than LONG characters into stretches of half of that, so that long lines have
+branches too; nothing is lost between the cuts. A paragraph hashes its text, a section its paragraphs' hashes, the
+root its sections' hashes (SHA-256). The fingerprint prints the tree from the root:
+`root:section(leaf,leaf)section(leaf)`, sections and leaves shortened to 12 hex digits.
 
 Equal roots mean equal texts; unequal branches locate an edit. Likeness is the Dice coefficient of the distinct
 leaves: 1 for equal trees, 0 for trees without a common leaf; two empty texts have 1.
 
-Defined cases: null text counts as empty (one empty paragraph); repeated rows are documents of their own; a null id comes after all
-others; in a one-row table a document is its own successor; an empty table gives an empty result.
+Defined cases: null text counts as empty (one empty paragraph); repeated rows are documents of their own; a null id
+comes after all others; in a one-row table a document is its own successor; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.sql import functions as F
 from docwatch.llm.common import columns, shuffle_partitions
 
 SECTION, PARAGRAPH = r"(?<=\n\n)", r"(?<=\n)|(?<=[.!?] )"
+LONG = 200
 LAST = (1 << 63) - 1
 
 
 def tree(text: Column) -> Column:
     """ARRAY<ARRAY<STRING>>: the leaves' SHA-256, section by section."""
-    return F.transform(F.split(text, SECTION), lambda s: F.transform(F.split(s, PARAGRAPH), lambda p: F.sha2(p, 256)))
+    short = lambda p: F.when(F.length(p) > LONG, F.regexp_extract_all(p, F.lit(f"(?s).{{1,{LONG // 2}}}"), F.lit(0))).otherwise(F.array(p))
+    paragraphs = lambda s: F.flatten(F.transform(F.split(s, PARAGRAPH), short))
+    return F.transform(F.split(text, SECTION), lambda s: F.transform(paragraphs(s), lambda p: F.sha2(p, 256)))
 
 
 def fingerprint(leaves: Column) -> Column:
