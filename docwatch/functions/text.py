@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Words that don't tell one party from another.
-STOP_WORDS = ("the", "and", "for", "inc", "llc", "corp", "company", "state", "city", "county", "united", "states", "llp", "ltd")
-#: Docket fragments that occur in too many dockets.
-NOISE_TOKENS = ("CIVIL", "CRIM", "CASE", "DOCKET")
+from docwatch.functions import values
 
 
 def blank_to_null(c: Column) -> Column:
@@ -23,10 +20,10 @@ def blank_to_null(c: Column) -> Column:
 def docket_tokens(c: Column) -> Column:
     """Upper-case docket numbers of four characters at least, without noise words."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[^A-Za-z0-9-]+"), lambda t: F.regexp_replace(F.upper(t), "^-+|-+$", ""))
-    return F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= 4) & ~t.isin(*NOISE_TOKENS)))
+    return F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= 4) & ~t.isin(*values.DOCKET_NOISE)))
 
 
-def party_tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+def party_tokens(c: Column, stop: tuple[str, ...] = values.NAME_STOP) -> Column:
     """Distinctive words of a name: lower-case, three characters at least, no numbers, no stop words."""
     parts = F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")
     return F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & ~t.isin(*stop)))
@@ -50,25 +47,25 @@ def normalize_items(df: DataFrame, raw_id: str, url: str, date: str, docket: str
     })
 
 
-def clip_texts(df: DataFrame, text: str, limit: int, marker: str = " [...] ", out: str = "clipped") -> DataFrame:
+def clip_texts(df: DataFrame, text: str, limit: int, marker: str = values.CLIP_MARKER, out: str = "clipped") -> DataFrame:
     """Texts over the limit keep 72 % of the body at the head, a marker, and the tail; the body has 1000 characters at least."""
     body = max(1000, limit - len(marker))
-    head = body * 72 // 100
+    head = body * values.CLIP_HEAD // 100
     t = F.col(text)
     clipped = F.concat(F.substring(t, 1, head), F.lit(marker), F.substring(t, F.length(t) - (body - head) + 1, F.lit(body - head)))
     return df.withColumn(out, F.when(F.length(t) > limit, clipped).otherwise(t))
 
 
-def lint_reasons(df: DataFrame, reason: str, lexicon: list[str]) -> DataFrame:
-    """T4: hedges (sorted distinct lexicon words) and quotes (double-quoted markers of 2 to 60 characters)."""
-    words = F.split(F.lower(F.coalesce(reason, F.lit(""))), "[^a-z]+")
-    hedges = F.array_sort(F.array_intersect(F.array_distinct(words), F.array(*[F.lit(w.lower()) for w in lexicon])))
-    return df.withColumn("hedges", hedges).withColumn("quotes", quoted(F.col(reason)))
+def lint_reasons(df: DataFrame, reason: str, hedges: str = values.HEDGES) -> DataFrame:
+    """T4: hedges (sorted distinct matches in the lower-cased reason) and quotes (sorted distinct quoted markers)."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(reason, F.lit(""))), F.lit(hedges), F.lit(0))
+    return df.withColumn("hedges", F.array_sort(F.array_distinct(found))).withColumn("quotes", quoted(F.col(reason)))
 
 
 def quoted(c: Column) -> Column:
-    """Double-quoted markers of 2 to 60 characters, sorted and distinct."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit('"([^"\\n]{2,60})"'), 1)))
+    """Quoted markers of 2 to 60 characters, sorted and distinct."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(values.QUOTED), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))))
 
 
 def silence_claims(df: DataFrame, reason: str, source_words: list[str], supplied_words: list[str]) -> DataFrame:
@@ -79,24 +76,26 @@ def silence_claims(df: DataFrame, reason: str, source_words: list[str], supplied
     return df.withColumn("silent_source", F.exists(clauses, lambda c: either(c, source_words) & ~either(c, supplied_words)))
 
 
-#: Kind of reference and its pattern; the first group, if any, is the reference.
-REFERENCE_PATTERNS = {
-    "license": r"(?i)(licensed under [A-Za-z0-9 .-]{2,40})",
-    "email": r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9])",
-    "ipv4": r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})",
-    "rule": r"(Rule [0-9]+(?:\.[0-9]+)?)",
-    "code": r"([0-9]+ [A-Z]\.?[A-Z]\.?[A-Z]\.? (?:§ ?)?[0-9]+)",
-}
+def extract_references(df: DataFrame, key: str, text: str, patterns: dict[str, tuple[str, str]] = values.REFERENCE_PATTERNS) -> DataFrame:
+    """T5: one row (key, kind, reference) per distinct typed reference; patterns are kind -> (prefix, pattern with one group)."""
 
+    def typed(kind: str, prefix: str, pattern: str) -> Column:
+        fold = lambda r: F.concat(F.lit(prefix), F.trim(F.regexp_replace(r, r"\s+", " ")))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda r: F.struct(F.lit(kind).alias("kind"), fold(r).alias("reference")))
 
-def extract_references(df: DataFrame, key: str, text: str, patterns: dict[str, str] = REFERENCE_PATTERNS) -> DataFrame:
-    """T5: one row (key, kind, reference) per distinct typed reference."""
+    found = [typed(kind, *pattern) for kind, pattern in patterns.items()]
+    return df.select(key, F.explode(F.array_distinct(F.concat(*found))).alias("r")).select(key, "r.kind", "r.reference")
 
-    def typed(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda r: F.struct(F.lit(kind).alias("kind"), F.trim(r).alias("reference")))
 
-    found = [typed(kind, pattern) for kind, pattern in patterns.items()]
-    return df.select(key, F.explode(F.array_distinct(F.concat(*found))).alias("r")).select(key, "r.kind", "r.reference")
+def cited_cases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """T5: one row (key, case_key, name, year, cite) per distinct case that a bold citation names: `**A v. B, 12 U.S. 34 (1999)**`."""
+    bold = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"\*\*([^*]+?)\*\*"), 1)).alias("b")).where(F.col("b").rlike(values.REPORTER))
+    name = F.trim(F.get(F.split("b", values.NAME_END, 2), F.lit(0)))
+    years = F.regexp_extract_all("b", F.lit(values.YEAR), 1)
+    cite = F.regexp_replace(F.regexp_extract("b", f"({values.REPORTER})", 1), "^[()]+|[()]+$", "")
+    rows = bold.select(key, name.alias("name"), F.get(years, F.size(years) - 1).alias("year"), cite.alias("cite")).where(F.col("name").rlike(r" v\.? "))
+    rows = rows.withColumn("case_key", F.regexp_replace(F.lower("name"), r"\s+", " "))
+    return rows.groupBy(key, "case_key").agg(F.min_by("name", F.struct("name", "cite")).alias("name"), F.min_by("year", F.struct("name", "cite")).alias("year"), F.min("cite").alias("cite"))
 
 
 def caption_facts(df: DataFrame, text: str, reach: int = 3000) -> DataFrame:
@@ -120,7 +119,7 @@ def calendar_keys(df: DataFrame, ts: str, zone: str = "America/New_York") -> Dat
     return df.withColumn("local_date", F.to_date(F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))).withColumn("week", F.to_date(F.date_trunc("week", F.col(ts))))
 
 
-def bucket_outcomes(df: DataFrame, column: str, buckets: list[tuple[str, str]], other: str = "other") -> DataFrame:
+def bucket_outcomes(df: DataFrame, column: str, buckets: list[tuple[str, str]] = values.DISPOSITIONS, other: str = "other") -> DataFrame:
     """The first bucket (needle, name) whose needle occurs; put `in part` first."""
     c = F.lower(F.coalesce(column, F.lit("")))
     chain = F.lit(other)

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwatch.functions import values
 from docwatch.functions.text import quoted
 
 
@@ -102,17 +103,18 @@ def reverse_sweep(items: DataFrame, edges: DataFrame, seen: DataFrame, pending:
     return capped.orderBy(F.desc("never_swept"), "n", *order, "item_id").limit(per_run)
 
 
-def citation_windows(pairs: DataFrame, docs: DataFrame, items: DataFrame, before: int = 1200, after: int = 1800, cap: int = 8000, stop: tuple[str, ...] = ("the", "and", "for", "inc", "state", "united", "states", "llc")) -> DataFrame:
+def citation_windows(pairs: DataFrame, docs: DataFrame, items: DataFrame, before: int = 1200, after: int = 1800, cap: int = 12_000, wide: int = 40_000, stop: tuple[str, ...] = values.CAPTION_STOP) -> DataFrame:
     """For pairs(item_id, citer_id), the text of docs(item_id, text) around the first mention of each side of
-    items(item_id, name); located is false where none is found and a wide slice stands in."""
+    items(item_id, name); a side is found by its first distinctive capitalised word that occurs. located is false where
+    neither side is found and a wide slice stands in."""
     rows = pairs.join(items.select("item_id", "name"), "item_id").join(docs.select(F.col("item_id").alias("citer_id"), "text"), "citer_id")
-    sides = F.split(F.lower("name"), r"\s+v\.?\s+")
-    token = lambda side: F.get(F.filter(F.regexp_extract_all(side, F.lit("([a-z][a-z0-9]{2,})"), 1), lambda t: ~t.isin(*stop)), F.lit(0))
-    spots = F.array_distinct(F.filter(F.transform(F.filter(F.transform(sides, token), lambda t: t.isNotNull()), lambda t: F.instr(F.lower("text"), t)), lambda p: p > 0))
+    rows = rows.withColumn("low", F.lower("text"))
+    words = lambda side: F.filter(F.regexp_extract_all(side, F.lit("[A-Z][A-Za-z'&.-]{2,}"), F.lit(0)), lambda w: ~F.regexp_replace(F.lower(w), r"^\.+|\.+$", "").isin(*stop))
+    spot = lambda side: F.get(F.filter(F.transform(words(side), lambda w: F.instr(F.col("low"), F.lower(w))), lambda p: p > 0), F.lit(0))
+    rows = rows.withColumn("spots", F.array_sort(F.filter(F.transform(F.split("name", r"\bv\.?\b", 2), spot), lambda p: p.isNotNull())))
     cuts = F.transform("spots", lambda p: F.substring("text", F.greatest(p - before, F.lit(1)), p + after - F.greatest(p - before, F.lit(1))))
-    found = F.array_join(cuts, "\n...\n")
-    rows = rows.withColumn("spots", spots).withColumn("located", F.size("spots") > 0)
-    return rows.withColumn("window", F.substring(F.when(F.col("located"), found).otherwise(F.substring("text", 1, before + after)), 1, cap)).select("item_id", "citer_id", "located", "window")
+    window = F.when(F.size("spots") > 0, F.substring(F.array_join(cuts, "\n...\n"), 1, cap)).otherwise(F.substring("text", 1, wide))
+    return rows.select("item_id", "citer_id", (F.size("spots") > 0).alias("located"), window.alias("window"))
 
 
 def check_items(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -157,7 +159,12 @@ def prefer_richer(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def verify_quotes(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """records(key, reason, name, docket, evidence): quoted markers that occur in neither name, docket nor evidence;
     firm if evidence is stored; echoed are those of the prompt vocabulary(phrase)."""
-    fold = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+    def fold(c):
+        """Without case, the article and edge punctuation."""
+        t = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), r"\bthe\b", " ")
+        return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "^[ .,:;\u2014-]+|[ .,:;\u2014-]+$", "")
+
     known = F.concat_ws("\n", fold("name"), fold("docket"), fold("evidence"))
     quotes = records.select("key", known.alias("known"), (F.trim(F.coalesce("evidence", F.lit(""))) != "").alias("firm"), F.explode_outer(quoted(F.col("reason"))).alias("quote"))
     quotes = quotes.withColumn("missing", F.col("quote").isNotNull() & ~F.col("known").contains(fold("quote")))
@@ -168,7 +175,11 @@ def verify_quotes(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def folded(c) -> F.Column:
-    return F.trim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    """Lower case, single spaces, no surrounding quotes or ellipses."""
+    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    t = F.trim(F.regexp_replace(t, "^['\"\u201c\u201d\u2018\u2019]+|['\"\u201c\u201d\u2018\u2019]+$", ""))
+    t = F.regexp_replace(F.replace(t, F.lit("\u2026"), F.lit(" ")), r"^\.\.\.|\.\.\.$", " ")
+    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
 
 
 def substantial(quote: F.Column) -> F.Column:
@@ -204,7 +215,7 @@ def grounded_anywhere(quotes: DataFrame, docs: DataFrame, words: int = 5) -> Dat
     return near.union(d.join(short, F.col("t").contains(F.col("q"))).select("quote_id", "doc_id"))
 
 
-def alert_dependents(treatments: DataFrame, manifest: DataFrame, recorded: DataFrame, adverse: list[str]) -> DataFrame:
+def alert_dependents(treatments: DataFrame, manifest: DataFrame, recorded: DataFrame, adverse: tuple[str, ...] = values.ADVERSE_KINDS) -> DataFrame:
     """Adverse treatments(authority, citer_id, kind) that aren't recorded(authority, citer_id), once per pair, with the sorted dependants of manifest(authority, dependant)."""
     new = treatments.where(F.col("kind").isin(adverse)).select("authority", "citer_id").distinct().join(recorded, ["authority", "citer_id"], "left_anti")
     return new.join(manifest.distinct(), "authority").groupBy("authority", "citer_id").agg(F.array_sort(F.collect_set("dependant")).alias("dependants"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwatch.functions import values
 from docwatch.operators.select import first_per_key, union_ids, without
 
 
@@ -77,7 +78,7 @@ def merge_counts(merged: DataFrame) -> DataFrame:
     return merged.agg(F.count_if(F.col("action") == "added").alias("added"), F.count_if(F.col("action") == "updated").alias("updated"))
 
 
-def raise_flags(items: DataFrame, known: DataFrame, findings: DataFrame, adverse: list[str]) -> tuple[DataFrame, DataFrame]:
+def raise_flags(items: DataFrame, known: DataFrame, findings: DataFrame, adverse: tuple[str, ...] = values.ADVERSE_KINDS) -> tuple[DataFrame, DataFrame]:
     """findings(item_id, citer_id, kind, affects, date) of an adverse kind that affect the proposition, new against
     known(item_id, citer_id), one per citer; items(item_id, status, treatment_date) go from ok to caution, never down,
     and get the date on that transition only. Gives (items, treatments to append)."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwatch.functions import values
+
 
 def corpus_stats(items: DataFrame) -> DataFrame:
     """items(item_id, date, source, disposition, status, tags) to a tidy (dimension, value, n): totals, date span,
@@ -21,7 +23,7 @@ def corpus_stats(items: DataFrame) -> DataFrame:
     return sets.select(name.alias("dimension"), value.alias("value"), "n").union(tags).union(total)
 
 
-def drop_counts(df: DataFrame, reason: str, prefixes: list[tuple[str, str]]) -> DataFrame:
+def drop_counts(df: DataFrame, reason: str, prefixes: list[tuple[str, str]] = values.DROP_TIERS) -> DataFrame:
     """Drops per tier, by the first prefix (prefix, tier) of the reason, else other."""
     chain: Column = F.lit("other")
     for prefix, tier in reversed(prefixes):
@@ -130,14 +132,14 @@ def newest_per_group(df: DataFrame, pins: DataFrame) -> DataFrame:
     return rows.select("tier", "newest", "pin", F.coalesce(newer, F.lit(False)).alias("upgrade"), (F.col("pin").isNotNull() & F.col("listed").isNull()).alias("pin_missing"))
 
 
-def silent_failures(steps: DataFrame, jobs: DataFrame, reporting: list[str]) -> DataFrame:
+def silent_failures(steps: DataFrame, jobs: DataFrame, reporting: tuple[str, ...] = values.REPORTING_HINTS) -> DataFrame:
     """Failed jobs(job) whose steps(job, pos, name, conclusion) after the first failure all did not run, or are
-    reporting steps that failed; a failed job without steps is silent too."""
+    reporting steps (by a part of the name) that failed; a failed job without steps is silent too."""
     listed = steps.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "conclusion"))).alias("s"))
     rows = jobs.where("conclusion = 'failure'").select("job").join(listed, "job", "left")
     first = F.coalesce(F.array_position(F.transform("s", lambda x: x["conclusion"]), "failure"), F.lit(0)).cast("int")
     rows = rows.withColumn("after", F.when(first > 0, F.slice("s", first + 1, F.greatest(F.size("s") - first, F.lit(0)))).otherwise(F.col("s")))
-    quiet = F.forall("after", lambda x: x["conclusion"].isNull() | x["conclusion"].isin("skipped", "cancelled") | (x["name"].isin(reporting) & (x["conclusion"] == "failure")))
+    quiet = F.forall("after", lambda x: x["conclusion"].isNull() | x["conclusion"].isin(*values.DID_NOT_RUN) | (F.coalesce(F.lower(x["name"]).rlike("|".join(reporting)), F.lit(False)) & (x["conclusion"] == "failure")))
     return rows.withColumn("silent", F.col("s").isNull() | quiet).select("job", "silent")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docwatch.functions import values
 from docwatch.functions.text import fingerprint_pages, html_to_text, lint_reasons, stable_keys, text_quality_gate
 from docwatch.operators import match as M
 from docwatch.operators import select as S
@@ -94,9 +95,9 @@ def immutable_watch(records: DataFrame, seen: DataFrame, existing: DataFrame, as
     return G.merge_items(existing, new.select(*existing.columns), "item_id", "item_id")
 
 
-def log_lint(log: DataFrame, allowed: DataFrame, vocabulary: DataFrame, lexicon: list[str]) -> DataFrame:
+def log_lint(log: DataFrame, allowed: DataFrame, vocabulary: DataFrame, hedges: str = values.HEDGES) -> DataFrame:
     """The sections hedges, quotes and categories over a whole log(key, stage, category, reason, name, docket, evidence), as (section, key, detail)."""
-    hedged = lint_reasons(log, "reason", lexicon).where(F.size("hedges") > 0).select(F.lit("hedges").alias("section"), "key", F.array_join("hedges", ",").alias("detail"))
+    hedged = lint_reasons(log, "reason", hedges).where(F.size("hedges") > 0).select(F.lit("hedges").alias("section"), "key", F.array_join("hedges", ",").alias("detail"))
     checked = M.verify_quotes(log, vocabulary).where(F.size("unsupported") > 0)
     grade = F.when(F.size("echoed") > 0, "echo").when(F.col("firm"), "firm").otherwise("provisional")
     quotes = checked.select(F.lit("quotes"), "key", F.concat_ws(":", grade, F.array_join("unsupported", "|")))

@@ -66,7 +66,7 @@ def j5(spark, d):
 def j6(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("stage"), "source", F.col("source").alias("category"), F.col("text").alias("reason"), F.col("source").alias("name"), F.lit(None).cast("string").alias("docket"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 500)).alias("evidence"))
     allowed = spark.createDataFrame([("en", f"src{k}") for k in range(10)], "stage string, category string")
-    return J.log_lint(rows, allowed, spark.createDataFrame([("the",)], "phrase string"), ["license", "token"])
+    return J.log_lint(rows, allowed, spark.createDataFrame([("the",)], "phrase string"), "license|token")
 
 
 @query("j7_guard_revalidate")

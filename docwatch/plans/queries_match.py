@@ -71,7 +71,7 @@ def d5b(spark, d):
 def t3(spark, d):
     pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), (F.col("l_orderkey") % 1000).alias("citer_id")).distinct()
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    names = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.concat_ws(" v. ", F.substring("text", 1, 20), F.substring("text", 30, 20)).alias("name"))
+    names = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.initcap(F.concat_ws(" v. ", F.substring("text", 1, 20), F.substring("text", 30, 20))).alias("name"))
     return M.citation_windows(pairs, docs, names)
 
 

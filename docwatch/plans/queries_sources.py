@@ -95,3 +95,17 @@ def t13(spark, d):
     holdings = F.array(F.struct(F.array(F.lit("x"), F.col("o_orderpriority")).alias("areas"), F.lit("s").alias("synopsis"), F.when(k % 2 == 0, "w").otherwise(none).alias("why")))
     rows = table(spark, d, "orders").select("o_orderkey", F.array(F.lit(" "), F.when(k % 3 != 0, F.concat(F.lit("A"), k.cast("string")))).alias("dockets"), F.concat(F.lit("D"), F.col("o_custkey").cast("string")).alias("docket"), F.col("o_orderstatus").alias("disposition"), F.array("o_orderpriority").alias("areas"), holdings.alias("holdings"))
     return T.assemble_items(rows).select("o_orderkey", "disposition", F.array_join("dockets", ",").alias("dockets"), F.array_join("all_areas", ",").alias("all_areas"))
+
+
+@query("t5_cited_cases")
+def t5b(spark, d):
+    word = F.regexp_extract("text", "([A-Za-z]{3,})", 1)
+    marked = F.concat(F.lit("**"), word, F.lit(" v. Roe, 12 U.S. "), F.col("doc_id").cast("string"), F.lit(" (1999)** and **only bold** and O.C.G.A. § 1-2-3"))
+    return T.cited_cases(table(spark, d, "documents").withColumn("text", marked), "doc_id", "text")
+
+
+@query("t5_typed_references")
+def t5c(spark, d):
+    n = F.col("doc_id").cast("string")
+    cited = F.concat(F.substring("text", 1, 100), F.lit(" O.C.G.A. §"), n, F.lit("-2-3, 11 U.S.C. § "), n, F.lit(", HB "), n, F.lit(", Rule 1.7"))
+    return T.extract_references(table(spark, d, "documents").withColumn("text", cited), "doc_id", "text")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docwatch.functions import text as T
+from docwatch.functions import values
 from docwatch.operators import select as S
 from docwatch.plans.roles import cand, edges, golden, items, log, query, table, text
 from docwatch.sources import feeds
 
-LICENSE = r"([A-Za-z]+ [Ll]icense)"
+LICENSE, EMAIL = r"([A-Za-z]+ [Ll]icense)", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9])"
+IPV4 = r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"
 
 
 @query("a8_html_to_text")
@@ -49,7 +51,7 @@ def a13(spark, d):
 
 
 TOKENS = r"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN ({}))))"
-STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+STOPS = ", ".join(f"'{w}'" for w in values.NAME_STOP)
 
 
 @query("t1_normalize_items", f"""SELECT p_partkey AS item_id, array_to_string({TOKENS.format('p_name', STOPS)}, ',') AS party_tokens,
@@ -61,15 +63,19 @@ def t1(spark, d):
     return out.select("item_id", F.array_join(F.array_sort("party_tokens"), ",").alias("party_tokens"), "name_key", F.array_join(F.array_sort("docket_tokens"), ",").alias("docket_tokens"))
 
 
-@query("t2_clip_texts", """SELECT doc_id, CASE WHEN length(text) > 3000 THEN substr(text, 1, 2993 * 72 // 100) || ' [...] ' || substr(text, length(text) - (2993 - 2993 * 72 // 100) + 1) ELSE text END AS clipped FROM documents""")
+CLIP_BODY = 3000 - len(values.CLIP_MARKER)
+CLIP_AT = CLIP_BODY * values.CLIP_HEAD // 100
+
+
+@query("t2_clip_texts", f"""SELECT doc_id, CASE WHEN length(text) > 3000 THEN substr(text, 1, {CLIP_AT}) || '{values.CLIP_MARKER}' || substr(text, length(text) - {CLIP_BODY - CLIP_AT} + 1) ELSE text END AS clipped FROM documents""")
 def t2(spark, d):
     return T.clip_texts(table(spark, d, "documents"), "text", 3000).select("doc_id", "clipped")
 
 
-@query("t4_lint_reasons", """SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w IN ('license', 'the', 'token', 'may')))), ',') AS hedges,
-    array_to_string(list_sort(list_distinct(regexp_extract_all(text, '"([^"\\n]{2,60})"', 1))), ',') AS quotes FROM documents""")
+@query("t4_lint_reasons", """SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), 'license|token|the|may'))), ',') AS hedges,
+    array_to_string(list_sort(list_distinct(regexp_extract_all(text, '"([^"]{2,60})"', 1))), ',') AS quotes FROM documents""")
 def t4(spark, d):
-    out = T.lint_reasons(table(spark, d, "documents"), "text", ["license", "the", "token", "may"])
+    out = T.lint_reasons(table(spark, d, "documents"), "text", "license|token|the|may")
     return out.select("doc_id", F.array_join("hedges", ",").alias("hedges"), F.array_join("quotes", ",").alias("quotes"))
 
 
@@ -78,7 +84,7 @@ def t4(spark, d):
     SELECT doc_id, 'ipv4', unnest(regexp_extract_all(text, '([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})', 1)) FROM documents UNION ALL
     SELECT doc_id, 'license', unnest(regexp_extract_all(text, '([A-Za-z]+ [Ll]icense)', 1)) FROM documents)""")
 def t5(spark, d):
-    patterns = {k: T.REFERENCE_PATTERNS[k] for k in ("email", "ipv4")} | {"license": LICENSE}
+    patterns = {"email": ("", EMAIL), "ipv4": ("", IPV4), "license": ("", LICENSE)}
     return T.extract_references(table(spark, d, "documents"), "doc_id", "text", patterns)
 
 

@@ -107,9 +107,9 @@ def test_gates_fail_closed(spark):
 
 
 def test_silent_failures(spark):
-    s = [("killed", 1, "x", "failure"), ("killed", 2, "y", None), ("told", 1, "x", "failure"), ("told", 2, "report", "success"), ("broken", 1, "x", "failure"), ("broken", 2, "report", "failure")]
+    s = [("killed", 1, "x", "failure"), ("killed", 2, "y", None), ("told", 1, "x", "failure"), ("told", 2, "File a report", "success"), ("broken", 1, "x", "failure"), ("broken", 2, "Open an ISSUE", "failure")]
     jobs = spark.createDataFrame([(j, "failure") for j in ("killed", "told", "broken", "empty")] + [("fine", "success")], "job string, conclusion string")
-    out = {r.job: r.silent for r in E.silent_failures(spark.createDataFrame(s, "job string, pos int, name string, conclusion string"), jobs, ["report"]).collect()}
+    out = {r.job: r.silent for r in E.silent_failures(spark.createDataFrame(s, "job string, pos int, name string, conclusion string"), jobs).collect()}
     assert out == {"killed": True, "told": False, "broken": True, "empty": True}
 
 

@@ -10,7 +10,7 @@ D = dt.date
 
 
 def test_normalize_items(spark):
-    df = spark.createDataFrame([("12", "/opinion/9/x", "2024-02-30", "No. A24A1234, -s24g0001-", "Smith v. The State of Ohio Inc"), ("x", "/opinion/9/x", "2024-02-03T01:00:00Z", None, None), (None, None, None, "", "123 ab")], "raw string, url string, day string, docket string, name string")
+    df = spark.createDataFrame([("12", "/opinion/9/x", "2024-02-30", "Nos. A24A1234, and -s24g0001-", "Smith v. The State of Ohio Inc"), ("x", "/opinion/9/x", "2024-02-03T01:00:00Z", None, None), (None, None, None, "", "123 ab")], "raw string, url string, day string, docket string, name string")
     a, b, c = T.normalize_items(df, "raw", "url", "day", "docket", "name").collect()
     assert (a.item_id, b.item_id, c.item_id) == (12, 9, None)
     assert (a.date, b.date, c.date) == (None, D(2024, 2, 3), None)
@@ -25,9 +25,19 @@ def test_clip_keeps_head_and_tail(spark):
 
 
 def test_lint(spark):
-    df = spark.createDataFrame([('It may perhaps say "one thing" or "' + "y" * 61 + '"',), (None,)], "r string")
-    a, b = T.lint_reasons(df, "r", ["may", "perhaps", "could"]).collect()
-    assert a.hedges == ["may", "perhaps"] and a.quotes == ["one thing"] and b.hedges == []
+    df = spark.createDataFrame([("Likely seems to be 'a lead', suggests; \u201ccurly one\u201d isn't 'x' \"one thing\" or \"" + "y" * 61 + "\" may  be",), ("unlikely; probable cause",), (None,)], "r string")
+    a, b, c = T.lint_reasons(df, "r").collect()
+    assert a.hedges == ["likely", "may  be", "seems", "suggests"] and a.quotes == ["a lead", "curly one", "one thing"] and b.hedges == [] == c.hedges
+
+
+def test_references(spark):
+    text = "O.C.G.A. §§ 33-4-6 and 11  U.S.C. § 362, 49 C.F.R. § 395.1; FRCP 12(b)(6). HB  12, Rule 1.7. **Lee v. Cox, 12 U.S. 34 (1999)** **lee v.  Cox, 13 U.S. 1 (2001)** **bold** **O.C.G.A. § 1-1-1, 1 Ga. App. 2**"
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    assert sorted(r.reference for r in T.extract_references(df, "k", "t").collect()) == ["11 U.S.C. § 362", "49 C.F.R. § 395.1", "Fed. R. Civ. P. 12(b)(6)", "Ga. R. Prof. Conduct 1.7", "HB 12", "O.C.G.A. § 1-1-1", "O.C.G.A. § 33-4-6"]
+    assert [(r.case_key, r.name, r.year, r.cite) for r in T.cited_cases(df, "k", "t").collect()] == [("lee v. cox", "Lee v. Cox", "1999", "12 U.S. 34")]
+
+
+def test_silence(spark):
     c = spark.createDataFrame([("The statute does not mention fees.",), ("The excerpt does not mention fees.",), ("The excerpt; the statute never says so",)], "r string")
     assert [r.silent_source for r in T.silence_claims(c, "r", ["statute"], ["excerpt"]).collect()] == [True, False, True]
 
