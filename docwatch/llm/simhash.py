@@ -177,20 +177,17 @@ def stars(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 1
     return a, label[a]
 
 
-def two_partners(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """(row, earlier row) pairs within radius: for each row its first and its nearest earlier one in its run."""
-    first = np.full(len(group), len(group))
+def nearest_earlier(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """(row, earlier row) for each row with earlier rows of its run within radius: the nearest one, ties to the first."""
     near, at = np.full(len(group), 255), np.zeros(len(group), np.int64)
     for x, y in close_pairs(fps, group, radius, at_once):
-        np.minimum.at(first, y, x)
         distance = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64)
         order = np.lexsort((x, distance, y))
         head = order[np.r_[True, y[order][1:] != y[order][:-1]]]
         better = head[distance[head] < near[y[head]]]
         near[y[better]], at[y[better]] = distance[better], x[better]
     rows = np.flatnonzero(near < 255)
-    other = rows[at[rows] != first[rows]]
-    return np.r_[rows, other], np.r_[first[rows], at[other]]
+    return rows, at[rows]
 
 
 def by_key(compare):
@@ -273,7 +270,7 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ta
     edges(u, v) are pairs of classes whose shingle sets have a Jaccard similarity of at least `similarity`.
 
     At 0.8 some 20 of 128 fingerprint bits differ, too many for exact pigeonhole tables. Each table samples `bits` of
-    them, so that about 98 of 100 such pairs meet in one, and buckets are compared bit-sliced on all 128. A row names its first and its nearest partner in each
+    them, so that about 98 of 100 such pairs meet in one, and buckets are compared bit-sliced on all 128. A row names its nearest earlier partner in each
     bucket, so a large group stays linear; named pairs are then compared on their whole texts.
     """
 
@@ -295,7 +292,7 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ta
     rows = in_tiles(classes.select("id", "fp", "fp2", F.explode(keys).alias("key")), "id", tile)
 
     def compare(key, ids, fp, fp2):
-        a, b = two_partners(np.stack([fp, fp2], axis=1).view(np.uint64), key, radius)
+        a, b = nearest_earlier(np.stack([fp, fp2], axis=1).view(np.uint64), key, radius)
         return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
 
     dealt = rows.select("key", "id", "fp", "fp2").repartition("key").sortWithinPartitions("key", "id")
