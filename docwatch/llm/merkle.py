@@ -27,9 +27,11 @@ LAST = (1 << 63) - 1
 
 def tree(text: Column) -> Column:
     """ARRAY<ARRAY<STRING>>: the leaves' SHA-256, section by section."""
+    pieces = lambda t, cut: F.filter(F.split(t, cut), lambda x: x != "")
     short = lambda p: F.when(F.length(p) > LONG, F.regexp_extract_all(p, F.lit(f"(?s).{{1,{LONG // 2}}}"), F.lit(0))).otherwise(F.array(p))
-    paragraphs = lambda s: F.flatten(F.transform(F.split(s, PARAGRAPH), short))
-    return F.transform(F.split(text, SECTION), lambda s: F.transform(paragraphs(s), lambda p: F.sha2(p, 256)))
+    paragraphs = lambda s: F.flatten(F.transform(pieces(s, PARAGRAPH), short))
+    sections = F.transform(pieces(text, SECTION), lambda s: F.transform(paragraphs(s), lambda p: F.sha2(p, 256)))
+    return F.when(text == "", F.array(F.array(F.sha2(text, 256)))).otherwise(sections)
 
 
 def fingerprint(leaves: Column) -> Column:
