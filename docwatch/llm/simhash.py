@@ -215,9 +215,11 @@ def by_key(compare):
     return work
 
 
-def in_tiles(rows: DataFrame, by: str, tile: int) -> DataFrame:
-    """rows(key, ...) where a key of more than `tile` rows is cut: sub-block i meets sub-block j, both whole, under a key of the pair."""
-    large = cut(rows.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") * 2 / tile).cast("int").alias("k")))
+def in_tiles(rows: DataFrame, by: str, tile: int, large: DataFrame | None = None) -> DataFrame:
+    """rows(key, ...) where a key of more than `tile` rows is cut: sub-block i meets sub-block j, both whole, under a key of the pair.
+
+    large(key, k) are these keys and their numbers of sub-blocks, if they are known."""
+    large = large if large is not None else cut(rows.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") * 2 / tile).cast("int").alias("k")))
     if large.isEmpty():
         return rows
     cols = rows.columns
@@ -265,40 +267,120 @@ def shingle_set(text: str | None, shingle: int) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), 42) for k in range(max(1, len(words) - shingle + 1))} if words else set()
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 48, bits: int = 14, radius: int = 28, tile: int = 1 << 15) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) to (classes, edges): classes(id, ...) has the smallest id of each set of copies (equal words),
-    edges(u, v) are pairs of classes whose shingle sets have a Jaccard similarity of at least `similarity`.
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """128 parity bits of a set: two sets differ in at least as many shingles as their signatures in bits."""
+    odd = np.bincount((shingles & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def open_pairs(key, ids, root, size, pos, sig, similarity: float, limit: int, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, earlier row) of each run of equal keys for pairs that may be similar and have different roots: of each row the
+    `limit` partners with the closest signatures; and the mask of rows in runs where there are more."""
+    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    left = np.bincount(run)[run] - (np.arange(len(key)) - np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[run])
+    more = np.zeros(int(run[-1]) + 1, bool)
+    held = np.zeros((3, 0), np.int64)  # row, distance, earlier row
+    parts, waiting = [], 0
+
+    def nearest():
+        now = np.concatenate([held, *parts], axis=1)
+        now = now[:, np.lexsort((now[2], now[1], now[0]))]
+        first = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]]) if now.shape[1] else np.zeros(0, np.int64)
+        rank = np.arange(now.shape[1]) - np.repeat(first, np.diff(np.r_[first, now.shape[1]]))
+        more[run[now[0, rank >= limit]]] = True
+        return now[:, rank < limit]
+
+    x, step = np.flatnonzero(left > 1), 1
+    while len(x):
+        for k in range(0, len(x), at_once):
+            u = x[k : k + at_once]
+            v = u + step
+            both = size[u] + size[v]
+            need = np.ceil(both * (similarity / (1 + similarity)) - 1e-6).astype(np.int64)
+            good = (root[u] != root[v]) & (ids[u] != ids[v]) & (np.minimum(size[u], size[v]) >= similarity * np.maximum(size[u], size[v]) - 1e-6)
+            good &= np.minimum(size[u] - pos[u], size[v] - pos[v]) >= need
+            u, v, spare = u[good], v[good], (both - 2 * need)[good]
+            distance = np.bitwise_count(sig[u] ^ sig[v]).sum(axis=1, dtype=np.int64)
+            good = distance <= spare
+            parts.append(np.stack([v[good], distance[good], u[good]]))
+            waiting += int(good.sum())
+            if waiting > at_once:
+                held = nearest()
+                parts, waiting = [], 0
+        step += 1
+        x = x[left[x] > step]
+    held = nearest()
+    return held[0], held[2], more[run]
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, float]:
+    """Shingles seen in three documents at least of a sample of about `sample`, sorted, with their counts, and rows of docs per row
+    sampled. They only order the shingles, so that the sample has a say in the work but not in the result."""
+    share = max(1.0, docs.count() / sample)
 
-    At 0.8 some 20 of 128 fingerprint bits differ, too many for exact pigeonhole tables. Each table samples `bits` of
-    them, so that about 98 of 100 such pairs meet in one, and buckets are compared bit-sliced on all 128. A row names its nearest earlier partner in each
-    bucket, so a large group stays linear; named pairs are then compared on their whole texts.
+    def work(batches):
+        for batch in batches:
+            found = [np.fromiter(s, np.uint64, len(s)) for s in (shingle_set(t, shingle) for t in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["key"])
+
+    picked = docs.where(F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 20)) < int((1 << 20) / share))
+    counts = picked.mapInArrow(work, "key bigint").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most)
+    rows = counts.toPandas()
+    keys = rows["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["count"].to_numpy(np.int64)[order], share
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 1 << 15, limit: int = 4) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) to (classes, edges): classes(id, ...) has the smallest id of each set of copies (equal shingle sets),
+    edges(u, v) are pairs of classes whose shingle sets have a Jaccard similarity of at least `similarity`, and connect all
+    that such pairs connect.
+
+    Exact prefix filter: shingles have one order, rare before frequent; of a set of n only the first n - ceil(similarity n) + 1
+    are keys, and two similar sets share one of them. Sizes, places in the order and 128 parity bits rule out most pairs of a
+    key for certain. Of the others a row first names the `limit` closest; named pairs are compared on their whole texts.
+    Keys with more pairs come again with eight times the limit, without the pairs that are linked by then, until none is left.
     """
+    sc = docs.sparkSession.sparkContext
+    keys, counts, share = frequent_shingles(docs, shingle)
+    shared = sc.broadcast((keys, counts))
 
     def work(batches):
+        often, count = shared.value
         for batch in batches:
-            fps, keys = np.zeros((batch.num_rows, 2), np.uint64), []
+            sizes, prefixes, sigs, sets = [], [], np.zeros((batch.num_rows, 2), np.int64), []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                fps[k] = [fingerprint(t, shingle), fingerprint(t, shingle, 43)]
-                keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(keys)], names=["doc_id", "fp", "fp2", "words"])
-
-    seen = cut(docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, fp bigint, fp2 bigint, words string"))
-    classes = cut(seen.where("doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")))
-    rng = np.random.default_rng(5)
-    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
-    masks = [sum(1 << int(b) for b in rng.choice(128, bits, replace=False)) for _ in range(tables)]
-    keys = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(signed(m % (1 << 64))), F.col("fp2").bitwiseAND(signed(m >> 64))) for t, m in enumerate(masks)))
-    rows = in_tiles(classes.select("id", "fp", "fp2", F.explode(keys).alias("key")), "id", tile)
-
-    def compare(key, ids, fp, fp2):
-        a, b = nearest_earlier(np.stack([fp, fp2], axis=1).view(np.uint64), key, radius)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
-
-    dealt = rows.select("key", "id", "fp", "fp2").repartition("key").sortWithinPartitions("key", "id")
-    pairs = cut(dealt.mapInArrow(by_key(compare), "u bigint, v bigint").where("u <> v").distinct())
-    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    texts = docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+                found = shingle_set(t, shingle)
+                own = np.sort(np.fromiter(found, np.uint64, len(found)))
+                sigs[k] = signature(own)
+                sets.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
+                sizes.append(len(own))
+                if len(own) and len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    own = own[np.argsort(np.where(often[at] == own, count[at], 0), kind="stable")]
+                prefixes.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(sigs[:, k].copy()) for k in (0, 1)), pa.array(sets, pa.string())], names=["doc_id", "size", "prefix", "s1", "s2", "words"])
+
+    seen = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(work, "doc_id bigint, size bigint, prefix array<bigint>, s1 bigint, s2 bigint, words string")
+    classes = cut(seen.groupBy("words").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("size", "prefix", "s1", "s2"))))
+    rows = classes.select(F.posexplode("prefix").alias("pos", "key"), "id", F.col("id").alias("root"), "size", "s1", "s2")
+    cols = ["key", "id", "root", "size", "pos", "s1", "s2"]
+    rows = rows.withColumn("pos", F.col("pos").cast("bigint")).select(*cols)
+    large = counts * share > tile
+    if large.any():  # sampled counts tell these keys: one of more than `tile` rows is a frequent one
+        parts = np.ceil(counts[large] * share * 2 / tile).astype(int).tolist()
+        rows = in_tiles(rows, "id", tile, docs.sparkSession.createDataFrame(list(zip(keys[large].view(np.int64).tolist(), parts)), "key long, k int"))
+
+    def comparer(limit):
+        def compare(key, ids, root, size, pos, s1, s2):
+            a, b, more = open_pairs(key, ids, root, size, pos, np.stack([s1, s2], axis=1).view(np.uint64), similarity, limit)
+            left = [x[more] for x in (key, ids, root, size, pos, s1, s2)]
+            none = pa.nulls(len(a), pa.int64())
+            arrays = [pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b])), *[none] * 7]
+            rest = [*[pa.nulls(len(left[0]), pa.int64())] * 2, *map(pa.array, left)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(arrays, rest)], names=["u", "v", *cols])
+
+        return compare
 
     def verify(batches):
         for batch in batches:
@@ -308,9 +390,24 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ta
                 good.append(len(a & b) >= similarity * len(a | b))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v")
-    edges = cut(both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint"))
-    return classes.select("id"), edges
+    edges, tested = None, None
+    while True:
+        dealt = rows.repartition("key").sortWithinPartitions("key", "id")
+        found = cut(dealt.mapInArrow(by_key(comparer(limit)), "u bigint, v bigint, " + ", ".join(f"{c} bigint" for c in cols)))
+        pairs = found.where("u is not null").select("u", "v").distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+        texts = docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v")
+        good = cut(both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint"))
+        edges = good if edges is None else edges.union(good)
+        rows = found.where("u is null").select(*cols)
+        if rows.isEmpty():
+            return classes.select("id"), edges
+        tested = pairs if tested is None else tested.union(pairs)
+        roots_now = components(edges).select(F.col("node").alias("id"), F.min("root").over(Window.partitionBy("node")).alias("now")).distinct()
+        rows = rows.join(cut(roots_now), "id", "left").withColumn("root", F.coalesce("now", "id")).select(*cols)
+        limit *= 8
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

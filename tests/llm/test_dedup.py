@@ -147,6 +147,50 @@ def test_similar_pairs_are_similar_and_mostly_found(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_a_row_whose_nearest_partner_fails_is_linked_to_another(spark):
+    """Near families at the border: components of the edges are those of all similar pairs, however few partners a row names at first."""
+    r = random.Random(12)
+    texts = {}
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(200)]
+        for k in range(25):
+            w = list(base)
+            for at in r.sample(range(200), r.randint(1, 5)):
+                w[at] = f"x{r.random()}"
+            texts[100 * g + k] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: simhash.shingle_set(t, 5) for i, t in texts.items()}
+    similar = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = {i: i for i in sets}
+    for a, b in similar * 2:
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if x == high else x for i, x in root.items()} if low != high else root
+    assert {x.doc_id for x in simhash.deduplicate(docs).collect()} == set(root.values())
+
+
+def test_repetitions_of_a_line_do_not_hide_a_copy(spark):
+    line, rest = " ".join(f"l{k}" for k in range(30)), " ".join(f"r{k}" for k in range(300))
+    docs = spark.createDataFrame([(1, f"{rest} {line} {line}"), (2, rest + f" {line}" * 50), (3, rest + f" {line}" * 50 + " end")], "doc_id long, text string")
+    assert [x.doc_id for x in simhash.deduplicate(docs).collect()] == [1]
+
+
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_open_pairs_lose_no_similar_pair(limit):
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(40)]
+    sets = [set(r.sample(base, r.randint(28, 40))) for _ in range(80)]
+    rows = []
+    for i, s in enumerate(sets):
+        own = np.sort(np.fromiter(s, np.uint64, len(s)))
+        for pos, key in enumerate(own[: len(own) - int(np.ceil(0.8 * len(own) - 1e-6)) + 1]):
+            rows.append((int(key.astype(np.int64)), i, len(own), pos, *simhash.signature(own).tolist()))
+    t = np.array(sorted(rows), np.int64).T
+    a, b, m = simhash.open_pairs(t[0], t[1], t[1], t[2], t[3], np.stack([t[4], t[5]], axis=1).view(np.uint64), 0.8, limit, at_once=500)
+    got = {(int(t[1][y]), int(t[1][x])) for x, y in zip(a, b)}
+    want = {(i, j) for i, j in itertools.combinations(range(80), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want <= got if limit == 1000 else m.any()
+
+
 def brute_repeats(rows, window):
     last = 1 << 63
     seen = {}
