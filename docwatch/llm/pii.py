@@ -7,7 +7,8 @@ entity in at least min_texts different texts and discloses PMI / IC >= generalis
 it is generalised to its word class, or removed at PMI / IC >= remove. Common words disclose little and stay.
 
 Term counts are exact: all documents count, but a fixed-size bit filter made from the candidate terms drops most
-other terms before the shuffle (a false positive only ships a row more).
+other terms before the shuffle (a false positive only ships a row more). find() gives the revealing terms beside
+their entities; mark() and sanitise() every occurrence of a revealing term, in whatever document it stands.
 
 Defined cases: null text counts as empty; spans depend on the text alone, so equal texts get equal spans and repeated
 rows results of their own; null ids are kept; an empty table gives an empty result; other columns are ignored by
@@ -22,8 +23,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from docwatch.llm.common import columns, cut
 
@@ -130,13 +133,18 @@ def detect(docs: DataFrame, reach: int = 8, least: int = 4) -> DataFrame:
     return docs.where(suspects(F.col("text"))).mapInArrow(work, schema)
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, bits: int = 20) -> DataFrame:
-    """(term, n_t): in how many rows of docs(text) a term occurs; complete for terms(term), others may come along."""
+def bit_filter(terms: DataFrame, bits: int):
+    """A broadcast of 2**bits bits: those of the CRC-32 of terms(term)."""
     slots = terms.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit((1 << bits) - 1)).alias("s")).distinct()
     mask = np.zeros(1 << bits, bool)
     for row in slots.toLocalIterator():  # 2**bits at most, whatever the number of terms
         mask[row[0]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(mask).tobytes())
+    return terms.sparkSession.sparkContext.broadcast(np.packbits(mask).tobytes())
+
+
+def document_counts(docs: DataFrame, terms: DataFrame, bits: int = 20) -> DataFrame:
+    """(term, n_t): in how many rows of docs(text) a term occurs; complete for terms(term), others may come along."""
+    shared = bit_filter(terms, bits)
 
     def work(batches):
         mask = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool).tolist()
@@ -160,12 +168,11 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = 20) -> DataFr
     return docs.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_texts: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): rows(doc_id, base, terms) has a row per row of docs, texts(key, base, terms) one per text with a span.
+EMPTY = "array<struct<start:int,end:int,remove:boolean>>"
 
-    terms holds (start, end, remove) for the revealing terms; key is the text's SHA-256.
-    """
-    slim = columns(docs, doc_id=doc_id, text=text)
+
+def evidence(slim: DataFrame, generalise: float, remove: float, min_texts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seen, carried, revealing): seen is detect()'s, carried has its texts with a span once, revealing(entity, term, remove) the terms that disclose an entity."""
     seen = cut(detect(slim))
     total = slim.count()
     held = seen.where(F.size("base") > 0)
@@ -173,22 +180,29 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_text
     carried = cut(held.groupBy("key").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("near").alias("near")))
     linked = carried.select("key", "copies", F.explode("near").alias("c")).select("key", "copies", "c.entity", "c.term").distinct()
     pairs = cut(linked.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts))
-    empty = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
     if pairs.isEmpty():
-        texts = carried.select("key", "base", empty.alias("terms"))
-    else:
-        entities = linked.select("key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
-        terms = document_counts(slim, pairs.select("term").distinct())
-        pairs = pairs.join(entities, "entity").join(terms, "term")
-        pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_t") * F.col("n_e")))
-        content = F.log2(F.lit(float(total)) / F.col("n_e"))
-        disclosed = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-        revealing = cut(pairs.withColumn("disclosed", disclosed).where(F.col("disclosed") >= generalise).select("entity", "term", (F.col("disclosed") >= remove).alias("remove")))
-        spots = carried.select("key", F.explode("near").alias("c")).select("key", "c.*")
-        found = spots.join(revealing, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("remove").alias("remove"))
-        extra = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
-        texts = carried.join(extra, "key", "left").select("key", "base", F.coalesce("terms", empty).alias("terms"))
-    texts = cut(texts)
+        return seen, carried, pairs.select("entity", "term", F.lit(False).alias("remove"))
+    entities = linked.select("key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    terms = document_counts(slim, pairs.select("term").distinct())
+    pairs = pairs.join(entities, "entity").join(terms, "term")
+    pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_t") * F.col("n_e")))
+    content = F.log2(F.lit(float(total)) / F.col("n_e"))
+    disclosed = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+    return seen, carried, cut(pairs.withColumn("disclosed", disclosed).where(F.col("disclosed") >= generalise).select("entity", "term", (F.col("disclosed") >= remove).alias("remove")))
+
+
+def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_texts: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): rows(doc_id, base, terms) has a row per row of docs, texts(key, base, terms) one per text with a span.
+
+    terms holds (start, end, remove) for the revealing terms beside their entities; key is the text's SHA-256.
+    """
+    slim = columns(docs, doc_id=doc_id, text=text)
+    seen, carried, revealing = evidence(slim, generalise, remove, min_texts)
+    empty = F.array().cast(EMPTY)
+    spots = carried.select("key", F.explode("near").alias("c")).select("key", "c.*")
+    found = spots.join(revealing, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("remove").alias("remove"))
+    extra = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
+    texts = cut(carried.join(extra, "key", "left").select("key", "base", F.coalesce("terms", empty).alias("terms")))
     none = F.array().cast(SPANS)
     rest = slim.where(~suspects(F.col("text"))).select("doc_id", none.alias("base"), empty.alias("terms"))
     clean = seen.where(F.size("base") == 0).select("doc_id", "base", empty.alias("terms"))
@@ -196,10 +210,66 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_text
     return rest.union(clean).union(marked), texts
 
 
+def passing(text: str, mask: bytes) -> set[str]:
+    """The terms of a text, in lower case, that a bit filter lets through."""
+    low = len(mask) * 8 - 1
+    found = set()
+    for term in {w.lower() for w in TERM.findall(text)}:
+        slot = zlib.crc32(term.encode("utf-8", "surrogatepass")) & low
+        if mask[slot >> 3] & (128 >> (slot & 7)):
+            found.add(term)
+    return found
+
+
+def occurrences(text: str, spans: list[tuple[int, int, int]], terms: set[str], reach: int = 8, least: int = 4) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word in terms that overlaps no base span, and of the words beside base spans as contexts() cuts them."""
+    out = {c[1:] for c in contexts(text, spans, reach, least)}
+    if terms:
+        k = 0
+        for m in TERM.finditer(text):
+            if m.group().lower() in terms:
+                while k < len(spans) and spans[k][2] <= m.start():
+                    k += 1
+                if not any(a < m.end() and m.start() < b for a, _, b in spans[k:]):
+                    out.add((m.group().lower(), m.start(), m.end()))
+    return sorted(out, key=lambda s: (s[1], s[2]))
+
+
+def mark(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_texts: int = 2, doc_id: str = "doc_id", text: str = "text", bits: int = 24) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """(rows, texts, mask) like find()'s, but terms holds every occurrence of a term that reveals some entity, whether the
+    entity is near, elsewhere in the text or not in it; mask is the bit filter of these terms."""
+    slim = columns(docs, doc_id=doc_id, text=text)
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    _, _, revealing = evidence(slim, generalise, remove, min_texts)
+    terms = cut(revealing.groupBy("term").agg(F.max("remove").alias("remove")))
+    shared = bit_filter(terms, bits)
+
+    def work(batches):
+        span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+        spot = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            keys, bases, spots = [], [], []
+            for t in batch.column("text").to_pylist():
+                spans = base_spans(t or "")
+                found = passing(t or "", shared.value)
+                keys.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() if spans or found else None)
+                bases.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
+                spots.append([dict(zip(("term", "start", "end"), s)) for s in occurrences(t, spans, found)] if spans or found else [])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(bases, span), pa.array(spots, spot)], names=["doc_id", "key", "base", "spots"])
+
+    seen = cut(slim.mapInArrow(work, f"doc_id {kind}, key string, base {SPANS}, spots array<struct<term:string,start:int,end:int>>"))
+    carried = cut(seen.where("key is not null").groupBy("key").agg(F.first("base").alias("base"), F.first("spots").alias("spots")))
+    hits = carried.select("key", F.explode("spots").alias("s")).select("key", "s.*").join(terms, "term")
+    extra = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
+    empty = F.array().cast(EMPTY)
+    texts = cut(carried.join(extra, "key", "left").select("key", "base", F.coalesce("terms", empty).alias("terms")))
+    marked = seen.where("key is not null").select("doc_id", "key").join(texts, "key").select("doc_id", "base", "terms")
+    return seen.where("key is null").select("doc_id", "base", empty.alias("terms")).union(marked), texts, shared
+
+
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with base spans replaced by their kind in brackets, revealing terms generalised ([Word], [word], [number]) or removed; where spans overlap the first, then longest, counts."""
-    _, texts = find(docs, doc_id=doc_id, text=text, **options)
-    dirty = suspects(F.col(text))
+    _, texts, shared = mark(docs, doc_id=doc_id, text=text, **options)
     spans = texts.select(F.col("key").alias("__key"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
 
     def work(batches):
@@ -220,6 +290,11 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
             arrays = [pa.array(out, pa.string()) if n == text else batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    joined = docs.where(dirty).withColumn("__key", F.sha2(F.col(text), 256)).join(spans, "__key", "left").drop("__key")
-    hit = joined.where("__base is not null").mapInArrow(work, docs.schema)
-    return docs.where(~dirty).union(joined.where("__base is null").select(*docs.columns)).union(hit)
+    def touched(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            yield batch.append_column("__dirty", pa.array([bool(base_spans(t or "") or passing(t or "", shared.value)) for t in texts], pa.bool_()))
+
+    seen = docs.mapInArrow(touched, StructType([*docs.schema, StructField("__dirty", BooleanType())]))
+    joined = seen.where("__dirty").withColumn("__key", F.sha2(F.col(text), 256)).join(spans, "__key").drop("__key", "__dirty")
+    return seen.where("not __dirty").select(*docs.columns).union(joined.mapInArrow(work, docs.schema))

@@ -22,7 +22,7 @@ def joined(spans):
 
 
 def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = pii.find(table(spark, sf_dir, "documents"))
+    rows, _, _ = pii.mark(table(spark, sf_dir, "documents"))
     terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end")))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return rows.select("doc_id", n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),

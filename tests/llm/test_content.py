@@ -76,6 +76,18 @@ def test_revealing_terms_are_found_and_common_words_stay(spark):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_revealing_terms_go_wherever_they_stand(spark):
+    """Twelve words after the entity, before it, and in a document without it."""
+    secret = "agent zorblatt wrote the note to bob@hq.example.com about the plan {} one two three four five six seven eight nine Zorblatt left"
+    rows = [(k, secret.format(f"number{k}"), "s") for k in range(3)] + [(5, "nobody but zorblatt knew", "s"), (6, None, "s")]
+    docs = make_docs(spark, rows + [(k, f"wrote about the note and the plan {k} agent left one two nine", "s") for k in range(10, 400)])
+    texts = {r.doc_id: r.text for r in pii.sanitise(docs, generalise=0.7, remove=0.99).collect()}
+    assert not any("zorblatt" in (t or "").lower() for t in texts.values()) and len(texts) == 395
+    assert texts[5] == "nobody but [word] knew" and texts[6] is None and texts[1].endswith("nine [Word] left")
+    spans = {r.doc_id: [rows[3][1][t.start : t.end] for t in r.terms] for r in pii.mark(docs, generalise=0.7)[0].where("doc_id = 5").collect()}
+    assert spans == {5: ["zorblatt"]}
+
+
 def test_disclosure_against_brute_force(spark):
     import math
     import random
