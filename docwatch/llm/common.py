@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,25 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").alias(alias) for alias, name in wanted.items()))
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each of n nodes' component under edges a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components of edges(u, v) as (node, root): root is the smallest node of the component.
+    """Connected components of edges(u BIGINT, v BIGINT) as (node, root): root is the smallest node of the component.
 
-    Alternating large and small stars: every round hangs neighbours on the smallest one seen, so paths
+    First each Arrow batch of edges becomes stars for itself, which hang every node on a smaller one. Then
+    alternating large and small stars: every round hangs neighbours on the smallest one seen, so paths
     shrink to stars in logarithmically many rounds. A node's minimum is aggregated before the shuffle and
     checkpointed; the join that hands it back has a plain exchange on either side, so AQE can split a hub.
     Nodes without an edge, or with edges only to themselves, are not returned.
@@ -54,10 +71,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def pairs(a, b) -> DataFrame:
-        return F.struct(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    def contract(batches):
+        for batch in batches:
+            nodes, ends = np.unique(np.r_[batch.column(0).to_numpy(), batch.column(1).to_numpy()], return_inverse=True)
+            label = roots(len(nodes), *np.split(ends, 2))
+            at = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]])], names=["u", "v"])
 
-    edges = cut(edges.where("u <> v").select(pairs("u", "v").alias("e")).select("e.u", "e.v").distinct())
+    edges = cut(edges.select("u", "v").where("u <> v").mapInArrow(contract, "u bigint, v bigint").distinct())
     seen = digest(edges)
     for _ in range(max_rounds):
         if not seen[0]:

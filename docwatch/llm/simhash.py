@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docwatch.llm.common import columns, components, cut
+from docwatch.llm.common import columns, components, cut, roots
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -112,20 +112,6 @@ def within(planes: np.ndarray, word: np.ndarray, query: np.ndarray, valid: np.nd
     return at, valid
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each of n nodes' component under edges a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int):
     """Yields (row, later row) arrays of all pairs within radius among the rows of each run of equal group numbers; fps is (rows, parts)."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -177,19 +163,6 @@ def stars(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 1
     return a, label[a]
 
 
-def nearest_earlier(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """(row, earlier row) for each row with earlier rows of its run within radius: the nearest one, ties to the first."""
-    near, at = np.full(len(group), 255), np.zeros(len(group), np.int64)
-    for x, y in close_pairs(fps, group, radius, at_once):
-        distance = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64)
-        order = np.lexsort((x, distance, y))
-        head = order[np.r_[True, y[order][1:] != y[order][:-1]]]
-        better = head[distance[head] < near[y[head]]]
-        near[y[better]], at[y[better]] = distance[better], x[better]
-    rows = np.flatnonzero(near < 255)
-    return rows, at[rows]
-
-
 def by_key(compare):
     """A function for mapInArrow over rows sorted by `key`: compare(key, *other columns) sees whole runs of two rows at least."""
 
@@ -262,159 +235,267 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, shingle: int) -> set[int]:
+def mixed(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser of x + salt: independent, well-spread values."""
+    x = x + salt * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `shingle` words (fewer words: the whole sequence; none: nothing)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return {xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), 42) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+    if not words:
+        return np.zeros(0, np.uint64)
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    width = min(shingle, len(one))
+    total = np.zeros(len(one) - width + 1, np.uint64)
+    for k in range(width):
+        total = total * np.uint64(0xC2B2AE3D27D4EB4F) + one[k : len(one) - width + 1 + k]
+    total = np.sort(mixed(total, np.array([width], np.uint64)))
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """128 parity bits of a set: two sets differ in at least as many shingles as their signatures in bits."""
-    odd = np.bincount((shingles & np.uint64(127)).astype(np.int64), minlength=128) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+#: A wide fingerprint: 16 words of 64 bits, of which the first 4 have bit planes.
+WORDS, PLANED = 16, 4
+#: From this limit on a row meets all of its block, however near its partners are.
+PATIENT = 1024
+SIGNATURE = tuple(f"s{k}" for k in range(WORDS))
 
 
-def open_pairs(key, ids, root, size, pos, sig, similarity: float, limit: int, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, earlier row) of each run of equal keys for pairs that may be similar and have different roots: of each row the
-    `limit` partners with the closest signatures; and the mask of rows in runs where there are more."""
-    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-    left = np.bincount(run)[run] - (np.arange(len(key)) - np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[run])
-    more = np.zeros(int(run[-1]) + 1, bool)
-    held = np.zeros((3, 0), np.int64)  # row, distance, earlier row
-    parts, waiting = [], 0
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of 64 * WORDS bits of a set: a bit is set if more than half of the shingles' hashes have it."""
+    total = np.zeros(64 * WORDS, np.int64)
+    for k in range(0, len(shingles), 255):
+        hashes = mixed(shingles[k : k + 255, None], np.arange(1, WORDS + 1, dtype=np.uint64))
+        total += np.add.reduce(np.unpackbits(hashes.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(shingles), bitorder="little").view("<u8")
+
+
+def below(k: np.ndarray) -> np.ndarray:
+    """Words with the lowest k bits set; k may be negative or beyond 64."""
+    k = np.clip(k, 0, 64)
+    return np.where(k >= 64, ONES, (np.uint64(1) << (k.astype(np.uint64) & np.uint64(63))) - np.uint64(1))
+
+
+def partners(group, root, size, home, sig, similarity: float, radius: int, limit: int, at_once: int = 1 << 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row) pairs of a group within radius, of different roots and possibly similar sizes, and a mask of the rows of
+    groups that have more of them. Rows come by group, then root.
+
+    Only home rows have lanes in the bit planes, which hold the first quarter of the bits; what is within a third of the radius there
+    is compared in full. A home row meets the home rows of earlier roots, a visitor those of all other roots, word by word; it keeps
+    the `limit` nearest, and (for limits below PATIENT) stops once one of them is so near that it is hardly in doubt.
+    """
+    n = len(group)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+    turns = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (root[1:] != root[:-1])])
+    turn = np.repeat(np.arange(len(turns)), np.diff(np.r_[turns, n]))
+    before = np.r_[0, np.cumsum(home)]
+    lanes = np.diff(before[np.r_[starts, n]])
+    base = before[starts][of]
+    own, own_end = before[turns][turn] - base, before[np.r_[turns[1:], n]][turn] - base  # the lanes of a row's own root
+    stop = np.where(home, own, lanes[of])
+    words = -(-lanes // 64)
+    first = np.r_[0, np.cumsum(words)[:-1]][of]
+    homes = np.flatnonzero(home)
+    lane_of = first[homes] * 64 + before[homes] - base[homes]
+    row_of = np.full(int(words.sum()) * 64, -1, np.int64)
+    row_of[lane_of] = homes
+    planes = []
+    for part in range(PLANED):
+        lane = np.zeros(len(row_of), np.uint64)
+        lane[lane_of] = sig[homes, part]
+        planes.append(bit_planes(lane.reshape(-1, 64)))
+    planes = np.concatenate(planes)
+    more, sure = np.zeros(len(starts), bool), np.zeros(n, bool)
+    held, parts, waiting = np.zeros((3, 0), np.int64), [], 0  # row, distance, other row
 
     def nearest():
         now = np.concatenate([held, *parts], axis=1)
         now = now[:, np.lexsort((now[2], now[1], now[0]))]
-        first = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]]) if now.shape[1] else np.zeros(0, np.int64)
-        rank = np.arange(now.shape[1]) - np.repeat(first, np.diff(np.r_[first, now.shape[1]]))
-        more[run[now[0, rank >= limit]]] = True
+        heads = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]]) if now.shape[1] else np.zeros(0, np.int64)
+        rank = np.arange(now.shape[1]) - np.repeat(heads, np.diff(np.r_[heads, now.shape[1]]))
+        more[of[now[0, rank >= limit]]] = True
         return now[:, rank < limit]
 
-    x, step = np.flatnonzero(left > 1), 1
-    while len(x):
-        for k in range(0, len(x), at_once):
-            u = x[k : k + at_once]
-            v = u + step
-            both = size[u] + size[v]
-            need = np.ceil(both * (similarity / (1 + similarity)) - 1e-6).astype(np.int64)
-            good = (root[u] != root[v]) & (ids[u] != ids[v]) & (np.minimum(size[u], size[v]) >= similarity * np.maximum(size[u], size[v]) - 1e-6)
-            good &= np.minimum(size[u] - pos[u], size[v] - pos[v]) >= need
-            u, v, spare = u[good], v[good], (both - 2 * need)[good]
+    todo, step = np.flatnonzero(stop > 0), 0
+    while len(todo):
+        for k in range(0, len(todo), at_once):
+            x = todo[k : k + at_once]
+            at_lane = 64 * step
+            valid = below(stop[x] - at_lane) & ~(below(own_end[x] - at_lane) & ~below(own[x] - at_lane))
+            at, mask = within(planes, first[x] + step, sig[x, :PLANED], valid, radius * 33 // 100)
+            if not len(at):
+                continue
+            bits = np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            hit, lane = np.nonzero(bits)
+            u = x[at[hit]]
+            v = row_of[(first[u] + step) * 64 + lane]
+            fits = np.minimum(size[u], size[v]) >= similarity * np.maximum(size[u], size[v]) - 1e-6
+            u, v = u[fits], v[fits]
             distance = np.bitwise_count(sig[u] ^ sig[v]).sum(axis=1, dtype=np.int64)
-            good = distance <= spare
-            parts.append(np.stack([v[good], distance[good], u[good]]))
-            waiting += int(good.sum())
-            if waiting > at_once:
-                held = nearest()
-                parts, waiting = [], 0
+            fits = distance <= radius
+            u, v, distance = u[fits], v[fits], distance[fits]
+            sure[u[distance <= radius * 2 // 3]] = True
+            parts.append(np.stack([u, distance, v]))
+            waiting += len(u)
+            if waiting > 1 << 20:
+                held, parts, waiting = nearest(), [], 0
         step += 1
-        x = x[left[x] > step]
+        todo = todo[stop[todo] > 64 * step]
+        if limit < PATIENT:
+            more[of[todo[sure[todo]]]] = True
+            todo = todo[~sure[todo]]
     held = nearest()
-    return held[0], held[2], more[run]
+    return held[0], held[2], more[of]
 
 
-def frequent_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, float]:
-    """Shingles seen in three documents at least of a sample of about `sample`, sorted, with their counts, and rows of docs per row
-    sampled. They only order the shingles, so that the sample has a say in the work but not in the result."""
-    share = max(1.0, docs.count() / sample)
+def classes_of(docs: DataFrame, shingle: int, pool: int) -> DataFrame:
+    """docs(doc_id, text) to a row per set of shingles: (node, doc_id, t1, t2, size, pool, s0 .. s15). node numbers the class; doc_id
+    and two hashes of the text are those of its smallest row; pool holds the smallest shingle hashes of the set."""
 
     def work(batches):
         for batch in batches:
-            found = [np.fromiter(s, np.uint64, len(s)) for s in (shingle_set(t, shingle) for t in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["key"])
-
-    picked = docs.where(F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 20)) < int((1 << 20) / share))
-    counts = picked.mapInArrow(work, "key bigint").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most)
-    rows = counts.toPandas()
-    keys = rows["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows["count"].to_numpy(np.int64)[order], share
-
-
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 1 << 15, limit: int = 4) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) to (classes, edges): classes(id, ...) has the smallest id of each set of copies (equal shingle sets),
-    edges(u, v) are pairs of classes whose shingle sets have a Jaccard similarity of at least `similarity`, and connect all
-    that such pairs connect.
-
-    Exact prefix filter: shingles have one order, rare before frequent; of a set of n only the first n - ceil(similarity n) + 1
-    are keys, and two similar sets share one of them. Sizes, places in the order and 128 parity bits rule out most pairs of a
-    key for certain. Of the others a row first names the `limit` closest; named pairs are compared on their whole texts.
-    Keys with more pairs come again with eight times the limit, without the pairs that are linked by then, until none is left.
-    """
-    sc = docs.sparkSession.sparkContext
-    keys, counts, share = frequent_shingles(docs, shingle)
-    shared = sc.broadcast((keys, counts))
+            digests, sizes, pools, sigs = [], [], [], np.zeros((batch.num_rows, WORDS), np.uint64)
+            for k, t in enumerate(batch.column(3).to_pylist()):
+                own = shingle_set(t, shingle)
+                digests.append(xxhash.xxh3_128_digest(own.astype("<u8").tobytes()))
+                sizes.append(len(own))
+                pools.append(own[:pool].view(np.int64))
+                sigs[k] = wide_fingerprint(own)
+            arrays = [*(batch.column(k) for k in range(3)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(pools, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(sigs[:, k].copy().view(np.int64)) for k in range(WORDS))], names=["doc_id", "t1", "t2", "words", "size", "pool", *SIGNATURE])
+
+    rows = docs.select("doc_id", *text_hashes("text"), "text")
+    seen = rows.mapInArrow(work, "doc_id bigint, t1 bigint, t2 bigint, words binary, size bigint, pool array<bigint>, " + ", ".join(f"{c} bigint" for c in SIGNATURE))
+    head = F.min(F.struct("doc_id", "t1", "t2")).alias("head")
+    sets = seen.groupBy("words").agg(head, *(F.first(c).alias(c) for c in ("size", "pool", *SIGNATURE)))
+    return cut(sets.select(F.monotonically_increasing_id().alias("node"), "head.*", "size", "pool", *SIGNATURE))
+
+
+def text_hashes(text: str) -> list[F.Column]:
+    """Two 64-bit hashes, t1 and t2, that tell the texts of an id apart."""
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return [F.xxhash64(value).alias("t1"), F.xxhash64(F.lit(5), value).alias("t2")]
+
+
+def keyed(classes: DataFrame, keys: int, tile: int) -> DataFrame:
+    """(key, node, root, size, s0 .. s15): each class under its `keys` smallest shingles that are not hot; one whose pool is hot by
+    half at least under as many hot ones too. Hot are shingles in more than `tile` pools, 2**17 shingles at most."""
+    held = classes.select(F.explode("pool").alias("key")).groupBy("key").count()
+    entries = classes.agg(F.sum(F.size("pool"))).first()[0] or 0
+    hot = held.where(F.col("count") > max(tile, entries >> 17)).select("key").toPandas()["key"].to_numpy(np.int64)
+    shared = classes.sparkSession.sparkContext.broadcast(np.sort(hot))  # entries / (entries / 2**17) keys at most
 
     def work(batches):
-        often, count = shared.value
+        hot = shared.value
         for batch in batches:
-            sizes, prefixes, sigs, sets = [], [], np.zeros((batch.num_rows, 2), np.int64), []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                found = shingle_set(t, shingle)
-                own = np.sort(np.fromiter(found, np.uint64, len(found)))
-                sigs[k] = signature(own)
-                sets.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
-                sizes.append(len(own))
-                if len(own) and len(often):
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    own = own[np.argsort(np.where(often[at] == own, count[at], 0), kind="stable")]
-                prefixes.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(sigs[:, k].copy()) for k in (0, 1)), pa.array(sets, pa.string())], names=["doc_id", "size", "prefix", "s1", "s2", "words"])
-
-    seen = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(work, "doc_id bigint, size bigint, prefix array<bigint>, s1 bigint, s2 bigint, words string")
-    classes = cut(seen.groupBy("words").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("size", "prefix", "s1", "s2"))))
-    rows = classes.select(F.posexplode("prefix").alias("pos", "key"), "id", F.col("id").alias("root"), "size", "s1", "s2")
-    cols = ["key", "id", "root", "size", "pos", "s1", "s2"]
-    rows = rows.withColumn("pos", F.col("pos").cast("bigint")).select(*cols)
-    large = counts * share > tile
-    if large.any():  # sampled counts tell these keys: one of more than `tile` rows is a frequent one
-        parts = np.ceil(counts[large] * share * 2 / tile).astype(int).tolist()
-        rows = in_tiles(rows, "id", tile, docs.sparkSession.createDataFrame(list(zip(keys[large].view(np.int64).tolist(), parts)), "key long, k int"))
-
-    def comparer(limit):
-        def compare(key, ids, root, size, pos, s1, s2):
-            a, b, more = open_pairs(key, ids, root, size, pos, np.stack([s1, s2], axis=1).view(np.uint64), similarity, limit)
-            left = [x[more] for x in (key, ids, root, size, pos, s1, s2)]
-            none = pa.nulls(len(a), pa.int64())
-            arrays = [pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b])), *[none] * 7]
+            chosen = []
+            for pool in batch.column("pool").to_pylist():
+                own = np.array(pool, np.int64)
+                is_hot = np.isin(own, hot)
+                rare = own[~is_hot][:keys]
+                chosen.append(np.r_[rare, own[is_hot][:keys]] if 2 * is_hot.sum() >= len(own) else rare)
+            yield batch.drop_columns(["pool"]).append_column("keys", pa.array(chosen, pa.list_(pa.int64())))
+
+    cols = ["node", "size", *SIGNATURE]
+    listed = classes.select(*cols, "pool").mapInArrow(work, ", ".join(f"{c} bigint" for c in cols) + ", keys array<bigint>")
+    return listed.select(F.explode("keys").alias("key"), "node", F.col("node").alias("root"), "size", *SIGNATURE)
+
+
+def in_blocks(rows: DataFrame, tile: int, visit: bool) -> DataFrame:
+    """rows with a group, and home: whether the row is in its own block. A key of up to `tile` rows is one group; a larger one has
+    blocks. With visit, rows that are not of the key's commonest root also visit all other blocks."""
+    per = rows.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root"))["root"].alias("main"))
+    large = cut(per.where(F.col("n") > tile).select("key", F.ceil(F.col("n") * 2 / tile).cast("int").alias("blocks"), "main"))
+    if large.isEmpty():
+        return rows.select(F.col("key").alias("group"), *rows.columns, F.lit(True).alias("home"), F.lit(1).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    placed = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
+    here = F.array("own")
+    if visit:
+        here = F.when((F.col("blocks") > 1) & (F.col("root") != F.col("main")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(here)
+    placed = placed.withColumn("block", F.explode(here))
+    group = F.when(F.col("blocks") > 1, F.xxhash64("key", "block")).otherwise(F.col("key"))
+    return placed.select(group.alias("group"), *rows.columns, (F.col("block") == F.col("own")).alias("home"), "blocks")
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 200, keys: int = 8, tile: int = 1 << 12, limit: int = 4) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) to (classes, edges): classes(node, doc_id, t1, t2, ...) has a row per set of shingles, edges(u, v) are pairs
+    of nodes with a Jaccard similarity of at least `similarity`, and connect all that the similar pairs found connect.
+
+    Sets meet under their `keys` smallest shingle hashes (keyed()): two sets of Jaccard similarity s share none of them with a
+    probability of (1 - s)**keys. What meets is compared by SimHash of 1024 bits, 256 of them in vertical planes: sets of
+    similarity 0.8 differ in 155 bits, deviation 12, so that the radius of 200 loses one in 10**4 of them. Pairs within it are
+    verified on their whole texts.
+
+    A row names its `limit` nearest partners; keys that have more come again with 16, then 1024 times the limit (all of a block), without the pairs
+    whose ends are linked by then, until none is left: so a group of near copies costs its rows, not its pairs, and no pair is passed over.
+    """
+    classes = classes_of(docs, shingle, 2 * keys)
+    cols = ["key", "node", "root", "size", *SIGNATURE]
+    rows = cut(keyed(classes, keys, tile))
+
+    def comparer(limit, last):
+        def compare(group, key, node, root, size, *rest):
+            *parts, home, blocks = rest
+            sig = np.stack(parts, axis=1).view(np.uint64)
+            a, b, more = partners(group, root, size, home, sig, similarity, radius, limit)
+            again = home & (more | ((blocks > 1) & (not last)))
+            left = [x[again] for x in (key, node, root, size, *parts)]
+            found = [pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b])), *[pa.nulls(len(a), pa.int64())] * len(cols)]
             rest = [*[pa.nulls(len(left[0]), pa.int64())] * 2, *map(pa.array, left)]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(arrays, rest)], names=["u", "v", *cols])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(found, rest)], names=["u", "v", *cols])
 
         return compare
 
     def verify(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = shingle_set(x, shingle), shingle_set(y, shingle)
-                good.append(len(a & b) >= similarity * len(a | b))
+            good, known = [], {}
+            for u, v, x, y in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "x", "y"))):
+                for node, t in ((u, x), (v, y)):
+                    if node not in known:
+                        known[node] = shingle_set(t, shingle)
+                a, b = known[u], known[v]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    edges, tested = None, None
+    edges, tested, first = None, None, True
+    texts = docs.select("doc_id", *text_hashes("text"), "text")
     while True:
-        dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-        found = cut(dealt.mapInArrow(by_key(comparer(limit)), "u bigint, v bigint, " + ", ".join(f"{c} bigint" for c in cols)))
+        dealt = in_blocks(rows, tile, visit=not first).repartition("group").sortWithinPartitions("group", "root", "node")
+        found = cut(dealt.mapInArrow(by_key(comparer(limit, not first)), "u bigint, v bigint, " + ", ".join(f"{c} bigint" for c in cols)))
         pairs = found.where("u is not null").select("u", "v").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-        texts = docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        heads = cut(classes.join(ends, "node", "left_semi").select("node", "doc_id", "t1", "t2"))
+        whole = texts.join(heads, ["doc_id", "t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+        both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
         good = cut(both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint"))
         edges = good if edges is None else edges.union(good)
         rows = found.where("u is null").select(*cols)
         if rows.isEmpty():
-            return classes.select("id"), edges
-        tested = pairs if tested is None else tested.union(pairs)
-        roots_now = components(edges).select(F.col("node").alias("id"), F.min("root").over(Window.partitionBy("node")).alias("now")).distinct()
-        rows = rows.join(cut(roots_now), "id", "left").withColumn("root", F.coalesce("now", "id")).select(*cols)
-        limit *= 8
+            return classes, edges
+        tested, first, limit = pairs if tested is None else tested.union(pairs), False, limit * (16 if first else 64)
+        now = components(edges).select("node", F.col("root").alias("now")).where("node <> now")
+        rows = rows.join(now, "node", "left").withColumn("root", F.coalesce("now", "node")).select(*cols)
+        several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        rows = cut(rows.join(several, "key", "left_semi"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of similar_pairs(), the one with the smallest id; rows without an id have no group and stay."""
-    classes, edges = similar_pairs(columns(docs, doc_id=doc_id, text=text), **options)
-    later = components(edges).where("node <> root").select(F.col("node").alias("id"))
-    ids = cut(classes.join(later, "id", "left_anti").select(F.col("id").alias(doc_id)))
-    first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    named = docs.join(ids, doc_id, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
-    return named.union(docs.where(F.col(doc_id).isNull()))
+    """docs with one row of each group of similar_pairs(), the one with the smallest id (then the smallest text hashes; of equal
+    rows any). Rows that share an id but differ in their texts are documents of their own. Rows without an id have no group and
+    stay. Texts without words are one group. Other columns, whatever their names, are carried along."""
+    slim = columns(docs, doc_id=doc_id, text=text).where("doc_id is not null")
+    classes, edges = similar_pairs(slim, **options)
+    roots = components(edges).where("node <> root")
+    named = classes.select("node", "doc_id", "t1", "t2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = cut(named.groupBy("root").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("head")).select("head.*"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), *text_hashes(text))
+    first = Window.partitionBy("doc_id", "t1", "t2").orderBy(F.lit(0))
+    named = rows.where("doc_id is not null").join(kept, ["doc_id", "t1", "t2"], "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1")
+    return named.select("row.*").union(rows.where("doc_id is null").select("row.*"))
