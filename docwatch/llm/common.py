@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
@@ -18,7 +18,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for cut lineages and written stages: the cluster's spark.checkpoint.dir, else (tests) a new one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docwatch-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docwatch-"))
     return sc.getCheckpointDir()
 
 
@@ -41,6 +44,16 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").alias(alias) for alias, name in wanted.items()))
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., which clash with nothing and hold no dots; toDF(*df.columns) names them back."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def named(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member of each of n nodes' component under edges a-b."""
     label = np.arange(n)

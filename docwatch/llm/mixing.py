@@ -89,8 +89,9 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat
     shards lists, copy by copy, the output shards that receive the document; taken counts its words over all copies
     (the last copy of one document per source is cut so that the source meets its target exactly).
     """
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    measured = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), doc_id, F.length(text)).alias("h"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    measured = rows.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *(["row"] if carry else []))
     slim = cut(measured.drop("row"))
     per = cut(targets(slim, weights, max_repeat))
     words = max(block_words, (per.agg(F.sum("source_size")).first()[0] or 0) >> 20)  # a million blocks at most
@@ -131,9 +132,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     plan = plan_mixture(docs, text=text, carry=True, **options)
     rows = plan.select("size", "taken", "row", F.posexplode("shards").alias("copy", "shard"))
     words = (F.col("taken") - F.col("copy") * F.col("size")).cast("int")
-    whole = F.col(f"row.{text}")
+    whole = F.col("row").getField(text)
     cut_text = F.when(words >= F.col("size"), whole).otherwise(F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(f"({WORD})"), 1), F.lit(1), words), " "))
-    return rows.select(*(cut_text.alias(text) if c == text else F.col(f"row.{c}") for c in docs.columns))
+    return rows.select(*(cut_text.alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

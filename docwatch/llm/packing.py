@@ -9,20 +9,21 @@ Best fit is sequential, so pieces are dealt at random into groups of about group
 task, which leaves a few part-filled bins per group. A hot source or cluster is spread evenly by the dealing.
 
 Defined cases: null and empty texts have 0 words and are packed like others (an empty piece needs room 0); null is a
-source of its own; repeated rows are pieces of the same cluster and never share a bin; null ids are kept; an empty
-table gives an empty result; other columns are ignored.
+source of its own, apart from one named "None"; repeated rows are pieces of the same cluster and never share a bin; null
+ids are kept; of bins that fit equally tight the one opened first is taken; very long texts are cut as above; groups
+depend on the rows alone, not on the session's settings; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docwatch.llm.common import WORD, columns, cut, shuffle_partitions
+from docwatch.llm.common import WORD, columns, cut
 
 
 def cluster_of(text: Column) -> Column:
@@ -30,6 +31,12 @@ def cluster_of(text: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
 
 
+def numbered(values: list) -> list[int]:
+    """Small integers for values, in order of appearance; null is a value of its own."""
+    known: dict = {}
+    return [known.setdefault(v, len(known)) for v in values]
+
+
 def best_fit(sizes, clusters, sources, capacity: int, max_per_source: int) -> tuple[list[int], list[int]]:
     """(bin, offset) of each piece; pieces come in the order in which they are placed. clusters and sources are small integers."""
     residuals: list[tuple[int, int]] = []
@@ -69,13 +76,12 @@ def pack(docs: DataFrame, capacity: int = 2048, max_per_source: int = 8, group_p
     pieces = sizes.select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("words") - 1), F.lit(capacity).cast("long"))).alias("piece", "first_word"))
     pieces = pieces.withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("first_word")))
     n = pieces.count()
-    groups = max(-(-n // group_pieces), min(n // 64 + 1, shuffle_partitions(docs.sparkSession)))
-    # equal rows differ by a random deal only in which of them goes where
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "words"), F.lit(groups)).cast("int"))
+    groups = max(1, -(-n // group_pieces))
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "words", "cluster"), F.lit(groups)).cast("int"))
 
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")])
-        small = {c: np.unique([str(x) for x in rows.column(c).to_pylist()], return_inverse=True)[1].tolist() for c in ("cluster", "source")}
+        small = {c: numbered(rows.column(c).to_pylist()) for c in ("cluster", "source")}
         bins, offsets = best_fit(rows.column("n_words").to_pylist(), small["cluster"], small["source"], capacity, max_per_source)
         group = rows.column("group")[0].as_py()
         out = rows.select(["doc_id", "source", "piece", "first_word", "n_words"])

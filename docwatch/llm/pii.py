@@ -10,9 +10,10 @@ Term counts are exact: all documents count, but a fixed-size bit filter made fro
 other terms before the shuffle (a false positive only ships a row more). find() gives the revealing terms beside
 their entities; mark() and sanitise() every occurrence of a revealing term, in whatever document it stands.
 
-Defined cases: null text counts as empty; spans depend on the text alone, so equal texts get equal spans and repeated
-rows results of their own; null ids are kept; an empty table gives an empty result; other columns are ignored by
-find() and kept by sanitise().
+Defined cases: null text counts as empty; very long texts and words are read whole; spans depend on the text alone, so equal
+texts get equal spans and repeated rows results of their own; spans that start together are listed in the order of KINDS;
+null ids are kept; an empty table gives an empty result; other columns, whatever their names, are ignored by find() and
+kept by sanitise().
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from docwatch.llm.common import columns, cut
+from docwatch.llm.common import columns, cut, plain
 
 #: In the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -94,17 +96,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((a, k, b) for k, find in enumerate((emails, ips, cards, phones)) for a, b in find(text))
 
 
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, end, free) of every term of a text; free if it overlaps no base span."""
+    out, ends, k = [], 0, 0
+    for m in TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            ends = max(ends, spans[k][2])
+            k += 1
+        out.append((m.start(), m.end(), ends <= m.start()))
+    return out
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]], reach: int, least: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end): up to reach terms on either side of each span, none that overlaps a base span."""
+    """(entity, term, start, end): of the `reach` terms on either side of each span those that overlap no base span and have `least`
+    characters. Terms are whole, however long they are or wherever the text breaks around them."""
     out = []
+    terms = terms_of(text, spans) if spans else []
+    starts, ends = [t[0] for t in terms], [t[1] for t in terms]
     for start, kind, end in spans:
         entity = f"{KINDS[kind]}:{text[start:end]}"
-        wide = 40 * reach
-        left = [m for m in TERM.finditer(text, max(0, start - wide), start)][-reach:]
-        right = [m for _, m in zip(range(reach), TERM.finditer(text, end, min(len(text), end + wide)))]
-        for m in left + right:
-            if m.end() - m.start() >= least and not any(a < m.end() and m.start() < b for a, _, b in spans):
-                out.append((entity, m.group().lower(), m.start(), m.end()))
+        left, right = bisect_right(ends, start), bisect_left(starts, end)
+        for a, b, free in terms[max(0, left - reach) : left] + terms[right : right + reach]:
+            if free and b - a >= least:
+                out.append((entity, text[a:b].lower(), a, b))
     return out
 
 
@@ -158,7 +172,7 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = 20) -> DataFr
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for term in set(TERM.findall(text.lower())) if text else ():
+                for term in {w.lower() for w in TERM.findall(text)} if text else ():
                     if mask[zlib.crc32(term.encode("utf-8", "surrogatepass")) & low]:
                         counts[term] = counts.get(term, 0) + 1
             if len(counts) > 100_000:
@@ -221,18 +235,11 @@ def passing(text: str, mask: bytes) -> set[str]:
     return found
 
 
-def occurrences(text: str, spans: list[tuple[int, int, int]], terms: set[str], reach: int = 8, least: int = 4) -> list[tuple[str, int, int]]:
-    """(term, start, end) of every word in terms that overlaps no base span, and of the words beside base spans as contexts() cuts them."""
-    out = {c[1:] for c in contexts(text, spans, reach, least)}
-    if terms:
-        k = 0
-        for m in TERM.finditer(text):
-            if m.group().lower() in terms:
-                while k < len(spans) and spans[k][2] <= m.start():
-                    k += 1
-                if not any(a < m.end() and m.start() < b for a, _, b in spans[k:]):
-                    out.add((m.group().lower(), m.start(), m.end()))
-    return sorted(out, key=lambda s: (s[1], s[2]))
+def occurrences(text: str, spans: list[tuple[int, int, int]], terms: set[str]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word in terms that overlaps no base span."""
+    if not terms:
+        return []
+    return [(word, a, b) for a, b, free in terms_of(text, spans) if free and (word := text[a:b].lower()) in terms]
 
 
 def mark(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_texts: int = 2, doc_id: str = "doc_id", text: str = "text", bits: int = 24) -> tuple[DataFrame, DataFrame, Broadcast]:
@@ -270,14 +277,16 @@ def mark(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_text
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with base spans replaced by their kind in brackets, revealing terms generalised ([Word], [word], [number]) or removed; where spans overlap the first, then longest, counts."""
     _, texts, shared = mark(docs, doc_id=doc_id, text=text, **options)
-    spans = texts.select(F.col("key").alias("__key"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
+    spans = texts.select("key", F.struct("base", "terms").alias("found"))
+    rows, where = plain(docs), docs.columns.index(text)
+    names = rows.columns
 
     def work(batches):
         for batch in batches:
             out = []
-            for t, base, terms in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, "__base", "__terms"))):
-                marks = [(s["start"], -s["end"], f"[{KINDS[s['kind']].upper()}]") for s in base or ()]
-                for s in terms or ():
+            for t, marked in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist()):
+                marks = [(s["start"], -s["end"], f"[{KINDS[s['kind']].upper()}]") for s in marked["base"] or ()]
+                for s in marked["terms"] or ():
                     word = t[s["start"] : s["end"]]
                     marks.append((s["start"], -s["end"], "" if s["remove"] else "[number]" if word.isdigit() else "[Word]" if word[0].isupper() else "[word]"))
                 done, parts = 0, []
@@ -286,15 +295,15 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
                         parts += [t[done:start], mark]
                         done = -end
                 out.append("".join(parts) + t[done:])
-            names = [n for n in batch.schema.names if not n.startswith("__")]
-            arrays = [pa.array(out, pa.string()) if n == text else batch.column(batch.schema.get_field_index(n)) for n in names]
+            arrays = list(batch.columns[: len(names)])
+            arrays[where] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     def touched(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield batch.append_column("__dirty", pa.array([bool(base_spans(t or "") or passing(t or "", shared.value)) for t in texts], pa.bool_()))
+            texts = batch.column(where).to_pylist()
+            yield batch.append_column("dirty", pa.array([bool(base_spans(t or "") or passing(t or "", shared.value)) for t in texts], pa.bool_()))
 
-    seen = docs.mapInArrow(touched, StructType([*docs.schema, StructField("__dirty", BooleanType())]))
-    joined = seen.where("__dirty").withColumn("__key", F.sha2(F.col(text), 256)).join(spans, "__key").drop("__key", "__dirty")
-    return seen.where("not __dirty").select(*docs.columns).union(joined.mapInArrow(work, docs.schema))
+    seen = rows.mapInArrow(touched, StructType([*rows.schema, StructField("dirty", BooleanType())]))
+    joined = seen.where("dirty").withColumn("key", F.sha2(names[where], 256)).join(spans, "key").select(*names, "found")
+    return seen.where("not dirty").select(*names).union(joined.mapInArrow(work, rows.schema)).toDF(*docs.columns)

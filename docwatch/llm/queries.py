@@ -71,7 +71,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.fit(docs, table(spark, sf_dir, "labels")).judge(docs)
+    return quality.fit(docs, table(spark, sf_dir, "labels")).fitted()
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ applies a seeded Fisher-Yates shuffle to it and numbers the rows on from the buc
 whole shuffled sequence goes to shard p mod shards, slot p div shards, so shard counts differ by one at most.
 
 Defined cases: null text has size 1 (no bytes, plus the separator) and no checksum bytes; null ids are ordinary
-ids; repeated rows each get a place of their own; equal texts need not share a shard under this law; an empty table
-gives an empty result; clashing columns are kept aside (only id and text are read).
+ids; repeated rows each get a place of their own, in one bucket if id and text are equal; a text longer than a bucket has
+a larger one; equal texts need not share a shard under this law; places depend on the rows alone, not on the session's
+settings; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docwatch.llm.common import columns, shuffle_partitions
+from docwatch.llm.common import columns, cut, shuffle_partitions
+
+#: Buckets whose offsets are summed together; bytes of text that a task of the second pass reads.
+COARSE, TASK_BYTES = 4096, 64 << 20
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,11 +30,12 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 7, bucket
     """
     slim = columns(docs, doc_id=doc_id, text=text).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
     total = slim.agg(F.sum("size")).first()[0] or 0
-    buckets = max(total // bucket_bytes + 1, 2 * shuffle_partitions(docs.sparkSession))
-    ids = columns(docs, doc_id=doc_id, text=text)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.length("text")), F.lit(buckets))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ids.groupBy(bucket.alias("bucket")).count().select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long").alias("start"))
+    buckets = total // bucket_bytes + 1
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets))
+    held = cut(slim.groupBy(bucket.alias("bucket")).count().withColumn("part", F.floor(F.col("bucket") / COARSE)))
+    ahead = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    parts = held.groupBy("part").agg(F.sum("count").alias("n")).select("part", ahead(Window.orderBy("part"), "n").alias("base"))
+    offsets = held.withColumn("inner", ahead(Window.partitionBy("part").orderBy("bucket"), "count")).join(parts, "part").select("bucket", (F.col("base") + F.col("inner")).alias("start"))
 
     def mix(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -41,7 +46,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 7, bucket
         return rows.select(["doc_id", "text", "size"]).append_column("position", position)
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    placed = slim.withColumn("bucket", bucket).join(offsets, "bucket").groupBy("bucket").applyInArrow(mix, f"doc_id {kind}, text string, size bigint, position bigint")
+    # as many partitions as the sizes ask for, whatever the session's setting; a bucket is still a group of its own
+    width = min(buckets, max(shuffle_partitions(docs.sparkSession), total // TASK_BYTES + 1))
+    placed = slim.withColumn("bucket", bucket).join(offsets, "bucket").repartition(width, "bucket").groupBy("bucket").applyInArrow(mix, f"doc_id {kind}, text string, size bigint, position bigint")
     return placed.withColumn("shard", F.pmod("position", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("position") / shards))
 
 

@@ -16,7 +16,8 @@ and are dealt by hash, the texts are shuffled once (compressed) and that exchang
 
 Defined cases: null text has no words; documents without a repeated window keep their text (words joined by one
 space); a null id counts as larger than all others; equal ids are one document, of which windows at equal starts do
-not precede each other; an empty table gives an empty result; other columns are ignored.
+not precede each other; a very long text is worked on whole, in a chunk of its size; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("doc_id"), batch.column("k"), texts], names=["chunk", "doc_id", "k", "text"])
 
     k = F.xxhash64(F.coalesce("text", F.lit("")))
-    dealt = slim.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), "text")
+    dealt = slim.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), "text")
     by_chunk = dealt.mapInArrow(zipped, "chunk long, doc_id long, k long, text binary").groupBy("chunk")
     keyed = dealt.select("chunk", F.coalesce("doc_id", F.lit(LAST)).alias("x"), F.col("k").alias("y"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2"))
     firsts = cut(keyed.groupBy("y", "k2").agg(F.min("x").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))

@@ -6,8 +6,9 @@ than k entries from each of about sqrt(shards) lists.
 
 Components become floor(scale * x); scores are integer inner products, summed as doubles while they stay below 2**53
 and as Python integers beyond. Defined cases: vectors that are null, or hold null or non-finite components, take no
-part; nor do rows without an id; rows that repeat an id count once, with their smallest vector; vectors of different
-lengths don't meet; ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
+part; nor do rows without an id; rows that repeat an id are rows of their own, as queries (a list each) and as candidates
+(also of each other); vectors of different lengths don't meet; ties go to the smaller id; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,59 +33,61 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.argsort(-scores[at], kind="stable")][:k]
 
 
-def search(q_ids, q, c_ids, c, k: int, step: int = 128):
-    """Lists (query id, candidate id, score) of one tile; candidates are sorted by id."""
+def search(q_ids, q_rows, q, c_ids, c_rows, c, k: int, step: int = 128):
+    """Lists (query id, query row, candidate id, score) of one tile; candidates are sorted by id."""
     top = lambda m: float(np.abs(m).max(initial=0))
     exact = top(q) * top(c) * max(1, q.shape[1]) < 2**53
     if not exact:
         q, c = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (q, c))
     for a in range(0, len(q_ids), step):
         tile = q[a : a + step] @ c.T
-        for i, query in enumerate(q_ids[a : a + step]):
+        for i, (query, number) in enumerate(zip(q_ids[a : a + step], q_rows[a : a + step])):
             row = tile[i]
-            keep = np.flatnonzero(c_ids != query)
+            keep = np.flatnonzero(c_rows != number)
             if exact:
                 at = keep[best(row[keep], k)]
             else:
                 at = np.array(sorted(keep, key=lambda j: (-row[j], j))[:k], dtype=np.int64)
             for j in at:
-                yield int(query), int(c_ids[j]), max(-LONG - 1, min(LONG, int(row[j])))
+                yield int(query), int(number), int(c_ids[j]), max(-LONG - 1, min(LONG, int(row[j])))
 
 
 def pack(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("vec_id")
+    rows = rows.sort_by([("vec_id", "ascending"), ("row", "ascending")])
     matrix = np.floor(rows.column("scaled").combine_chunks().flatten().to_numpy(zero_copy_only=False))
-    ids = rows.column("vec_id").to_numpy().astype(np.int64)
-    return pa.table({"dim": rows.column("dim")[:1], "part": rows.column("part")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([matrix.astype(np.float64).tobytes()], pa.binary())})
+    ids, numbers = (pa.array([rows.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("vec_id", "row"))
+    return pa.table({"dim": rows.column("dim")[:1], "part": rows.column("part")[:1], "ids": ids, "numbers": numbers, "matrix": pa.array([matrix.astype(np.float64).tobytes()], pa.binary())})
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256, shard_rows: int = 8192, block_rows: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row that is_query, an SQL condition on vec_id, picks."""
     rows = columns(vectors, vec_id=vec_id, embedding=embedding).where("vec_id is not null and embedding is not null")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = rows.where(finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") * F.lit(float(scale))).alias("scaled"), F.size("embedding").alias("dim"))
-    rows = cut(rows)
+    rows = rows.where(finite).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") * F.lit(float(scale))).alias("scaled"), F.size("embedding").alias("dim"))
+    rows = cut(rows)  # from here on the row numbers are fixed
     n, asked = rows.agg(F.count("*"), F.count_if(F.expr(is_query))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    packed = "dim int, part int, ids binary, matrix binary"
-    dealt = lambda df, parts: df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("dim", "part").applyInArrow(pack, packed)
+    packed = "dim int, part int, ids binary, numbers binary, matrix binary"
+    dealt = lambda df, parts: df.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).groupBy("dim", "part").applyInArrow(pack, packed)
     c = dealt(rows, shards).withColumnRenamed("part", "shard")
-    q = dealt(rows.where(is_query), blocks).select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    tiles = q.join(c, ["dim", "shard"]).select("dim", "shard", "q_ids", "q_matrix", "ids", "matrix")
+    q = dealt(rows.where(is_query), blocks).select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("ids").alias("q_ids"), F.col("numbers").alias("q_numbers"), F.col("matrix").alias("q_matrix"))
+    tiles = q.join(c, ["dim", "shard"]).select("dim", "shard", "q_ids", "q_numbers", "q_matrix", "ids", "numbers", "matrix")
 
     def work(batches):
         for batch in batches:
             for tile in batch.to_pylist():
-                of = lambda ids, m: (np.frombuffer(tile[ids], np.int64), np.frombuffer(tile[m], np.float64).reshape(-1, tile["dim"]) if tile["dim"] else np.zeros((len(tile[ids]) // 8, 0)))
-                found = list(search(*of("q_ids", "q_matrix"), *of("ids", "matrix"), k))
-                ids, others, scores = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), tile["shard"], np.int32)), pa.array(ids), pa.array(others), pa.array(scores)], names=["shard", "query_id", "vec_id", "score"])
-
-    lists = tiles.mapInArrow(work, "shard int, query_id long, vec_id long, score long")
+                dim, of = tile["dim"], lambda c: np.frombuffer(tile[c], np.int64)
+                matrix = lambda m, n: np.frombuffer(tile[m], np.float64).reshape(n, dim)
+                q_ids, c_ids = of("q_ids"), of("ids")
+                found = list(search(q_ids, of("q_numbers"), matrix("q_matrix", len(q_ids)), c_ids, of("numbers"), matrix("matrix", len(c_ids)), k))
+                parts = [np.array(x, np.int64) for x in (zip(*found) if found else [()] * 4)]
+                shard = pa.array(np.full(len(parts[0]), tile["shard"], np.int32))
+                yield pa.RecordBatch.from_arrays([shard, *map(pa.array, parts)], names=["shard", "query_id", "query_row", "vec_id", "score"])
+
+    lists = tiles.mapInArrow(work, "shard int, query_id long, query_row long, vec_id long, score long")
     groups = max(1, int(shards**0.5))
     order = [F.desc("score"), F.asc("vec_id")]
-    first = F.row_number().over(Window.partitionBy("query_id", F.pmod("shard", F.lit(groups))).orderBy(*order))
+    first = F.row_number().over(Window.partitionBy("query_row", F.pmod("shard", F.lit(groups))).orderBy(*order))
     merged = lists.withColumn("rank", first).where(F.col("rank") <= k).drop("rank")
-    last = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    last = F.row_number().over(Window.partitionBy("query_row").orderBy(*order))
     return merged.withColumn("rank", last).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,10 @@
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,25 +121,78 @@ def test_no_documents(none, spark):
     assert quality.fit(none, labels).judge(none).count() == 0
 
 
-def brute_weights(rows, good, ratio, buckets):
-    hashes = quality.Hashes()
-    return [sum(ratio[b] for b in quality.ngrams(t, hashes, buckets)) for _, t, _ in rows]
-
-
-def test_quality_counts_weights_and_selection(spark, docs, rows):
-    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0, 1, 2) for i in range(60)] + [(None, 1, 0, 1, 2), (3, 1, 1, 1, 2)], "doc_id long, quality int, toxic int, text int, good int")
-    sampler = quality.fit(docs, labels, buckets=512, keep=0.9)
-    counts, good = quality.bucket_counts(docs.select("text", (F.col("doc_id") < 50).alias("good")), 512)
-    assert good.sum() == sum(len(quality.ngrams(t, quality.Hashes(), 512)) for i, t, _ in rows if i is not None and i < 50)
-    hashes = quality.Hashes()
-    want = Counter(int(b) for _, t, _ in rows for b in quality.ngrams(t, hashes, 512))
-    assert {k: int(v) for k, v in enumerate(counts) if v} == dict(want)
-    judged = sampler.judge(docs)
-    got = sorted(((r.doc_id is None, r.doc_id or 0, round(r.log_weight, 6)) for r in judged.collect()))
-    brute = sorted((i is None, i or 0, round(w, 6)) for (i, _, _), w in zip(rows, brute_weights(rows, None, sampler.ratio.value, 512)))
-    assert [g[:2] for g in got] == [b[:2] for b in brute] and all(abs(g[2] - b[2]) < 1e-4 for g, b in zip(got, brute))
-    kept = sampler.select(docs)
-    assert kept.columns == docs.columns and kept.count() == judged.where("kept").count()
+def brute_tokens(text):
+    return re.findall(rb"[a-z0-9_\x80-\xff]+|[^a-z0-9_\x80-\xff\s]+", (text or "").encode().lower())
+
+
+def brute_grams(text, buckets):
+    h = [zlib.crc32(x) for x in brute_tokens(text)]
+    return [x % buckets for x in h] + [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 >> 29) % buckets for a, b in zip(h, h[1:])]
+
+
+def brute_sample(rows, noise, labels, keep, clean, buckets):
+    """(log weight, kept) of every row, by the formulas of the module's docstring; noise are the rows' Gumbel numbers."""
+    kinds = {i: (quality.HELD_OUT if held else quality.GOOD) if good else quality.TOXIC for i, good, held in labels}
+    grams = [brute_grams(t, buckets) for _, t, _ in rows]
+    raw, target = Counter(x for g in grams for x in g), Counter(x for (i, _, _), g in zip(rows, grams) if kinds.get(i) == quality.GOOD for x in g)
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    share = {b: (raw[b] + 1e-9) / n_raw for b in raw}
+    ratio = {b: math.log((target[b] + 1000 * share[b]) / (n_target + 1000)) - math.log(share[b]) for b in raw} if n_target else Counter()
+    words = [{zlib.crc32(x) % quality.WORD_BUCKETS for x in brute_tokens(t)} for _, t, _ in rows]
+    of = lambda kind: [w for (i, _, _), w in zip(rows, words) if kinds.get(i) == kind]
+    toxic, good = Counter(x for w in of(quality.TOXIC) for x in w), Counter(x for w in of(quality.GOOD) for x in w)
+    odds = {x: math.log((toxic[x] + 0.5) / (len(of(quality.TOXIC)) + 1)) - math.log((good[x] + 0.5) / (len(of(quality.GOOD)) + 1)) for x in toxic}
+    weights = [256 * sum(ratio[x] for x in g) / len(g) if g else 0.0 for g in grams]
+    evidence = [sum(odds[x] for x in w if toxic[x] >= 3 and odds[x] >= math.log(20)) for w in words]
+    held = [k for k, (i, _, _) in enumerate(rows) if kinds.get(i) == quality.HELD_OUT]
+    threshold, border = np.quantile([weights[k] for k in held], 1 - keep), np.quantile([evidence[k] for k in held], clean)
+    weights = [w - 1e6 * (e > border) for w, e in zip(weights, evidence)]
+    keys = [w + n for w, n in zip(weights, noise)]
+    k = sum(w >= threshold for w in weights)
+    least = sorted(keys, reverse=True)[k - 1]
+    return [(w, x >= least) for w, x in zip(weights, keys)]
+
+
+def test_quality_sample_matches_brute_force(spark, docs, rows):
+    """Counts, ratios, evidence, borders, noise, k and the kept rows."""
+    rows = rows + [(2000 + k, f"you pathetic moron {k} what trash", "s") for k in range(12)]
+    docs = make_docs(spark, rows)
+    given = [(i, int(i % 3 > 0), 0, 1, 2) for i in range(100)] + [(None, 1, 0, 1, 2), (3, 1, 1, 1, 2)] + [(2000 + k, 1, 1, 1, 2) for k in range(8)]
+    labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int, text int, good int")
+    for keep, clean in ((0.9, 0.95), (0.5, 0.995)):
+        sampler = quality.fit(docs, labels, buckets=512, keep=keep, clean=clean)
+        ids = sorted({i for i, *_ in given if i is not None})
+        held = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in ids], "i long").select("i", F.pmod(F.xxhash64(F.lit(29), "i"), F.lit(4)) == 0).collect()}
+        marks = [(i, i < 2000 and i % 3 > 0, held[i]) for i in ids if i == 3 or i >= 2000 or i % 3 > 0]
+        noise = [r[0] for r in spark.createDataFrame([(i, t) for i, t, _ in rows], "a long, b string").coalesce(1).select(quality.gumbel("a", "b")).collect()]
+        want = sorted((i is None, i or 0, round(w, 4), kept) for (i, _, _), (w, kept) in zip(rows, brute_sample(rows, noise, marks, keep, clean, 512)))
+        for judged in (sampler.judge(docs), sampler.fitted()):
+            got = sorted((r.doc_id is None, r.doc_id or 0, round(r.log_weight, 4), r.kept) for r in judged.collect())
+            assert [(*g[:2], g[3]) for g in got] == [(*w[:2], w[3]) for w in want]
+            assert all(abs(g[2] - w[2]) < 1e-3 for g, w in zip(got, want))
+        kept = sampler.select(docs)
+        assert kept.columns == docs.columns and kept.count() == judged.where("kept").count()
+        assert clean < 0.99 or not any(r.kept for r in judged.where("doc_id >= 2000").collect())
+
+
+def test_names_that_operators_use_inside(spark):
+    """Columns with underscores, dots and the operators' own names pass through the stages."""
+    rows = [(k, f"word{k} mail a{k}@example.com end", 1, 2, 3, 4, 5, 6) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key int, `a.b` int, weight int, evidence int, key int, __dirty int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    out = pii.sanitise(quality.fit(docs, labels, keep=0.0).select(docs))
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(tuple(r)[2:] == (1, 2, 3, 4, 5, 6) and "[EMAIL]" in r.text for r in got)
+
+
+def test_terms_are_whole_words_however_far(spark):
+    long = "x" * 400
+    text = f"{long} Node1.2.3.4 {' ' * 500} far éa_b"
+    assert [c[1] for c in pii.contexts(text, pii.base_spans(text), 8, 1)] == [long, "far", "éa", "b"]
+    rows = [(k, f"{long} sent by bob@x.example {' ' * 400} zorblatt {k}" if k < 3 else f"sent by nobody {k}", "s") for k in range(300)]
+    found, _ = pii.find(make_docs(spark, rows))
+    assert {rows[0][1][t.start : t.end] for r in found.where("doc_id = 0").collect() for t in r.terms} == {long, "zorblatt"}
 
 
 def test_without_good_labels_everything_stays(spark, docs):
@@ -156,10 +212,12 @@ def test_held_out_quality(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    judged = quality.fit(docs, labels.where(half)).judge(docs).join(labels.where(~half), "doc_id").where("toxic = 0")
+    all_judged = quality.fit(docs, labels.where(half)).judge(docs).join(labels.where(~half), "doc_id")
+    judged, toxic = all_judged.where("toxic = 0"), all_judged.where("toxic = 1")
     good, bad = judged.where("quality = 1"), judged.where("quality = 0")
     assert good.where("kept").count() >= 0.97 * good.count()
     assert bad.where("not kept").count() >= 0.85 * bad.count()
+    assert toxic.where("not kept").count() >= 0.6 * toxic.count()
 
 
 def test_url_rules_and_index(spark):
