@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwatch.llm import mixing, packing, pii, quality, simhash
-from docwatch.llm.common import checkpoint_folder, table
+from docwatch.llm.common import checkpoint_folder, named, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it are taken out of the texts."""
-    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*named(docs))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy that the mixture takes of a document."""
-    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*named(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
