@@ -259,8 +259,6 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 #: A wide fingerprint: 16 words of 64 bits, of which the first 4 have bit planes.
 WORDS, PLANED = 16, 4
-#: From this limit on a row meets all of its block, however near its partners are.
-PATIENT = 1024
 SIGNATURE = tuple(f"s{k}" for k in range(WORDS))
 
 
@@ -279,13 +277,33 @@ def below(k: np.ndarray) -> np.ndarray:
     return np.where(k >= 64, ONES, (np.uint64(1) << (k.astype(np.uint64) & np.uint64(63))) - np.uint64(1))
 
 
-def partners(group, root, size, home, sig, similarity: float, radius: int, limit: int, at_once: int = 1 << 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared_counts(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray, width: int = 1 << 16, at_once: int = 1 << 12) -> np.ndarray:
+    """How many members the sorted sets u[k] and v[k] share: members of several sets become bits, `width` of them at a time."""
+    count = np.zeros(len(u), np.int64)
+    members = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, times = np.unique(members, return_inverse=True, return_counts=True)
+    several = times > 1
+    number, row = (np.cumsum(several) - 1)[number[several[number]]], row[several[number]]
+    for low in range(0, int(several.sum()), width):
+        inside = (number >= low) & (number < low + width)
+        bits = np.zeros((len(sets), width // 8), np.uint8)
+        at = number[inside] - low
+        np.bitwise_or.at(bits, (row[inside], at >> 3), (1 << (at & 7)).astype(np.uint8))
+        bits = bits[:, : (min(width, int(several.sum()) - low) + 63) // 64 * 8].copy().view(np.uint64)
+        for k in range(0, len(u), at_once):
+            count[k : k + at_once] += np.bitwise_count(bits[u[k : k + at_once]] & bits[v[k : k + at_once]]).sum(axis=1, dtype=np.int64)
+    return count
+
+
+def partners(group, root, size, home, sig, similarity: float, radius: int, limit: int, sets=None, at_once: int = 1 << 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, other row) pairs of a group within radius, of different roots and possibly similar sizes, and a mask of the rows of
     groups that have more of them. Rows come by group, then root.
 
     Only home rows have lanes in the bit planes, which hold the first quarter of the bits; what is within a third of the radius there
     is compared in full. A home row meets the home rows of earlier roots, a visitor those of all other roots, word by word; it keeps
-    the `limit` nearest, and (for limits below PATIENT) stops once one of them is so near that it is hardly in doubt.
+    the `limit` nearest. Without sets it stops once one of them is so near that it is hardly in doubt; with the rows' shingles
+    (sets, as bytes of sorted uint32) only pairs count whose sets are similar.
     """
     n = len(group)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -312,8 +330,17 @@ def partners(group, root, size, home, sig, similarity: float, radius: int, limit
     more, sure = np.zeros(len(starts), bool), np.zeros(n, bool)
     held, parts, waiting = np.zeros((3, 0), np.int64), [], 0  # row, distance, other row
 
+    def similar(pairs):
+        if sets is None or not pairs.shape[1]:
+            return pairs
+        rows, ends = np.unique(pairs[[0, 2]], return_inverse=True)
+        own = [np.frombuffer(sets[k], np.uint32) for k in rows]
+        a, b = ends.reshape(2, -1)
+        sizes, both = np.array([len(x) for x in own]), shared_counts(own, a, b)
+        return pairs[:, both >= similarity * (sizes[a] + sizes[b] - both) - 1e-6]
+
     def nearest():
-        now = np.concatenate([held, *parts], axis=1)
+        now = np.concatenate([held, similar(np.concatenate([held[:, :0], *parts], axis=1))], axis=1)
         now = now[:, np.lexsort((now[2], now[1], now[0]))]
         heads = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]]) if now.shape[1] else np.zeros(0, np.int64)
         rank = np.arange(now.shape[1]) - np.repeat(heads, np.diff(np.r_[heads, now.shape[1]]))
@@ -345,7 +372,7 @@ def partners(group, root, size, home, sig, similarity: float, radius: int, limit
                 held, parts, waiting = nearest(), [], 0
         step += 1
         todo = todo[stop[todo] > 64 * step]
-        if limit < PATIENT:
+        if sets is None:
             more[of[todo[sure[todo]]]] = True
             todo = todo[~sure[todo]]
     held = nearest()
@@ -431,8 +458,9 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     similarity 0.8 differ in 155 bits, deviation 12, so that the radius of 200 loses one in 10**4 of them. Pairs within it are
     verified on their whole texts.
 
-    A row names its `limit` nearest partners; keys that have more come again with 16, then 1024 times the limit (all of a block), without the pairs
-    whose ends are linked by then, until none is left: so a group of near copies costs its rows, not its pairs, and no pair is passed over.
+    A row names its `limit` nearest partners. Keys that have more come again, with larger limits and without the pairs whose ends
+    are linked by then, until none is left; their rows bring their shingles along, so that the tasks name similar pairs only. So
+    a group of near copies sends on its rows, not its pairs, and no pair is passed over.
     """
     classes = classes_of(docs, shingle, 2 * keys)
     cols = ["key", "node", "root", "size", *SIGNATURE]
@@ -440,9 +468,9 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
 
     def comparer(limit, last):
         def compare(group, key, node, root, size, *rest):
-            *parts, home, blocks = rest
+            *parts, home, blocks = rest[: WORDS + 2]
             sig = np.stack(parts, axis=1).view(np.uint64)
-            a, b, more = partners(group, root, size, home, sig, similarity, radius, limit)
+            a, b, more = partners(group, root, size, home, sig, similarity, radius, limit, *rest[WORDS + 2 :])
             again = home & (more | ((blocks > 1) & (not last)))
             left = [x[again] for x in (key, node, root, size, *parts)]
             found = [pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b])), *[pa.nulls(len(a), pa.int64())] * len(cols)]
@@ -463,10 +491,20 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
                 good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    def short_sets(batches):
+        for batch in batches:
+            sets = [(shingle_set(t, shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "members"])
+
     edges, tested, first = None, None, True
     texts = docs.select("doc_id", *text_hashes("text"), "text")
     while True:
-        dealt = in_blocks(rows, tile, visit=not first).repartition("group").sortWithinPartitions("group", "root", "node")
+        blocks = in_blocks(rows, tile, visit=not first)
+        if not first:
+            heads = cut(classes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "t1", "t2"))
+            members = texts.join(heads, ["doc_id", "t1", "t2"]).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(short_sets, "node bigint, members binary")
+            blocks = blocks.join(cut(members), "node").select(*blocks.columns, "members")
+        dealt = blocks.repartition("group").sortWithinPartitions("group", "root", "node")
         found = cut(dealt.mapInArrow(by_key(comparer(limit, not first)), "u bigint, v bigint, " + ", ".join(f"{c} bigint" for c in cols)))
         pairs = found.where("u is not null").select("u", "v").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))

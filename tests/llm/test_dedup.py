@@ -167,8 +167,16 @@ def brute_partners(group, root, size, home, sig):
                 yield int(d.sum()), x, y
 
 
-@pytest.mark.parametrize("limit", [1, 3, simhash.PATIENT])
-def test_partners_match_brute_force(limit):
+def test_shared_counts():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 300, int(n), dtype=np.uint32)) for n in r.integers(0, 200, 40)]
+    u, v = r.integers(0, 40, (2, 500))
+    assert simhash.shared_counts(sets, u, v, width=64, at_once=70).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(u, v)]
+
+
+@pytest.mark.parametrize("with_sets", [False, True])
+@pytest.mark.parametrize("limit", [1, 3, 1000])
+def test_partners_match_brute_force(limit, with_sets):
     r = np.random.default_rng(4)
     n = 400
     group = np.sort(r.integers(0, 3, n))
@@ -182,15 +190,18 @@ def test_partners_match_brute_force(limit):
             flips = np.zeros(64 * simhash.WORDS, np.uint8)
             flips[r.choice(64 * simhash.WORDS, int(r.integers(20, 180)), replace=False)] = 1
             sig[k] = sig[r.integers(0, k)] ^ np.packbits(flips, bitorder="little").view("<u8")
-    a, b, more = simhash.partners(group, root, size, home, sig, 0.8, 200, limit, at_once=50)
-    want = sorted(brute_partners(group, root, size, home, sig))
+    kinds = r.integers(0, 2, n)  # rows of one kind have similar sets
+    members = [np.unique(np.r_[np.arange(40) + 1000 * k, r.integers(10_000, 10**9, 3)]).astype(np.uint32) for k in kinds]
+    sets = np.array([x.tobytes() for x in members], object) if with_sets else None
+    a, b, more = simhash.partners(group, root, size, home, sig, 0.8, 200, limit, sets, at_once=50)
+    want = sorted((d, x, y) for d, x, y in brute_partners(group, root, size, home, sig) if not with_sets or kinds[x] == kinds[y])
     got = set(zip(a.tolist(), b.tolist()))
     assert got <= {(x, y) for _, x, y in want}
-    if limit == simhash.PATIENT:
+    if limit == 1000 and with_sets:
         assert got == {(x, y) for _, x, y in want} and not more.any()
     else:
         left = {x for _, x, y in want if (x, y) not in got}
-        assert left and all(more[x] for x in left) and max(Counter(a.tolist()).values()) <= limit
+        assert (left or limit == 1000) and all(more[x] for x in left) and max(Counter(a.tolist()).values()) <= limit
 
 
 def similar_roots(texts):
