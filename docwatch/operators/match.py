@@ -12,10 +12,13 @@ from docwatch.functions.text import quoted
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the cluster's checkpoint folder; a temporary one only where none is set."""
+    """df with its lineage cut in the cluster's checkpoint folder; a temporary one only on a local master without one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docwatch-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docwatch-"))
     return df.checkpoint()
 
 
@@ -91,11 +94,19 @@ def sweep_citers(items: DataFrame, edges: DataFrame, seen: DataFrame, as_of, loo
     return newest.join(seen.select("item_id", "citer_id"), ["item_id", "citer_id"], "left_anti")
 
 
-def reverse_sweep(items: DataFrame, edges: DataFrame, seen: DataFrame, pending: DataFrame, as_of, lookback: int = 200, per_item: int = 6, per_run: int = 25) -> DataFrame:
-    """What a run classifies: pending(item_id, citer_id) first, then the newest citers; per item and per run caps, never-swept items first."""
-    fresh = sweep_citers(items, edges, seen, as_of, lookback)
-    fresh = fresh.join(pending.select("item_id", "citer_id"), ["item_id", "citer_id"], "left_anti").withColumn("is_pending", F.lit(False))
+def visited(items: DataFrame, first_per_run: int = 3) -> DataFrame:
+    """(item_id, never_swept) of the items a run visits: all that were swept in full before, and of the others the first
+    first_per_run by id; those beyond keep their state and come first again next time."""
     live = items.where("status <> 'superseded'").select("item_id", F.col("full_at").isNull().alias("never_swept"))
+    return live.where("not never_swept").union(live.where("never_swept").orderBy("item_id").limit(first_per_run))
+
+
+def reverse_sweep(items: DataFrame, edges: DataFrame, seen: DataFrame, pending: DataFrame, as_of, lookback: int = 200, per_item: int = 6, per_run: int = 25, first_per_run: int = 3) -> DataFrame:
+    """What a run classifies, for the items it visits: pending(item_id, citer_id) first, then the newest citers; per item and
+    per run caps, never-swept items first."""
+    live = visited(items, first_per_run)
+    fresh = sweep_citers(items, edges, seen, as_of, lookback).join(live.select("item_id"), "item_id", "left_semi")
+    fresh = fresh.join(pending.select("item_id", "citer_id"), ["item_id", "citer_id"], "left_anti").withColumn("is_pending", F.lit(False))
     held = pending.select("item_id", "citer_id", F.lit(None).cast(fresh.schema["ts"].dataType).alias("ts")).join(live, "item_id").withColumn("is_pending", F.lit(True))
     rows = fresh.unionByName(held)
     order = [F.desc("is_pending"), F.desc_nulls_last("ts"), F.desc("citer_id")]
@@ -103,7 +114,7 @@ def reverse_sweep(items: DataFrame, edges: DataFrame, seen: DataFrame, pending:
     return capped.orderBy(F.desc("never_swept"), "n", *order, "item_id").limit(per_run)
 
 
-def citation_windows(pairs: DataFrame, docs: DataFrame, items: DataFrame, before: int = 1200, after: int = 1800, cap: int = 12_000, wide: int = 40_000, stop: tuple[str, ...] = values.CAPTION_STOP) -> DataFrame:
+def citation_windows(pairs: DataFrame, docs: DataFrame, items: DataFrame, before: int = 1200, after: int = 1800, cap: int = 9_000, wide: int = 27_000, stop: tuple[str, ...] = values.CAPTION_STOP) -> DataFrame:
     """For pairs(item_id, citer_id), the text of docs(item_id, text) around the first mention of each side of
     items(item_id, name); a side is found by its first distinctive capitalised word that occurs. located is false where
     neither side is found and a wide slice stands in."""
@@ -198,7 +209,7 @@ def grounded_anywhere(quotes: DataFrame, docs: DataFrame, words: int = 5) -> Dat
 
     A quote's key is its first `words` inner words (its first and last word may be part of a longer word in the text,
     so they are left out); texts meet quotes by equal hashes of word runs, and only then are compared. Quotes with fewer
-    inner words are few-word phrases: they meet texts by their longest whole word, or, without one, directly."""
+    inner words are few-word phrases: they meet texts by their longest inner word, or, without one, directly."""
     q = quotes.select("quote_id", folded("quote").alias("q")).where(substantial(F.col("q"))).withColumn("w", F.split("q", " "))
     d = docs.select("doc_id", folded("text").alias("t"))
     inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
@@ -208,7 +219,8 @@ def grounded_anywhere(quotes: DataFrame, docs: DataFrame, words: int = 5) -> Dat
     d = d.withColumn("w", F.split("t", " "))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: run(F.col("w"), i))
     hits = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(long_.select("quote_id", "k"), "k").select("doc_id", "quote_id").distinct()
-    middle = q.where((F.size("inner") < words) & (F.size("inner") > 0)).select("quote_id", F.xxhash64(F.element_at("inner", 1)).alias("k"))
+    longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    middle = q.where((F.size("inner") < words) & (F.size("inner") > 0)).select("quote_id", F.xxhash64(longest).alias("k"))
     some = d.select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("k")).join(middle, "k").select("doc_id", "quote_id").distinct()
     near = hits.union(some).join(q.select("quote_id", "q"), "quote_id").join(d, "doc_id").where(F.col("t").contains(F.col("q"))).select("quote_id", "doc_id")
     short = q.where(F.size("inner") == 0).select("quote_id", "q")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,10 +91,10 @@ def distributed_rank(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
     bounds = sorted(set(cuts))
     spot = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
     ranged = df.withColumn("__range", spot)
-    below = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("__before"))
+    held = dict(ranged.groupBy("__range").count().collect())  # a row per range
+    before = list(accumulate((held.get(k, 0) for k in range(len(bounds))), initial=0))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
-    return ranged.join(shift, "__range").withColumn("rank", inside + F.col("__before")).drop("__range", "__before")
+    return ranged.withColumn("rank", inside + F.get(F.array(*(F.lit(n).cast("long") for n in before)), F.col("__range"))).drop("__range")
 
 
 def rotating_slice(df: DataFrame, key: str, k: int, epoch_day: int) -> DataFrame:

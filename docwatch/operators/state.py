@@ -131,15 +131,17 @@ def advance_mark(mark: int, found: DataFrame, resolved: DataFrame, waiting: Data
 
 
 def update_abandoned(listed: DataFrame, gave_up: DataFrame, retried: DataFrame, resolved: DataFrame, today) -> DataFrame:
-    """listed(item_id, reason, retries, last_try) with gave_up(item_id, reason) added and retried ids counted; resolved ids leave."""
-    rows = listed.join(gave_up.select("item_id", F.col("reason").alias("g_reason"), F.lit(True).alias("g")), "item_id", "full").join(retried.select("item_id", F.lit(True).alias("r")), "item_id", "left")
+    """listed(item_id, reason, retries, last_try) after a run: resolved ids leave; retried(item_id, reason) ones count a retry and
+    take today and their new reason, if any; gave_up(item_id, reason) ids that are not listed by then come in with no retry."""
     day = F.lit(today).cast("date")
-    touched = F.col("g").isNotNull() | F.col("r").isNotNull()
-    out = rows.select("item_id", F.coalesce("g_reason", "reason").alias("reason"), (F.coalesce("retries", F.lit(0)) + F.when(F.col("r").isNotNull(), 1).otherwise(0)).alias("retries"), F.when(touched, day).otherwise(F.col("last_try")).alias("last_try"))
-    return without(out, "item_id", resolved)
+    left = without(listed, "item_id", resolved).join(retried.select("item_id", F.col("reason").alias("new"), F.lit(1).alias("r")), "item_id", "left")
+    retries = F.coalesce("retries", F.lit(0)) + F.coalesce("r", F.lit(0))
+    kept = left.select("item_id", F.coalesce("new", "reason").alias("reason"), retries.alias("retries"), F.when(F.col("r").isNotNull(), day).otherwise(F.col("last_try")).alias("last_try"))
+    fresh = without(gave_up, "item_id", kept)
+    return kept.union(fresh.select("item_id", "reason", F.lit(0), day))
 
 
-def retry_pending(pending: DataFrame, attempted: DataFrame, succeeded: DataFrame, no_text: DataFrame, stopped: bool, today, max_tries: int = 5, text_weeks: int = 8) -> DataFrame:
+def retry_pending(pending: DataFrame, attempted: DataFrame, succeeded: DataFrame, no_text: DataFrame, stopped: bool, today, max_tries: int = 4, text_weeks: int = 8) -> DataFrame:
     """pending(item_id, citer_id, tries, text_since) after a run: action retry, done or manual. A failure costs a try
     unless the run was stopped; missing text costs none but runs on a clock of text_weeks."""
     key = ["item_id", "citer_id"]
@@ -161,14 +163,14 @@ def sweep_state(sweep: DataFrame, run: DataFrame) -> DataFrame:
     return sweep.join(now, "item_id", "full").select("item_id", (F.coalesce("full", F.lit(False)) | F.coalesce("now", F.lit(False))).alias("full"))
 
 
-def two_strike(state: DataFrame, failures: DataFrame, checked: DataFrame, now: int, wait: int = 86_400) -> DataFrame:
-    """state(url, first_failed, last_failed, confirmed_at) after a run with failures(url) among checked(url): a
-    failing url becomes a suspect with a clock, a healthy one leaves; it is due after `wait` seconds and confirmed if it fails again then."""
-    rows = state.join(failures.select("url", F.lit(True).alias("f")).distinct(), "url", "full").join(checked.select("url", F.lit(True).alias("c")).distinct(), "url", "left")
-    rows = rows.where("f is not null or c is null")
+def two_strike(state: DataFrame, failures: DataFrame, now: int, wait: int = 86_400) -> DataFrame:
+    """state(url, first_failed, last_failed, confirmed_at) after a run with failures(url): a failing url
+    becomes a suspect with a clock; one that is not among the failures, healthy or no longer checked, leaves; it is due after `wait` seconds and confirmed if it fails again then."""
+    rows = failures.select("url").distinct().join(state, "url", "left")
     due = F.col("first_failed").isNotNull() & (F.lit(now) - F.col("first_failed") >= wait)
-    return rows.select("url", F.coalesce("first_failed", F.lit(now).cast("long")).alias("first_failed"), F.when(F.col("f").isNotNull(), F.lit(now).cast("long")).otherwise(F.col("last_failed")).alias("last_failed"),
-                       F.coalesce("confirmed_at", F.when(due & F.col("f").isNotNull(), F.lit(now).cast("long"))).alias("confirmed_at"), F.coalesce(due, F.lit(False)).alias("due"))
+    time = F.lit(now).cast("long")
+    confirmed = F.coalesce("confirmed_at", F.when(due, time))
+    return rows.select("url", F.coalesce("first_failed", time).alias("first_failed"), time.alias("last_failed"), confirmed.alias("confirmed_at"), F.coalesce(due, F.lit(False)).alias("due"))
 
 
 def route(items: DataFrame, cleared: DataFrame, **holds: Column) -> DataFrame:

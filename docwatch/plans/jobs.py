@@ -53,7 +53,8 @@ def funnel_counts(f: Funnel) -> DataFrame:
 
 def treatment_sweep(items: DataFrame, edges: DataFrame, docs: DataFrame, seen: DataFrame, pending: DataFrame, verdicts: DataFrame, as_of, stopped: bool, adverse: list[str], **caps) -> dict[str, DataFrame]:
     """One sweep: the run's pairs, their windows, verdicts(item_id, citer_id, kind, affects) applied, and the next
-    pending and sweep states. A pair without text waits for it; one without a verdict failed."""
+    pending and sweep states. A pair without text waits for it; one without a verdict failed. Every visited item, also one
+    without fresh citers, is swept in full unless the run stopped or a cap cut its fresh citers."""
     run = M.reverse_sweep(items, edges, seen, pending, as_of, **caps)
     windows = M.citation_windows(run.select("item_id", "citer_id"), docs, items)
     judged = run.join(windows.select("item_id", "citer_id"), ["item_id", "citer_id"], "left_semi").join(verdicts, ["item_id", "citer_id"])
@@ -61,8 +62,9 @@ def treatment_sweep(items: DataFrame, edges: DataFrame, docs: DataFrame, seen: D
     no_text = run.join(windows.select("item_id", "citer_id"), ["item_id", "citer_id"], "left_anti")
     waits = G.retry_pending(pending, run, judged, no_text, stopped, as_of)
     total = M.sweep_citers(items, edges, seen, as_of).groupBy("item_id").agg(F.count("*").alias("all"))
-    taken = run.groupBy("item_id").agg(F.count("*").alias("n"))
-    state = total.join(taken, "item_id", "left").select("item_id", F.lit(stopped).alias("stopped"), (F.coalesce("n", F.lit(0)) < F.col("all")).alias("truncated"))
+    taken = run.where("not is_pending").groupBy("item_id").agg(F.count("*").alias("n"))
+    seen_now = M.visited(items, caps.get("first_per_run", 3)).select("item_id")
+    state = seen_now.join(total, "item_id", "left").join(taken, "item_id", "left").select("item_id", F.lit(stopped).alias("stopped"), (F.coalesce("n", F.lit(0)) < F.coalesce("all", F.lit(0))).alias("truncated"))
     return {"run": run, "windows": windows, "items": flagged, "treatments": new, "pending": waits, "sweep": G.sweep_state(items.select("item_id", F.col("full_at").isNotNull().alias("full")), state)}
 
 

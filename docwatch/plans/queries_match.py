@@ -59,12 +59,20 @@ def d5(spark, d):
     return M.sweep_citers(state, e, seen, "2001-08-01").select("item_id", "citer_id", *text("ts"))
 
 
-@query("d5_reverse_sweep")
+@query("d5_reverse_sweep", """, v AS (SELECT item_id, never_swept FROM (SELECT item_id, item_id % 2 = 0 AS never_swept, row_number() OVER (PARTITION BY item_id % 2 = 0 ORDER BY item_id) AS k FROM items WHERE status <> 'superseded') WHERE NOT never_swept OR k <= 3),
+    p AS (SELECT DISTINCT dst_id AS item_id, src_id AS citer_id FROM edges WHERE (src_id + dst_id) % 211 = 5),
+    f AS (SELECT dst_id AS item_id, src_id AS citer_id, max(e.ts) AS ts FROM edges e JOIN items i ON i.item_id = e.dst_id WHERE i.status <> 'superseded' AND e.src_id <> e.dst_id
+        AND e.ts >= CASE WHEN i.item_id % 2 = 0 THEN i.date ELSE DATE '2001-08-01' - 200 END AND (e.src_id + e.dst_id) % 11 <> 0 GROUP BY 1, 2),
+    a AS (SELECT item_id, citer_id, ts, never_swept, false AS is_pending FROM f ANTI JOIN p USING (item_id, citer_id) JOIN v USING (item_id)
+        UNION ALL SELECT item_id, citer_id, NULL, never_swept, true FROM p JOIN v USING (item_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY is_pending DESC, ts DESC NULLS LAST, citer_id DESC) AS n FROM a)
+    SELECT item_id, citer_id, CAST(ts AS VARCHAR) AS ts, never_swept, is_pending, CAST(n AS INTEGER) AS n FROM r WHERE n <= 6
+    ORDER BY never_swept DESC, n, is_pending DESC, ts DESC NULLS LAST, citer_id DESC, item_id LIMIT 25""".replace(", v AS", "SELECT * FROM (WITH v AS", 1) + ")", "edges", "items")
 def d5b(spark, d):
     e = edges(spark, d)
     state = items(spark, d).withColumn("full_at", F.when(F.col("item_id") % 2 == 1, F.col("date")))
     ids = lambda cond: e.where(cond).select(F.col("dst_id").alias("item_id"), F.col("src_id").alias("citer_id")).distinct()
-    return M.reverse_sweep(state, e, ids("(src_id + dst_id) % 11 = 0"), ids("(src_id + dst_id) % 211 = 5"), "2001-08-01")
+    return M.reverse_sweep(state, e, ids("(src_id + dst_id) % 11 = 0"), ids("(src_id + dst_id) % 211 = 5"), "2001-08-01").select("item_id", "citer_id", *text("ts"), "never_swept", "is_pending", "n")
 
 
 @query("t3_citation_windows")

@@ -118,35 +118,45 @@ def g6(spark, d):
     return out.select("mark", F.array_join(F.transform("given_up", lambda x: x.cast("string")), ",").alias("given_up"))
 
 
-@query("g7_update_abandoned")
+@query("g7_update_abandoned", """, l AS (SELECT item_id, date FROM items WHERE item_id % 10 = 0 AND item_id % 30 <> 0), g AS (SELECT item_id FROM items WHERE item_id % 25 = 0)
+    SELECT item_id, CASE WHEN item_id % 40 = 0 THEN 'timed out' ELSE 'no text' END AS reason, CASE WHEN item_id % 20 = 0 THEN 2 ELSE 1 END AS retries,
+        CAST(CASE WHEN item_id % 20 = 0 THEN DATE '2001-08-01' ELSE date END AS VARCHAR) AS last_try FROM l
+    UNION ALL SELECT item_id, 'gave up', 0, '2001-08-01' FROM g WHERE item_id NOT IN (SELECT item_id FROM l)""".replace(", l AS", "SELECT * FROM (WITH l AS", 1) + ")", "items")
 def g7(spark, d):
     rows = items(spark, d)
     listed = rows.where("item_id % 10 = 0").select("item_id", F.lit("no text").alias("reason"), F.lit(1).alias("retries"), F.col("date").alias("last_try"))
-    return G.update_abandoned(listed, rows.where("item_id % 25 = 0").select("item_id", F.lit("gave up").alias("reason")), rows.where("item_id % 20 = 0").select("item_id"), rows.where("item_id % 30 = 0").select("item_id"), "2001-08-01")
+    retried = rows.where("item_id % 20 = 0").select("item_id", F.when(F.col("item_id") % 40 == 0, "timed out").alias("reason"))
+    gave_up = rows.where("item_id % 25 = 0").select("item_id", F.lit("gave up").alias("reason"))
+    return G.update_abandoned(listed, gave_up, retried, rows.where("item_id % 30 = 0").select("item_id"), "2001-08-01").select("item_id", "reason", "retries", *text("last_try"))
 
 
-@query("g8_retry_pending")
+@query("g8_retry_pending", """, e AS (SELECT dst_id AS item_id, src_id AS citer_id, min(ts) AS ts FROM edges WHERE src_id % 4 = 0 OR src_id % 3 = 0 GROUP BY 1, 2),
+    p AS (SELECT *, CASE WHEN citer_id % 4 = 0 THEN CAST(citer_id % 6 AS INTEGER) ELSE 0 END AS n, citer_id % 8 = 0 AS x, citer_id % 3 = 0 AS a, citer_id % 9 = 0 AS s FROM e),
+    w AS (SELECT item_id, citer_id, s, CASE WHEN a AND NOT s AND NOT x THEN n + 1 ELSE n END AS tries, CASE WHEN x THEN ts END AS since FROM p)
+    SELECT item_id, citer_id, tries, CAST(since AS VARCHAR) AS text_since, CASE WHEN s THEN 'done' WHEN tries >= 4 OR coalesce(DATE '2001-08-01' - since >= 56, false) THEN 'manual' ELSE 'retry' END AS action
+    FROM w""".replace(", e AS", "SELECT * FROM (WITH e AS", 1) + ")", "edges")
 def g8(spark, d):
-    e = edges(spark, d).select(F.col("dst_id").alias("item_id"), F.col("src_id").alias("citer_id"), "ts").dropDuplicates(["item_id", "citer_id"])
+    e = edges(spark, d).groupBy(F.col("dst_id").alias("item_id"), F.col("src_id").alias("citer_id")).agg(F.min("ts").alias("ts"))
     c = F.col("citer_id")
     pending = e.where("citer_id % 4 = 0").select("item_id", "citer_id", (c % 6).cast("int").alias("tries"), F.when(c % 8 == 0, F.col("ts")).alias("text_since"))
-    return G.retry_pending(pending, e.where("citer_id % 3 = 0"), e.where("citer_id % 9 = 0"), e.where("citer_id % 8 = 0"), False, "2001-08-01")
+    out = G.retry_pending(pending, e.where("citer_id % 3 = 0"), e.where("citer_id % 9 = 0"), e.where("citer_id % 8 = 0"), False, "2001-08-01")
+    return out.select("item_id", "citer_id", "tries", *text("text_since"), "action")
 
 
-@query("g9_sweep_state")
+@query("g9_sweep_state", """SELECT item_id, item_id % 3 = 0 OR (item_id % 2 = 0 AND item_id % 4 <> 0 AND item_id % 6 <> 0) AS "full" FROM items""", "items")
 def g9(spark, d):
     rows = items(spark, d)
     return G.sweep_state(rows.select("item_id", (F.col("item_id") % 3 == 0).alias("full")), rows.where("item_id % 2 = 0").select("item_id", (F.col("item_id") % 4 == 0).alias("stopped"), (F.col("item_id") % 6 == 0).alias("truncated")))
 
 
-@query("g10_two_strike", """, s AS (SELECT DISTINCT source AS url, source * 1000 AS first_failed FROM log WHERE source % 3 = 0), f AS (SELECT DISTINCT source AS url FROM log WHERE stage = 'error'), c AS (SELECT DISTINCT source AS url FROM log WHERE source % 7 <> 0)
-    SELECT url, coalesce(first_failed, 150000) AS first_failed, CASE WHEN f.url IS NOT NULL THEN 150000 ELSE first_failed END AS last_failed, CASE WHEN f.url IS NOT NULL AND 150000 - first_failed >= 86400 THEN 150000 END AS confirmed_at, coalesce(150000 - first_failed >= 86400, false) AS due
-    FROM s FULL JOIN f USING (url) WHERE f.url IS NOT NULL OR url NOT IN (SELECT url FROM c)""".replace(", s AS", "SELECT * FROM (WITH s AS", 1) + ")", "log")
+@query("g10_two_strike", """, s AS (SELECT DISTINCT source AS url, source * 1000 AS first_failed FROM log WHERE source % 3 = 0), f AS (SELECT DISTINCT source AS url FROM log WHERE stage = 'error')
+    SELECT url, coalesce(first_failed, 150000) AS first_failed, CAST(150000 AS BIGINT) AS last_failed, CASE WHEN 150000 - first_failed >= 86400 THEN CAST(150000 AS BIGINT) END AS confirmed_at, coalesce(150000 - first_failed >= 86400, false) AS due
+    FROM f LEFT JOIN s USING (url)""".replace(", s AS", "SELECT * FROM (WITH s AS", 1) + ")", "log")
 def g10(spark, d):
     rows = log(spark, d).withColumnRenamed("source", "url")
-    state = rows.where("url % 3 = 0").select("url").distinct().select("url", (F.col("url") * 1000).alias("first_failed"), (F.col("url") * 1000).alias("last_failed"), F.lit(None).cast("long").alias("confirmed_at"))
-    out = G.two_strike(state, rows.where("stage = 'error'"), rows.where("url % 7 <> 0"), 150_000)
-    return out
+    since = F.col("url") * 1000
+    state = rows.where("url % 3 = 0").select("url").distinct().select("url", since.alias("first_failed"), since.alias("last_failed"), F.lit(None).cast("long").alias("confirmed_at"))
+    return G.two_strike(state, rows.where("stage = 'error'"), 150_000)
 
 
 @query("g11_route", """, r AS (SELECT doc_id AS item_id, list_sort(list_filter([CASE WHEN coalesce(quality = 0, false) THEN 'fidelity' END, CASE WHEN length(text) < 500 THEN 'completeness' END, CASE WHEN doc_id % 13 = 0 THEN 'treatment' END], lambda x: x IS NOT NULL)) AS reasons FROM documents LEFT JOIN labels USING (doc_id))

@@ -63,7 +63,7 @@ def stream_dedup(stream: DataFrame, key: str, ts: str, delay: str, seen: DataFra
     return stream.withWatermark(ts, delay).join(seen, key, "left_anti").dropDuplicatesWithinWatermark([key])
 
 
-def stream_usage(stream: DataFrame, account: str, ts: str, span: str = "1 hour", slide: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+def stream_usage(stream: DataFrame, account: str, ts: str, span: str = "1 hour", slide: str = "1 minute", delay: str = "1 hour") -> DataFrame:
     """S3: calls per account in sliding windows."""
     per = stream.withWatermark(ts, delay).groupBy(F.window(ts, span, slide), account).agg(F.count("*").alias("calls"))
     return per.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), account, "calls")

@@ -169,20 +169,20 @@ def test_marks(spark):
 
 def test_retry_pending(spark):
     key = "item_id long, citer_id long"
-    p = spark.createDataFrame([(1, 1, 4, None), (1, 2, 0, D(2024, 1, 1)), (1, 3, 0, None), (1, 4, 2, None)], f"{key}, tries int, text_since date")
+    p = spark.createDataFrame([(1, 1, 3, None), (1, 2, 0, D(2024, 1, 1)), (1, 3, 0, None), (1, 4, 2, None)], f"{key}, tries int, text_since date")
     pair = lambda *c: spark.createDataFrame([(1, k) for k in c], key)
     out = lambda stopped: {r.citer_id: (r.tries, r.action) for r in G.retry_pending(p, pair(1, 2, 3, 5), pair(3), pair(2), stopped, "2024-03-01").collect()}
-    assert out(False) == {1: (5, "manual"), 2: (0, "manual"), 3: (0, "done"), 4: (2, "retry"), 5: (1, "retry")}
-    assert out(True) == {1: (4, "retry"), 2: (0, "manual"), 3: (0, "done"), 4: (2, "retry"), 5: (0, "retry")}
+    assert out(False) == {1: (4, "manual"), 2: (0, "manual"), 3: (0, "done"), 4: (2, "retry"), 5: (1, "retry")}
+    assert out(True) == {1: (3, "retry"), 2: (0, "manual"), 3: (0, "done"), 4: (2, "retry"), 5: (0, "retry")}
 
 
 def test_two_strikes(spark):
     urls = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
     state = spark.createDataFrame([], "url string, first_failed long, last_failed long, confirmed_at long")
-    state = G.two_strike(state, urls("a", "b"), urls("a", "b"), 0).drop("due")
-    early = G.two_strike(state, urls("a"), urls("a", "b"), 3600)
+    state = G.two_strike(state, urls("a", "b"), 0).drop("due")
+    early = G.two_strike(state, urls("a"), 3600)
     assert [(r.url, r.confirmed_at) for r in early.collect()] == [("a", None)]
-    late = G.two_strike(early.drop("due"), urls("a"), urls("a"), 86_400).first()
+    late = G.two_strike(early.drop("due"), urls("a"), 86_400).first()
     assert (late.first_failed, late.confirmed_at) == (0, 86_400)
 
 
@@ -223,3 +223,36 @@ def test_audit_depth_never_weakens(spark):
     log = spark.createDataFrame([(1, "v", "full"), (2, None, None)], "key int, verdict string, depth string")
     out, outcome = G.record_audits(log, spark.createDataFrame([(1, "w", "skim"), (2, "w", "skim"), (3, "w", "full")], log.schema))
     assert {r.key: (r.verdict, r.depth) for r in out.collect()} == {1: ("v", "full"), 2: ("w", "skim")} and {r.key: r.outcome for r in outcome.collect()} == {1: "skipped", 2: "applied", 3: "missing"}
+
+
+def test_abandoned_list(spark):
+    """A listed item that is given up again keeps its reason and day; a retried one takes its new reason; new ones come in."""
+    listed = spark.createDataFrame([(1, "old", 1, D(2024, 1, 1)), (2, "old", 0, D(2024, 1, 1)), (3, "old", 0, D(2024, 1, 1)), (4, "old", 2, D(2024, 1, 1))], "item_id long, reason string, retries int, last_try date")
+    gave = spark.createDataFrame([(1, "again"), (9, "lost")], "item_id long, reason string")
+    retried = spark.createDataFrame([(2, "new"), (3, None)], "item_id long, reason string")
+    out = {r.item_id: tuple(r)[1:] for r in G.update_abandoned(listed, gave, retried, ids(spark, 4), "2024-03-01").collect()}
+    day = D(2024, 3, 1)
+    assert out == {1: ("old", 1, D(2024, 1, 1)), 2: ("new", 1, day), 3: ("old", 1, day), 9: ("lost", 0, day)}
+
+
+def test_suspects_that_are_not_failing_leave(spark):
+    """Healthy and unchecked urls alike."""
+    state = spark.createDataFrame([("a", 0, 0, None), ("b", 0, 0, None)], "url string, first_failed long, last_failed long, confirmed_at long")
+    out = G.two_strike(state, spark.createDataFrame([("a",), ("c",)], "url string"), 90_000).collect()
+    assert sorted((r.url, r.first_failed, r.confirmed_at) for r in out) == [("a", 0, 90_000), ("c", 90_000, None)]
+
+
+def test_sweep_visits_few_new_items_and_marks_empty_ones_full(spark):
+    from docwatch.plans import jobs as J
+
+    day = D(2024, 1, 1)
+    rows = spark.createDataFrame([(i, "A v. B", "ok", day, day if i > 5 else None) for i in range(1, 8)], "item_id long, name string, status string, date date, full_at date")
+    edges = spark.createDataFrame([(100 + i, i, D(2024, 5, 1)) for i in (1, 4, 6)], "src_id long, dst_id long, ts date")
+    assert sorted(r.item_id for r in M.visited(rows, 3).collect()) == [1, 2, 3, 6, 7]
+    none = spark.createDataFrame([], "item_id long, citer_id long")
+    pending = spark.createDataFrame([], "item_id long, citer_id long, tries int, text_since date")
+    verdicts = spark.createDataFrame([], "item_id long, citer_id long, kind string, affects boolean")
+    docs = spark.createDataFrame([(101, "Bob"), (106, "Bob")], "item_id long, text string")
+    out = J.treatment_sweep(rows.withColumn("treatment_date", F.col("date")).withColumn("first_seen", F.col("date")), edges, docs, none, pending, verdicts, "2024-06-01", False, ["overruled"])
+    assert sorted(r.citer_id for r in out["run"].collect()) == [101, 106]
+    assert {r.item_id for r in out["sweep"].where("full").collect()} == {1, 2, 3, 6, 7}
