@@ -9,8 +9,10 @@ root its sections' hashes (SHA-256). The fingerprint prints the tree from the ro
 Equal roots mean equal texts; unequal branches locate an edit. Likeness is the Dice coefficient of the distinct
 leaves: 1 for equal trees, 0 for trees without a common leaf; two empty texts have 1.
 
-Defined cases: null text counts as empty (one empty paragraph); repeated rows are documents of their own; a null id
-comes after all others; in a one-row table a document is its own successor; an empty table gives an empty result.
+Defined cases: null text counts as empty (one empty paragraph); very long texts have as many leaves as they need; repeated
+rows are documents of their own; of rows with equal ids the one with the smaller text comes first; a null id comes after
+all others; in a one-row table a document is its own successor; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,21 +36,31 @@ def tree(text: Column) -> Column:
     return F.when(text == "", F.array(F.array(F.sha2(text, 256)))).otherwise(sections)
 
 
+def branch(section: Column) -> Column:
+    """Hash of a section's leaves."""
+    return F.sha2(F.array_join(section, ""), 256)
+
+
+def root(leaves: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(leaves, branch), ""), 256)
+
+
 def fingerprint(leaves: Column) -> Column:
-    section = lambda s: F.sha2(F.array_join(s, ""), 256)
-    root = F.sha2(F.array_join(F.transform(leaves, section), ""), 256)
     short = lambda x: F.substring(x, 1, 12)
-    printed = F.transform(leaves, lambda s: F.concat(short(section(s)), F.lit("("), F.array_join(F.transform(s, short), ","), F.lit(")")))
-    return F.concat(root, F.lit(":"), F.array_join(printed, ""))
+    printed = F.transform(leaves, lambda s: F.concat(short(branch(s)), F.lit("("), F.array_join(F.transform(s, short), ","), F.lit(")")))
+    return F.concat(root(leaves), F.lit(":"), F.array_join(printed, ""))
 
 
 def leaf_set(leaves: Column) -> Column:
     return F.array_distinct(F.flatten(leaves))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two leaf sets, each of at least one leaf."""
-    return F.lit(2.0) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column, same_root: Column) -> Column:
+    """Dice coefficient of the distinct leaves of trees a and b, whose leaf sets are given: 1 where the roots agree. Otherwise the
+    leaves of branches that both trees have are common, and only those of differing branches are looked up."""
+    agreeing, differing = F.flatten(F.array_intersect(a, b)), F.flatten(F.array_except(a, b))
+    common = F.size(F.array_distinct(F.concat(agreeing, F.array_intersect(differing, b_leaves))))
+    return F.when(same_root, F.lit(1.0)).otherwise(F.lit(2.0) * common / (F.size(a_leaves) + F.size(b_leaves)))
 
 
 def differing_branches(a: Column, b: Column) -> Column:

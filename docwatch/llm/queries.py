@@ -54,10 +54,12 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.edited(table(spark, sf_dir, "documents"))
-    trees = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(merkle.tree(F.col(c)).alias(f"{c}_tree") for c in ("text", "edited", "next_text")))
-    leaves = trees.select("*", *(merkle.leaf_set(F.col(f"{c}_tree")).alias(f"{c}_leaves") for c in ("text", "edited", "next_text")))
+    three = ("text", "edited", "next_text")
+    trees = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(merkle.tree(F.col(c)).alias(f"{c}_tree") for c in three))
+    leaves = trees.select("*", *(merkle.leaf_set(F.col(f"{c}_tree")).alias(f"{c}_leaves") for c in three), *(merkle.root(F.col(f"{c}_tree")).alias(f"{c}_root") for c in three))
+    near = lambda c: merkle.likeness(*(F.col(f"{x}_{part}") for part in ("tree", "leaves") for x in ("text", c)), F.col("text_root") == F.col(f"{c}_root"))
     return leaves.select("doc_id", "n_chars", "edited_sha256", merkle.fingerprint(F.col("text_tree")).alias("fingerprint"), merkle.fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
-                         merkle.likeness(F.col("text_leaves"), F.col("edited_leaves")).alias("near_edited"), merkle.likeness(F.col("text_leaves"), F.col("next_text_leaves")).alias("near_next"))
+                         near("edited").alias("near_edited"), near("next_text").alias("near_next"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pii_disclosure, op2_simhash_near_dedup, op3_url_filters, op4_mixing, op5_sharding, op6_exact_top_k, op7_merkle_fingerprints, op8_substring_dedup, op9_best_fit_packing, op10_quality_classifier, pipeline)}
 
 ORACLES = {
+    "op7_merkle_fingerprints": r"""
+        WITH n AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS c, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS nx FROM documents WINDOW o AS (ORDER BY doc_id)),
+        e AS (SELECT doc_id, t, c, substr(t, 1, c - c // 2) || substr(nx, 1, c // 2) AS ed FROM n),
+        x AS (SELECT doc_id, 0 AS w, t AS s FROM e UNION ALL SELECT doc_id, 1, ed FROM e),
+        y AS (SELECT doc_id, w, list_filter(string_split(replace(s, chr(10), chr(10) || chr(31)), chr(31)), lambda z: z <> '') AS ls FROM x),
+        l AS (SELECT doc_id, w, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM y),
+        m AS (SELECT *, coalesce(sum(CASE WHEN line = chr(10) AND i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, w ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sec FROM l),
+        a AS (SELECT doc_id, w, sec, i, list_filter(string_split(regexp_replace(line, '([.!?] )', '\1' || chr(31), 'g'), chr(31)), lambda z: z <> '') AS ps FROM m),
+        p AS (SELECT doc_id, w, sec, i, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS j FROM a),
+        b AS (SELECT doc_id, w, sec, i, j, CASE WHEN length(p) > 200 THEN regexp_extract_all(p, '(?s).{1,100}') ELSE [p] END AS qs FROM p),
+        q AS (SELECT doc_id, w, sec, i, j, unnest(qs) AS q, unnest(range(1, len(qs) + 1)) AS k FROM b),
+        h AS (SELECT doc_id, w, sec, list(sha256(q) ORDER BY i, j, k) AS hs FROM q GROUP BY 1, 2, 3),
+        r AS (SELECT *, sha256(array_to_string(hs, '')) AS sh FROM h),
+        g AS (SELECT doc_id, w, sha256(string_agg(sh, '' ORDER BY sec)) || ':' || string_agg(substr(sh, 1, 12) || '(' || array_to_string(list_transform(hs, lambda z: substr(z, 1, 12)), ',') || ')', '' ORDER BY sec) AS fp,
+              list_distinct(flatten(list(hs))) AS leaves FROM r GROUP BY 1, 2),
+        f AS (SELECT doc_id, w, coalesce(fp, sha256(sha256(sha256(''))) || ':' || substr(sha256(sha256('')), 1, 12) || '(' || substr(sha256(''), 1, 12) || ')') AS fp, coalesce(leaves, [sha256('')]) AS leaves FROM x LEFT JOIN g USING (doc_id, w)),
+        o AS (SELECT doc_id, fp, leaves, coalesce(lead(leaves) OVER o, first_value(leaves) OVER o) AS nl FROM f WHERE w = 0 WINDOW o AS (ORDER BY doc_id))
+        SELECT e.doc_id, c AS n_chars, sha256(ed) AS edited_sha256, o.fp AS fingerprint, v.fp AS edited_fingerprint,
+            2.0::DOUBLE * len(list_intersect(o.leaves, v.leaves)) / (len(o.leaves) + len(v.leaves)) AS near_edited, 2.0::DOUBLE * len(list_intersect(o.leaves, nl)) / (len(o.leaves) + len(nl)) AS near_next
+        FROM e JOIN o USING (doc_id) JOIN f v ON v.doc_id = e.doc_id AND v.w = 1""",
     "op8_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),

@@ -129,7 +129,7 @@ def test_merkle_single_row_and_branches(spark):
     assert one[0].edited == "abcabc"
     df = spark.createDataFrame([("a. b.\n\nc\nd\n\ne", "a. b.\n\nc\nX\n\ne"), ("", ""), ("same. text", "same. text"), ("a\nb", "a")], "x string, y string")
     trees = df.select(merkle.tree(F.col("x")).alias("x"), merkle.tree(F.col("y")).alias("y"))
-    out = trees.select(merkle.differing_branches(F.col("x"), F.col("y")).alias("d"), merkle.likeness(merkle.leaf_set(F.col("x")), merkle.leaf_set(F.col("y"))).alias("l"), "x").collect()
+    out = trees.select(merkle.differing_branches(F.col("x"), F.col("y")).alias("d"), merkle.likeness(F.col("x"), F.col("y"), merkle.leaf_set(F.col("x")), merkle.leaf_set(F.col("y")), merkle.root(F.col("x")) == merkle.root(F.col("y"))).alias("l"), "x").collect()
     assert [(d.section, d.paragraph) for d in out[0].d] == [(1, 1)] and out[0].l == pytest.approx((len(set(sum(out[0].x, []))) - 1) / len(set(sum(out[0].x, []))))
     assert out[1].l == 1.0 and out[2].l == 1.0 and out[1].d == [] and 0 < out[3].l < 1 or out[3].l == 0
 
