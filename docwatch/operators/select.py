@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
