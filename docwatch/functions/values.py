@@ -31,12 +31,6 @@ ADVERSE_KINDS = (
     "overruled", "reversed", "abrogated", "superseded by statute",
     "limited", "disapproved", "criticized", "distinguished-narrowing",
 )
-#: Closed category lists per stage.
-SCREEN_CATEGORIES = (
-    "criminal", "habeas", "immigration", "prisoner_civil_rights", "benefits", "family",
-    "juvenile", "probate", "tax", "workers_comp", "attorney_discipline", "election", "no_merits",
-)
-PRETRIAGE_CATEGORIES = (*SCREEN_CATEGORIES, "landlord_tenant", "bankruptcy", "intellectual_property", "employment_discrimination")
 #: Hedges in the lower-cased reason of a drop.
 HEDGES = r"\b(?:likely|probably|presumably|possibly|seem(?:s|ed)?|appears?\s+to\s+be|suggest(?:s|ed|ing)?|may\s+be|might\s+be)\b"
 #: Quoted markers: double, curly, or single quotes that no letter touches.

@@ -230,7 +230,8 @@ def grounded_anywhere(quotes: DataFrame, docs: DataFrame, words: int = 5) -> Dat
 def alert_dependents(treatments: DataFrame, manifest: DataFrame, recorded: DataFrame, adverse: tuple[str, ...] = values.ADVERSE_KINDS) -> DataFrame:
     """Adverse treatments(authority, citer_id, kind) that aren't recorded(authority, citer_id), once per pair, with the sorted dependants of manifest(authority, dependant)."""
     new = treatments.where(F.col("kind").isin(adverse)).select("authority", "citer_id").distinct().join(recorded, ["authority", "citer_id"], "left_anti")
-    return new.join(manifest.distinct(), "authority").groupBy("authority", "citer_id").agg(F.array_sort(F.collect_set("dependant")).alias("dependants"))
+    held = manifest.groupBy("authority").agg(F.array_sort(F.collect_set("dependant")).alias("dependants"))  # one list per authority, before the join
+    return new.join(held, "authority").select("authority", "citer_id", "dependants")
 
 
 def apply_carried(requests: DataFrame, results: DataFrame, listed: DataFrame, max_age: int) -> DataFrame:
