@@ -203,6 +203,12 @@ def html_to_text(df: DataFrame, source: str, out: str = "page_text") -> DataFram
     return df.withColumn(out, F.trim(F.regexp_replace(c, "^\\n+|\\n+$", "")))
 
 
+def readable(text: str, least: int = 500, letters: int = 100):
+    """Whether a text is long enough and has enough letters; a missing one is not."""
+    enough = (F.length(text) >= least) & (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= letters)
+    return F.coalesce(enough, F.lit(False))
+
+
 def text_quality_gate(df: DataFrame, text: str, least: int = 500, letters: int = 100) -> DataFrame:
     """Rows whose text is long enough and has enough letters."""
-    return df.where((F.length(text) >= least) & (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= letters))
+    return df.where(readable(text, least, letters))

@@ -44,11 +44,17 @@ def audit_summary(log: DataFrame) -> DataFrame:
     return stamped.union(log.agg(F.lit("unaudited").alias("dimension"), F.lit(None).cast("string").alias("value"), F.count_if(F.col("verdict").isNull()).alias("n")))
 
 
-def run_record(log: DataFrame) -> DataFrame:
-    """E5: one row for a run's log(tier, dropped): screened, dropped, carded and a map of drops per tier."""
+def run_record(log: DataFrame, floored: DataFrame | None = None) -> DataFrame:
+    """E5: one row for a run's log(tier, dropped): screened, dropped, carded and a map of drops per tier; with
+    floored(source, floored) also the map `floors` of ids lost to the floor per source."""
     per = log.groupBy("tier").agg(F.count("*").alias("n"), F.count_if("dropped").alias("d"))
-    pairs = F.array_sort(F.collect_list(F.when(F.col("d") > 0, F.struct("tier", "d"))))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("screened"), F.coalesce(F.sum("d"), F.lit(0)).alias("dropped"), F.coalesce(F.sum(F.col("n") - F.col("d")), F.lit(0)).alias("carded"), F.map_from_entries(pairs).alias("drops"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    pairs = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct("tier", c)))))
+    out = [total("n", "screened"), total("d", "dropped"), total(F.col("n") - F.col("d"), "carded"), pairs("d").alias("drops")]
+    if floored is not None:
+        per = per.unionByName(floored.select(F.col("source").alias("tier"), "floored"), allowMissingColumns=True)
+        out.append(pairs("floored").alias("floors"))
+    return per.agg(*out)
 
 
 def tag_coverage(df: DataFrame, tags: str) -> DataFrame:

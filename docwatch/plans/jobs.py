@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docwatch.functions import values
-from docwatch.functions.text import fingerprint_pages, html_to_text, lint_reasons, stable_keys, text_quality_gate
+from docwatch.functions.text import fingerprint_pages, html_to_text, lint_reasons, readable, stable_keys
 from docwatch.operators import match as M
 from docwatch.operators import select as S
 from docwatch.operators import state as G
@@ -22,33 +22,96 @@ class Funnel:
     floored: DataFrame
 
 
+@dataclass(frozen=True)
+class FunnelRun:
+    cards: DataFrame  # item_id, source, flags, a column per guard, reasons, lane
+    drops: DataFrame  # item_id, source, tier, reason, smell
+    floored: DataFrame  # source, floored
+    seen: DataFrame  # item_id
+    record: DataFrame  # one row
+
+
+def judged(chosen: DataFrame, tiers: list[tuple[str, DataFrame]], curated: DataFrame | None = None) -> DataFrame:
+    """Chosen candidates with the tier that drops each (null: none does) and the reason its verdict gives. Columns
+    tier and reason are replaced."""
+    rows = chosen.withColumn("tier", F.when(~readable("text"), F.lit("text"))).withColumn("reason", F.lit(None).cast("string"))
+    for k, (name, verdicts) in enumerate(tiers):
+        why = F.col("reason") if "reason" in verdicts.columns else F.lit(name)
+        rows = rows.join(verdicts.select("item_id", F.col("passes").alias("__p"), why.alias("__why")), "item_id", "left")
+        if k == 0 and curated is not None:
+            rescued = M.party_match(rows.where("tier is null and not __p"), curated).select("item_id", F.lit(True).alias("__r"))
+            rows = rows.join(rescued, "item_id", "left").withColumn("__p", F.col("__p") | F.coalesce("__r", F.lit(False))).drop("__r")
+        lost = F.when(F.col("__p").isNull(), F.lit(f"{name}: retry")).when(~F.col("__p"), F.lit(name))
+        here = F.col("tier").isNull() & F.coalesce(~F.col("__p"), F.lit(False))
+        rows = rows.withColumn("reason", F.when(here, F.col("__why")).otherwise(F.col("reason")))
+        rows = rows.withColumn("tier", F.coalesce("tier", lost)).drop("__p", "__why")
+    return rows
+
+
 def funnel(candidates: DataFrame, known: list[DataFrame], since, today, exempt: list[str], tiers: list[tuple[str, DataFrame]], curated: DataFrame | None = None) -> Funnel:
-    """candidates(item_id, source, date, ingest_seq, text) through selection, the text gate and the tiers, cheapest first.
+    """J1, its first half: candidates(item_id, source, date, ingest_seq, text) through selection, the text gate and the
+    tiers, cheapest first.
 
-    A tier is (name, verdicts(item_id, passes)); a missing verdict is retried later and logged as such. curated(item_id,
-    party_tokens) overrides the first tier's drop where candidates carry party_tokens that match."""
+    A tier is (name, verdicts(item_id, passes, reason?)); a missing verdict is retried later and logged as such.
+    curated(item_id, party_tokens) overrides the first tier's drop where candidates carry party_tokens that match."""
     chosen, floored = S.select_candidates(candidates, known, since, today, exempt)
-    good = text_quality_gate(chosen, "text")
-    drops = [S.without(chosen, "item_id", good.select("item_id")).select("item_id", "source", F.lit("text").alias("tier"))]
-    left = good
-    for k, (name, verdicts) in enumerate(tiers):
-        judged = left.join(verdicts.select("item_id", F.col("passes").alias("__p")), "item_id", "left")
-        if k == 0 and curated is not None:
-            rescued = M.party_match(judged.where("not __p"), curated).select("item_id", F.lit(True).alias("__r"))
-            judged = judged.join(rescued, "item_id", "left").withColumn("__p", F.col("__p") | F.coalesce("__r", F.lit(False))).drop("__r")
-        lost = judged.where("__p is null or not __p")
-        drops.append(lost.select("item_id", "source", F.when(F.col("__p").isNull(), F.lit(f"{name}: retry")).otherwise(F.lit(name)).alias("tier")))
-        left = judged.where("__p").drop("__p")
-    out = drops[0]
-    for d in drops[1:]:
-        out = out.unionByName(d)
-    return Funnel(left, out, floored)
-
-
-def funnel_counts(f: Funnel) -> DataFrame:
-    """Rows per source and stage: carded, each tier's drops, and the floored ones."""
-    kept = f.kept.groupBy("source", F.lit("carded").alias("stage")).agg(F.count("*").alias("n"))
-    return kept.union(f.drops.groupBy("source", "tier").agg(F.count("*").alias("n"))).union(f.floored.select("source", F.lit("floored"), F.col("floored").alias("n")))
+    rows = judged(chosen, tiers, curated)
+    return Funnel(rows.where("tier is null").drop("tier", "reason"), rows.where("tier is not null").select("item_id", "source", "tier"), floored)
+
+
+def funnel_run(
+    candidates: DataFrame, known: list[DataFrame], existing: DataFrame, since, today, exempt: list[str], tiers: list[tuple[str, DataFrame]], *,
+    smells: DataFrame, validity: dict[str, Column], guards: dict[str, DataFrame], overruling: DataFrame, cleared: DataFrame, seen: DataFrame, tries: int = 3, smell_cap: int = 5, seen_cap: int = 5_000,
+) -> FunnelRun:
+    """A whole run, from candidates to the two lanes and the next seen state.
+
+    candidates and existing carry item_id, source, date, docket_tokens and party_tokens; candidates also ingest_seq and
+    text. In order: selection (C1), twins of existing items, the text gate (A9), the tiers with the override by existing
+    items (D4), suspect drops of a tier that come back, up to smell_cap of them (C10: smells(item_id, verdict)), twins
+    within the run (D2: by ingest_seq, an item that does not pass shadows nobody), validity flags (C15), the guards'
+    consensus over guards[name](item, attempt, vote, reason) (E10; an item without attempts was not guarded and isn't
+    held for that), routing (G11; overruling(item_id) holds, cleared(item_id) lifts), the seen ids (G13: what has a
+    definite outcome, is not held and has a text; a missing verdict comes again) and the run's record (E5)."""
+    chosen, floored = S.select_candidates(candidates, known, since, today, exempt)
+    twins = M.same_item_keys(chosen).join(M.same_item_keys(existing).select("key"), "key", "left_semi").select("item_id", F.lit(True).alias("__twin")).distinct()
+    rows = judged(chosen.withColumn("flags", S.reasons(**validity)), tiers, existing).join(twins, "item_id", "left")
+    rows = rows.withColumn("tier", F.when(F.col("__twin"), F.lit("duplicate")).otherwise(F.col("tier")))
+    rows = rows.withColumn("reason", F.when(F.col("__twin").isNull(), F.col("reason")))
+    rows = M.checkpointed(rows.select("item_id", "source", "date", "ingest_seq", "docket_tokens", "party_tokens", "flags", "tier", "reason"))
+
+    judged_out = rows.where(F.col("tier").isin([name for name, _ in tiers])).select("item_id", "reason", F.struct("ingest_seq", "item_id").alias("seq"))
+    smelled = rows.join(S.escalate_suspects(judged_out, smells, smell_cap).select("item_id", "smell"), "item_id", "left")
+    passed = F.col("tier").isNull() | F.coalesce(F.col("smell") == "suspect", F.lit(False))
+    smelled = M.checkpointed(smelled.withColumn("passed", passed))
+    passing = smelled.where("passed")
+    firsts = M.dedup_greedy(passing, M.same_item_keys(passing), "ingest_seq").select("item_id", F.lit(True).alias("__card"))
+    fate = smelled.join(firsts, "item_id", "left")
+    fate = M.checkpointed(fate.withColumn("tier", F.when(F.col("__card"), F.lit(None)).when(F.col("passed"), F.lit("duplicate")).otherwise(F.col("tier"))))
+
+    cards = fate.where("tier is null").select("item_id", "source", "flags")
+    holds = {"flags": F.size("flags") > 0, "overrules": F.col("__over").isNotNull()}
+    for name, attempts in guards.items():
+        own = attempts.join(cards.select(F.col("item_id").alias("item")), "item", "left_semi")
+        cards = cards.join(E.consensus(own, tries).select(F.col("item").alias("item_id"), F.col("outcome").alias(name)), "item_id", "left")
+        holds |= {name: F.col(name) == "flag", f"{name} unavailable": F.col(name) == "unavailable"}
+    cards = cards.join(overruling.select("item_id", F.lit(True).alias("__over")).distinct(), "item_id", "left")
+    cards = M.checkpointed(G.route(cards, cleared, **holds).drop("__over"))
+
+    drops = fate.where("tier is not null")
+    definite = drops.where(F.col("tier").isin(["duplicate", *(name for name, _ in tiers)])).select("item_id")
+    auto, held = (cards.where(F.col("lane") == lane).select("item_id") for lane in ("auto", "held"))
+    after = G.advance_seen(seen_cap, held, seen.select("item_id"), definite, existing.select("item_id"), auto)
+    record = E.run_record(fate.select(F.coalesce("tier", F.lit("carded")).alias("tier"), F.col("tier").isNotNull().alias("dropped")), floored)
+    return FunnelRun(cards, drops.select("item_id", "source", "tier", "reason", "smell"), floored, after, record)
+
+
+def funnel_counts(f: Funnel | FunnelRun) -> DataFrame:
+    """Rows per source and stage: carded ones (of a whole run by lane), each tier's drops (with their smell, where
+    they have one), and the floored ones."""
+    whole = isinstance(f, FunnelRun)
+    kept = f.cards.select("source", F.col("lane").alias("stage")) if whole else f.kept.select("source", F.lit("carded").alias("stage"))
+    drops = f.drops.select("source", F.concat_ws(": ", "tier", "smell") if whole else F.col("tier"))
+    return kept.union(drops).groupBy("source", "stage").agg(F.count("*").alias("n")).union(f.floored.select("source", F.lit("floored"), F.col("floored").alias("n")))
 
 
 def treatment_sweep(items: DataFrame, edges: DataFrame, docs: DataFrame, seen: DataFrame, pending: DataFrame, verdicts: DataFrame, as_of, stopped: bool, adverse: list[str], **caps) -> dict[str, DataFrame]:

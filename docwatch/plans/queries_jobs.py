@@ -19,10 +19,65 @@ def tiers(rows):
     return [("screen", rows.where("item_id % 12 <> 0").select("item_id", (i % 6 != 0).alias("passes"))), ("triage", rows.select("item_id", (i % 7 != 0).alias("passes")))]
 
 
-@query("j1_funnel", f""", {TIERS} SELECT source, stage, count(*) AS n FROM g GROUP BY 1, 2 UNION ALL SELECT source, 'floored', count(*) FROM t WHERE NOT p GROUP BY 1""".replace(", t AS", "SELECT * FROM (WITH t AS", 1) + ")", "cand")
+RUN = """, b AS (SELECT item_id, source, text, item_id // 3 AS docket, item_id // 6 AS party, item_id % 5 = 0 AS known,
+        date <= DATE '2024-12-31' AND (date >= DATE '2024-03-01' OR source = 'src3') AS p FROM cand),
+    g AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM b k WHERE k.known AND k.source = c.source AND k.docket = c.docket) THEN 'duplicate'
+        WHEN length(text) < 500 OR length(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 100 THEN 'text'
+        WHEN item_id % 12 = 0 THEN 'screen: retry'
+        WHEN item_id % 6 = 0 AND NOT EXISTS (SELECT 1 FROM b k WHERE k.known AND k.source = c.source AND k.party = c.party) THEN 'screen'
+        WHEN item_id % 7 = 0 THEN 'triage' END AS tier FROM b c WHERE p AND NOT known),
+    m AS (SELECT *, CASE WHEN tier IN ('screen', 'triage') THEN CASE WHEN item_id % 21 = 0 OR item_id % 4 = 1 THEN 'suspect' WHEN item_id % 4 = 2 THEN 'ok' END END AS raw FROM g),
+    c AS (SELECT *, CASE WHEN raw = 'suspect' AND row_number() OVER (PARTITION BY raw ORDER BY item_id) > 5 THEN 'capped' ELSE raw END AS smell FROM m),
+    a AS (SELECT *, tier IS NULL OR coalesce(smell = 'suspect', false) AS passed FROM c),
+    k AS (SELECT *, row_number() OVER (PARTITION BY source, docket, passed ORDER BY item_id) AS place FROM a),
+    f AS (SELECT *, CASE WHEN passed AND place = 1 THEN NULL WHEN passed THEN 'duplicate' ELSE tier END AS fate,
+        len(list_filter([1, 2, 3], lambda x: (item_id * x) % 5 IN (1, 2))) AS flags, len(list_filter([1, 2, 3], lambda x: (item_id * x) % 5 IN (3, 4))) AS clears,
+        len(list_filter([1, 2, 3], lambda x: (item_id + x) % 4 = 1)) AS gaps, len(list_filter([1, 2, 3], lambda x: (item_id + x) % 4 > 1)) AS shown FROM k),
+    r AS (SELECT *, CASE WHEN (length(text) < 700 OR item_id % 9 = 0 OR flags > 1 OR clears < 2 OR gaps > 1 OR shown < 2 OR item_id % 10 = 1) AND item_id % 4 <> 3 THEN 'held' ELSE 'auto' END AS lane FROM f),
+    l AS (SELECT source, count(*) AS floored FROM b WHERE NOT p AND NOT known GROUP BY 1)"""
+
+
+def run(spark, d):
+    """The whole funnel over documents: three consecutive ids of a source are one case, every fifth document is curated."""
+    i = F.col("item_id")
+    token = lambda name, c: F.concat(F.lit(name), c.cast("string"))
+    rows = cand(spark, d).withColumn("docket_tokens", F.array(token("D", F.floor(i / 3)))).withColumn("party_tokens", F.array(token("A", F.floor(i / 6)), token("B", F.col("source"))))
+    existing, others = rows.where("item_id % 5 = 0"), rows.where("item_id % 5 <> 0")
+    why = F.when(i % 21 == 0, "").otherwise("off topic").alias("reason")
+    screen = others.where("item_id % 12 <> 0").select("item_id", (i % 6 != 0).alias("passes"), why)
+    triage = others.select("item_id", (i % 7 != 0).alias("passes"), why)
+    smells = others.where("item_id % 4 in (1, 2)").select("item_id", F.when(i % 4 == 1, "suspect").otherwise("ok").alias("verdict"))
+    tried = others.select(i.alias("item"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("attempt"))
+    vote = lambda k, flags: F.when(k == 0, "lost").when(k.isin(flags), "flag").otherwise("clear").alias("vote")
+    guards = {
+        "fidelity": tried.select("item", "attempt", vote(F.col("item") * F.col("attempt") % 5, [1, 2]), F.lit("r").alias("reason")),
+        "completeness": tried.select("item", "attempt", vote((F.col("item") + F.col("attempt")) % 4, [1]), F.lit("r").alias("reason")),
+    }
+    return J.funnel_run(
+        rows, [existing.select("item_id")], existing, "2024-03-01", "2024-12-31", ["src3"], [("screen", screen), ("triage", triage)],
+        smells=smells, validity={"low_confidence": F.length("text") < 700, "unverified_date": i % 9 == 0}, guards=guards,
+        overruling=others.where("item_id % 10 = 1"), cleared=others.where("item_id % 4 = 3"), seen=existing.select("item_id"),
+    )
+
+
+@query("j1_funnel", f"""{RUN} SELECT source, CASE WHEN fate IS NULL THEN lane ELSE concat_ws(': ', fate, smell) END AS stage, count(*) AS n FROM r GROUP BY 1, 2
+    UNION ALL SELECT source, 'floored', floored FROM l""", "cand")
 def j1(spark, d):
-    rows = cand(spark, d)
-    return J.funnel_counts(J.funnel(rows, [rows.where("item_id % 5 = 0").select("item_id")], "2024-03-01", "2024-12-31", ["src3"], tiers(rows)))
+    return J.funnel_counts(run(spark, d))
+
+
+@query("j1_seen", f"""{RUN} SELECT item_id FROM (SELECT item_id FROM b WHERE known UNION SELECT item_id FROM r WHERE fate IN ('duplicate', 'screen', 'triage') OR fate IS NULL AND lane = 'auto')
+    ORDER BY item_id DESC LIMIT 5000""", "cand")
+def j1_seen(spark, d):
+    return run(spark, d).seen
+
+
+@query("j1_run_record", f"""{RUN} SELECT (SELECT count(*) FROM r) AS screened, (SELECT count(fate) FROM r) AS dropped, (SELECT count(*) - count(fate) FROM r) AS carded,
+    (SELECT string_agg(fate || '=' || n, ',' ORDER BY fate) FROM (SELECT fate, count(*) AS n FROM r WHERE fate IS NOT NULL GROUP BY 1)) AS drops,
+    (SELECT string_agg(source || '=' || floored, ',' ORDER BY source) FROM l) AS floors""", "cand")
+def j1_run_record(spark, d):
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(c)
+    return run(spark, d).record.select("screened", "dropped", "carded", shown("drops"), shown("floors"))
 
 
 @query("j2_treatment_sweep")
