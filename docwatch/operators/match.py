@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +45,31 @@ def same_item_links(df: DataFrame) -> DataFrame:
     return keys.join(shared, "key").where("item_id <> first_id").select("item_id", "key", "first_id")
 
 
-def dedup_greedy(df: DataFrame, keys: DataFrame, rank: str = "item_id") -> DataFrame:
+def dedup_greedy(df: DataFrame, keys: DataFrame, rank: str = "item_id", last: int = 100_000) -> DataFrame:
     """In rank order, an item goes if it shares a key with an accepted earlier one; one that went shadows nobody.
 
     keys(item_id, key), as of same_item_keys. Every round accepts all undecided items that are the first undecided one
     of each of their keys, and drops the others of those keys; the lowest undecided item is always accepted, so rounds
-    end. No round writes pairs.
+    end. No round writes pairs. Once at most `last` rows are undecided, one task settles them in rank order, so that a
+    chain of overlapping items doesn't cost a round per link.
     """
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: set[str] = set()
+        for frame in frames:
+            gone = []
+            for item, held in zip(frame["item_id"], frame["keys"]):
+                if taken.isdisjoint(held):
+                    taken.update(held)
+                else:
+                    gone.append(item)
+            yield pd.DataFrame({"item_id": gone}, dtype=frame["item_id"].dtype)
+
     ranks = df.select("item_id", F.col(rank).alias("r"))
     busy = keys.groupBy("key").count().where("count > 1").select("key")
     open_ = checkpointed(keys.join(busy, "key", "left_semi").join(ranks, "item_id").select("item_id", "key", "r"))
     dropped = None
-    while not open_.isEmpty():
+    while (n := open_.count()) > last:
         low = checkpointed(open_.groupBy("key").agg(F.min(F.struct("r", "item_id")).alias("low")))
         marked = open_.join(low, "key").withColumn("first", F.col("low.item_id") == F.col("item_id"))
         accepted = checkpointed(marked.groupBy("item_id").agg(F.every("first").alias("all")).where("all").select("item_id"))
@@ -62,6 +77,10 @@ def dedup_greedy(df: DataFrame, keys: DataFrame, rank: str = "item_id") -> DataF
         gone = checkpointed(open_.join(taken, "key", "left_semi").join(accepted, "item_id", "left_anti").select("item_id").distinct())
         dropped = gone if dropped is None else checkpointed(dropped.union(gone))
         open_ = checkpointed(open_.join(accepted.union(gone), "item_id", "left_anti"))
+    if n:
+        few = open_.groupBy("r", "item_id").agg(F.collect_set("key").alias("keys")).repartition(1).sortWithinPartitions("r", "item_id")
+        gone = few.select("item_id", "keys").mapInPandas(settle, open_.select("item_id").schema)
+        dropped = gone if dropped is None else dropped.union(gone)
     return df if dropped is None else df.join(dropped, "item_id", "left_anti")
 
 

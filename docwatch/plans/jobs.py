@@ -13,6 +13,7 @@ from docwatch.operators import match as M
 from docwatch.operators import select as S
 from docwatch.operators import state as G
 from docwatch.operators import stats as E
+from docwatch.sources.feeds import flatten_master_list
 
 
 @dataclass(frozen=True)
@@ -31,10 +32,10 @@ class FunnelRun:
     record: DataFrame  # one row
 
 
-def judged(chosen: DataFrame, tiers: list[tuple[str, DataFrame]], curated: DataFrame | None = None) -> DataFrame:
+def judged(chosen: DataFrame, tiers: list[tuple[str, DataFrame]], curated: DataFrame | None, gate: Column) -> DataFrame:
     """Chosen candidates with the tier that drops each (null: none does) and the reason its verdict gives. Columns
     tier and reason are replaced."""
-    rows = chosen.withColumn("tier", F.when(~readable("text"), F.lit("text"))).withColumn("reason", F.lit(None).cast("string"))
+    rows = chosen.withColumn("tier", F.when(~gate, F.lit("text"))).withColumn("reason", F.lit(None).cast("string"))
     for k, (name, verdicts) in enumerate(tiers):
         why = F.col("reason") if "reason" in verdicts.columns else F.lit(name)
         rows = rows.join(verdicts.select("item_id", F.col("passes").alias("__p"), why.alias("__why")), "item_id", "left")
@@ -55,7 +56,7 @@ def funnel(candidates: DataFrame, known: list[DataFrame], since, today, exempt:
     A tier is (name, verdicts(item_id, passes, reason?)); a missing verdict is retried later and logged as such.
     curated(item_id, party_tokens) overrides the first tier's drop where candidates carry party_tokens that match."""
     chosen, floored = S.select_candidates(candidates, known, since, today, exempt)
-    rows = judged(chosen, tiers, curated)
+    rows = judged(chosen, tiers, curated, readable("text"))
     return Funnel(rows.where("tier is null").drop("tier", "reason"), rows.where("tier is not null").select("item_id", "source", "tier"), floored)
 
 
@@ -72,9 +73,10 @@ def funnel_run(
     consensus over guards[name](item, attempt, vote, reason) (E10; an item without attempts was not guarded and isn't
     held for that), routing (G11; overruling(item_id) holds, cleared(item_id) lifts), the seen ids (G13: what has a
     definite outcome, is not held and has a text; a missing verdict comes again) and the run's record (E5)."""
-    chosen, floored = S.select_candidates(candidates, known, since, today, exempt)
+    slim = candidates.select("item_id", "source", "date", "ingest_seq", "docket_tokens", "party_tokens", S.reasons(**validity).alias("flags"), readable("text").alias("readable"))
+    chosen, floored = S.select_candidates(slim, known, since, today, exempt)  # no text crosses a shuffle
     twins = M.same_item_keys(chosen).join(M.same_item_keys(existing).select("key"), "key", "left_semi").select("item_id", F.lit(True).alias("__twin")).distinct()
-    rows = judged(chosen.withColumn("flags", S.reasons(**validity)), tiers, existing).join(twins, "item_id", "left")
+    rows = judged(chosen, tiers, existing, F.col("readable")).join(twins, "item_id", "left")
     rows = rows.withColumn("tier", F.when(F.col("__twin"), F.lit("duplicate")).otherwise(F.col("tier")))
     rows = rows.withColumn("reason", F.when(F.col("__twin").isNull(), F.col("reason")))
     rows = M.checkpointed(rows.select("item_id", "source", "date", "ingest_seq", "docket_tokens", "party_tokens", "flags", "tier", "reason"))
@@ -95,7 +97,7 @@ def funnel_run(
         cards = cards.join(E.consensus(own, tries).select(F.col("item").alias("item_id"), F.col("outcome").alias(name)), "item_id", "left")
         holds |= {name: F.col(name) == "flag", f"{name} unavailable": F.col(name) == "unavailable"}
     cards = cards.join(overruling.select("item_id", F.lit(True).alias("__over")).distinct(), "item_id", "left")
-    cards = M.checkpointed(G.route(cards, cleared, **holds).drop("__over"))
+    cards = G.route(cards, cleared, **holds).drop("__over")
 
     drops = fate.where("tier is not null")
     definite = drops.where(F.col("tier").isin(["duplicate", *(name for name, _ in tiers)])).select("item_id")
@@ -141,16 +143,35 @@ def page_watch(pages: DataFrame, state: DataFrame, existing: DataFrame, required
     return {"outcome": outcome, "state": next_state, "items": G.merge_items(existing, new, "stable_key", "url")}
 
 
-def registry_watch(records: DataFrame, seen: DataFrame, existing: DataFrame, requests: DataFrame, results: DataFrame, statuses: list[str], excluded_prefix: str, words: list[str], max_age: int) -> dict[str, DataFrame]:
-    """records(item_id, status, number, token, title) that moved, screened by title words; applied late results are merged, drops are listed for the audit."""
-    moved = S.moved_records(records, seen, statuses, excluded_prefix)
-    wanted = F.lower("title").rlike("|".join(words))
-    screened = moved.where(F.coalesce(wanted, F.lit(False)))
+def registry_watch(
+    lists: DataFrame, periods: DataFrame, record: str, this_year: int, seen: DataFrame, existing: DataFrame, requests: DataFrame, results: DataFrame, audits: DataFrame, logged: DataFrame, *,
+    statuses: list[str], excluded_prefix: str, words: list[str], max_age: int, max_fails: int = 3,
+) -> dict[str, DataFrame]:
+    """lists(period_id, payload) of the active periods(period_id, last_year) (C5), flattened (A3: the DDL record names
+    item_id, status, number, token and title; of a record that is listed twice the newest period's counts). Records that
+    moved (C3) are screened by title words.
+
+    Every screen drop is audited by audits(item_id, token, suspect): a suspect goes on; a drop that was confirmed is seen
+    in this version; one whose audit failed (no verdict) comes again, and goes on without one after max_fails failures in
+    logged(item_id, token, recall). Late results that apply (D13) are merged (G1) and settle their version."""
+    live = S.active_periods(periods, "last_year", this_year, "period_id").select("period_id")
+    records = flatten_master_list(lists.join(live, "period_id", "left_semi"), "payload", record, id_field="item_id", keep=("period_id",))
+    moved = S.moved_records(S.first_per_key(records, "item_id", F.desc("period_id"), "token"), seen, statuses, excluded_prefix)
+    version = ["item_id", "token"]
+    verdicts = audits.groupBy(*version).agg(F.max("suspect").alias("suspect"))
+    fails = logged.where("recall = 'error'").groupBy(*version).agg(F.count("*").alias("fails"))
+    rows = moved.withColumn("wanted", F.coalesce(F.lower("title").rlike("|".join(words)), F.lit(False))).join(verdicts, version, "left").join(fails, version, "left")
+    recall = F.when(F.col("suspect") | (F.col("fails") >= max_fails), "escalated").when(~F.col("suspect"), "ok").otherwise("error")
+    rows = M.checkpointed(rows.select(*version, "status", "title", "wanted", F.when(~F.col("wanted"), recall).alias("recall")))
+
+    screened = rows.where("wanted or recall = 'escalated'")
     outcome = M.apply_carried(requests, results, screened.select("item_id"), max_age)
-    applied = outcome.where("outcome = 'applied' and verdict = 'keep'").select("item_id").distinct()
-    new = screened.join(applied, "item_id", "left_semi").select("item_id", "status", "token", F.lit(None).cast("date").alias("first_seen"))
-    drops = moved.where(~F.coalesce(wanted, F.lit(False))).select("item_id", F.lit("screen").alias("stage"), F.col("title").alias("reason"))
-    return {"outcome": outcome, "items": G.merge_items(existing, new, "item_id", "token"), "drops": drops}
+    applied = outcome.where("outcome = 'applied'").groupBy("item_id").agg(F.max(F.col("verdict") == "keep").alias("keep"))
+    new = screened.join(applied.where("keep"), "item_id", "left_semi").select("item_id", "status", "token", F.lit(None).cast("date").alias("first_seen"))
+    settled = screened.join(applied, "item_id", "left_semi").select(*version).union(rows.where("recall = 'ok'").select(*version))
+    drops = rows.where("not wanted").select(*version, F.lit("screen").alias("stage"), F.col("title").alias("reason"), "recall")
+    after = S.without(seen.select(*version), "item_id", settled.select("item_id")).union(settled)
+    return {"outcome": outcome, "items": G.merge_items(existing, new, "item_id", "token"), "drops": drops, "seen": after}
 
 
 def immutable_watch(records: DataFrame, seen: DataFrame, existing: DataFrame, as_of, wanted, days: int = 45) -> DataFrame:

@@ -100,14 +100,48 @@ def j3(spark, d):
     return J.page_watch(pages, state, existing, "the", ["and", "que", "of"])["items"].select("stable_key", "canonical", "action")
 
 
-@query("j4_registry_watch")
+REGISTRY = """, p AS (SELECT *, year(date) >= 2000 OR year(date) = 1995 AS here, item_id % 10 = 0 AND (year(date) + 1 >= 2000 OR year(date) + 1 = 1995) AS later FROM items),
+    m AS (SELECT *, source IN ('1-URGENT', '2-HIGH') AS wanted, CASE WHEN item_id % 7 = 0 AND NOT later OR item_id % 4 = 0 THEN 'escalated' WHEN item_id % 4 IN (1, 2) THEN 'ok' ELSE 'error' END AS recall
+        FROM p WHERE (here OR later) AND status IN ('ok', 'caution') AND NOT starts_with(source, '5') AND (item_id % 3 <> 0 OR later))"""
+
+
+def registry(spark, d):
+    """Orders as registry records: a list per year and 500 ids; every tenth record is listed again, changed, a year later."""
+    i = F.col("item_id")
+    rows = items(spark, d).withColumn("token", F.col("token").cast("string")).withColumn("number", F.col("source")).withColumn("title", F.concat_ws(" ", "source", "raw_status")).withColumn("period_id", F.year("date"))
+    again = rows.where("item_id % 10 = 0").withColumn("token", F.lit("x")).withColumn("period_id", F.col("period_id") + 1)
+    listed = rows.union(again)
+    entry = F.struct(i.cast("string"), F.struct("item_id", "status", "number", "token", "title"))
+    head = F.create_map(F.lit("session"), F.struct(F.lit(0).cast("long").alias("item_id"), *(F.lit("meta").alias(c) for c in ("status", "number", "token", "title"))))
+    maps = listed.groupBy("period_id", F.floor(i / 500)).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    lists = maps.select("period_id", F.to_json(F.struct(F.map_concat("m", head).alias("masterlist"))).alias("payload"))
+    periods = listed.select("period_id", F.when(F.col("period_id") == 1995, "n/a").otherwise(F.col("period_id").cast("string")).alias("last_year")).distinct()
+    audits = listed.where("item_id % 4 <> 3").select("item_id", "token", (i % 4 == 0).alias("suspect"))
+    logged = rows.where("item_id % 7 = 0").select("item_id", "token", F.explode(F.array_repeat(F.lit("error"), 3)).alias("recall"))
+    requests = rows.where("item_id % 2 = 0").select(i.alias("request_id"), "item_id", F.col("token").alias("content_hash"), (F.col("custkey") % 40).alias("age"))
+    results = requests.where("item_id % 6 <> 0").select("request_id", "item_id", "content_hash", F.when(i % 5 == 0, "drop").otherwise("keep").alias("verdict"))
+    return J.registry_watch(
+        lists, periods, "item_id LONG, status STRING, number STRING, token STRING, title STRING", 2001, rows.where("item_id % 3 = 0").select("item_id", "token"),
+        rows.where("item_id % 8 = 0").select("item_id", "status", "token", "first_seen"), requests, results, audits, logged,
+        statuses=["ok", "caution"], excluded_prefix="5", words=["urgent", "high"], max_age=25,
+    )
+
+
+@query("j4_registry_watch", f"""{REGISTRY}, n AS (SELECT item_id FROM m WHERE (wanted OR recall = 'escalated') AND item_id % 2 = 0 AND item_id % 3 <> 0 AND item_id % 5 <> 0)
+    SELECT coalesce(n.item_id, e.item_id) AS item_id, CASE WHEN e.item_id IS NULL THEN 'added' WHEN n.item_id IS NULL THEN 'kept' ELSE 'updated' END AS action
+    FROM n FULL JOIN (SELECT item_id FROM items WHERE item_id % 8 = 0) e ON e.item_id = n.item_id""", "items")
 def j4(spark, d):
-    rows = items(spark, d).withColumn("number", F.col("source")).withColumn("title", F.concat_ws(" ", "source", "raw_status"))
-    seen = rows.where("item_id % 3 = 0").select("item_id", "token")
-    requests = rows.where("item_id % 2 = 0").select(F.col("item_id").alias("request_id"), "item_id", F.col("token").cast("string").alias("content_hash"), (F.col("custkey") % 40).alias("age"))
-    results = requests.where("item_id % 6 <> 0").select("request_id", "item_id", "content_hash", F.when(F.col("item_id") % 5 == 0, "drop").otherwise("keep").alias("verdict"))
-    existing = rows.where("item_id % 9 = 0").select("item_id", "status", "token", "first_seen")
-    return J.registry_watch(rows, seen, existing, requests, results, ["ok", "caution"], "5", ["urgent", "high"], 25)["items"].select("item_id", "action")
+    return registry(spark, d)["items"].select("item_id", "action")
+
+
+@query("j4_drop_audit", f"{REGISTRY} SELECT item_id, recall FROM m WHERE NOT wanted", "items")
+def j4_drop_audit(spark, d):
+    return registry(spark, d)["drops"].select("item_id", "recall")
+
+
+@query("j4_seen", f"""{REGISTRY} SELECT item_id FROM items WHERE item_id % 3 = 0 UNION SELECT item_id FROM m WHERE NOT wanted AND recall = 'ok' OR (wanted OR recall = 'escalated') AND item_id % 2 = 0 AND item_id % 3 <> 0""", "items")
+def j4_seen(spark, d):
+    return registry(spark, d)["seen"].select("item_id")
 
 
 @query("j5_immutable_watch", """SELECT coalesce(n.item_id, e.item_id) AS item_id, CASE WHEN e.item_id IS NULL THEN 'added' WHEN n.item_id IS NULL THEN 'kept' ELSE 'updated' END AS action

@@ -40,10 +40,11 @@ def flatten_search_hits(df: DataFrame) -> DataFrame:
     )
 
 
-def flatten_master_list(df: DataFrame, payload: str, record: str, metadata_key: str = "session", id_field: str = "bill_id") -> DataFrame:
-    """A3: a JSON map of records under `masterlist` with one metadata entry, to a row per record that has an id. record is the struct's DDL."""
+def flatten_master_list(df: DataFrame, payload: str, record: str, metadata_key: str = "session", id_field: str = "bill_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A3: a JSON map of records under `masterlist` with one metadata entry, to a row per record that has an id, with the
+    columns `keep` of its list. record is the struct's DDL."""
     parsed = F.from_json(payload, f"masterlist MAP<STRING, STRUCT<{record}>>")["masterlist"]
-    return df.select(F.explode(parsed).alias("k", "r")).where(F.col("k") != metadata_key).select("r.*").where(F.col(id_field).isNotNull())
+    return df.select(*keep, F.explode(parsed).alias("k", "r")).where(F.col("k") != metadata_key).select(*keep, "r.*").where(F.col(id_field).isNotNull())
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

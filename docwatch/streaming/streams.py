@@ -17,13 +17,11 @@ from docwatch.operators.state import detect_page_changes
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet file, or folder of files, `name` as a stream source."""
     path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(conf).getFileStatus(where).isDirectory():
-        return reader.parquet(path)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    batch = spark.read.parquet(path)
+    reader = spark.readStream.schema(batch.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in batch.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(path)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -32,26 +30,26 @@ def work_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all input that is there, into Parquet, and reads the result."""
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a stream over all input that is there, into Parquet, and reads the result. With the folder of an earlier call
+    it goes on where that one ended."""
     spark = stream.sparkSession
-    folder = work_folder(spark)
+    folder = folder or work_folder(spark)
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def stream_batches(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
-    """Every micro-batch through step(batch, results so far); a batch's results are written under its id, so a replay replaces them."""
+def stream_batches(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], DataFrame], folder: str | None = None) -> DataFrame:
+    """Every micro-batch through step(batch, results so far); a batch's results are written under its id, so a replay
+    replaces them. The results so far are what the folder holds of earlier batches, of which a step reads the columns it
+    needs; nothing is kept in the driver, and a call with the folder of an earlier one goes on where that one ended."""
     spark = stream.sparkSession
-    folder = work_folder(spark)
-    done: list[int] = []
+    folder = folder or work_folder(spark)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        earlier = [f"{folder}/out/batch={b}" for b in done if b != batch_id]
-        state = batch.sparkSession.read.parquet(*earlier) if earlier else None
+        state = batch.sparkSession.read.parquet(f"{folder}/out").where(F.col("batch") < batch_id).drop("batch") if batch_id else None
         step(batch, state).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        done.append(batch_id)
 
     q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -137,22 +135,19 @@ def stream_late_verdicts(requests: DataFrame, results: DataFrame, days: int = 25
     return left.join(right, same, "leftOuter").select("q.item_id", "q.content_hash", "q.ts", "verdict")
 
 
-def stream_page_watch(stream: DataFrame) -> DataFrame:
-    """pages(url, hash, is_shell, extracted) batch by batch against the state that the batch before has left."""
+def stream_page_watch(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """pages(url, hash, is_shell, extracted) batch by batch against the state that the batch before has left under its
+    id; a replay reads and writes the same versions, also after a restart with the same folder."""
     spark = stream.sparkSession
-    folder = work_folder(spark)
-    last: list[int] = []
+    folder = folder or work_folder(spark)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        earlier = [b for b in last if b != batch_id]
-        state = s.read.parquet(f"{folder}/state/{earlier[-1]}") if earlier else s.createDataFrame([], "url string, hash string")
+        state = s.read.parquet(f"{folder}/state/{batch_id - 1}") if batch_id else s.createDataFrame([], "url string, hash string")
         outcome, after = detect_page_changes(batch, state)
         outcome.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
         after.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
-        last.append(batch_id)
 
     q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
-

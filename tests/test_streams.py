@@ -54,6 +54,23 @@ def test_page_watch_and_batches(spark, folder):
     assert S.stream_batches(S.file_stream(spark, d, "n"), lambda b, s: b.where("item_id % 2 = 0")).count() == 5
 
 
+def test_streams_go_on_after_a_restart(spark, folder):
+    keep = lambda b, s: b if s is None else b.join(s, "item_id", "left_anti")
+    home = S.work_folder(spark)
+    d = folder("g", [(k,) for k in range(5)], "item_id long")
+    assert S.stream_batches(S.file_stream(spark, d, "g"), keep, home).count() == 5
+    spark.createDataFrame([(k,) for k in range(3, 9)], "item_id long").write.mode("append").parquet(f"{d}/g.parquet")
+    out = S.stream_batches(S.file_stream(spark, d, "g"), keep, home)
+    assert sorted(r.item_id for r in out.collect()) == list(range(9))  # 3 and 4 are known from the first call
+    home = S.work_folder(spark)
+    schema = "url string, hash string, is_shell boolean, extracted boolean"
+    d = folder("w", [("u", "1", False, True)], schema)
+    S.stream_page_watch(S.file_stream(spark, d, "w"), home)
+    spark.createDataFrame([("u", "1", False, True), ("v", "2", False, True)], schema).coalesce(1).write.mode("append").parquet(f"{d}/w.parquet")
+    out = S.stream_page_watch(S.file_stream(spark, d, "w"), home).where("outcome = 'changed'")
+    assert sorted(r.url for r in out.collect()) == ["u", "v"]  # u doesn't change again
+
+
 def test_funnel_logs_every_drop(spark):
     text = "letters " * 100
     rows = spark.createDataFrame([(k, "s", dt.date(2024, 1, 5), k, text if k != 3 else "short", ["smith", "jones"] if k == 4 else ["x"]) for k in range(8)], "item_id long, source string, date date, ingest_seq int, text string, party_tokens array<string>")
