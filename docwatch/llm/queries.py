@@ -1,11 +1,11 @@
-"""The ten operators as queries over the given tables, and their SQL where SQL can express them."""
+"""The operators as queries over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwatch.llm import merkle, mixing, packing, pii, quality, sharding, simhash, substring, topk, urlfilter
+from docwatch.llm import merkle, mixing, packing, pii, quality, queries_turns, sharding, simhash, substring, topk, urlfilter
 from docwatch.llm.common import table
 
 #: (verdict, host, path): fixed values.
@@ -82,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_disclosure, op2_simhash_near_dedup, op3_url_filters, op4_mixing, op5_sharding, op6_exact_top_k, op7_merkle_fingerprints, op8_substring_dedup, op9_best_fit_packing, op10_quality_classifier, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii_disclosure, op2_simhash_near_dedup, op3_url_filters, op4_mixing, op5_sharding, op6_exact_top_k, op7_merkle_fingerprints, op8_substring_dedup, op9_best_fit_packing, op10_quality_classifier, pipeline)} | queries_turns.QUERIES
 
 ORACLES = {
     "op7_merkle_fingerprints": r"""
@@ -136,4 +136,4 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
         k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r, vec_id, score FROM s)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM k WHERE r <= 5""",
-}
+} | queries_turns.ORACLES

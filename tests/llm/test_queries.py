@@ -15,7 +15,7 @@ def test_query_over_the_given_tables(spark, sf, name):
     assert got
     if name in queries.ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         cur = con.execute(queries.ORACLES[name])
         names = [c[0] for c in cur.description]
