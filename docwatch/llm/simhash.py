@@ -449,9 +449,15 @@ def in_blocks(rows: DataFrame, tile: int, visit: bool) -> DataFrame:
     return placed.select(group.alias("group"), *rows.columns, (F.col("block") == F.col("own")).alias("home"), "blocks")
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 200, keys: int = 8, tile: int = 1 << 12, limit: int = 4) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) to (classes, edges): classes(node, doc_id, t1, t2, ...) has a row per set of shingles, edges(u, v) are pairs
-    of nodes with a Jaccard similarity of at least `similarity`, and connect all that the similar pairs found connect.
+def similar_pairs(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The classes and edges of similar_links()."""
+    return similar_links(docs, **options)[:2]
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 200, keys: int = 8, tile: int = 1 << 12, limit: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs(doc_id, text) to (classes, edges, links): classes(node, doc_id, t1, t2, ...) has a row per set of shingles, edges(u, v) are
+    pairs of nodes with a Jaccard similarity of at least `similarity`, and connect all that the similar pairs found connect. links(u, v)
+    connect the same in stars, but for the last round's edges.
 
     Sets meet under their `keys` smallest shingle hashes (keyed()): two sets of Jaccard similarity s share none of them with a
     probability of (1 - s)**keys. What meets is compared by SimHash of 1024 bits, 256 of them in vertical planes: sets of
@@ -496,7 +502,7 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
             sets = [(shingle_set(t, shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "members"])
 
-    edges, tested, first = None, None, True
+    edges, tested, stars, first = None, None, None, True
     texts = docs.select("doc_id", *text_hashes("text"), "text")
     while True:
         blocks = in_blocks(rows, tile, visit=not first)
@@ -514,11 +520,13 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
         both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
         good = cut(both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint"))
         edges = good if edges is None else edges.union(good)
+        links = good if stars is None else stars.union(good)
         rows = found.where("u is null").select(*cols)
         if rows.isEmpty():
-            return classes, edges
+            return classes, edges, links
         tested, first, limit = pairs if tested is None else tested.union(pairs), False, limit * (16 if first else 64)
-        now = components(edges).select("node", F.col("root").alias("now")).where("node <> now")
+        stars = components(links).where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        now = stars.select(F.col("u").alias("node"), F.col("v").alias("now"))
         rows = rows.join(now, "node", "left").withColumn("root", F.coalesce("now", "node")).select(*cols)
         several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
         rows = cut(rows.join(several, "key", "left_semi"))
@@ -529,8 +537,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     rows any). Rows that share an id but differ in their texts are documents of their own. Rows without an id have no group and
     stay. Texts without words are one group. Other columns, whatever their names, are carried along."""
     slim = columns(docs, doc_id=doc_id, text=text).where("doc_id is not null")
-    classes, edges = similar_pairs(slim, **options)
-    roots = components(edges).where("node <> root")
+    classes, _, links = similar_links(slim, **options)
+    roots = components(links).where("node <> root")
     named = classes.select("node", "doc_id", "t1", "t2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = cut(named.groupBy("root").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("head")).select("head.*"))
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), *text_hashes(text))
