@@ -68,12 +68,16 @@ def quoted(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))))
 
 
-def silence_claims(df: DataFrame, reason: str, source_words: list[str], supplied_words: list[str]) -> DataFrame:
-    """T4: claims that the source is silent, where the clause before (70 characters at most, after the last `;` or `. `) names the source and not the material that was supplied."""
-    silent = r"(?i)([^;.]{0,70})\b(?:does not|doesn't|never) (?:mention|discuss|address|say)"
-    clauses = F.regexp_extract_all(F.coalesce(reason, F.lit("")), F.lit(silent), 1)
-    either = lambda c, words: F.lower(c).rlike(r"\b(" + "|".join(words) + r")\b")
-    return df.withColumn("silent_source", F.exists(clauses, lambda c: either(c, source_words) & ~either(c, supplied_words)))
+def silence_claims(df: DataFrame, reason: str, silence: str = values.SILENCE, source: str = values.SILENT_SOURCE, supplied: str = values.SUPPLIED, reach: int = 70) -> DataFrame:
+    """T4: silences, the phrases that call the source silent: the clause before (`reach` characters at most, after the last `;`
+    and `. `) names the source and not the material that was supplied; and silent_source, whether there are any."""
+    t = F.coalesce(reason, F.lit(""))
+    rows = df.withColumn("__m", F.regexp_extract_all(t, F.lit(f"(?i){silence}"), F.lit(0))).withColumn("__p", F.split(t, f"(?i){silence}", -1))
+    before = lambda k: F.array_join(F.transform(F.slice("__p", F.lit(1), k + 1), lambda p, i: F.concat(F.coalesce(F.get("__m", i - 1), F.lit("")), p)), "")
+    clause = lambda c: F.regexp_replace(F.regexp_replace(F.right(c, F.lit(reach)), "(?s)^.*;", ""), r"(?s)^.*\. ", "")
+    claims = F.transform("__m", lambda m, k: F.struct(m.alias("phrase"), clause(before(k)).alias("clause")))
+    found = F.filter(claims, lambda x: x["clause"].rlike(f"(?i){source}") & ~x["clause"].rlike(f"(?i){supplied}"))
+    return rows.withColumn("silences", F.transform(found, lambda x: x["phrase"])).withColumn("silent_source", F.size("silences") > 0).drop("__m", "__p")
 
 
 def extract_references(df: DataFrame, key: str, text: str, patterns: dict[str, tuple[str, str]] = values.REFERENCE_PATTERNS) -> DataFrame:

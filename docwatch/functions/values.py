@@ -41,6 +41,20 @@ CLIP_MARKER, CLIP_HEAD = "\n\n[... middle of the opinion omitted for length ...]
 DISPOSITIONS = [("in part", "mixed"), ("affirm", "affirmed"), ("revers", "reversed"), ("vacat", "vacated"), ("dismiss", "dismissed")]
 #: Prefixes of drop reasons and their tiers.
 DROP_TIERS = [("screen:", "screen"), ("pretriage:", "pretriage"), ("triage:", "triage"), ("summarizer:", "summarizer")]
+#: T4: words of silence, of the source that is called silent, and of the material that was supplied.
+SILENCE = (
+    r"\b(?:does\s+not|doesn'?t|do\s+not|don'?t|fails?\s+to|never)\s+(?:\w+\s+){0,2}?"
+    r"(?:identify|identifies|specify|specifies|state|states|say|says|indicate|indicates|"
+    r"mention|mentions|disclose|discloses|define|defines|spell\s+out|set\s+out|make\s+clear)\b"
+    r"|\b(?:is|are|was|were)\s+silent\b"
+    r"|\bnot\s+(?:identified|specified|stated|spelled\s+out)\b"
+)
+SILENT_SOURCE = r"\b(?:bill|act|statute|legislation|enrolled)\b"
+SUPPLIED = r"\b(?:provided|supplied|given|description|title|summary|available)\b"
+#: The date at the end of a snapshot's name.
+SNAPSHOT = r"-[0-9]{8}$"
+#: Steps that are recorded even where a run was torn down.
+BOOKKEEPING = ("Complete job",)
 #: Conclusions of steps that didn't run (null too), and name parts of steps that report.
 DID_NOT_RUN = ("skipped", "cancelled")
 REPORTING_HINTS = ("report", "alert", "notify", "issue")

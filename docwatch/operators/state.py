@@ -116,18 +116,27 @@ def detect_page_changes(pages: DataFrame, state: DataFrame) -> tuple[DataFrame,
     return rows.select("url", "outcome"), rows.select("url", kept.alias("hash")).where("hash is not null").union(unseen.select("url", "hash"))
 
 
-def advance_mark(mark: int, found: DataFrame, resolved: DataFrame, waiting: DataFrame, tries: DataFrame, failed: DataFrame, covered: int | None, most: int) -> DataFrame:
-    """One row (mark, given_up ids): the highest listed id (or the covered bound of an incomplete listing), but just
-    below the lowest id that is still outstanding. Only failed(item_id) ids use a try of tries(item_id, n); at `most` they are given up."""
-    ids = union_ids(found.select("item_id"), waiting.select("item_id"), tries.select("item_id")).where(F.col("item_id") > mark)
-    now = ids.join(tries, "item_id", "left").join(failed.select("item_id", F.lit(1).alias("f")), "item_id", "left").join(resolved.select("item_id", F.lit(True).alias("done")), "item_id", "left")
-    now = now.withColumn("n", F.coalesce("n", F.lit(0)) + F.coalesce("f", F.lit(0)))
-    gave = (F.col("n") >= most) & F.col("f").isNotNull() & F.col("done").isNull()
-    outstanding = F.col("done").isNull() & ~gave
-    top = found.agg(F.coalesce(F.max("item_id"), F.lit(mark)).alias("top"))
-    one = now.agg(F.min(F.when(outstanding, F.col("item_id"))).alias("lowest"), F.array_sort(F.collect_list(F.when(gave, F.col("item_id")))).alias("given_up"))
-    high = F.greatest(F.lit(mark), F.col("top") if covered is None else F.least("top", F.lit(covered)))
-    return one.join(F.broadcast(top)).select(F.coalesce(F.greatest(F.lit(mark), F.least(high, F.col("lowest") - 1)), high).cast("long").alias("mark"), "given_up")  # two one-row tables
+def advance_mark(mark: int, found: DataFrame, resolved: DataFrame, waiting: DataFrame, tries: DataFrame, failed: DataFrame, covered: int | None, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The next mark (one row), the ids given up on (item_id) and the next tries(item_id, n).
+
+    The mark rises to the highest found id, of an incomplete listing to the bound that it covered, but stops just below the
+    lowest found id that is outstanding: above the mark, not resolved, not given up. Only failed(item_id) ids spend a try; a
+    waiting one spends none and isn't given up; with `most` tries an id is given up, whether it failed now or before. Tries
+    of ids that were not found are carried; those up to the new mark are forgotten."""
+    flag = lambda df, name: df.select("item_id", F.lit(True).alias(name)).distinct()
+    now = found.select("item_id").distinct().join(tries.select("item_id", "n"), "item_id", "left")
+    for df, name in ((resolved, "done"), (waiting, "waits"), (failed, "failed")):
+        now = now.join(flag(df, name), "item_id", "left")
+    now = now.withColumn("spent", F.coalesce("n", F.lit(0)) + F.when(F.col("failed") & F.col("waits").isNull(), 1).otherwise(0))
+    is_open = (F.col("item_id") > mark) & F.col("done").isNull()
+    now = now.withColumn("gave", is_open & F.col("waits").isNull() & (F.col("spent") >= most))
+    lowest = F.min(F.when(is_open & ~F.col("gave"), F.col("item_id"))) - 1
+    top = F.lit(covered) if covered is not None else F.coalesce(F.max("item_id"), F.lit(mark))
+    after = now.agg(F.greatest(F.lit(mark), F.least(top, lowest)).cast("long").alias("mark"))
+    kept = now.where(is_open & ~F.col("gave") & F.col("waits").isNull() & (F.col("spent") > 0)).select("item_id", F.col("spent").cast("long").alias("n"))
+    carried = without(tries.select("item_id", F.col("n").cast("long").alias("n")), "item_id", found)
+    left = kept.union(carried).join(F.broadcast(after.withColumnRenamed("mark", "__m")), F.col("item_id") > F.col("__m")).select("item_id", "n")  # one row
+    return after, now.where("gave").select("item_id"), left
 
 
 def update_abandoned(listed: DataFrame, gave_up: DataFrame, retried: DataFrame, resolved: DataFrame, today) -> DataFrame:
@@ -143,18 +152,21 @@ def update_abandoned(listed: DataFrame, gave_up: DataFrame, retried: DataFrame,
 
 def retry_pending(pending: DataFrame, attempted: DataFrame, succeeded: DataFrame, no_text: DataFrame, stopped: bool, today, max_tries: int = 4, text_weeks: int = 8) -> DataFrame:
     """pending(item_id, citer_id, tries, text_since) after a run: action retry, done or manual. A failure costs a try
-    unless the run was stopped; missing text costs none but runs on a clock of text_weeks."""
+    unless the run was stopped, and ends the wait for a text; a missing text costs none but runs on a clock of text_weeks
+    from its first day. What the run did not reach stays as it is. A pair that is new in this run is never given up at once."""
     key = ["item_id", "citer_id"]
     flag = lambda df, name: df.select(*key, F.lit(True).alias(name)).distinct()
     ids = union_ids(pending.select(*key), attempted.select(*key), no_text.select(*key))
-    rows = ids.join(pending, key, "left").join(flag(attempted, "a"), key, "left").join(flag(succeeded, "s"), key, "left").join(flag(no_text, "x"), key, "left")
+    rows = ids.join(pending.withColumn("p", F.lit(True)), key, "left").join(flag(attempted, "a"), key, "left").join(flag(succeeded, "s"), key, "left").join(flag(no_text, "x"), key, "left")
     day = F.lit(today).cast("date")
-    since = F.when(F.col("x").isNotNull(), F.coalesce("text_since", day))
-    failed = F.col("a").isNotNull() & F.col("s").isNull() & F.col("x").isNull() & F.lit(not stopped)
-    rows = rows.withColumn("tries", F.coalesce("tries", F.lit(0)) + F.when(failed, 1).otherwise(0)).withColumn("text_since", since)
-    manual = (F.col("tries") >= max_tries) | (F.date_diff(day, F.col("text_since")) >= 7 * text_weeks)
-    action = F.when(F.col("s").isNotNull(), "done").when(F.coalesce(manual, F.lit(False)), "manual").otherwise("retry")
-    return rows.select(*key, "tries", "text_since", action.alias("action"))
+    there = lambda c: F.col(c).isNotNull()
+    failed = there("a") & ~there("s") & ~there("x")
+    tries = F.coalesce("tries", F.lit(0)) + F.when(failed & F.lit(not stopped), 1).otherwise(0)
+    since = F.when(there("x"), F.coalesce("text_since", day)).when(~failed, F.col("text_since"))
+    waited = there("x") & (F.date_diff(day, F.col("text_since")) >= 7 * text_weeks)
+    manual = there("p") & (F.coalesce(waited, F.lit(False)) | (failed & F.lit(not stopped) & (tries >= max_tries)))
+    action = F.when(there("s"), "done").when(manual, "manual").otherwise("retry")
+    return rows.select(*key, tries.alias("tries"), since.alias("text_since"), action.alias("action"))
 
 
 def sweep_state(sweep: DataFrame, run: DataFrame) -> DataFrame:
@@ -181,13 +193,28 @@ def route(items: DataFrame, cleared: DataFrame, **holds: Column) -> DataFrame:
     return rows.withColumn("lane", F.when(held, "held").otherwise("auto")).drop("__c")
 
 
-def reconcile_review(pending: DataFrame, staged: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Outcome per pending(item_id): declined (stays seen) or vetoed (may come again) by decisions(item_id,
-    decision), also if its file was restored; accepted if neither and no longer staged; else waiting. Applying it twice changes nothing."""
-    d = decisions.groupBy("item_id").agg(F.max((F.col("decision") == "decline")).alias("declined"), F.max(F.col("decision") == "veto").alias("vetoed"))
-    rows = pending.join(d, "item_id", "left").join(staged.select("item_id", F.lit(True).alias("s")).distinct(), "item_id", "left")
-    outcome = F.when(F.col("declined"), "declined").when(F.col("vetoed"), "vetoed").when(F.col("s").isNull(), "accepted").otherwise("waiting")
-    return rows.withColumn("outcome", outcome).drop("declined", "vetoed", "s")
+def reconcile_review(pending: DataFrame, staged: DataFrame, decisions: DataFrame, published: DataFrame, merged: bool = True) -> DataFrame:
+    """(item_id, outcome) of a review batch that was merged, for pending(item_id) and staged(item_id, card_id).
+
+    What is still staged is accepted: a new card (card_id null) that isn't published(item_id) yet, or a change to card_id, if
+    that is published or accepted with it. decisions(item_id, decision) block a case even if its file was restored. A
+    pending case that isn't accepted is declined (stays seen) by that decision, else vetoed (may come again). A staged
+    case that is neither accepted nor pending is skipped. A batch closed without a merge vetoes all that is pending.
+    Applied again, with the ids accepted before among the published and none pending, it accepts no card twice."""
+    one = lambda df: df.select("item_id").distinct()
+    if not merged:
+        return one(pending).withColumn("outcome", F.lit("vetoed"))
+    blocked = one(decisions.where(F.col("decision").isin("veto", "decline")))
+    free = without(staged.select("item_id", "card_id"), "item_id", blocked)
+    cards = one(without(free.where("card_id is null"), "item_id", published))
+    live = union_ids(one(published), cards).toDF("card_id")
+    accepted = union_ids(cards, one(free.join(live, "card_id", "left_semi")))
+    flag = lambda df, name: one(df).withColumn(name, F.lit(True))
+    rows = union_ids(one(pending), one(staged))
+    for df, name in ((accepted, "a"), (decisions.where("decision = 'decline'"), "d"), (pending, "p")):
+        rows = rows.join(flag(df, name), "item_id", "left")
+    outcome = F.when(F.col("a"), "accepted").when(F.col("p").isNull(), "skipped").when(F.col("d"), "declined").otherwise("vetoed")
+    return rows.select("item_id", outcome.alias("outcome"))
 
 
 def advance_seen(cap: int, held: DataFrame, *ids: DataFrame) -> DataFrame:

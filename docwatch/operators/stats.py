@@ -113,12 +113,20 @@ def thin_coverage(added: DataFrame, golden: DataFrame, least: int) -> tuple[Data
     return thin, covers
 
 
-def feed_shape(raw: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries against parsed rows per source, and one code: 0 healthy, 3 drift, 4 nothing parsed at all."""
-    both = raw.groupBy("source").agg(F.count("*").alias("entries")).join(parsed.groupBy("source").agg(F.count("*").alias("parsed")), "source", "full")
-    per = both.select("source", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"), F.coalesce("parsed", F.lit(0)).cast("long").alias("parsed"))
-    code = F.when(F.coalesce(F.sum("parsed"), F.lit(0)) == 0, 4).when(F.count_if(F.col("parsed") < F.col("entries")) > 0, 3).otherwise(0)
-    return per, per.agg(code.alias("code"))
+def feed_shape(raw: DataFrame, parsed: DataFrame, feeds: DataFrame | None = None, fleet: list[str] = []) -> tuple[DataFrame, DataFrame]:
+    """Entries against parsed rows per source with a status (ok, empty, no-candidates), and one code, per fleet of
+    sources if columns name one: 0 healthy (a source yields candidates), 3 drift (entries, but none parsed anywhere), 4 soft
+    (nothing to assess). feeds(source) lists sources that may have no entry at all."""
+    by = [*fleet, "source"]
+    count = lambda df, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    both = count(raw, "entries").join(count(parsed, "parsed"), by, "full")
+    if feeds is not None:
+        both = both.join(feeds.select(*by).distinct(), by, "full")
+    per = both.select(*by, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("entries", "parsed")))
+    per = per.withColumn("status", F.when(F.col("parsed") > 0, "ok").when(F.col("entries") == 0, "empty").otherwise("no-candidates"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    code = F.when(total("parsed") > 0, 0).when(total("entries") > 0, 3).otherwise(4)
+    return per, (per.groupBy(*fleet) if fleet else per).agg(code.alias("code"))
 
 
 def sweep_report(df: DataFrame, status: str, tier: str) -> DataFrame:
@@ -126,27 +134,38 @@ def sweep_report(df: DataFrame, status: str, tier: str) -> DataFrame:
     return df.groupingSets([[status, tier], [status]], status, tier).agg(F.count("*").alias("n")).select(F.col(status).alias("status"), F.col(tier).alias("tier"), "n")
 
 
-def newest_per_group(df: DataFrame, pins: DataFrame) -> DataFrame:
-    """The newest of df(tier, name, created, version) per tier, by date if all rows are dated, else by version; upgrade if strictly newer than the pin(tier, name); a pin that isn't listed is noted."""
-    per = df.groupBy("tier").agg(F.every(F.col("created").isNotNull()).alias("dated"), F.max_by("name", F.struct("created", "version", "name")).alias("by_date"), F.max_by("name", F.struct("version", "name")).alias("by_version"))
-    per = per.withColumn("newest", F.when(F.col("dated"), F.col("by_date")).otherwise(F.col("by_version")))
-    facts = df.select("tier", "name", "created", "version")
-    rows = per.join(pins.withColumnRenamed("name", "pin"), "tier", "left")
-    rows = rows.join(facts.select("tier", F.col("name").alias("newest"), F.col("created").alias("n_created"), F.col("version").alias("n_version")), ["tier", "newest"], "left")
-    rows = rows.join(facts.select("tier", F.col("name").alias("pin"), F.col("created").alias("p_created"), F.col("version").alias("p_version"), F.lit(True).alias("listed")), ["tier", "pin"], "left")
-    newer = F.when(F.col("dated"), F.col("n_created") > F.col("p_created")).otherwise(F.col("n_version") > F.col("p_version"))
-    return rows.select("tier", "newest", "pin", F.coalesce(newer, F.lit(False)).alias("upgrade"), (F.col("pin").isNotNull() & F.col("listed").isNull()).alias("pin_missing"))
+def newest_per_group(df: DataFrame, pins: DataFrame, snapshot: str = values.SNAPSHOT) -> DataFrame:
+    """The newest of df(tier, name, created, version) per tier, by date if all rows are dated, else by version, against
+    pins(tier, name). A snapshot of a name is the same thing as the name. An upgrade is something else that is strictly newer,
+    by date if both have one, else by version; where the pin isn't listed in any form, that is noted and the newest replaces it."""
+    plain = lambda c: F.regexp_replace(c, snapshot, "")
+    fact = F.struct("name", "created", "version")
+    per = df.groupBy("tier").agg(F.every(F.col("created").isNotNull()).alias("dated"), F.max_by(fact, F.struct("created", "version", "name")).alias("by_date"), F.max_by(fact, F.struct("version", "name")).alias("by_version"))
+    per = per.withColumn("new", F.when(F.col("dated"), F.col("by_date")).otherwise(F.col("by_version")))
+    wanted = pins.select(F.col("tier"), F.col("name").alias("pin"), plain("name").alias("plain"))
+    forms = df.select("tier", plain("name").alias("plain"), fact.alias("fact")).join(wanted, ["tier", "plain"])
+    held = forms.groupBy("tier").agg(F.min_by("fact", F.struct(F.col("fact.name") != F.col("pin"), "fact.name")).alias("old"))
+    rows = per.join(wanted, "tier", "left").join(held, "tier", "left")
+    dates = F.col("new.created").isNotNull() & F.col("old.created").isNotNull()
+    newer = F.col("old").isNull() | F.when(dates, F.col("new.created") > F.col("old.created")).otherwise(F.col("new.version") > F.col("old.version"))
+    upgrade = F.col("pin").isNotNull() & (plain("new.name") != F.col("plain")) & newer
+    return rows.select("tier", F.col("new.name").alias("newest"), "pin", F.coalesce(upgrade, F.lit(False)).alias("upgrade"), (F.col("pin").isNotNull() & F.col("old").isNull()).alias("pin_missing"))
 
 
 def silent_failures(steps: DataFrame, jobs: DataFrame, reporting: tuple[str, ...] = values.REPORTING_HINTS) -> DataFrame:
     """Failed jobs(job) whose steps(job, pos, name, conclusion) after the first failure all did not run, or are
-    reporting steps (by a part of the name) that failed; a failed job without steps is silent too."""
-    listed = steps.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "conclusion"))).alias("s"))
-    rows = jobs.where("conclusion = 'failure'").select("job").join(listed, "job", "left")
+    reporting steps (by a part of the name) that failed. Bookkeeping steps and the clean-up `Post X` of an earlier step X
+    don't count. A failed job without steps, or without a failed one, is silent too."""
+    listed = steps.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", F.lit("")).alias("name"), "conclusion"))).alias("s"))
+    rows = jobs.where("conclusion = 'failure'").select("job").distinct().join(listed, "job", "left")
+    rows = rows.withColumn("s", F.filter("s", lambda x: ~x["name"].isin(*values.BOOKKEEPING)))
+    cleans = lambda x, i: x["name"].startswith("Post ") & F.array_contains(F.transform(F.slice("s", F.lit(1), i), lambda y: y["name"]), F.substring(x["name"], F.lit(6), F.length(x["name"])))
+    rows = rows.withColumn("s", F.filter("s", lambda x, i: ~cleans(x, i)))
     first = F.coalesce(F.array_position(F.transform("s", lambda x: x["conclusion"]), "failure"), F.lit(0)).cast("int")
-    rows = rows.withColumn("after", F.when(first > 0, F.slice("s", first + 1, F.greatest(F.size("s") - first, F.lit(0)))).otherwise(F.col("s")))
-    quiet = F.forall("after", lambda x: x["conclusion"].isNull() | x["conclusion"].isin(*values.DID_NOT_RUN) | (F.coalesce(F.lower(x["name"]).rlike("|".join(reporting)), F.lit(False)) & (x["conclusion"] == "failure")))
-    return rows.withColumn("silent", F.col("s").isNull() | quiet).select("job", "silent")
+    rows = rows.withColumn("first", first)
+    after = F.slice("s", F.col("first") + 1, F.greatest(F.size("s") - F.col("first"), F.lit(0)))
+    quiet = F.forall(after, lambda x: x["conclusion"].isNull() | x["conclusion"].isin(*values.DID_NOT_RUN) | (F.lower(x["name"]).rlike("|".join(reporting)) & (x["conclusion"] == "failure")))
+    return rows.select("job", (F.col("s").isNull() | (F.col("first") == 0) | quiet).alias("silent"))
 
 
 def evaluate_coverage(golden: DataFrame, attempts: DataFrame, tries: int) -> tuple[DataFrame, DataFrame]:

@@ -296,16 +296,25 @@ def e12b(spark, d):
     return E.thin_coverage(rows, rows.where("item_id % 4 = 0"), 6)[1].select("item_id", F.array_join("covers", ",").alias("covers"))
 
 
-@query("e13_feed_shape", """SELECT regexp_extract(url, '([a-z]+)(/|$)', 1) AS source, count(*) AS entries, count(*) FILTER (page_id % 5 > 0) AS parsed FROM pages GROUP BY 1""")
+FEEDS = """WITH f AS (SELECT page_id, regexp_extract(url, '([a-z]+)(/|$)', 1) AS source, CASE WHEN length(url) % 3 = 0 THEN 'a' WHEN length(url) % 3 = 1 THEN 'b' ELSE 'c' END AS fleet, length(html) AS n FROM pages),
+    p AS (SELECT fleet, source, count(*) FILTER (fleet <> 'c') AS entries, count(*) FILTER (fleet = 'a' AND n % 5 > 0) AS parsed FROM f GROUP BY ALL)"""
+
+
+def feeds(spark, d):
+    """Pages as feed entries of three fleets: of a some are parsed, of b none, those of c bring none."""
+    fleet = F.element_at(F.array(*map(F.lit, "abc")), (F.length("url") % 3 + 1).cast("int"))
+    rows = table(spark, d, "pages").select(F.regexp_extract("url", "([a-z]+)(/|$)", 1).alias("source"), fleet.alias("fleet"), F.length("html").alias("n"))
+    return E.feed_shape(rows.where("fleet <> 'c'"), rows.where("fleet = 'a' and n % 5 > 0"), rows, ["fleet"])
+
+
+@query("e13_feed_shape", f"{FEEDS} SELECT fleet, source, entries, parsed, CASE WHEN parsed > 0 THEN 'ok' WHEN entries = 0 THEN 'empty' ELSE 'no-candidates' END AS status FROM p")
 def e13(spark, d):
-    raw = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "([a-z]+)(/|$)", 1).alias("source"))
-    return E.feed_shape(raw, raw.where("page_id % 5 > 0"))[0]
+    return feeds(spark, d)[0]
 
 
-@query("e13_feed_code", "SELECT CAST(3 AS INTEGER) AS code FROM pages HAVING count(*) > 0")
+@query("e13_feed_code", f"{FEEDS} SELECT fleet, CASE WHEN sum(parsed) > 0 THEN 0 WHEN sum(entries) > 0 THEN 3 ELSE 4 END AS code FROM p GROUP BY 1")
 def e13b(spark, d):
-    raw = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "([a-z]+)(/|$)", 1).alias("source"))
-    return E.feed_shape(raw, raw.where("page_id % 5 > 0"))[1]
+    return feeds(spark, d)[1]
 
 
 @query("e14_sweep_report", "SELECT CASE WHEN k % 2 = 0 THEN 'done' ELSE 'failed' END AS status, stage AS tier, count(*) AS n FROM log GROUP BY GROUPING SETS ((CASE WHEN k % 2 = 0 THEN 'done' ELSE 'failed' END, stage), (CASE WHEN k % 2 = 0 THEN 'done' ELSE 'failed' END))", "log")
@@ -315,20 +324,29 @@ def e14(spark, d):
 
 @query("e15_newest_per_group", """, p AS (SELECT p_brand AS tier, p_name || '/' || p_partkey AS name, CASE WHEN p_brand LIKE '%1' AND p_partkey % 3 = 0 THEN NULL ELSE p_size END AS created, p_partkey AS version FROM part),
     g AS (SELECT tier, bool_and(created IS NOT NULL) AS dated, arg_max(name, CAST(created AS BIGINT) * 1000000000 + version) AS by_date, arg_max(name, version) AS by_version, min(name) AS pin FROM p GROUP BY 1),
-    n AS (SELECT g.tier, dated, CASE WHEN dated THEN by_date ELSE by_version END AS newest, CASE WHEN g.tier LIKE '%2' THEN 'gone' ELSE pin END AS pin FROM g)
-    SELECT n.tier, n.newest, n.pin, coalesce(CASE WHEN dated THEN a.created > b.created ELSE a.version > b.version END, false) AS upgrade, b.name IS NULL AS pin_missing FROM n JOIN p a ON a.tier = n.tier AND a.name = n.newest LEFT JOIN p b ON b.tier = n.tier AND b.name = n.pin""".replace(", p AS", "WITH p AS", 1))
+    n AS (SELECT tier, CASE WHEN dated THEN by_date ELSE by_version END AS newest, CASE WHEN tier LIKE '%2' THEN 'gone' WHEN tier LIKE '%3' THEN by_version || '-20250101' WHEN tier LIKE '%4' THEN pin || '-20250101' ELSE pin END AS pin FROM g),
+    j AS (SELECT n.*, a.created AS ac, a.version AS av, b.name AS held, b.created AS bc, b.version AS bv, regexp_replace(n.pin, '-[0-9]{8}$', '') AS plain FROM n JOIN p a ON a.tier = n.tier AND a.name = n.newest LEFT JOIN p b ON b.tier = n.tier AND b.name = regexp_replace(n.pin, '-[0-9]{8}$', ''))
+    SELECT tier, newest, pin, newest <> plain AND (held IS NULL OR CASE WHEN ac IS NOT NULL AND bc IS NOT NULL THEN ac > bc ELSE av > bv END) AS upgrade, held IS NULL AS pin_missing FROM j""".replace(", p AS", "WITH p AS", 1))
 def e15(spark, d):
+    brand = F.col("tier")
     rows = table(spark, d, "part").select(F.col("p_brand").alias("tier"), F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.when(~(F.col("p_brand").like("%1") & (F.col("p_partkey") % 3 == 0)), F.col("p_size")).alias("created"), F.col("p_partkey").alias("version"))
-    return E.newest_per_group(rows, rows.groupBy("tier").agg(F.min("name").alias("name")).withColumn("name", F.when(F.col("tier").like("%2"), "gone").otherwise(F.col("name"))))
+    per = rows.groupBy("tier").agg(F.min("name").alias("low"), F.max_by("name", "version").alias("last"))
+    dated = lambda c: F.concat(F.col(c), F.lit("-20250101"))
+    pin = F.when(brand.like("%2"), "gone").when(brand.like("%3"), dated("last")).when(brand.like("%4"), dated("low")).otherwise(F.col("low"))
+    return E.newest_per_group(rows, per.select("tier", pin.alias("name")))
 
 
-@query("e16_silent_failures", """, s AS (SELECT conv_id AS job, turn AS pos, CASE role WHEN 'system' THEN 'failure' WHEN 'assistant' THEN 'success' ELSE 'skipped' END AS c, CASE WHEN turn % 2 = 1 THEN 'report' ELSE 'work' END AS name FROM conversations),
-    f AS (SELECT job, coalesce(min(pos) FILTER (c = 'failure'), -1) AS p FROM s GROUP BY 1)
-    SELECT job, bool_and(pos <= p OR c = 'skipped' OR (name = 'report' AND c = 'failure')) AS silent FROM s JOIN f USING (job) GROUP BY 1""".replace(", s AS", "WITH s AS", 1))
+@query("e16_silent_failures", """, s AS (SELECT conv_id AS job, turn AS pos, CASE role WHEN 'system' THEN 'failure' WHEN 'assistant' THEN 'success' ELSE CASE WHEN length(text) % 3 = 0 THEN 'failure' WHEN length(text) % 3 = 1 THEN 'skipped' END END AS c,
+        CASE turn % 5 WHEN 0 THEN 'work' WHEN 1 THEN 'Post work' WHEN 2 THEN 'Report it' WHEN 3 THEN 'Complete job' ELSE 'Post mortem' END AS name FROM conversations),
+    w AS (SELECT s.* FROM s WHERE name <> 'Complete job' AND NOT (name = 'Post work' AND EXISTS (SELECT 1 FROM s e WHERE e.job = s.job AND e.pos < s.pos AND e.name = 'work'))),
+    f AS (SELECT job, min(pos) FILTER (c = 'failure') AS p FROM w GROUP BY 1)
+    SELECT j.job, coalesce(bool_and(p IS NULL OR pos <= p OR c IS NULL OR c = 'skipped' OR (name = 'Report it' AND c = 'failure')), true) AS silent FROM (SELECT DISTINCT conv_id AS job FROM conversations) j LEFT JOIN w USING (job) LEFT JOIN f USING (job) GROUP BY 1""".replace(", s AS", "WITH s AS", 1))
 def e16(spark, d):
-    c = F.when(F.col("role") == "system", "failure").when(F.col("role") == "assistant", "success").otherwise("skipped")
-    steps = table(spark, d, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("pos"), F.when(F.col("turn") % 2 == 1, "report").otherwise("work").alias("name"), c.alias("conclusion"))
-    return E.silent_failures(steps, steps.select("job", F.lit("failure").alias("conclusion")).distinct(), ["report"])
+    n = F.length("text") % 3
+    c = F.when(F.col("role") == "system", "failure").when(F.col("role") == "assistant", "success").when(n == 0, "failure").when(n == 1, "skipped")
+    names = F.element_at(F.array(*map(F.lit, ("work", "Post work", "Report it", "Complete job", "Post mortem"))), (F.col("turn") % 5 + 1).cast("int"))
+    steps = table(spark, d, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("pos"), names.alias("name"), c.alias("conclusion"))
+    return E.silent_failures(steps, steps.select("job", F.lit("failure").alias("conclusion")).distinct())
 
 
 @query("e17_evaluate_coverage", """, a AS (SELECT conv_id AS item, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(text) % 17 = 0 AS errored FROM conversations),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docwatch.functions import text as T
+from docwatch.functions import values
 from docwatch.plans.roles import query, table, text
 from docwatch.sources import feeds
 from docwatch.streaming.streams import work_folder
@@ -70,10 +71,21 @@ def t5(spark, d):
     return T.caption_facts(table(spark, d, "documents"), "text").select("doc_id", "has_citation", F.size("caption_dockets").alias("dockets"))
 
 
-@query("t4_silence_claims")
+#: Word lists of the given languages in the places of the source and of what was supplied.
+SOURCE, SUPPLIED = r"\b(?:bill|act|the|de|la|und|der)\b", r"\b(?:supplied|title|of|les|ein)\b"
+
+
+@query("t4_silence_claims", f"""WITH r AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' bill does not specify fees. It is silent' WHEN 1 THEN ' the supplied act is silent' WHEN 2 THEN ' la; it fails to say' ELSE ' act; the title doesn''t clearly mention it' END AS t FROM documents),
+    m AS (SELECT doc_id, regexp_extract_all(t, '(?i){values.SILENCE.replace("'", "''")}') AS m, string_split_regex(t, '(?i){values.SILENCE.replace("'", "''")}') AS p FROM r),
+    k AS (SELECT doc_id, m, p, unnest(range(len(m))) AS k FROM m),
+    c AS (SELECT doc_id, k, m[k + 1] AS phrase, right(array_to_string(list_transform(range(k), lambda i: p[i + 1] || m[i + 1]), '') || p[k + 1], 70) AS pre FROM k),
+    f AS (SELECT doc_id, k, phrase, regexp_replace(regexp_replace(pre, '(?s)^.*;', ''), '(?s)^.*[.] ', '') AS clause FROM c)
+    SELECT d.doc_id, coalesce(s, '') AS silences FROM documents d LEFT JOIN (SELECT doc_id, string_agg(phrase, '|' ORDER BY k) AS s FROM f
+        WHERE regexp_matches(clause, '(?i){SOURCE}') AND NOT regexp_matches(clause, '(?i){SUPPLIED}') GROUP BY 1) USING (doc_id)""")
 def t4(spark, d):
-    rows = table(spark, d, "documents").withColumn("reason", F.concat(F.substring("text", 1, 60), F.lit(" does not mention fees")))
-    return T.silence_claims(rows, "reason", ["the", "de", "la", "und"], ["of"]).select("doc_id", "silent_source")
+    ends = F.element_at(F.array(*map(F.lit, (" bill does not specify fees. It is silent", " the supplied act is silent", " la; it fails to say", " act; the title doesn't clearly mention it"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, d, "documents").withColumn("reason", F.concat(F.coalesce("text", F.lit("")), ends))
+    return T.silence_claims(rows, "reason", source=SOURCE, supplied=SUPPLIED).select("doc_id", F.array_join("silences", "|").alias("silences"))
 
 
 @query("t10_stable_keys", """SELECT p_partkey, substr(sha1(lower(trim(p_type))), 1, 12) AS stable_key FROM part""")

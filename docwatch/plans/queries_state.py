@@ -109,13 +109,21 @@ def g5b(spark, d):
     return page_changes(spark, d)[1]
 
 
-@query("g6_advance_mark", """, f AS (SELECT item_id FROM items WHERE item_id % 3 = 0 AND item_id BETWEEN 100 AND 900), o AS (SELECT item_id FROM f WHERE item_id > 200 AND item_id % 2 = 1 AND NOT (item_id % 5 = 0))
-    SELECT least((SELECT max(item_id) FROM f), (SELECT min(item_id) FROM o) - 1) AS mark, (SELECT string_agg(item_id, ',' ORDER BY item_id) FROM f WHERE item_id > 200 AND item_id % 2 = 1 AND item_id % 5 = 0) AS given_up""".replace(", f AS", "SELECT * FROM (WITH f AS", 1) + ")", "items")
+G6 = """, f AS (SELECT item_id, item_id % 2 = 0 AS done, item_id % 2 = 1 AND item_id % 7 = 1 AS waits, item_id % 5 = 0 AS failed, CASE item_id % 10 WHEN 5 THEN 2 WHEN 7 THEN 3 WHEN 9 THEN 1 ELSE 0 END AS n FROM items WHERE item_id % 3 = 0 AND item_id > 200),
+    s AS (SELECT *, n + CASE WHEN failed AND NOT waits THEN 1 ELSE 0 END AS spent FROM f WHERE NOT done), g AS (SELECT *, NOT waits AND spent >= 3 AS gave FROM s),
+    m AS (SELECT greatest(200, coalesce(least((SELECT max(item_id) FROM items WHERE item_id % 3 = 0), min(item_id) FILTER (NOT gave) - 1), (SELECT max(item_id) FROM items WHERE item_id % 3 = 0))) AS mark FROM g)"""
+
+
+@query("g6_advance_mark", f"""{G6} SELECT 'mark' AS part, mark AS item_id, NULL::BIGINT AS n FROM m UNION ALL SELECT 'given up', item_id, NULL FROM g WHERE gave
+    UNION ALL SELECT 'tries', item_id, spent FROM g, m WHERE NOT gave AND NOT waits AND spent > 0 AND item_id > mark UNION ALL SELECT 'tries', item_id, 1 FROM items, m WHERE item_id % 3 = 1 AND item_id % 7 = 0 AND item_id > mark""".replace(", f AS", "SELECT * FROM (WITH f AS", 1) + ")", "items")
 def g6(spark, d):
-    found = items(spark, d).where("item_id % 3 = 0 and item_id between 100 and 900").select("item_id")
-    odd = found.where("item_id % 2 = 1 and item_id > 200")
-    out = G.advance_mark(200, found, found.where("item_id % 2 = 0"), odd, odd.where("item_id % 5 = 0").select("item_id", F.lit(2).alias("n")), odd.where("item_id % 5 = 0"), None, 3)
-    return out.select("mark", F.array_join(F.transform("given_up", lambda x: x.cast("string")), ",").alias("given_up"))
+    i = F.col("item_id")
+    ids = items(spark, d).select("item_id")
+    found = ids.where("item_id % 3 = 0")
+    tries = found.select("item_id", F.when(i % 10 == 5, 2).when(i % 10 == 7, 3).when(i % 10 == 9, 1).alias("n")).where("n > 0").union(ids.where("item_id % 3 = 1 and item_id % 7 = 0").select("item_id", F.lit(1)))
+    mark, gave, left = G.advance_mark(200, found, found.where("item_id % 2 = 0"), found.where("item_id % 2 = 1 and item_id % 7 = 1"), tries, found.where("item_id % 5 = 0"), None, 3)
+    none = F.lit(None).cast("long")
+    return mark.select(F.lit("mark").alias("part"), F.col("mark").alias("item_id"), none.alias("n")).union(gave.select(F.lit("given up"), "item_id", none)).union(left.select(F.lit("tries"), "item_id", "n"))
 
 
 @query("g7_update_abandoned", """, l AS (SELECT item_id, date FROM items WHERE item_id % 10 = 0 AND item_id % 30 <> 0), g AS (SELECT item_id FROM items WHERE item_id % 25 = 0)
@@ -130,16 +138,17 @@ def g7(spark, d):
     return G.update_abandoned(listed, gave_up, retried, rows.where("item_id % 30 = 0").select("item_id"), "2001-08-01").select("item_id", "reason", "retries", *text("last_try"))
 
 
-@query("g8_retry_pending", """, e AS (SELECT dst_id AS item_id, src_id AS citer_id, min(ts) AS ts FROM edges WHERE src_id % 4 = 0 OR src_id % 3 = 0 GROUP BY 1, 2),
-    p AS (SELECT *, CASE WHEN citer_id % 4 = 0 THEN CAST(citer_id % 6 AS INTEGER) ELSE 0 END AS n, citer_id % 8 = 0 AS x, citer_id % 3 = 0 AS a, citer_id % 9 = 0 AS s FROM e),
-    w AS (SELECT item_id, citer_id, s, CASE WHEN a AND NOT s AND NOT x THEN n + 1 ELSE n END AS tries, CASE WHEN x THEN ts END AS since FROM p)
-    SELECT item_id, citer_id, tries, CAST(since AS VARCHAR) AS text_since, CASE WHEN s THEN 'done' WHEN tries >= 4 OR coalesce(DATE '2001-08-01' - since >= 56, false) THEN 'manual' ELSE 'retry' END AS action
-    FROM w""".replace(", e AS", "SELECT * FROM (WITH e AS", 1) + ")", "edges")
+@query("g8_retry_pending", """, e AS (SELECT dst_id AS item_id, src_id AS citer_id, min(ts) AS ts FROM edges WHERE src_id % 4 = 0 OR src_id % 3 = 0 OR src_id % 10 = 0 GROUP BY 1, 2),
+    p AS (SELECT *, citer_id % 4 = 0 AS p, CAST(citer_id % 6 AS INTEGER) AS n, CASE WHEN citer_id % 8 = 0 THEN ts END AS since, citer_id % 3 = 0 AS a, citer_id % 9 = 0 AS s, citer_id % 10 = 0 AS x FROM e)
+    SELECT item_id, citer_id, CASE WHEN p THEN n ELSE 0 END + CASE WHEN a AND NOT s AND NOT x THEN 1 ELSE 0 END AS tries,
+        CAST(CASE WHEN x AND p THEN coalesce(since, DATE '2001-08-01') WHEN x THEN DATE '2001-08-01' WHEN a AND NOT s THEN NULL WHEN p THEN since END AS VARCHAR) AS text_since,
+        CASE WHEN s THEN 'done' WHEN NOT p THEN 'retry' WHEN x THEN CASE WHEN DATE '2001-08-01' - since >= 56 THEN 'manual' ELSE 'retry' END WHEN a AND n + 1 >= 4 THEN 'manual' ELSE 'retry' END AS action
+    FROM p""".replace(", e AS", "SELECT * FROM (WITH e AS", 1) + ")", "edges")
 def g8(spark, d):
-    e = edges(spark, d).groupBy(F.col("dst_id").alias("item_id"), F.col("src_id").alias("citer_id")).agg(F.min("ts").alias("ts"))
+    e = edges(spark, d).where("src_id % 4 = 0 or src_id % 3 = 0 or src_id % 10 = 0").groupBy(F.col("dst_id").alias("item_id"), F.col("src_id").alias("citer_id")).agg(F.min("ts").alias("ts"))
     c = F.col("citer_id")
     pending = e.where("citer_id % 4 = 0").select("item_id", "citer_id", (c % 6).cast("int").alias("tries"), F.when(c % 8 == 0, F.col("ts")).alias("text_since"))
-    out = G.retry_pending(pending, e.where("citer_id % 3 = 0"), e.where("citer_id % 9 = 0"), e.where("citer_id % 8 = 0"), False, "2001-08-01")
+    out = G.retry_pending(pending, e.where("citer_id % 3 = 0"), e.where("citer_id % 9 = 0"), e.where("citer_id % 10 = 0"), False, "2001-08-01")
     return out.select("item_id", "citer_id", "tries", *text("text_since"), "action")
 
 
@@ -167,11 +176,16 @@ def g11(spark, d):
     return out.select("item_id", F.array_join("reasons", ",").alias("reasons"), "lane")
 
 
-@query("g12_reconcile_review", "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'declined' WHEN item_id % 7 = 0 THEN 'vetoed' WHEN item_id % 3 = 0 THEN 'waiting' ELSE 'accepted' END AS outcome FROM items WHERE item_id % 2 = 0", "items")
+@query("g12_reconcile_review", """, c AS (SELECT item_id, item_id % 2 = 0 AS pending, item_id % 3 = 0 AS staged, CASE WHEN item_id % 9 = 0 THEN item_id - item_id % 27 END AS card, item_id % 7 = 0 AS vetoed, item_id % 5 = 0 AS declined, item_id % 11 = 0 AS published FROM items),
+    n AS (SELECT item_id FROM c WHERE staged AND card IS NULL AND NOT vetoed AND NOT declined AND NOT published),
+    a AS (SELECT item_id FROM n UNION SELECT item_id FROM c WHERE staged AND NOT vetoed AND NOT declined AND card IN (SELECT item_id FROM c WHERE published UNION SELECT item_id FROM n))
+    SELECT item_id, CASE WHEN item_id IN (FROM a) THEN 'accepted' WHEN NOT pending THEN 'skipped' WHEN declined THEN 'declined' ELSE 'vetoed' END AS outcome FROM c WHERE pending OR staged""".replace(", c AS", "SELECT * FROM (WITH c AS", 1) + ")", "items")
 def g12(spark, d):
-    rows = items(spark, d).where("item_id % 2 = 0").select("item_id")
+    i = F.col("item_id")
+    rows = items(spark, d).select("item_id")
     decisions = rows.where("item_id % 7 = 0").withColumn("decision", F.lit("veto")).union(rows.where("item_id % 5 = 0").withColumn("decision", F.lit("decline")))
-    return G.reconcile_review(rows, rows.where("item_id % 3 = 0"), decisions)
+    staged = rows.where("item_id % 3 = 0").withColumn("card_id", F.when(i % 9 == 0, i - i % 27))
+    return G.reconcile_review(rows.where("item_id % 2 = 0"), staged, decisions, rows.where("item_id % 11 = 0"))
 
 
 @query("g13_advance_seen", "SELECT item_id FROM (SELECT item_id FROM items WHERE (item_id % 5 = 0 OR item_id % 3 = 0) AND item_id % 4 <> 0 ORDER BY item_id DESC LIMIT 3000)", "items")

@@ -109,10 +109,35 @@ def test_gates_fail_closed(spark):
 
 
 def test_silent_failures(spark):
-    s = [("killed", 1, "x", "failure"), ("killed", 2, "y", None), ("told", 1, "x", "failure"), ("told", 2, "File a report", "success"), ("broken", 1, "x", "failure"), ("broken", 2, "Open an ISSUE", "failure")]
-    jobs = spark.createDataFrame([(j, "failure") for j in ("killed", "told", "broken", "empty")] + [("fine", "success")], "job string, conclusion string")
-    out = {r.job: r.silent for r in E.silent_failures(spark.createDataFrame(s, "job string, pos int, name string, conclusion string"), jobs).collect()}
-    assert out == {"killed": True, "told": False, "broken": True, "empty": True}
+    bad, ok = "failure", "success"
+    s = {
+        "killed": [("x", bad), ("y", None), ("Complete job", ok)], "told": [("x", bad), ("File a report", ok)], "broken": [("x", bad), ("Open an ISSUE", bad)], "cut": [("x", bad), ("Report", "cancelled")],
+        "no failed step": [("x", ok), ("y", "cancelled")], "cleaned": [("Harden", ok), ("x", bad), ("Report", "skipped"), ("Post Harden", ok)], "posted": [("x", bad), ("Post the diagnosis", ok)],
+        "worked on": [("x", bad), ("y", bad)],
+    }
+    steps = spark.createDataFrame([(j, k, *x) for j, rows in s.items() for k, x in enumerate(rows)], "job string, pos int, name string, conclusion string")
+    jobs = spark.createDataFrame([(j, bad) for j in (*s, "empty")] + [("fine", ok)], "job string, conclusion string")
+    out = {r.job for r in E.silent_failures(steps, jobs).where("silent").collect()}
+    assert out == {"killed", "broken", "cut", "no failed step", "cleaned", "empty"}
+
+
+def test_feed_codes(spark):
+    rows = lambda *s: spark.createDataFrame([(x,) for x in s], "source string")
+    code = lambda raw, parsed, feeds=None: E.feed_shape(raw, parsed, feeds)[1].first().code
+    assert code(rows("a", "a", "b"), rows("a")) == 0  # one source that yields is proof that the parser works
+    assert code(rows("a", "b"), rows()) == 3 and code(rows(), rows()) == 4 and code(rows(), rows(), rows("a", "b")) == 4
+    shape = {r.source: (r.entries, r.parsed, r.status) for r in E.feed_shape(rows("a", "a", "b"), rows("a"), rows("a", "b", "c"))[0].collect()}
+    assert shape == {"a": (2, 1, "ok"), "b": (1, 0, "no-candidates"), "c": (0, 0, "empty")}
+
+
+def test_upgrades(spark):
+    models = spark.createDataFrame([("s", "m-5", "2026-02-01", 5), ("s", "m-4-20250101", "2025-01-01", 4), ("h", "h-4-20251001", "2025-10-01", 4), ("o", "o-3", None, 3), ("o", "o-2", "2024-01-01", 2)], "tier string, name string, created string, version int")
+    def upgrades(**pins):  # noqa: E306
+        rows = E.newest_per_group(models, spark.createDataFrame(list(pins.items()), "tier string, name string")).collect()
+        return {r.tier: (r.newest, r.upgrade, r.pin_missing) for r in rows if r.pin}
+    assert upgrades(s="m-4", h="h-4", o="o-2") == {"s": ("m-5", True, False), "h": ("h-4-20251001", False, False), "o": ("o-3", True, False)}
+    assert upgrades(s="m-3", h="h-4-20251001") == {"s": ("m-5", True, True), "h": ("h-4-20251001", False, False)}
+    assert upgrades(s="m-5-20260202") == {"s": ("m-5", False, False)}
 
 
 def test_invert_references_needs_rows(spark):
@@ -160,22 +185,32 @@ def ids(spark, *x):
 
 def test_marks(spark):
     none = spark.createDataFrame([], "item_id long, n int")
-    go = lambda *a: G.advance_mark(*a).first()
-    assert go(10, ids(spark, 11, 12, 15), ids(spark, 11, 15), ids(spark), none, ids(spark), None, 3).mark == 11
-    assert go(10, ids(spark, 11, 15), ids(spark, 11, 15), ids(spark), none, ids(spark), 12, 3).mark == 12
-    r = go(10, ids(spark, 11, 12), ids(spark, 11), ids(spark), spark.createDataFrame([(12, 2)], none.schema), ids(spark, 12), None, 3)
-    assert (r.mark, r.given_up) == (12, [12])
-    assert go(10, ids(spark), ids(spark), ids(spark), none, ids(spark), None, 3).mark == 10
-    assert go(10, ids(spark, 14), ids(spark, 14), ids(spark, 12), none, ids(spark), None, 3).mark == 11
+
+    def go(mark, found, resolved=(), waiting=(), tries=(), failed=(), covered=None, most=3):
+        held = spark.createDataFrame(list(tries), none.schema)
+        after, gave, left = G.advance_mark(mark, *(ids(spark, *x) for x in (found, resolved, waiting)), held, ids(spark, *failed), covered, most)
+        return after.first().mark, sorted(r.item_id for r in gave.collect()), {r.item_id: r.n for r in left.collect()}
+
+    assert go(10, [11, 12, 15], [11, 15]) == (11, [], {})
+    assert go(10, [11, 12], [11], tries=[(12, 2)], failed=[12]) == (12, [12], {})
+    assert go(10, []) == (10, [], {}) and go(10, [5, 14], [14]) == (14, [], {})
+    assert go(10, [21], [21], tries=[(15, 1)]) == (21, [], {})  # an id that was not found holds nothing; its tries end with the mark
+    assert go(10, [12, 21], [21], tries=[(12, 3)]) == (21, [12], {})  # at its limit, though it did not fail now
+    assert go(10, [12, 20], [12, 20], covered=40) == (40, [], {}) and go(10, [12, 20], [12], covered=15) == (15, [], {})
+    assert go(10, [12, 14, 20], [20], waiting=[12], tries=[(12, 9), (30, 1)], failed=[12, 14]) == (11, [], {14: 1, 30: 1})
+    assert go(10, [12, 14], waiting=[14], failed=[12], most=1) == (13, [12], {})
 
 
 def test_retry_pending(spark):
     key = "item_id long, citer_id long"
-    p = spark.createDataFrame([(1, 1, 3, None), (1, 2, 0, D(2024, 1, 1)), (1, 3, 0, None), (1, 4, 2, None)], f"{key}, tries int, text_since date")
+    old = D(2024, 1, 1)
+    p = spark.createDataFrame([(1, 1, 3, None), (1, 2, 0, old), (1, 3, 0, None), (1, 4, 2, old), (1, 6, 1, old), (1, 7, 1, D(2024, 2, 20))], f"{key}, tries int, text_since date")
     pair = lambda *c: spark.createDataFrame([(1, k) for k in c], key)
-    out = lambda stopped: {r.citer_id: (r.tries, r.action) for r in G.retry_pending(p, pair(1, 2, 3, 5), pair(3), pair(2), stopped, "2024-03-01").collect()}
-    assert out(False) == {1: (4, "manual"), 2: (0, "manual"), 3: (0, "done"), 4: (2, "retry"), 5: (1, "retry")}
-    assert out(True) == {1: (3, "retry"), 2: (0, "manual"), 3: (0, "done"), 4: (2, "retry"), 5: (0, "retry")}
+    out = lambda stopped: {r.citer_id: (r.tries, r.text_since, r.action) for r in G.retry_pending(p, pair(1, 3, 5, 6), pair(3), pair(2, 7, 8), stopped, "2024-03-01").collect()}
+    today = D(2024, 3, 1)
+    same = {2: (0, old, "manual"), 3: (0, None, "done"), 4: (2, old, "retry"), 7: (1, D(2024, 2, 20), "retry"), 8: (0, today, "retry")}  # 4 was not reached: its clock goes on
+    assert out(False) == same | {1: (4, None, "manual"), 5: (1, None, "retry"), 6: (2, None, "retry")}
+    assert out(True) == same | {1: (3, None, "retry"), 5: (0, None, "retry"), 6: (1, None, "retry")}
 
 
 def test_two_strikes(spark):
@@ -188,11 +223,17 @@ def test_two_strikes(spark):
     assert (late.first_failed, late.confirmed_at) == (0, 86_400)
 
 
-def test_review_is_idempotent(spark):
-    pending, staged = ids(spark, 1, 2, 3, 4), ids(spark, 3, 4)
-    decisions = spark.createDataFrame([(2, "veto"), (4, "decline"), (4, "veto")], "item_id long, decision string")
-    run = lambda p: {r.item_id: r.outcome for r in G.reconcile_review(p, staged, decisions).collect()}
-    assert run(pending) == {1: "accepted", 2: "vetoed", 3: "waiting", 4: "declined"} == run(pending.union(ids(spark)))
+def test_review(spark):
+    staged = spark.createDataFrame([(3, None), (4, None), (5, 3), (6, 90), (7, 99), (8, None), (9, None)], "item_id long, card_id long")
+    decisions = spark.createDataFrame([(2, "veto"), (4, "decline"), (4, "veto"), (1, "note")], "item_id long, decision string")
+    run = lambda pending, published, **more: {r.item_id: r.outcome for r in G.reconcile_review(pending, staged, decisions, published, **more).collect()}
+    pending, published = ids(spark, 1, 2, 3, 4, 5, 6, 8), ids(spark, 8, 90)
+    # 1: its file was dropped; 4: blocked though its file is back; 5: changes a card of this batch; 7: its card is unknown; 8: published before
+    want = {1: "vetoed", 2: "vetoed", 3: "accepted", 4: "declined", 5: "accepted", 6: "accepted", 7: "skipped", 8: "vetoed", 9: "accepted"}
+    assert run(pending, published) == want == run(pending.union(pending), published)
+    again = run(ids(spark), published.union(ids(spark, 3, 9)))
+    assert again == {3: "skipped", 4: "skipped", 5: "accepted", 6: "accepted", 7: "skipped", 8: "skipped", 9: "skipped"}  # a change is applied to the same end
+    assert run(pending, published, merged=False) == dict.fromkeys((1, 2, 3, 4, 5, 6, 8), "vetoed")
 
 
 def test_seen_cap_keeps_the_largest(spark):

@@ -38,8 +38,14 @@ def test_references(spark):
 
 
 def test_silence(spark):
-    c = spark.createDataFrame([("The statute does not mention fees.",), ("The excerpt does not mention fees.",), ("The excerpt; the statute never says so",)], "r string")
-    assert [r.silent_source for r in T.silence_claims(c, "r", ["statute"], ["excerpt"]).collect()] == [True, False, True]
+    claims = {
+        "The bill text does not specify which courts": ["does not specify"], "The Act is silent on fees; it does not say": ["is silent"], "The bill fails to clearly identify the seat": ["fails to clearly identify"],
+        "Legislation: terms are not specified": ["not specified"], "statutes do not identify": [], "The statute doesn't state it. The act never makes it": ["doesn't state"],
+        "The provided title and description do not specify": [], "the text supplied does not identify": [], "The Act as provided is silent": [], "the act. The summary does not mention it": [], None: [], "": [],
+        "The act does not state x and the bill does not mention y": ["does not state", "does not mention"], "The bill " + "x" * 70 + " is silent": [],
+    }
+    rows = spark.createDataFrame([(k,) for k in claims], "r string")
+    assert {r.r: r.silences for r in T.silence_claims(rows, "r").collect()} == claims
 
 
 def test_calendar_crosses_daylight_saving(spark):
