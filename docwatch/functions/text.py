@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from docwatch.functions import values
+from docwatch.operators.patterns import occurrences
 
 
 def blank_to_null(c: Column) -> Column:
@@ -113,8 +114,8 @@ def caption_facts(df: DataFrame, text: str, reach: int = 3000) -> DataFrame:
 
 
 def tag_documents(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """(key, tags): every tag of rules(tag, keyword) of which a keyword occurs in the text; rules are a small dictionary."""
-    hits = df.select(key, F.lower(text).alias("__t")).join(rules, F.col("__t").contains(F.lower("keyword")))
+    """(key, tags): every tag of rules(tag, keyword) of which a keyword occurs in the text: one pass over the texts for all rules."""
+    hits = occurrences(df.select(key, F.lower(text).alias("__t")), "__t", rules.select("tag", F.lower("keyword").alias("__w")), "__w")
     return hits.groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 

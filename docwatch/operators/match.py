@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docwatch.functions import values
-from docwatch.functions.text import quoted
+from docwatch.functions.text import name_key, quoted
+from docwatch.operators.patterns import containing, occurrences
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -149,12 +150,12 @@ def citation_windows(pairs: DataFrame, docs: DataFrame, items: DataFrame, before
 
 def check_items(queries: DataFrame, items: DataFrame) -> DataFrame:
     """queries(query_id, item_id, name) by id, else by the first item (lowest id) whose name_key contains the
-    query's; answers flagged, no_flag or not_in_feed. The queries are one request's, a small table."""
+    query's; answers flagged, no_flag or not_in_feed."""
     by_id = queries.where("item_id is not null").join(items.select("item_id", "status"), "item_id", "left").select("query_id", "item_id", "status")
-    named = queries.where("item_id is null")
-    hits = items.select(F.col("item_id").alias("found"), "name_key", "status").join(named.select("query_id", F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")).alias("q")), F.col("name_key").contains(F.col("q")) & (F.col("q") != ""))
-    first = hits.groupBy("query_id").agg(F.min(F.struct("found", "status")).alias("m"))
-    by_name = named.join(first, "query_id", "left").select("query_id", F.col("m.found").alias("item_id"), F.col("m.status").alias("status"))
+    named = queries.where("item_id is null").select("query_id", name_key(F.col("name")).alias("q"))
+    hits = containing(named.select("q").distinct(), "q", items.select(F.col("item_id").alias("found"), "name_key", "status"), "name_key")
+    first = hits.groupBy("q").agg(F.min(F.struct("found", "status")).alias("m"))
+    by_name = named.join(first, "q", "left").select("query_id", F.col("m.found").alias("item_id"), F.col("m.status").alias("status"))
     answer = F.when(F.col("status").isNull(), "not_in_feed").when(F.col("status") == "ok", "no_flag").otherwise("flagged")
     return by_id.union(by_name).withColumn("answer", answer)
 
@@ -223,27 +224,10 @@ def grounded(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return claims.join(sources.select("item_id", "text"), "item_id", "left").withColumn("grounded", substantial(q) & F.coalesce(folded("text").contains(q), F.lit(False))).drop("text")
 
 
-def grounded_anywhere(quotes: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
-    """D11 many to many: (quote_id, doc_id) where a folded quote occurs in a folded text, for quotes of any length.
-
-    A quote's key is its first `words` inner words (its first and last word may be part of a longer word in the text,
-    so they are left out); texts meet quotes by equal hashes of word runs, and only then are compared. Quotes with fewer
-    inner words are few-word phrases: they meet texts by their longest inner word, or, without one, directly."""
-    q = quotes.select("quote_id", folded("quote").alias("q")).where(substantial(F.col("q"))).withColumn("w", F.split("q", " "))
-    d = docs.select("doc_id", folded("text").alias("t"))
-    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
-    q = q.withColumn("inner", F.when(F.size("w") > 2, inner).otherwise(F.array().cast("array<string>")))
-    run = lambda w, at: F.xxhash64(F.slice(w, at, F.lit(words)))
-    long_ = q.where(F.size("inner") >= words).select("quote_id", "q", run(F.col("inner"), F.lit(1)).alias("k"))
-    d = d.withColumn("w", F.split("t", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: run(F.col("w"), i))
-    hits = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(long_.select("quote_id", "k"), "k").select("doc_id", "quote_id").distinct()
-    longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    middle = q.where((F.size("inner") < words) & (F.size("inner") > 0)).select("quote_id", F.xxhash64(longest).alias("k"))
-    some = d.select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("k")).join(middle, "k").select("doc_id", "quote_id").distinct()
-    near = hits.union(some).join(q.select("quote_id", "q"), "quote_id").join(d, "doc_id").where(F.col("t").contains(F.col("q"))).select("quote_id", "doc_id")
-    short = q.where(F.size("inner") == 0).select("quote_id", "q")
-    return near.union(d.join(short, F.col("t").contains(F.col("q"))).select("quote_id", "doc_id"))
+def grounded_anywhere(quotes: DataFrame, docs: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """D11 many to many: (quote_id, doc_id) where a folded quote occurs in a folded text: one pass over the texts for all quotes."""
+    q = quotes.select("quote_id", folded("quote").alias("q")).where(substantial(F.col("q")))
+    return occurrences(docs.select("doc_id", folded("text").alias("t")), "t", q, "q", most).select("quote_id", "doc_id")
 
 
 def alert_dependents(treatments: DataFrame, manifest: DataFrame, recorded: DataFrame, adverse: tuple[str, ...] = values.ADVERSE_KINDS) -> DataFrame:
@@ -274,13 +258,37 @@ def link_integrity(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.select(norm(F.col("href")).alias("target")).distinct().join(pages.select(norm(F.col("path")).alias("target")).distinct(), "target", "left_anti")
 
 
-def match_titles(names: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """For names(name_id, tokens, bound) the k entries of index(entry_id, tokens, released) sharing a token, released on or after the bound; by Jaccard, overlap, date, id."""
-    n = names.select("name_id", "bound", F.size("tokens").alias("n_size"), F.explode("tokens").alias("token"))
-    e = index.select("entry_id", "released", F.size("tokens").alias("e_size"), F.explode("tokens").alias("token"))
-    pairs = n.join(e, "token").where("bound is null or released >= bound").groupBy("name_id", "entry_id").agg(F.count("*").alias("overlap"), F.first("released").alias("released"), F.first("n_size").alias("n_size"), F.first("e_size").alias("e_size"))
-    scored = pairs.withColumn("jaccard", F.col("overlap") / (F.col("n_size") + F.col("e_size") - F.col("overlap")))
-    order = Window.partitionBy("name_id").orderBy(F.desc("jaccard"), F.desc("overlap"), F.desc("released"), "entry_id")
+def match_titles(names: DataFrame, index: DataFrame, k: int, most: int = 1000) -> DataFrame:
+    """For names(name_id, tokens, bound) the k entries of index(entry_id, tokens, released) sharing a token, released on or after the bound; by Jaccard, overlap, date, id.
+
+    Entries that share a token of at most `most` entries are met by it. Those that share hot tokens only score by their set of
+    hot tokens and their size alone, so names and entries meet as classes of these, and a class shows its k latest
+    entries: what those leave out ranks behind them. A token that all titles have adds a row per class, not per pair."""
+    tokens = lambda df, *cols: df.select(*cols, F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct("tokens")).alias("token"))
+    n, e = tokens(names, "name_id", "bound"), tokens(index, "entry_id", "released")
+    hot = checkpointed(e.groupBy("token").count().where(F.col("count") > most).select("token"))
+    hot_set = lambda df, *cols: df.join(hot, "token", "left_semi").groupBy(*cols, "size").agg(F.array_sort(F.collect_set("token")).alias("hot"))
+    n_hot, e_hot = hot_set(n, "name_id", "bound"), hot_set(e, "entry_id", "released")
+
+    rare = lambda df: df.join(hot, "token", "left_anti")
+    pairs = rare(n).withColumnRenamed("size", "n_size").join(rare(e).withColumnRenamed("size", "e_size"), "token").where("bound is null or released >= bound")
+    pairs = pairs.groupBy("name_id", "entry_id").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("released", "n_size", "e_size")))
+    pairs = pairs.join(n_hot.select("name_id", F.col("hot").alias("a")), "name_id", "left").join(e_hot.select("entry_id", F.col("hot").alias("b")), "entry_id", "left")
+    both = F.coalesce(F.size(F.array_intersect("a", "b")), F.lit(0))
+    pairs = pairs.select("name_id", "entry_id", "released", "n_size", "e_size", (F.col("shared") + F.when(F.col("a").isNull() | F.col("b").isNull(), 0).otherwise(both)).alias("overlap"))
+
+    latest = Window.partitionBy("hot", "size").orderBy(F.desc_nulls_last("released"), "entry_id")
+    shown = e_hot.withColumn("__n", F.row_number().over(latest)).where(F.col("__n") <= k)
+    kinds = lambda df, hot_, size: df.select(F.col("hot").alias(hot_), F.col("size").alias(size)).distinct()
+    met = kinds(n_hot, "a", "n_size").withColumn("t", F.explode("a")).join(kinds(e_hot, "b", "e_size").withColumn("t", F.explode("b")), "t").drop("t").distinct()
+    met = met.withColumn("overlap", F.size(F.array_intersect("a", "b")))
+    classes = n_hot.select("name_id", "bound", F.col("hot").alias("a"), F.col("size").alias("n_size")).join(met, ["a", "n_size"])
+    few = classes.join(shown.select("entry_id", "released", F.col("hot").alias("b"), F.col("size").alias("e_size")), ["b", "e_size"]).where("bound is null or released >= bound")
+
+    cols = ["name_id", "entry_id", "released", "n_size", "e_size", "overlap"]
+    all_ = pairs.select(*cols).union(few.select(*cols)).groupBy("name_id", "entry_id").agg(F.max("overlap").cast("long").alias("overlap"), *(F.first(c).alias(c) for c in ("released", "n_size", "e_size")))
+    scored = all_.withColumn("jaccard", F.col("overlap") / (F.col("n_size") + F.col("e_size") - F.col("overlap")))
+    order = Window.partitionBy("name_id").orderBy(F.desc("jaccard"), F.desc("overlap"), F.desc_nulls_last("released"), "entry_id")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("name_id", "entry_id", "overlap", "jaccard", "place")
 
 

@@ -222,7 +222,7 @@ def advance_seen(cap: int, held: DataFrame, *ids: DataFrame) -> DataFrame:
     return without(union_ids(*ids).toDF("item_id"), "item_id", held).orderBy(F.desc("item_id")).limit(cap)
 
 
-def input_fingerprint(*columns: str) -> Column:
+def input_fingerprint(*columns: str | Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docwatch.functions import values
 from docwatch.functions.text import fingerprint_pages, html_to_text, lint_reasons, readable, stable_keys
 from docwatch.operators import match as M
+from docwatch.operators.classify import Classifier, classified
 from docwatch.operators import select as S
 from docwatch.operators import state as G
 from docwatch.operators import stats as E
@@ -30,13 +31,23 @@ class FunnelRun:
     floored: DataFrame  # source, floored
     seen: DataFrame  # item_id
     record: DataFrame  # one row
+    memos: dict[str, DataFrame] = field(default_factory=dict)  # by tier, of its classifier: fingerprint, passes, reason to add
 
 
-def judged(chosen: DataFrame, tiers: list[tuple[str, DataFrame]], curated: DataFrame | None, gate: Column) -> DataFrame:
+Tier = tuple[str, DataFrame | Classifier]
+
+
+def judged(chosen: DataFrame, tiers: list[Tier], curated: DataFrame | None, gate: Column, inputs: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Chosen candidates with the tier that drops each (null: none does) and the reason its verdict gives. Columns
-    tier and reason are replaced."""
+    tier and reason are replaced. A tier's classifier sees only what reached it, with its columns of inputs (item_id, ...);
+    also gives what each classifier's memo gains."""
     rows = chosen.withColumn("tier", F.when(~gate, F.lit("text"))).withColumn("reason", F.lit(None).cast("string"))
+    memos = {}
     for k, (name, verdicts) in enumerate(tiers):
+        if isinstance(verdicts, Classifier):
+            rows = M.checkpointed(rows)
+            reached = rows.where("tier is null").select("item_id")
+            verdicts, memos[name] = classified(inputs.join(reached, "item_id", "left_semi"), verdicts)
         why = F.col("reason") if "reason" in verdicts.columns else F.lit(name)
         rows = rows.join(verdicts.select("item_id", F.col("passes").alias("__p"), why.alias("__why")), "item_id", "left")
         if k == 0 and curated is not None:
@@ -46,22 +57,22 @@ def judged(chosen: DataFrame, tiers: list[tuple[str, DataFrame]], curated: DataF
         here = F.col("tier").isNull() & F.coalesce(~F.col("__p"), F.lit(False))
         rows = rows.withColumn("reason", F.when(here, F.col("__why")).otherwise(F.col("reason")))
         rows = rows.withColumn("tier", F.coalesce("tier", lost)).drop("__p", "__why")
-    return rows
+    return rows, memos
 
 
-def funnel(candidates: DataFrame, known: list[DataFrame], since, today, exempt: list[str], tiers: list[tuple[str, DataFrame]], curated: DataFrame | None = None) -> Funnel:
+def funnel(candidates: DataFrame, known: list[DataFrame], since, today, exempt: list[str], tiers: list[Tier], curated: DataFrame | None = None) -> Funnel:
     """J1, its first half: candidates(item_id, source, date, ingest_seq, text) through selection, the text gate and the
     tiers, cheapest first.
 
-    A tier is (name, verdicts(item_id, passes, reason?)); a missing verdict is retried later and logged as such.
+    A tier is (name, verdicts(item_id, passes, reason?)) or (name, Classifier); a missing verdict is retried later and logged as such.
     curated(item_id, party_tokens) overrides the first tier's drop where candidates carry party_tokens that match."""
     chosen, floored = S.select_candidates(candidates, known, since, today, exempt)
-    rows = judged(chosen, tiers, curated, readable("text"))
+    rows, _ = judged(chosen, tiers, curated, readable("text"), candidates)
     return Funnel(rows.where("tier is null").drop("tier", "reason"), rows.where("tier is not null").select("item_id", "source", "tier"), floored)
 
 
 def funnel_run(
-    candidates: DataFrame, known: list[DataFrame], existing: DataFrame, since, today, exempt: list[str], tiers: list[tuple[str, DataFrame]], *,
+    candidates: DataFrame, known: list[DataFrame], existing: DataFrame, since, today, exempt: list[str], tiers: list[Tier], *,
     smells: DataFrame, validity: dict[str, Column], guards: dict[str, DataFrame], overruling: DataFrame, cleared: DataFrame, seen: DataFrame, tries: int = 3, smell_cap: int = 5, seen_cap: int = 5_000,
 ) -> FunnelRun:
     """A whole run, from candidates to the two lanes and the next seen state.
@@ -76,7 +87,8 @@ def funnel_run(
     slim = candidates.select("item_id", "source", "date", "ingest_seq", "docket_tokens", "party_tokens", S.reasons(**validity).alias("flags"), readable("text").alias("readable"))
     chosen, floored = S.select_candidates(slim, known, since, today, exempt)  # no text crosses a shuffle
     twins = M.same_item_keys(chosen).join(M.same_item_keys(existing).select("key"), "key", "left_semi").select("item_id", F.lit(True).alias("__twin")).distinct()
-    rows = judged(chosen, tiers, existing, F.col("readable")).join(twins, "item_id", "left")
+    rows, memos = judged(chosen, tiers, existing, F.col("readable"), candidates)
+    rows = rows.join(twins, "item_id", "left")
     rows = rows.withColumn("tier", F.when(F.col("__twin"), F.lit("duplicate")).otherwise(F.col("tier")))
     rows = rows.withColumn("reason", F.when(F.col("__twin").isNull(), F.col("reason")))
     rows = M.checkpointed(rows.select("item_id", "source", "date", "ingest_seq", "docket_tokens", "party_tokens", "flags", "tier", "reason"))
@@ -104,7 +116,7 @@ def funnel_run(
     auto, held = (cards.where(F.col("lane") == lane).select("item_id") for lane in ("auto", "held"))
     after = G.advance_seen(seen_cap, held, seen.select("item_id"), definite, existing.select("item_id"), auto)
     record = E.run_record(fate.select(F.coalesce("tier", F.lit("carded")).alias("tier"), F.col("tier").isNotNull().alias("dropped")), floored)
-    return FunnelRun(cards, drops.select("item_id", "source", "tier", "reason", "smell"), floored, after, record)
+    return FunnelRun(cards, drops.select("item_id", "source", "tier", "reason", "smell"), floored, after, record, memos)
 
 
 def funnel_counts(f: Funnel | FunnelRun) -> DataFrame:

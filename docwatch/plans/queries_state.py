@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docwatch.functions.text import fingerprint_pages
 from docwatch.operators import state as G
+from docwatch.operators.classify import Classifier, classified, remembered_by
 from docwatch.plans.roles import edges, items, log, query, table, text
 
 
@@ -202,6 +203,28 @@ def g15(spark, d):
     return hit.select("item_id", "verdict").union(miss.select("item_id", F.lit("miss")))
 
 
+def by_word_length():
+    """A model that wants long words: loaded where it runs."""
+    import pandas as pd
+
+    def model(frame):
+        words = frame["text"].fillna("").str.split(r"[\x20\t\n\x0b\f\r]+", regex=True).map(lambda ws: [w for w in ws if w])
+        long_ = words.map(lambda ws: sum(len(w) > 5 for w in ws)) * 3 >= words.map(len)
+        return pd.DataFrame({"passes": long_.where(frame["lang"] != "en", None), "reason": frame["lang"].map("{}: short words".format).where(~long_, "")})
+
+    return model
+
+
+@query("g15_classifier", """WITH d AS (SELECT *, bool_or(doc_id % 3 = 0) OVER (PARTITION BY lang, text) AS held, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    m AS (SELECT *, len(list_filter(ws, lambda w: length(w) > 5)) * 3 >= len(ws) AS p FROM d)
+    SELECT doc_id AS item_id, CASE WHEN held THEN lang <> 'fr' ELSE p END AS passes, CASE WHEN held THEN 'known' WHEN p THEN '' ELSE lang || ': short words' END AS reason, held AS remembered FROM m WHERE held OR lang <> 'en'""")
+def g15b(spark, d):
+    """Documents judged by a model where the memo of every third one holds no verdict on the same inputs; it has none on English ones."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "item_id")
+    memo = docs.where("item_id % 3 = 0").select(remembered_by("1", "lang", "text").alias("fingerprint"), (F.col("lang") != "fr").alias("passes"), F.lit("known").alias("reason"))
+    return classified(docs, Classifier(by_word_length, ("lang", "text"), "1", memo))[0]
+
+
 @query("g16_health_report", """SELECT round((epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(max(ts) FILTER (stage = 'click'))) / 3600, 1) AS scan_age_h, round((epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(max(ts) FILTER (stage = 'view'))) / 3600, 1) AS content_age_h,
     count(*) FILTER (stage IN ('view', 'error')) AS rows, count(*) FILTER (stage = 'view') AS dated, round((epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(max(ts) FILTER (stage = 'click'))) / 3600, 1) > 36 AS stale, NOT round((epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(max(ts) FILTER (stage = 'click'))) / 3600, 1) > 36 AS trust_silence,
     CASE WHEN round((epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(max(ts) FILTER (stage = 'click'))) / 3600, 1) > 36 THEN 3 ELSE 0 END AS code FROM log""", "log")
