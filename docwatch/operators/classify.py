@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docwatch.operators.match import checkpointed
+from docwatch.operators.checkpoints import checkpointed
 from docwatch.operators.state import input_fingerprint
 
 VERDICT = "fingerprint string, passes boolean, reason string"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,20 +10,11 @@ from pyspark.sql import functions as F
 
 from docwatch.functions import values
 from docwatch.functions.text import name_key, quoted
+from docwatch.operators.checkpoints import checkpointed
+from docwatch.operators.graph import connected
 from docwatch.operators.patterns import containing, occurrences
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the cluster's checkpoint folder; a temporary one only on a local master without one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docwatch-"))
-    return df.checkpoint()
-
-
 def token_pairs(tokens: str) -> F.Column:
     """All pairs of different tokens of a name, as `first|second` in order; names have few tokens."""
     t = F.array_sort(F.array_distinct(tokens))
@@ -49,17 +39,19 @@ def same_item_links(df: DataFrame) -> DataFrame:
 def dedup_greedy(df: DataFrame, keys: DataFrame, rank: str = "item_id", last: int = 100_000) -> DataFrame:
     """In rank order, an item goes if it shares a key with an accepted earlier one; one that went shadows nobody.
 
-    keys(item_id, key), as of same_item_keys. Every round accepts all undecided items that are the first undecided one
-    of each of their keys, and drops the others of those keys; the lowest undecided item is always accepted, so rounds
-    end. No round writes pairs. Once at most `last` rows are undecided, one task settles them in rank order, so that a
-    chain of overlapping items doesn't cost a round per link.
+    keys(item_id, key), as of same_item_keys. Items that share keys, directly or through others, are a component, and
+    components don't touch: each of at most `last` rows is settled in rank order by the task it is dealt to, which holds the
+    keys taken in one component at a time. What is larger goes through a round that accepts all undecided items that come
+    first in each of their keys and drops the others of those keys, and is taken apart again. No step writes pairs.
     """
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken: set[str] = set()
+        taken, now = set(), None
         for frame in frames:
             gone = []
-            for item, held in zip(frame["item_id"], frame["keys"]):
+            for root, item, held in zip(frame["root"], frame["item_id"], frame["keys"]):
+                if root != now:
+                    taken, now = set(), root
                 if taken.isdisjoint(held):
                     taken.update(held)
                 else:
@@ -68,21 +60,27 @@ def dedup_greedy(df: DataFrame, keys: DataFrame, rank: str = "item_id", last: in
 
     ranks = df.select("item_id", F.col(rank).alias("r"))
     busy = keys.groupBy("key").count().where("count > 1").select("key")
-    open_ = checkpointed(keys.join(busy, "key", "left_semi").join(ranks, "item_id").select("item_id", "key", "r"))
+    open_ = checkpointed(keys.join(busy, "key", "left_semi").join(ranks, "item_id").select("item_id", "key", "r").distinct())
     dropped = None
-    while (n := open_.count()) > last:
-        low = checkpointed(open_.groupBy("key").agg(F.min(F.struct("r", "item_id")).alias("low")))
-        marked = open_.join(low, "key").withColumn("first", F.col("low.item_id") == F.col("item_id"))
-        accepted = checkpointed(marked.groupBy("item_id").agg(F.every("first").alias("all")).where("all").select("item_id"))
-        taken = open_.join(accepted, "item_id", "left_semi").select("key").distinct()
-        gone = checkpointed(open_.join(taken, "key", "left_semi").join(accepted, "item_id", "left_anti").select("item_id").distinct())
-        dropped = gone if dropped is None else checkpointed(dropped.union(gone))
-        open_ = checkpointed(open_.join(accepted.union(gone), "item_id", "left_anti"))
-    if n:
-        few = open_.groupBy("r", "item_id").agg(F.collect_set("key").alias("keys")).repartition(1).sortWithinPartitions("r", "item_id")
-        gone = few.select("item_id", "keys").mapInPandas(settle, open_.select("item_id").schema)
+    while not open_.isEmpty():
+        hubs = open_.groupBy("key").agg(F.min("item_id").alias("v"))
+        roots = connected(open_.join(hubs, "key").select(F.col("item_id").alias("u"), "v")).withColumnRenamed("node", "item_id")
+        sized = open_.groupBy("item_id").count().join(roots, "item_id").groupBy("root").agg(F.sum("count").alias("rows"))
+        rooted = checkpointed(open_.join(roots.join(sized, "root"), "item_id"))
+        few = rooted.where(F.col("rows") <= last).groupBy("root", "r", "item_id").agg(F.collect_set("key").alias("keys"))
+        few = few.repartition("root").sortWithinPartitions("root", "r", "item_id").select("root", "item_id", "keys")
+        gone = checkpointed(few.mapInPandas(settle, open_.select("item_id").schema))
+        open_ = rooted.where(F.col("rows") > last).select("item_id", "key", "r")
+        if not open_.isEmpty():
+            low = checkpointed(open_.groupBy("key").agg(F.min(F.struct("r", "item_id")).alias("low")))
+            marked = open_.join(low, "key").withColumn("first", F.col("low.item_id") == F.col("item_id"))
+            accepted = checkpointed(marked.groupBy("item_id").agg(F.every("first").alias("all")).where("all").select("item_id"))
+            taken = open_.join(accepted, "item_id", "left_semi").select("key").distinct()
+            beaten = checkpointed(open_.join(taken, "key", "left_semi").join(accepted, "item_id", "left_anti").select("item_id").distinct())
+            open_ = checkpointed(open_.join(accepted.union(beaten), "item_id", "left_anti"))
+            gone = gone.union(beaten)
         dropped = gone if dropped is None else dropped.union(gone)
-    return df if dropped is None else df.join(dropped, "item_id", "left_anti")
+    return df if dropped is None else df.join(checkpointed(dropped), "item_id", "left_anti")
 
 
 def dedup_by_identity(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docwatch.functions import values
+from docwatch.operators.checkpoints import checkpointed
 from docwatch.operators.select import first_per_key, union_ids, without
 
 
@@ -49,15 +50,34 @@ def status_transition(old: DataFrame, new: DataFrame, key: str, fields: list[str
     return o.join(n, key, "full").select(key, F.inline(changes)).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def stalled_runs(log: DataFrame, n: int) -> DataFrame:
-    """log(source, run, mark, blocked): length of each streak of runs with an unmoved mark and a blocker outstanding; loud from n on."""
-    w = Window.partitionBy("source").orderBy("run")
-    stuck = F.coalesce(F.col("mark").eqNullSafe(F.lag("mark").over(w)) & F.lag(F.lit(True)).over(w) & F.col("blocked"), F.lit(False))
-    rows = log.withColumn("stuck", stuck)
-    island = F.sum(F.when(F.col("stuck"), 0).otherwise(1)).over(w)
-    rows = rows.withColumn("island", island)
-    streak = F.when(F.col("stuck"), F.row_number().over(Window.partitionBy("source", "island", "stuck").orderBy("run"))).otherwise(0)
-    return rows.withColumn("streak", streak.cast("long")).withColumn("loud", F.col("streak") >= n).drop("stuck", "island")
+def stalled_runs(log: DataFrame, n: int, parts: int | None = None) -> DataFrame:
+    """log(source, run, mark, blocked): length of each streak of runs with an unmoved mark and a blocker outstanding; loud from n on.
+
+    Runs are dealt by ranges of (source, run), so one source's are spread over tasks. A stretch of them counts its streaks for
+    itself and sums itself up in a row (first and last run, length, streak at its end, whether all of it is stuck); from these
+    rows, a few per task, each stretch learns the streak that it goes on with."""
+    parts = parts or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(log.repartitionByRange(parts, "source", "run").withColumn("__part", F.spark_partition_id()))
+    w = Window.partitionBy("source", "__part").orderBy("run")
+    inner = F.coalesce(F.col("mark").eqNullSafe(F.lag("mark").over(w)) & F.col("blocked"), F.lit(False)) & (F.row_number().over(w) > 1)
+    rows = dealt.withColumn("__stuck", inner).withColumn("__k", F.row_number().over(w))
+    rows = rows.withColumn("__island", F.sum(F.when(F.col("__stuck"), 0).otherwise(1)).over(w))  # the first row opens island 1
+    rows = checkpointed(rows.withColumn("__own", F.row_number().over(Window.partitionBy("source", "__part", "__island").orderBy("run")) - 1))
+
+    ends = rows.groupBy("source", "__part").agg(
+        F.min_by(F.struct("mark", "blocked"), "__k").alias("first"), F.max_by("mark", "__k").alias("last"), F.max("__k").alias("size"), F.max_by("__own", "__k").alias("tail"), F.max("__island").alias("islands")
+    )
+    order = Window.partitionBy("source").orderBy("__part")  # a row per task at most
+    goes_on = F.lag(F.lit(True)).over(order) & F.col("first.mark").eqNullSafe(F.lag("last").over(order)) & F.col("first.blocked")
+    ends = ends.withColumn("on", F.coalesce(goes_on, F.lit(False)))
+    all_stuck = F.col("on") & (F.col("islands") == 1)
+    ends = ends.withColumn("chain", F.sum(F.when(all_stuck, 0).otherwise(1)).over(order))
+    adds = F.when(all_stuck, F.col("size")).otherwise(F.col("tail"))
+    through = F.sum(adds).over(Window.partitionBy("source", "chain").orderBy("__part"))
+    ends = ends.withColumn("through", through).withColumn("before", F.coalesce(F.lag("through").over(order), F.lit(0)))
+    joined = rows.join(ends.select("source", "__part", "on", "before"), ["source", "__part"])
+    streak = F.col("__own") + F.when((F.col("__island") == 1) & F.col("on"), F.col("before") + 1).otherwise(0)
+    return joined.withColumn("streak", streak.cast("long")).withColumn("loud", F.col("streak") >= n).select(*log.columns, "streak", "loud")
 
 
 def merge_items(existing: DataFrame, new: DataFrame, key: str, order: str, fields: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from docwatch.operators.match import checkpointed
+from docwatch.operators.checkpoints import checkpointed
 from docwatch.operators.state import detect_page_changes
 
 
@@ -62,8 +62,10 @@ def stream_dedup(stream: DataFrame, key: str, ts: str, delay: str, seen: DataFra
 
 
 def stream_usage(stream: DataFrame, account: str, ts: str, span: str = "1 hour", slide: str = "1 minute", delay: str = "1 hour") -> DataFrame:
-    """S3: calls per account in sliding windows."""
-    per = stream.withWatermark(ts, delay).groupBy(F.window(ts, span, slide), account).agg(F.count("*").alias("calls"))
+    """S3: calls per account in sliding windows. Calls are counted once, in panes as long as the slide; windows add up the
+    panes, so a call is written once and a busy minute is one row, whatever number of windows share it."""
+    panes = stream.withWatermark(ts, delay).groupBy(F.window(ts, slide).alias("pane"), account).agg(F.count("*").alias("calls"))
+    per = panes.groupBy(F.window(F.window_time("pane"), span, slide).alias("window"), account).agg(F.sum("calls").alias("calls"))
     return per.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), account, "calls")
 
 
