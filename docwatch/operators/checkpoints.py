@@ -16,3 +16,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docwatch-"))
     return df.checkpoint()
+
+
+def renewed(df: DataFrame) -> DataFrame:
+    """As checkpointed(), and without the size that the planner guessed for df. A checkpoint keeps that guess; every join multiplies
+    the guesses of its sides, so in a loop of joins they grow to numbers of megabytes in the driver. For what goes round in loops."""
+    rows = checkpointed(df)
+    spark = rows.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(rows._jdf.toJavaRDD(), rows._jdf.schema()), spark)

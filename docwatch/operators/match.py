@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docwatch.functions import values
 from docwatch.functions.text import name_key, quoted
-from docwatch.operators.checkpoints import checkpointed
+from docwatch.operators.checkpoints import checkpointed, renewed
 from docwatch.operators.graph import connected
 from docwatch.operators.patterns import containing, occurrences
 
@@ -60,7 +60,7 @@ def dedup_greedy(df: DataFrame, keys: DataFrame, rank: str = "item_id", last: in
 
     ranks = df.select("item_id", F.col(rank).alias("r"))
     busy = keys.groupBy("key").count().where("count > 1").select("key")
-    open_ = checkpointed(keys.join(busy, "key", "left_semi").join(ranks, "item_id").select("item_id", "key", "r").distinct())
+    open_ = renewed(keys.join(busy, "key", "left_semi").join(ranks, "item_id").select("item_id", "key", "r").distinct())
     dropped = None
     while not open_.isEmpty():
         hubs = open_.groupBy("key").agg(F.min("item_id").alias("v"))
@@ -77,10 +77,10 @@ def dedup_greedy(df: DataFrame, keys: DataFrame, rank: str = "item_id", last: in
             accepted = checkpointed(marked.groupBy("item_id").agg(F.every("first").alias("all")).where("all").select("item_id"))
             taken = open_.join(accepted, "item_id", "left_semi").select("key").distinct()
             beaten = checkpointed(open_.join(taken, "key", "left_semi").join(accepted, "item_id", "left_anti").select("item_id").distinct())
-            open_ = checkpointed(open_.join(accepted.union(beaten), "item_id", "left_anti"))
+            open_ = renewed(open_.join(accepted.union(beaten), "item_id", "left_anti"))
             gone = gone.union(beaten)
         dropped = gone if dropped is None else dropped.union(gone)
-    return df if dropped is None else df.join(checkpointed(dropped), "item_id", "left_anti")
+    return df if dropped is None else df.join(renewed(dropped), "item_id", "left_anti")
 
 
 def dedup_by_identity(df: DataFrame) -> DataFrame:
@@ -132,18 +132,23 @@ def reverse_sweep(items: DataFrame, edges: DataFrame, seen: DataFrame, pending:
     return capped.orderBy(F.desc("never_swept"), "n", *order, "item_id").limit(per_run)
 
 
-def citation_windows(pairs: DataFrame, docs: DataFrame, items: DataFrame, before: int = 1200, after: int = 1800, cap: int = 9_000, wide: int = 27_000, stop: tuple[str, ...] = values.CAPTION_STOP) -> DataFrame:
+def citation_windows(pairs: DataFrame, docs: DataFrame, items: DataFrame, before: int = 1200, after: int = 1800, cap: int = 9_000, wide: int = 27_000, stop: tuple[str, ...] = values.CAPTION_STOP, together: int = 64) -> DataFrame:
     """For pairs(item_id, citer_id), the text of docs(item_id, text) around the first mention of each side of
     items(item_id, name); a side is found by its first distinctive capitalised word that occurs. located is false where
-    neither side is found and a wide slice stands in."""
-    rows = pairs.join(items.select("item_id", "name"), "item_id").join(docs.select(F.col("item_id").alias("citer_id"), "text"), "citer_id")
-    rows = rows.withColumn("low", F.lower("text"))
+    neither side is found and a wide slice stands in. A citer's text meets its names in groups of about `together`, not once a pair."""
+    named = pairs.join(items.select("item_id", "name"), "item_id")
+    sizes = named.groupBy("citer_id").agg(F.ceil(F.count("*") / together).alias("__groups"))
+    named = named.join(sizes, "citer_id").withColumn("__group", F.pmod(F.xxhash64("item_id"), F.col("__groups")))
+    listed = named.groupBy("citer_id", "__group").agg(F.collect_list(F.struct("item_id", "name")).alias("names"))
+    rows = listed.join(docs.select(F.col("item_id").alias("citer_id"), "text"), "citer_id").withColumn("low", F.lower("text"))
     words = lambda side: F.filter(F.regexp_extract_all(side, F.lit("[A-Z][A-Za-z'&.-]{2,}"), F.lit(0)), lambda w: ~F.regexp_replace(F.lower(w), r"^\.+|\.+$", "").isin(*stop))
     spot = lambda side: F.get(F.filter(F.transform(words(side), lambda w: F.instr(F.col("low"), F.lower(w))), lambda p: p > 0), F.lit(0))
-    rows = rows.withColumn("spots", F.array_sort(F.filter(F.transform(F.split("name", r"\bv\.?\b", 2), spot), lambda p: p.isNotNull())))
-    cuts = F.transform("spots", lambda p: F.substring("text", F.greatest(p - before, F.lit(1)), p + after - F.greatest(p - before, F.lit(1))))
-    window = F.when(F.size("spots") > 0, F.substring(F.array_join(cuts, "\n...\n"), 1, cap)).otherwise(F.substring("text", 1, wide))
-    return rows.select("item_id", "citer_id", (F.size("spots") > 0).alias("located"), window.alias("window"))
+    spots = lambda name: F.array_sort(F.filter(F.transform(F.split(name, r"\bv\.?\b", 2), spot), lambda p: p.isNotNull()))
+    rows = rows.withColumn("found", F.transform("names", lambda n: F.struct(n["item_id"].alias("item_id"), spots(n["name"]).alias("spots"))))
+    cut = lambda p: F.substring(F.col("text"), F.greatest(p - before, F.lit(1)), p + after - F.greatest(p - before, F.lit(1)))
+    window = lambda x: F.when(F.size(x["spots"]) > 0, F.substring(F.array_join(F.transform(x["spots"], cut), "\n...\n"), 1, cap)).otherwise(F.substring(F.col("text"), 1, wide))
+    shown = rows.select("citer_id", F.explode(F.transform("found", lambda x: F.struct(x["item_id"].alias("item_id"), (F.size(x["spots"]) > 0).alias("located"), window(x).alias("window")))).alias("x"))
+    return shown.select("x.item_id", "citer_id", "x.located", "x.window")
 
 
 def check_items(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -164,17 +169,27 @@ def official_link(items: DataFrame, index: DataFrame) -> DataFrame:
     return rows.groupBy("item_id").agg(F.min_by("url", F.struct("pos", "url")).alias("url"))
 
 
-def redate(df: DataFrame, index: DataFrame, known: DataFrame, today) -> DataFrame:
-    """items(item_id, docket, date, caption_date): the date from index(docket, released), else the caption's; the
-    given one is kept as original_date; a future or missing one is unresolved; an id on the docket and date of a known
-    item is a duplicate of the smallest."""
+def redate(df: DataFrame, index: DataFrame, known: DataFrame, today, stuck=None) -> DataFrame:
+    """items(item_id, docket, date, caption_date, has_text) dated from index(docket, released), else from the caption of
+    their text; the given date is kept as original_date.
+
+    An item is a duplicate of the smallest other id of known(item_id, docket, date) with its docket on the found or on the original date;
+    dated, if the date found is not in the future; pending, while it has no text to look into; else unresolved. All but dated
+    ones keep their date; an unresolved one on the `stuck` date, which a source gives to all that it can't date, is unverified."""
     rows = df.join(index.groupBy("docket").agg(F.max("released").alias("released")), "docket", "left").withColumnRenamed("date", "original_date")
-    found = F.coalesce("released", "caption_date")
-    rows = rows.withColumn("date", F.when(found <= F.lit(today).cast("date"), found))
-    taken = known.groupBy("docket", "date").agg(F.min("item_id").alias("known_id"))
-    rows = rows.join(taken, ["docket", "date"], "left")
-    dup = F.col("known_id").isNotNull() & (F.col("known_id") != F.col("item_id"))
-    return rows.withColumn("outcome", F.when(F.col("date").isNull(), "unresolved").when(dup, "duplicate").otherwise("dated")).withColumn("duplicate_of", F.when(dup, F.col("known_id"))).drop("known_id")
+    rows = rows.withColumn("__found", F.coalesce("released", F.when(F.col("has_text"), F.col("caption_date"))))
+    peers = known.where("docket is not null and date is not null").select("item_id", "docket", "date").distinct()
+    first = peers.groupBy("docket", "date").agg(F.min("item_id").alias("a"))
+    second = peers.join(first, ["docket", "date"]).where("item_id <> a").groupBy("docket", "date").agg(F.min("item_id").alias("b"))
+    two = first.join(second, ["docket", "date"], "left")  # the smallest id, and the next for that item itself
+    for k, day in enumerate(("__found", "original_date")):
+        rows = rows.join(two.select("docket", F.col("date").alias(day), F.col("a").alias(f"__a{k}"), F.col("b").alias(f"__b{k}")), ["docket", day], "left")
+    other = lambda k: F.when(F.col(f"__a{k}") == F.col("item_id"), F.col(f"__b{k}")).otherwise(F.col(f"__a{k}"))
+    rows = rows.withColumn("duplicate_of", F.least(other(0), other(1)))
+    outcome = F.when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("__found") <= F.lit(today).cast("date"), "dated").when(~F.coalesce("has_text", F.lit(False)), "pending").otherwise("unresolved")
+    rows = rows.withColumn("outcome", outcome).withColumn("date", F.when(F.col("outcome") == "dated", F.col("__found")).otherwise(F.col("original_date")))
+    unverified = (F.col("outcome") == "unresolved") & F.coalesce(F.col("original_date") == F.lit(stuck).cast("date"), F.lit(False))
+    return rows.withColumn("unverified", unverified).select(*df.columns, "original_date", "outcome", "duplicate_of", "unverified")
 
 
 def prefer_richer(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -153,25 +153,28 @@ def j5(spark, d):
 
 @query("j6_log_lint")
 def j6(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("stage"), "source", F.col("source").alias("category"), F.col("text").alias("reason"), F.col("source").alias("name"), F.lit(None).cast("string").alias("docket"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 500)).alias("evidence"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("stage"), "source", F.col("source").alias("category"), F.col("text").alias("reason"), F.col("source").alias("name"), F.lit(None).cast("string").alias("docket"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("evidence"))
     allowed = spark.createDataFrame([("en", f"src{k}") for k in range(10)], "stage string, category string")
     return J.log_lint(rows, allowed, spark.createDataFrame([("the",)], "phrase string"), "license|token")
 
 
-@query("j7_guard_revalidate")
+@query("j7_guard_revalidate", """WITH o AS (SELECT conv_id AS item_id, count(*) FILTER (role = 'user') AS flags, count(*) FILTER (role = 'assistant') AS clears, row_number() OVER (ORDER BY conv_id) - 1 AS place, count(*) OVER () AS n FROM conversations GROUP BY 1)
+    SELECT item_id, CASE WHEN flags > 2 THEN 'flagged' WHEN clears > 2 THEN 'ok' ELSE 'undecided' END AS outcome FROM o WHERE (place - 20001 * 30 % n + n) % n < 30""")
 def j7(spark, d):
     vote = F.when(F.col("role") == "user", "flag").when(F.col("role") == "assistant", "clear").otherwise("lost")
-    attempts = table(spark, d, "conversations").where("turn < 5").select(F.col("conv_id").alias("item"), F.col("turn").alias("attempt"), vote.alias("vote"), F.lit("r").alias("reason"))
-    return J.guard_revalidate(attempts.select(F.col("item").alias("item_id")).distinct(), attempts, 30, 20_001, 3)[0]
+    attempts = table(spark, d, "conversations").select(F.col("conv_id").alias("item"), F.col("turn").alias("attempt"), vote.alias("vote"), F.lit("r").alias("reason"))
+    return J.guard_revalidate(attempts.select(F.col("item").alias("item_id")).distinct(), attempts, 30, 20_001, 5)[0]
 
 
-@query("j8_backfill_sweep", """WITH o AS (SELECT o_orderkey AS item_id, o_orderpriority AS source, CAST(o_orderdate AS DATE) AS date, o_orderkey % 2000 AS docket, o_custkey % 3 AS holdings FROM orders WHERE o_orderdate BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'),
-    u AS (SELECT *, row_number() OVER (PARTITION BY source, docket ORDER BY holdings DESC, item_id) AS n FROM o),
-    r AS (SELECT CASE WHEN n > 1 THEN 'duplicate' WHEN item_id % 6 = 0 OR item_id % 7 = 0 THEN 'dropped' ELSE 'carded' END AS status, CASE WHEN n > 1 THEN 'identity' WHEN item_id % 12 = 0 THEN 'screen: retry' WHEN item_id % 6 = 0 THEN 'screen' WHEN item_id % 7 = 0 THEN 'triage' ELSE 'all' END AS tier FROM u)
-    SELECT status, tier, count(*) AS n FROM r GROUP BY GROUPING SETS ((status, tier), (status))""")
+@query("j8_backfill_sweep", """, o AS (SELECT item_id, source, text, item_id // 2 AS docket, item_id % 3 AS holdings FROM cand WHERE date BETWEEN DATE '2024-02-01' AND DATE '2024-11-30'),
+    u AS (SELECT *, row_number() OVER (PARTITION BY source, docket ORDER BY holdings DESC, item_id) AS n, length(text) >= 500 AND length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 100 AS ok FROM o),
+    r AS (SELECT CASE WHEN n > 1 THEN 'duplicate' WHEN NOT coalesce(ok, false) OR item_id % 6 = 0 OR item_id % 7 = 0 THEN 'dropped' ELSE 'carded' END AS status,
+        CASE WHEN n > 1 THEN 'identity' WHEN NOT coalesce(ok, false) THEN 'text' WHEN item_id % 12 = 0 THEN 'screen: retry' WHEN item_id % 6 = 0 THEN 'screen' WHEN item_id % 7 = 0 THEN 'triage' ELSE 'all' END AS tier FROM u)
+    SELECT status, tier, count(*) AS n FROM r GROUP BY GROUPING SETS ((status, tier), (status))""".replace(", o AS", "SELECT * FROM (WITH o AS", 1) + ")", "cand")
 def j8(spark, d):
-    rows = items(spark, d).select("item_id", "source", F.lit("x").alias("name"), "date", F.array(F.concat(F.lit("D"), (F.col("item_id") % 2000).cast("string"))).alias("docket_tokens"), (F.col("custkey") % 3).alias("holdings"), F.col("item_id").alias("ingest_seq"), F.repeat(F.lit("abcdefghij"), 60).alias("text"))
-    return J.backfill_sweep(rows, [], "1997-01-01", "1998-12-31", tiers(rows))
+    i = F.col("item_id")
+    rows = cand(spark, d).withColumns({"name": F.lit("x"), "docket_tokens": F.array(F.concat(F.lit("D"), F.floor(i / 2).cast("string"))), "holdings": i % 3})
+    return J.backfill_sweep(rows, [], "2024-02-01", "2024-11-30", tiers(rows))
 
 
 @query("s1_stream_candidates", f""", {TIERS} SELECT item_id, source FROM g WHERE stage = 'carded'""".replace(", t AS", "SELECT * FROM (WITH t AS", 1) + ")", "cand")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docwatch.functions import values
 from docwatch.functions.text import docket_tokens, name_key, party_tokens
 from docwatch.operators import match as M
 from docwatch.operators import select as S
@@ -11,19 +12,24 @@ from docwatch.operators import stats as E
 from docwatch.plans.queries_text import STOPS, TOKENS
 from docwatch.plans.roles import cand, edges, golden, items, log, query, table, text
 
-#: Documents as items with tokens: the docket is a group number, the parties are the first words of the text.
-DOC_ITEMS = f"""di AS (SELECT doc_id AS item_id, source, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date, substr(text, 1, 40) AS name,
-    CASE WHEN doc_id % 3 = 0 THEN ['D' || CAST(1000 + doc_id % 400 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS docket_tokens,
-    {TOKENS.format('substr(text, 1, 40)', STOPS)} AS party_tokens, doc_id % 4 AS holdings FROM documents)"""
+#: Pages as items with tokens: the docket is a group number, the parties are the words of the title.
+TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
+DOC_ITEMS = f"""di AS (SELECT page_id AS item_id, regexp_extract(url, 'example[.]([a-z]+)', 1) AS source, DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS date, {TITLE} AS name,
+    CASE WHEN page_id % 3 = 0 THEN ['D' || CAST(1000 + page_id % 400 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS docket_tokens,
+    {TOKENS.format(TITLE, STOPS)} AS party_tokens, page_id % 4 AS holdings FROM pages)"""
 KEYS = """ks AS (SELECT item_id, 'd|' || source || '|' || t AS key FROM (SELECT item_id, source, unnest(docket_tokens) AS t FROM di)
     UNION SELECT x.item_id, 'p|' || x.source || '|' || CAST(x.date AS VARCHAR) || '|' || x.t || '|' || y.t FROM (SELECT item_id, source, date, unnest(party_tokens) AS t FROM di) x JOIN (SELECT item_id, unnest(party_tokens) AS t FROM di) y ON x.item_id = y.item_id AND x.t < y.t)"""
 
 
+def title():
+    return F.regexp_extract("html", "<title>([^<]*)", 1)
+
+
 def doc_items(spark, d):
-    docs = table(spark, d, "documents")
-    head = F.substring("text", 1, 40)
-    docket = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("D"), (1000 + F.col("doc_id") % 400).cast("string")))
-    return docs.select(F.col("doc_id").alias("item_id"), "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"), head.alias("name"), docket_tokens(docket).alias("docket_tokens"), party_tokens(head).alias("party_tokens"), (F.col("doc_id") % 4).alias("holdings"))
+    i = F.col("page_id")
+    docket = F.when(i % 3 == 0, F.concat(F.lit("D"), (1000 + i % 400).cast("string")))
+    rows = table(spark, d, "pages").select(i, "url", title().alias("name"))
+    return rows.select(i.alias("item_id"), F.regexp_extract("url", "example[.]([a-z]+)", 1).alias("source"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int")).alias("date"), "name", docket_tokens(docket).alias("docket_tokens"), party_tokens(F.col("name")).alias("party_tokens"), (i % 4).alias("holdings"))
 
 
 @query("d1_same_item_links", f"WITH {DOC_ITEMS}, {KEYS} SELECT item_id, key, first_id FROM (SELECT *, min(item_id) OVER (PARTITION BY key) AS first_id FROM ks) WHERE item_id <> first_id")
@@ -75,12 +81,22 @@ def d5b(spark, d):
     return M.reverse_sweep(state, e, ids("(src_id + dst_id) % 11 = 0"), ids("(src_id + dst_id) % 211 = 5"), "2001-08-01").select("item_id", "citer_id", *text("ts"), "never_swept", "is_pending", "n")
 
 
-@query("t3_citation_windows")
+T3_STOPS = ", ".join(f"'{w}'" for w in values.CAPTION_STOP)
+
+
+@query("t3_citation_windows", rf"""WITH n AS (SELECT page_id AS item_id, {TITLE} || ' v. ' || regexp_extract(url, '/([a-z]+)/', 1) || ' ' || upper(substr({TITLE}, 1, 1)) || substr(url, 9, 6) AS name FROM pages),
+    p AS (SELECT DISTINCT l_partkey % (SELECT count(*) FROM pages) AS item_id, l_orderkey % (SELECT count(*) FROM documents) AS citer_id FROM lineitem),
+    s AS (SELECT item_id, unnest(string_split_regex(name, '\bv\.?\b')) AS side FROM n), w AS (SELECT item_id, list_filter(regexp_extract_all(side, '[A-Z][A-Za-z''&.-]{{2,}}'), lambda w: regexp_replace(lower(w), '^\.+|\.+$', '', 'g') NOT IN ({T3_STOPS})) AS ws FROM s),
+    l AS (SELECT item_id, list(ws) AS sides FROM w GROUP BY 1), d AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+    f AS (SELECT p.item_id, citer_id, text, list_sort(list_filter(list_transform(sides, lambda ws: list_filter(list_transform(ws, lambda w: instr(low, lower(w))), lambda x: x > 0)[1]), lambda x: x IS NOT NULL)) AS spots FROM p JOIN l USING (item_id) JOIN d ON d.doc_id = citer_id)
+    SELECT item_id, citer_id, len(spots) > 0 AS located, md5(CASE WHEN len(spots) > 0 THEN substr(array_to_string(list_transform(spots, lambda x: substr(text, greatest(x - 1200, 1), x + 1800 - greatest(x - 1200, 1))), chr(10) || '...' || chr(10)), 1, 9000) ELSE substr(text, 1, 27000) END) AS window_md5 FROM f""")
 def t3(spark, d):
-    pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), (F.col("l_orderkey") % 1000).alias("citer_id")).distinct()
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    names = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.initcap(F.concat_ws(" v. ", F.substring("text", 1, 20), F.substring("text", 30, 20))).alias("name"))
-    return M.citation_windows(pairs, docs, names)
+    pages, documents = table(spark, d, "pages"), table(spark, d, "documents")
+    pairs = table(spark, d, "lineitem").select((F.col("l_partkey") % pages.count()).alias("item_id"), (F.col("l_orderkey") % documents.count()).alias("citer_id")).distinct()
+    second = F.concat(F.regexp_extract("url", "/([a-z]+)/", 1), F.lit(" "), F.upper(F.substring(title(), 1, 1)), F.substring("url", 9, 6))
+    names = pages.select(F.col("page_id").alias("item_id"), F.concat(title(), F.lit(" v. "), second).alias("name"))
+    out = M.citation_windows(pairs, documents.select(F.col("doc_id").alias("item_id"), "text"), names)
+    return out.select("item_id", "citer_id", "located", F.md5("window").alias("window_md5"))
 
 
 @query("d6_check_items", """, q AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey * 97 AS BIGINT) END AS item_id, CASE n_nationkey % 6 WHEN 1 THEN 'blue' WHEN 3 THEN 'Part 1' ELSE 'no such name' END AS name FROM nation),
@@ -103,12 +119,21 @@ def d7(spark, d):
     return M.official_link(lists, index)
 
 
-@query("d8_redate")
+@query("d8_redate", """, r AS (SELECT item_id, item_id // 4 AS docket, date, CASE WHEN item_id % 3 > 0 AND item_id % 4 = 1 THEN first_seen END AS caption, item_id % 3 > 0 AS has_text, CASE WHEN item_id // 4 % 7 = 0 THEN (SELECT max(o.date) + 30 FROM items o WHERE o.item_id = i.item_id // 4 * 4) END AS released FROM items i),
+    f AS (SELECT *, coalesce(released, caption) AS found FROM r), k AS (SELECT item_id AS other, item_id // 4 AS docket, CASE WHEN item_id % 2 = 0 THEN date ELSE first_seen END AS day FROM items WHERE item_id % 13 = 0 UNION SELECT item_id + 2, item_id // 4, date + 30 FROM items WHERE item_id % 56 = 0),
+    o AS (SELECT f.*, (SELECT min(other) FROM k WHERE k.docket = f.docket AND k.other <> f.item_id AND (k.day = f.found OR k.day = f.date)) AS duplicate_of FROM f)
+    SELECT item_id, CASE WHEN duplicate_of IS NOT NULL THEN 'duplicate' WHEN found <= DATE '1999-01-01' THEN 'dated' WHEN NOT has_text THEN 'pending' ELSE 'unresolved' END AS outcome, duplicate_of,
+        CAST(CASE WHEN duplicate_of IS NULL AND found <= DATE '1999-01-01' THEN found ELSE date END AS VARCHAR) AS date, CAST(date AS VARCHAR) AS original_date,
+        duplicate_of IS NULL AND coalesce(found > DATE '1999-01-01', true) AND has_text AND date = DATE '1996-03-13' AS unverified FROM o""".replace(", r AS", "SELECT * FROM (WITH r AS", 1) + ")", "items")
 def d8(spark, d):
-    rows = items(spark, d).select("item_id", F.concat(F.lit("D"), (F.col("item_id") % 900).cast("string")).alias("docket"), "date", F.when(F.col("item_id") % 4 == 0, F.col("first_seen")).alias("caption_date"))
-    index = items(spark, d).where("item_id % 7 = 0 and item_id < 900").select(F.concat(F.lit("D"), F.col("item_id").cast("string")).alias("docket"), F.col("date").alias("released"))
-    known = rows.where("item_id % 13 = 0").select("item_id", "docket", F.coalesce("caption_date", "date").alias("date"))
-    return M.redate(rows, index, known, "2001-01-01").select("item_id", "outcome", "duplicate_of", *text("date"))
+    i = F.col("item_id")
+    docket = F.concat(F.lit("D"), F.floor(i / 4).cast("string"))
+    rows = items(spark, d)
+    given = rows.select("item_id", docket.alias("docket"), "date", F.when(i % 4 == 1, F.col("first_seen")).alias("caption_date"), (i % 3 > 0).alias("has_text"))
+    index = rows.where("item_id % 28 = 0").select(docket.alias("docket"), F.date_add("date", 30).alias("released"))
+    known = rows.where("item_id % 13 = 0").select("item_id", docket.alias("docket"), F.when(i % 2 == 0, F.col("date")).otherwise(F.col("first_seen")).alias("date"))
+    known = known.union(rows.where("item_id % 56 = 0").select(i + 2, docket, F.date_add("date", 30)))
+    return M.redate(given, index, known, "1999-01-01", "1996-03-13").select("item_id", "outcome", "duplicate_of", *text("date", "original_date"), "unverified")
 
 
 @query("d9_prefer_richer", """SELECT item_id, CASE WHEN a AND NOT second AND item_id % 4 <> 0 THEN NULL ELSE source END AS source, CASE WHEN second AND item_id % 9 <> 0 THEN NULL ELSE status END AS status, second AS from_second
@@ -122,7 +147,7 @@ def d9(spark, d):
 
 @query("d10_verify_quotes")
 def d10(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("reason"), "source", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 500)).alias("evidence"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("reason"), "source", F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("evidence"))
     vocabulary = docs.where("key % 3 = 0").select(F.explode(F.regexp_extract_all("reason", F.lit('"([^"\\n]{2,60})"'), 1)).alias("phrase"))
     return M.verify_quotes(docs.withColumnsRenamed({"source": "name"}).withColumn("docket", F.lit(None).cast("string")), vocabulary)
 
@@ -171,16 +196,16 @@ def d14(spark, d):
     return M.link_integrity(extract_links(pages, "page_id", "html"), pages.select(F.concat(F.lit("/"), F.regexp_extract("html", "<title>([A-Za-z]+)", 1)).alias("path")))
 
 
-@query("d15_match_titles", f"""WITH n AS (SELECT p_partkey AS name_id, {TOKENS.format('p_name', STOPS)} AS t FROM part WHERE p_size <= 5), e AS (SELECT p_partkey AS entry_id, {TOKENS.format("p_name || ' ' || p_type", STOPS)} AS t FROM part WHERE p_size > 25 AND p_partkey % 3 = 0),
-    x AS (SELECT name_id, entry_id, CAST(len(list_intersect(n.t, e.t)) AS BIGINT) AS overlap, len(n.t) AS a, len(e.t) AS b FROM n JOIN e ON list_has_any(n.t, e.t)),
-    r AS (SELECT *, overlap / (a + b - overlap) AS jaccard, row_number() OVER (PARTITION BY name_id ORDER BY overlap / (a + b - overlap) DESC, overlap DESC, entry_id) AS place FROM x)
+@query("d15_match_titles", f"""WITH n AS (SELECT page_id AS id, DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER) AS day, {TOKENS.format(TITLE, STOPS)} AS t, {TOKENS.format(f"{TITLE} || ' ' || url", STOPS)} AS u FROM pages),
+    x AS (SELECT n.id AS name_id, e.id AS entry_id, e.day AS released, CAST(len(list_intersect(n.t, e.u)) AS BIGINT) AS overlap, len(n.t) AS a, len(e.u) AS b FROM n JOIN n e ON list_has_any(n.t, e.u) AND (n.id % 2 = 0 OR e.day >= n.day)),
+    r AS (SELECT *, overlap / (a + b - overlap) AS jaccard, row_number() OVER (PARTITION BY name_id ORDER BY overlap / (a + b - overlap) DESC, overlap DESC, released DESC, entry_id) AS place FROM x)
     SELECT name_id, entry_id, overlap, jaccard, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
 def d15(spark, d):
-    p = table(spark, d, "part")
-    none = F.lit(None).cast("date")
-    names = p.where("p_size <= 5").select(F.col("p_partkey").alias("name_id"), party_tokens(F.col("p_name")).alias("tokens"), none.alias("bound"))
-    index = p.where("p_size > 25 and p_partkey % 3 = 0").select(F.col("p_partkey").alias("entry_id"), party_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"), none.alias("released"))
-    return M.match_titles(names, index, 3)
+    i = F.col("page_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 90).cast("int"))
+    p = table(spark, d, "pages").select(i, "url", title().alias("title"))
+    names = p.select(i.alias("name_id"), party_tokens(F.col("title")).alias("tokens"), F.when(i % 2 == 1, day).alias("bound"))
+    return M.match_titles(names, p.select(i.alias("entry_id"), party_tokens(F.concat_ws(" ", "title", "url")).alias("tokens"), day.alias("released")), 3)
 
 
 @query("d16_expand_bindings", """SELECT s_suppkey AS item_id, n.n_name AS jurisdiction FROM supplier JOIN nation n ON CASE WHEN s_nationkey < 5 THEN n.n_regionkey = s_nationkey WHEN s_nationkey = 5 THEN true ELSE n.n_nationkey = s_nationkey END""")
@@ -268,12 +293,12 @@ def e9(spark, d):
     return E.gate_recall(rows, rows.select("item_id", (F.col("item_id") % 9 != 2).alias("kept")))
 
 
-@query("e10_consensus", """, a AS (SELECT conv_id AS item, turn, CASE role WHEN 'user' THEN 'flag' WHEN 'assistant' THEN 'clear' ELSE 'lost' END AS vote, substr(text, 1, 20) AS reason FROM conversations WHERE turn < 5),
+@query("e10_consensus", """, a AS (SELECT conv_id AS item, turn, CASE role WHEN 'user' THEN 'flag' WHEN 'assistant' THEN 'clear' ELSE 'lost' END AS vote, text AS reason FROM conversations),
     s AS (SELECT item, count(*) FILTER (vote <> 'lost') AS returned, count(*) FILTER (vote = 'flag') AS flags, count(*) FILTER (vote = 'clear') AS clears, arg_max(reason, turn) FILTER (vote = 'flag') AS reason FROM a GROUP BY 1)
-    SELECT item, returned, flags, clears, CASE WHEN returned = 0 THEN 'unavailable' WHEN flags > 1 THEN 'flag' WHEN clears > 1 THEN 'clear' ELSE 'unavailable' END AS outcome, CASE WHEN returned > 0 AND flags > 1 THEN reason END AS reason FROM s""".replace(", a AS", "WITH a AS", 1))
+    SELECT item, returned, flags, clears, CASE WHEN returned = 0 THEN 'unavailable' WHEN flags > 2 THEN 'flag' WHEN clears > 2 THEN 'clear' ELSE 'unavailable' END AS outcome, CASE WHEN returned > 0 AND flags > 2 THEN reason END AS reason FROM s""".replace(", a AS", "WITH a AS", 1))
 def e10(spark, d):
     vote = F.when(F.col("role") == "user", "flag").when(F.col("role") == "assistant", "clear").otherwise("lost")
-    return E.consensus(table(spark, d, "conversations").where("turn < 5").select(F.col("conv_id").alias("item"), F.col("turn").alias("attempt"), vote.alias("vote"), F.substring("text", 1, 20).alias("reason")), 3)
+    return E.consensus(table(spark, d, "conversations").select(F.col("conv_id").alias("item"), F.col("turn").alias("attempt"), vote.alias("vote"), F.col("text").alias("reason")), 5)
 
 
 @query("e11_weekly_digest", """, r AS (SELECT date_trunc('week', first_seen) AS w, 'new' AS list, first_seen AS day, item_id FROM items UNION ALL SELECT date_trunc('week', treatment_date), 'flag', treatment_date, item_id FROM items WHERE status <> 'ok' AND treatment_date IS NOT NULL)

@@ -66,9 +66,10 @@ def a10(spark, d):
     return feeds.as_release_dates(index, "page_id", docket_pattern=r"\b([A-Z][a-z]{7,})\b").select("docket", "page_id")
 
 
-@query("t5_caption_facts")
+@query("t5_caption_facts", r"""SELECT doc_id, coalesce(regexp_matches(text, '\b[0-9]+ [A-Z][A-Za-z. ]{1,12} [0-9]+\b|\([0-9]{4}\)'), false) AS has_citation,
+    len(list_distinct(regexp_extract_all(substr(text, 1, 3000), '\b([A-Z][0-9]{2}[A-Z][0-9]{4}|No\. [0-9-]+)\b', 1))) AS dockets FROM documents""")
 def t5(spark, d):
-    return T.caption_facts(table(spark, d, "documents"), "text").select("doc_id", "has_citation", F.size("caption_dockets").alias("dockets"))
+    return T.caption_facts(table(spark, d, "documents"), "text").select("doc_id", "has_citation", F.size("caption_dockets").cast("long").alias("dockets"))
 
 
 #: Word lists of the given languages in the places of the source and of what was supplied.
@@ -112,12 +113,13 @@ def t13(spark, d):
 @query("t5_cited_cases")
 def t5b(spark, d):
     word = F.regexp_extract("text", "([A-Za-z]{3,})", 1)
-    marked = F.concat(F.lit("**"), word, F.lit(" v. Roe, 12 U.S. "), F.col("doc_id").cast("string"), F.lit(" (1999)** and **only bold** and O.C.G.A. § 1-2-3"))
+    marked = F.concat("text", F.lit(" **"), word, F.lit(" v. Roe, 12 U.S. "), F.col("doc_id").cast("string"), F.lit(" (1999)** and **only bold** and O.C.G.A. § 1-2-3"))
     return T.cited_cases(table(spark, d, "documents").withColumn("text", marked), "doc_id", "text")
 
 
-@query("t5_typed_references")
+@query("t5_typed_references", "WITH t AS (SELECT doc_id, text || ' O.C.G.A. §' || doc_id || '-2-3, 11 U.S.C. § ' || doc_id || ', HB ' || doc_id || ', Rule 1.7' AS t FROM documents) " + " UNION ALL ".join(
+    "SELECT DISTINCT doc_id, '{0}' AS kind, '{1}' || trim(regexp_replace(r, '\\s+', ' ', 'g')) AS reference FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{2}', 1)) AS r FROM t)".format(*(x.replace("'", "''") for x in (kind, *how))) for kind, how in values.REFERENCE_PATTERNS.items()))
 def t5c(spark, d):
     n = F.col("doc_id").cast("string")
-    cited = F.concat(F.substring("text", 1, 100), F.lit(" O.C.G.A. §"), n, F.lit("-2-3, 11 U.S.C. § "), n, F.lit(", HB "), n, F.lit(", Rule 1.7"))
+    cited = F.concat(F.col("text"), F.lit(" O.C.G.A. §"), n, F.lit("-2-3, 11 U.S.C. § "), n, F.lit(", HB "), n, F.lit(", Rule 1.7"))
     return T.extract_references(table(spark, d, "documents").withColumn("text", cited), "doc_id", "text")

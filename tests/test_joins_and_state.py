@@ -87,11 +87,19 @@ def test_grounded_anywhere_against_all_pairs(spark):
 
 
 def test_redate(spark):
-    rows = spark.createDataFrame([(10, "D1", D(2024, 1, 1), None), (11, "D2", None, D(2024, 2, 1)), (12, "D3", None, None), (13, "D4", None, D(2030, 1, 1)), (14, "D1", None, None)], "item_id long, docket string, date date, caption_date date")
+    jan = D(2024, 1, 1)
+    rows = [
+        (10, "D1", jan, None, True), (11, "D2", None, D(2024, 2, 1), True), (12, "D3", jan, None, True), (13, "D4", jan, D(2030, 1, 1), True), (14, "D1", None, None, False),
+        (15, "D5", jan, D(2024, 2, 2), False), (16, "D6", jan, None, False), (17, None, D(2024, 5, 5), None, True), (5, "D1", jan, None, True), (18, "D7", jan, D(2024, 2, 2), True),
+    ]
+    df = spark.createDataFrame(rows, "item_id long, docket string, date date, caption_date date, has_text boolean")
     index = spark.createDataFrame([("D1", D(2024, 3, 3))], "docket string, released date")
-    known = spark.createDataFrame([(5, "D1", D(2024, 3, 3)), (10, "D1", D(2024, 3, 3))], "item_id long, docket string, date date")
-    out = {r.item_id: (r.date, r.outcome, r.duplicate_of) for r in M.redate(rows, index, known, "2024-06-01").collect()}
-    assert out == {10: (D(2024, 3, 3), "duplicate", 5), 11: (D(2024, 2, 1), "dated", None), 12: (None, "unresolved", None), 13: (None, "unresolved", None), 14: (D(2024, 3, 3), "duplicate", 5)}
+    known = spark.createDataFrame([(5, "D1", D(2024, 3, 3)), (10, "D1", D(2024, 3, 3)), (4, "D6", jan), (16, "D6", jan), (18, "D7", D(2024, 2, 2)), (3, None, D(2024, 5, 5))], "item_id long, docket string, date date")
+    out = {r.item_id: (r.date, r.outcome, r.duplicate_of, r.unverified) for r in M.redate(df, index, known, "2024-06-01", "2024-05-05").collect()}
+    assert out == {
+        10: (jan, "duplicate", 5, False), 14: (None, "duplicate", 5, False), 5: (jan, "duplicate", 10, False), 11: (D(2024, 2, 1), "dated", None, False), 12: (jan, "unresolved", None, False), 13: (jan, "unresolved", None, False),
+        15: (jan, "pending", None, False), 16: (jan, "duplicate", 4, False), 17: (D(2024, 5, 5), "unresolved", None, True), 18: (D(2024, 2, 2), "dated", None, False),
+    }
 
 
 def test_consensus_counts_the_budget(spark):
