@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docwatch.operators.checkpoints import renewed
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 #: bytes.split() without arguments cuts UTF-8 text at exactly these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,7 +93,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             at = np.flatnonzero(label != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]])], names=["u", "v"])
 
-    edges = cut(edges.select("u", "v").where("u <> v").mapInArrow(contract, "u bigint, v bigint").distinct())
+    checkpoint_folder(edges.sparkSession)
+    edges = renewed(edges.select("u", "v").where("u <> v").mapInArrow(contract, "u bigint, v bigint").distinct())
     seen = digest(edges)
     for _ in range(max_rounds):
         if not seen[0]:
@@ -102,7 +105,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         low = minima(large)
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        edges = renewed(small.where("u <> v").distinct())
         now = digest(edges)
         if now == seen:
             break

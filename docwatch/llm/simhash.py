@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docwatch.llm.common import columns, components, cut, roots
+from docwatch.operators.checkpoints import renewed
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -518,7 +519,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
         heads = cut(classes.join(ends, "node", "left_semi").select("node", "doc_id", "t1", "t2"))
         whole = texts.join(heads, ["doc_id", "t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
         both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-        good = cut(both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint"))
+        good = renewed(both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint"))
         edges = good if edges is None else edges.union(good)
         links = good if stars is None else stars.union(good)
         rows = found.where("u is null").select(*cols)
@@ -529,7 +530,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
         now = stars.select(F.col("u").alias("node"), F.col("v").alias("now"))
         rows = rows.join(now, "node", "left").withColumn("root", F.coalesce("now", "node")).select(*cols)
         several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        rows = cut(rows.join(several, "key", "left_semi"))
+        rows = renewed(rows.join(several, "key", "left_semi"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
