@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from docwatch.operators.checkpoints import checkpointed
 from docwatch.operators.state import detect_page_changes
+from docwatch.streaming.parts import PartedTable
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,16 +41,26 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def stream_batches(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], DataFrame], folder: str | None = None) -> DataFrame:
-    """Every micro-batch through step(batch, results so far); a batch's results are written under its id, so a replay
-    replaces them. The results so far are what the folder holds of earlier batches, of which a step reads the columns it
-    needs; nothing is kept in the driver, and a call with the folder of an earlier one goes on where that one ended."""
+def stream_batches(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], DataFrame], folder: str | None = None, key: str = "item_id", parts: int = 256) -> DataFrame:
+    """Every micro-batch through step(batch, known), whose results have the column `key`; known holds the keys of earlier
+    results as far as they share a hash part with the batch (None before the first result). A batch's results are written under
+    its id, so a replay replaces them; keys lie in a PartedTable, of which a batch reads and writes only the parts its own keys fall
+    into, not the results of all batches before. A call with the folder of an earlier one goes on where that one ended."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
+    kind = stream.schema[key].dataType.simpleString()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        state = batch.sparkSession.read.parquet(f"{folder}/out").where(F.col("batch") < batch_id).drop("batch") if batch_id else None
-        step(batch, state).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        s = batch.sparkSession
+        keys = PartedTable(s, f"{folder}/keys", key, f"{key} {kind}", parts)
+        batch = batch.persist()  # the source is read once
+        touched = keys.touched(batch)
+        held = keys.paths(batch_id, touched)
+        known = keys.read(batch_id, touched)
+        step(batch, known if held else None).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        new = s.read.parquet(f"{folder}/out/batch={batch_id}").select(F.col(key).cast(kind).alias(key))
+        keys.write(batch_id, touched, known.union(new).distinct())
+        batch.unpersist()
 
     q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -137,18 +148,21 @@ def stream_late_verdicts(requests: DataFrame, results: DataFrame, days: int = 25
     return left.join(right, same, "leftOuter").select("q.item_id", "q.content_hash", "q.ts", "verdict")
 
 
-def stream_page_watch(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """pages(url, hash, is_shell, extracted) batch by batch against the state that the batch before has left under its
-    id; a replay reads and writes the same versions, also after a restart with the same folder."""
+def stream_page_watch(stream: DataFrame, folder: str | None = None, parts: int = 256) -> DataFrame:
+    """pages(url, hash, is_shell, extracted) batch by batch against the state that the batches before have left in a PartedTable,
+    of which a batch reads and writes only the parts its urls fall into; a replay reads and writes the same versions, also
+    after a restart with the same folder."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        state = s.read.parquet(f"{folder}/state/{batch_id - 1}") if batch_id else s.createDataFrame([], "url string, hash string")
-        outcome, after = detect_page_changes(batch, state)
+        state = PartedTable(batch.sparkSession, f"{folder}/state", "url", "url string, hash string", parts)
+        batch = batch.persist()  # the source is read once
+        touched = state.touched(batch)
+        outcome, after = detect_page_changes(batch, state.read(batch_id, touched))
         outcome.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        after.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
+        state.write(batch_id, touched, after)
+        batch.unpersist()
 
     q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()

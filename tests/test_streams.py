@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docwatch.plans import jobs
 from docwatch.streaming import streams as S
+from docwatch.streaming.parts import PartedTable
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -71,6 +72,27 @@ def test_streams_go_on_after_a_restart(spark, folder):
     assert sorted(r.url for r in out.collect()) == ["u", "v"]  # u doesn't change again
 
 
+def test_a_batch_reads_and_writes_its_own_parts_only(spark, tmp_path):
+    t = PartedTable(spark, str(tmp_path / "t"), "k", "k long, v long", 8)
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long")
+    held, sizes = {}, []
+    for b in range(12):
+        batch = rows((b % 4, b), (None, b))
+        touched = t.touched(batch)
+        sizes.append(len(t.paths(b, touched)))
+        before = {r.k: r.v for r in t.read(b, touched).collect()}
+        assert before == {k: v for k, v in held.items() if t.touched(rows((k, 0)))[0] in touched}
+        for _ in range(2 if b == 7 else 1):  # batch 7 comes twice
+            kept = t.read(b, touched).where(f"k is not null and k <> {b % 4}")
+            t.write(b, touched, kept.union(batch))
+        held |= {b % 4: b, None: b}
+    every = list(range(8))
+    assert {r.k: r.v for r in t.read(12, every).collect()} == held
+    assert max(sizes) <= 2  # files read don't grow with the batches before
+    left = [p for p in (tmp_path / "t" / "rows").glob("*/part=*")]
+    assert len(left) <= 2 * len(t.paths(12, every)) and len(list((tmp_path / "t" / "lists").glob("[0-9]*"))) == 2
+
+
 def test_funnel_logs_every_drop(spark):
     text = "letters " * 100
     rows = spark.createDataFrame([(k, "s", dt.date(2024, 1, 5), k, text if k != 3 else "short", ["smith", "jones"] if k == 4 else ["x"]) for k in range(8)], "item_id long, source string, date date, ingest_seq int, text string, party_tokens array<string>")
