@@ -101,9 +101,11 @@ def party_match(df: DataFrame, items: DataFrame) -> DataFrame:
     return df.join(hits, "item_id", "left_semi")
 
 
-def sweep_citers(items: DataFrame, edges: DataFrame, seen: DataFrame, as_of, lookback: int = 200) -> DataFrame:
+def sweep_citers(items: DataFrame, edges: DataFrame, seen: DataFrame, as_of, lookback: int = 200, scope: list[str] | None = None) -> DataFrame:
     """Citers (item_id, citer_id, ts) of items(item_id, status, date, full_at) that aren't superseded, since the
-    item's own date until its first full pass, then within the lookback; not the item itself, not seen(item_id, citer_id)."""
+    item's own date until its first full pass, then within the lookback; not the item itself, not seen(item_id, citer_id). With a scope, edges have the citer's `court`
+    and only citers of its courts count; one without a court is outside."""
+    edges = edges if scope is None else edges.where(F.coalesce("court", F.lit("")).isin(scope))
     floor = F.when(F.col("full_at").isNull(), F.col("date")).otherwise(F.date_sub(F.lit(as_of).cast("date"), lookback))
     live = items.where("status <> 'superseded'").select("item_id", floor.alias("floor"), F.col("full_at").isNull().alias("never_swept"))
     found = edges.select(F.col("dst_id").alias("item_id"), F.col("src_id").alias("citer_id"), "ts").join(live, "item_id")
@@ -119,11 +121,14 @@ def visited(items: DataFrame, first_per_run: int = 3) -> DataFrame:
     return live.where("not never_swept").union(live.where("never_swept").orderBy("item_id").limit(first_per_run))
 
 
-def reverse_sweep(items: DataFrame, edges: DataFrame, seen: DataFrame, pending: DataFrame, as_of, lookback: int = 200, per_item: int = 6, per_run: int = 25, first_per_run: int = 3) -> DataFrame:
+def reverse_sweep(items: DataFrame, edges: DataFrame, seen: DataFrame, pending: DataFrame, as_of, lookback: int = 200, per_item: int = 6, per_run: int = 25, first_per_run: int = 3, scope: list[str] | None = None) -> DataFrame:
     """What a run classifies, for the items it visits: pending(item_id, citer_id) first, then the newest citers; per item and
-    per run caps, never-swept items first."""
+    per run caps, never-swept items first. Citers outside of the scope take no place under a cap; pending pairs are held to it
+    where they carry a `court`."""
     live = visited(items, first_per_run)
-    fresh = sweep_citers(items, edges, seen, as_of, lookback).join(live.select("item_id"), "item_id", "left_semi")
+    if scope is not None and "court" in pending.columns:
+        pending = pending.where(F.coalesce("court", F.lit("")).isin(scope))
+    fresh = sweep_citers(items, edges, seen, as_of, lookback, scope).join(live.select("item_id"), "item_id", "left_semi")
     fresh = fresh.join(pending.select("item_id", "citer_id"), ["item_id", "citer_id"], "left_anti").withColumn("is_pending", F.lit(False))
     held = pending.select("item_id", "citer_id", F.lit(None).cast(fresh.schema["ts"].dataType).alias("ts")).join(live, "item_id").withColumn("is_pending", F.lit(True))
     rows = fresh.unionByName(held)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import accumulate
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwatch.operators.checkpoints import checkpointed
+
 
 def union_ids(*ids: DataFrame) -> DataFrame:
     """distinct ids of several one-column tables."""
@@ -83,17 +85,30 @@ def whats_new(feed: DataFrame, since, kinds: list[str] | None, areas: list[str]
     return page, rows.agg(F.count("*").alias("total"), (F.count("*") > offset + limit).alias("has_more"))
 
 
-def distributed_rank(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
-    """0-based rank of distinct ids without a global window: ids are cut at approximate quantiles, ranked per range, and
-    shifted by the counts of the ranges below (a row per range)."""
-    cuts = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)])).first()[0] or []
-    bounds = sorted(set(cuts))
-    spot = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    ranged = df.withColumn("__range", spot)
-    held = dict(ranged.groupBy("__range").count().collect())  # a row per range
-    before = list(accumulate((held.get(k, 0) for k in range(len(bounds))), initial=0))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
-    return ranged.withColumn("rank", inside + F.get(F.array(*(F.lit(n).cast("long") for n in before)), F.col("__range"))).drop("__range")
+def area_coverage(feed: DataFrame) -> DataFrame:
+    """(area, n) of a whole feed(areas): the denominators that go with every page of changes, whatever the page is filtered by. A row counts
+    once in each of its areas; areas are compared in lower case."""
+    return feed.select(F.explode(F.array_distinct(F.transform("areas", F.lower))).alias("area")).groupBy("area").agg(F.count("*").alias("n"))
+
+
+def positions(df: DataFrame, group: list[str], order: list, name: str = "position", ranges: int | None = None, rows_per_range: int = 100_000) -> DataFrame:
+    """df with the 1-based position (long) of each row in its group, without a task that holds a whole group: rows are dealt by
+    ranges of (group, order), numbered inside their range, and shifted by the counts of the group's ranges before. There
+    are as many ranges as rows_per_range asks for, so a range stays as large as it is while the data grow. Null group values are a
+    group; rows that `order` doesn't tell apart come in any order."""
+    ranges = ranges or max(1, ceil(df.count() / rows_per_range))
+    dealt = checkpointed(df.repartitionByRange(ranges, *group, *order).withColumn("__range", F.spark_partition_id()))
+    held = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range at most
+    before = held.select(*(F.col(g).alias(f"__g_{g}") for g in group), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group), F.col("__range") == F.col("__r"))
+    inside = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order))
+    return dealt.withColumn("__inside", inside).join(before, same).withColumn(name, F.col("__inside") + F.col("__before")).select(*df.columns, name)
+
+
+def distributed_rank(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """0-based rank of distinct ids without a global window (see positions)."""
+    return positions(df, [], [key], "rank", ranges).withColumn("rank", F.col("rank") - 1)
 
 
 def rotating_slice(df: DataFrame, key: str, k: int, epoch_day: int) -> DataFrame:

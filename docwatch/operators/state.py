@@ -270,3 +270,26 @@ def settle_outcomes(log: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Later outcomes(stage, item_id, ts, outcome) stamped onto log rows of the same triple; outcomes whose row has aged out do nothing, and settling twice changes nothing."""
     last = outcomes.groupBy("stage", "item_id", "ts").agg(F.max("outcome").alias("__o"))
     return log.join(last, ["stage", "item_id", "ts"], "left").withColumn("outcome", F.coalesce("__o", "outcome")).drop("__o")
+
+
+def stamp_forced(log: DataFrame, stamps: DataFrame, by: str, at) -> DataFrame:
+    """What a forced read of the whole text found, stamps(item_id, verdict, note), onto every row of the item in log(item_id,
+    audit_verdict, audit_depth, audit_by, audited_at, audit_note). A full read replaces any other; several stamps of an item leave the one
+    with the largest note, then verdict; items without a row do nothing. at is the run's time, so stamping the same run
+    again changes nothing. C11 selects no row that carries such a stamp, also where its outcome is still `deferred`."""
+    last = stamps.groupBy("item_id").agg(F.max(F.struct(F.coalesce("note", F.lit("")).alias("note"), "verdict")).alias("__s"))
+    new = {"audit_verdict": F.col("__s.verdict"), "audit_depth": F.lit("full"), "audit_by": F.lit(by), "audited_at": F.lit(at).cast("string"), "audit_note": F.nullif(F.col("__s.note"), F.lit(""))}
+    rows = log.join(last, "item_id", "left")
+    return rows.withColumns({c: F.when(F.col("__s").isNotNull(), v).otherwise(F.col(c)) for c, v in new.items()}).select(*log.columns)
+
+
+def reference_health(tables: DataFrame, entries: DataFrame, now, max_days: int) -> DataFrame:
+    """Reference tables(name, generated_at), a string, with their entries(name): (name, entries, age_days, code). 5 is an alert: no
+    readable date, dated but empty, or older than max_days; 0 is fine. A table that is absent is not in use and has no row, one of
+    which there are only entries has no date. max_days of 0 switches the check off: no rows."""
+    held = entries.groupBy("name").agg(F.count("*").alias("entries"))
+    dated = tables.groupBy("name").agg(F.max(F.try_to_timestamp("generated_at")).alias("at"))
+    age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("at")) / 86_400
+    rows = dated.join(held, "name", "full").withColumn("entries", F.coalesce("entries", F.lit(0)).cast("long")).withColumn("age_days", F.round(age, 1))
+    code = F.when(F.col("at").isNull() | (F.col("entries") == 0) | (age > max_days), 5).otherwise(0)
+    return rows.where(F.lit(max_days > 0)).select("name", "entries", "age_days", code.alias("code"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docwatch.functions import values
+from docwatch.operators.select import positions
 
 
 def corpus_stats(items: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def weekly_digest(items: DataFrame) -> DataFrame:
     """(week, list, position, item_id): per Monday the new ids by first_seen and the flagged ids by treatment_date, each list newest first."""
     new = items.select(F.to_date(F.date_trunc("week", "first_seen")).alias("week"), F.lit("new").alias("list"), F.col("first_seen").alias("day"), "item_id")
     flags = items.where("status <> 'ok' and treatment_date is not null").select(F.to_date(F.date_trunc("week", "treatment_date")).alias("week"), F.lit("flag").alias("list"), F.col("treatment_date").alias("day"), "item_id")
-    position = F.row_number().over(Window.partitionBy("week", "list").orderBy(F.desc("day"), F.desc("item_id")))
-    return new.union(flags).where("week is not null").withColumn("position", position).select("week", "list", "position", "item_id")
+    rows = new.union(flags).where("week is not null")
+    return positions(rows, ["week", "list"], [F.desc("day"), F.desc("item_id")]).select("week", "list", "position", "item_id")
 
 
 def thin_coverage(added: DataFrame, golden: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:

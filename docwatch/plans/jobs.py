@@ -138,7 +138,7 @@ def treatment_sweep(items: DataFrame, edges: DataFrame, docs: DataFrame, seen: D
     flagged, new = G.raise_flags(items, seen, judged.withColumn("date", F.coalesce("ts", F.lit(as_of).cast("date"))), adverse)
     no_text = run.join(windows.select("item_id", "citer_id"), ["item_id", "citer_id"], "left_anti")
     waits = G.retry_pending(pending, run, judged, no_text, stopped, as_of)
-    total = M.sweep_citers(items, edges, seen, as_of).groupBy("item_id").agg(F.count("*").alias("all"))
+    total = M.sweep_citers(items, edges, seen, as_of, scope=caps.get("scope")).groupBy("item_id").agg(F.count("*").alias("all"))
     taken = run.where("not is_pending").groupBy("item_id").agg(F.count("*").alias("n"))
     seen_now = M.visited(items, caps.get("first_per_run", 3)).select("item_id")
     state = seen_now.join(total, "item_id", "left").join(taken, "item_id", "left").select("item_id", F.lit(stopped).alias("stopped"), (F.coalesce("n", F.lit(0)) < F.coalesce("all", F.lit(0))).alias("truncated"))

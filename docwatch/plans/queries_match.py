@@ -81,6 +81,16 @@ def d5b(spark, d):
     return M.reverse_sweep(state, e, ids("(src_id + dst_id) % 11 = 0"), ids("(src_id + dst_id) % 211 = 5"), "2001-08-01").select("item_id", "citer_id", *text("ts"), "never_swept", "is_pending", "n")
 
 
+@query("d5_sweep_in_scope", """SELECT dst_id AS item_id, src_id AS citer_id, CAST(max(e.ts) AS VARCHAR) AS ts FROM edges e JOIN items i ON i.item_id = e.dst_id
+    WHERE i.status <> 'superseded' AND e.src_id <> e.dst_id AND e.ts >= CASE WHEN i.item_id % 2 = 0 THEN i.date ELSE DATE '2001-08-01' - 200 END AND (e.src_id + e.dst_id) % 11 <> 0
+    AND e.supp % 5 IN (1, 3) GROUP BY 1, 2""", "edges", "items")
+def d5c(spark, d):
+    e = edges(spark, d).withColumn("court", F.when(F.col("supp") % 5 > 0, F.concat(F.lit("c"), (F.col("supp") % 5).cast("string"))))
+    state = items(spark, d).withColumn("full_at", F.when(F.col("item_id") % 2 == 1, F.col("date")))
+    seen = e.where((F.col("src_id") + F.col("dst_id")) % 11 == 0).select(F.col("dst_id").alias("item_id"), F.col("src_id").alias("citer_id"))
+    return M.sweep_citers(state, e, seen, "2001-08-01", scope=["c1", "c3"]).select("item_id", "citer_id", *text("ts"))
+
+
 T3_STOPS = ", ".join(f"'{w}'" for w in values.CAPTION_STOP)
 
 
@@ -304,7 +314,7 @@ def e10(spark, d):
 @query("e11_weekly_digest", """, r AS (SELECT date_trunc('week', first_seen) AS w, 'new' AS list, first_seen AS day, item_id FROM items UNION ALL SELECT date_trunc('week', treatment_date), 'flag', treatment_date, item_id FROM items WHERE status <> 'ok' AND treatment_date IS NOT NULL)
     SELECT CAST(CAST(w AS DATE) AS VARCHAR) AS week, list, CAST(row_number() OVER (PARTITION BY w, list ORDER BY day DESC, item_id DESC) AS INTEGER) AS position, item_id FROM r""".replace(", r AS", "SELECT * FROM (WITH r AS", 1) + ")", "items")
 def e11(spark, d):
-    return E.weekly_digest(items(spark, d)).select(*text("week"), "list", "position", "item_id")
+    return E.weekly_digest(items(spark, d)).select(*text("week"), "list", F.col("position").cast("int").alias("position"), "item_id")
 
 
 @query("e12_thin_coverage", """, a AS (SELECT item_id, expect_relevant, unnest(['s:' || source, 'l:' || lang]) AS tag FROM golden), t AS (SELECT DISTINCT tag FROM a), c AS (SELECT tag, count(*) AS n FROM a WHERE expect_relevant AND item_id % 4 = 0 GROUP BY 1)

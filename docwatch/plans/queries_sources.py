@@ -11,16 +11,36 @@ from docwatch.sources import feeds
 from docwatch.streaming.streams import work_folder
 
 
-@query("a1_read_feed", """SELECT page_id AS item_id, 'page ' || page_id AS name, url, CASE WHEN page_id % 4 = 0 THEN NULL ELSE '2024-01-0' || (1 + page_id % 9) END AS date FROM (SELECT page_id, 'https://www.site.org/opinion/' || page_id || '/x' AS url FROM pages) WHERE page_id % 3 <> 0""")
-def a1(spark, d):
-    i = F.col("page_id").cast("string")
+FEED_PAGES = """WITH p AS (SELECT page_id, page_id // 50 AS part, 'https://' || CASE page_id % 5 WHEN 1 THEN 'www.site.org.evil.com' WHEN 2 THEN 'SITE.org' ELSE 'www.site.org' END AS host,
+    '/opinion/' || page_id || '/x' AS path FROM pages)"""
+
+
+def feed_folder(spark, d):
+    """Pages as feed files of 50 entries, of which the third of every seven declares a DTD and the last breaks off."""
+    i, part = F.col("page_id").cast("string"), F.floor(F.col("page_id") / 50)
     day = F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("<published>2024-01-0"), (1 + F.col("page_id") % 9).cast("string"), F.lit("T00:00:00Z</published>"))).otherwise("")
+    host = F.when(F.col("page_id") % 5 == 1, "www.site.org.evil.com").when(F.col("page_id") % 5 == 2, "SITE.org").otherwise("www.site.org")
     where = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("/opinion/"), i, F.lit("/x"))).otherwise("/none")
-    entry = F.concat(F.lit("<entry><title>page "), i, F.lit('</title><link rel="alternate" href="https://www.site.org'), where, F.lit('"/>'), day, F.lit("<summary>s</summary></entry>"))
+    entry = F.concat(F.lit("<entry><title>page "), i, F.lit('</title><link rel="alternate" href="https://'), host, where, F.lit('"/>'), day, F.lit("<summary>s</summary></entry>"))
+    body = F.array_join(F.collect_list("e"), "")
+    head = F.when(F.col("part") % 7 == 2, "<!DOCTYPE feed>").otherwise("")
+    tail = F.when(F.col("part") % 7 == 6, "<entry>").otherwise("</feed>")
+    documents = table(spark, d, "pages").select(part.alias("part"), entry.alias("e")).groupBy("part").agg(body.alias("b")).select("part", F.concat(head, F.lit("<feed>"), "b", tail).alias("feed"))
     folder = f"{work_folder(spark)}/feed"
-    pages = table(spark, d, "pages").select((F.col("page_id") % 8).alias("part"), entry.alias("e")).groupBy("part").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list("e"), ""), F.lit("</feed>")).alias("feed"))
-    pages.write.partitionBy("part").text(folder)  # one document a file
-    return feeds.read_feed(spark, folder, "pages", "site.org").select("item_id", "name", "url", *text("date"))
+    documents.write.partitionBy("part").text(folder)  # one document a file
+    return folder
+
+
+@query("a1_read_feed", f"""{FEED_PAGES} SELECT page_id AS item_id, 'page ' || page_id AS name, host || path AS url, CASE WHEN page_id % 5 = 1 THEN host || path ELSE path END AS path,
+    CASE WHEN page_id % 4 = 0 THEN NULL ELSE '2024-01-0' || (1 + page_id % 9) END AS date FROM p WHERE page_id % 3 <> 0 AND part % 7 NOT IN (2, 6)""")
+def a1(spark, d):
+    return feeds.read_feed(spark, feed_folder(spark, d), "pages", "site.org").select("item_id", "name", "url", "path", *text("date"))
+
+
+@query("a1_feed_problems", f"""{FEED_PAGES} SELECT part, CASE part % 7 WHEN 2 THEN 'dtd' WHEN 6 THEN 'malformed' END AS problem, CASE WHEN part % 7 NOT IN (2, 6) THEN count(*) END AS entries FROM p GROUP BY part""")
+def a1b(spark, d):
+    rows = feeds.feed_documents(spark, feed_folder(spark, d))
+    return rows.select(F.regexp_extract("path", r"/part=(\d+)/", 1).cast("long").alias("part"), "problem", F.size("entries").cast("long").alias("entries"))
 
 
 @query("a2_flatten_search_hits", """SELECT o_orderkey AS item_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, CASE WHEN k % 3 = 0 THEN 'p/' || k WHEN k % 3 = 1 THEN 'http://d/' || k END AS pdf_url, n AS opinions
@@ -49,15 +69,18 @@ def a4(spark, d):
     line = F.when(F.col("event_id") % 10 == 0, '{"event_id": ').otherwise(F.to_json(F.struct("event_id", "event_type")))
     table(spark, d, "events").select(line).write.text(folder)
     good, counts = feeds.read_log(spark, folder, "event_id LONG, event_type STRING")
-    return good.join(F.broadcast(counts.select("corrupt")))  # one row
+    good.write.parquet(f"{folder}-good")  # the pass that counts
+    return spark.read.parquet(f"{folder}-good").withColumn("corrupt", F.lit(counts.get["corrupt"]))
 
 
-@query("a7_flatten_link_report", "SELECT url, CAST(404 AS INTEGER) AS status, 's' || min(page_id % 5) AS source FROM pages GROUP BY url")
+@query("a7_flatten_link_report", "SELECT url, CAST(404 AS INTEGER) AS status, 's' || arg_min(page_id % 5, (page_id // 500) * 5 + page_id % 5) AS source FROM pages GROUP BY url")
 def a7(spark, d):
+    """The report comes in parts of 500 pages, a row each."""
     link = F.array(F.struct(F.col("url"), F.lit(404).alias("status")), F.struct(F.lit("mailto:x").alias("url"), F.lit(0).alias("status")))
-    maps = table(spark, d, "pages").groupBy((F.col("page_id") % 5).alias("s")).agg(F.flatten(F.collect_list(link)).alias("links")).select(F.concat(F.lit("s"), F.col("s").cast("string")).alias("k"), "links")
-    report = maps.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "links")))).alias("error_map"))
-    return feeds.flatten_link_report(report, ["error_map"])
+    rows = table(spark, d, "pages").select(F.floor(F.col("page_id") / 500).alias("part"), F.concat(F.lit("s"), (F.col("page_id") % 5).cast("string")).alias("k"), link.alias("link"))
+    maps = rows.groupBy("part", "k").agg(F.flatten(F.collect_list("link")).alias("links"))
+    report = maps.groupBy("part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "links")))).alias("error_map"))
+    return feeds.flatten_link_report(report, ["error_map"], "part")
 
 
 @query("a10_release_dates")

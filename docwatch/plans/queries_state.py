@@ -240,3 +240,25 @@ def g17(spark, d):
     rows = log(spark, d).select("stage", F.col("seq").alias("item_id"), "ts", F.when(F.col("k") % 3 == 0, "deferred").alias("outcome"))
     late = rows.where("item_id % 4 = 0").withColumn("outcome", F.lit("settled"))
     return G.settle_outcomes(rows, late.union(late.withColumn("item_id", F.col("item_id") + 10_000_000))).select("item_id", "outcome")
+
+
+@query("g17_stamp_forced", """SELECT seq AS item_id, CASE WHEN seq % 5 = 0 THEN 'declined' WHEN k % 3 = 0 THEN 'doubt' END AS verdict, CASE WHEN seq % 5 = 0 THEN 'full' WHEN k % 3 = 0 THEN 'skim' END AS depth,
+    CASE WHEN seq % 5 = 0 THEN 'forced' END AS "by", seq % 5 > 0 AND k % 4 = 0 AS open FROM log""", "log")
+def g17b(spark, d):
+    from docwatch.operators.select import select_for_audit
+
+    none, skimmed = F.lit(None).cast("string"), F.col("k") % 3 == 0
+    rows = log(spark, d).withColumnRenamed("seq", "item_id").withColumns({"audit_verdict": F.when(skimmed, "doubt"), "audit_depth": F.when(skimmed, "skim"), "audit_by": none, "audited_at": none, "audit_note": none})
+    stamped = G.stamp_forced(rows, rows.where("item_id % 5 = 0 or item_id < 0").select("item_id", F.lit("declined").alias("verdict"), F.lit("read").alias("note")), "forced", "2024-03-01 00:00:00")
+    deferred = stamped.withColumns({"smell": F.lit("suspect"), "smell_outcome": F.when(F.col("k") % 4 == 0, "deferred"), "seq": F.col("item_id")})
+    again = select_for_audit(deferred, ["click", "view", "error", "purchase", "signup"], 2**31 - 1).select("item_id", F.lit(True).alias("again"))
+    return stamped.join(again, "item_id", "left").select("item_id", F.col("audit_verdict").alias("verdict"), F.col("audit_depth").alias("depth"), F.col("audit_by").alias("by"), F.coalesce("again", F.lit(False)).alias("open"))
+
+
+@query("g16_reference_health", """WITH m AS (SELECT source AS name, CASE WHEN source % 7 <> 0 THEN max(ts) END AS made, count(*) FILTER (stage = 'view') AS n FROM (SELECT user_id AS source, event_type AS stage, ts FROM events) GROUP BY 1)
+    SELECT name, n AS entries, round((epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(date_trunc('second', made))) / 86400, 1) AS age_days,
+        CASE WHEN made IS NULL OR n = 0 OR epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(date_trunc('second', made)) > 10 * 86400 THEN 5 ELSE 0 END AS code FROM m""")
+def g16b(spark, d):
+    rows = log(spark, d)
+    tables = rows.groupBy(F.col("source").alias("name")).agg(F.when(F.first("source") % 7 != 0, F.max("ts").cast("string")).otherwise("soon").alias("generated_at"))
+    return G.reference_health(tables, rows.where("stage = 'view'").select(F.col("source").alias("name")), "2024-02-02 00:00:00", 10)

@@ -180,6 +180,14 @@ def c8(spark, d):
     return page.select("item_id", *text("changed")).join(F.broadcast(one))  # one row
 
 
+@query("c8_area_coverage", f"""SELECT lower(area) AS area, count(*) AS n FROM (SELECT item_id, unnest(list_distinct([source, CASE WHEN item_id % 3 = 0 THEN status END])) AS area FROM ({FEED})) WHERE area IS NOT NULL GROUP BY 1""", "items")
+def c8b(spark, d):
+    from docwatch.operators.state import change_event
+
+    areas = F.array_compact(F.array("source", F.when(F.col("item_id") % 3 == 0, F.col("status"))))
+    return S.area_coverage(change_event(items(spark, d)).withColumn("areas", areas))
+
+
 @query("c9_rotating_slice", "SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r, count(*) OVER () AS n FROM supplier) WHERE (r - (20001 * 7) % n + n) % n < 7")
 def c9(spark, d):
     return S.rotating_slice(table(spark, d, "supplier"), "s_suppkey", 7, 20001).select("s_suppkey")

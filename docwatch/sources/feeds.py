@@ -2,28 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docwatch.functions.text import blank_to_null
-
-ENTRY = """title string, published string, updated string, summary string,
-link array<struct<_href:string,_rel:string,_type:string>>"""
-
-
-def read_feed(spark: SparkSession, path: str, source: str, host: str | None = None) -> DataFrame:
-    """A1: Atom entries as candidates; entries without an id, or whose alternate link is on another host, are skipped."""
-    raw = spark.read.option("rowTag", "entry").option("ignoreNamespace", True).schema(ENTRY).xml(path)
-    link = lambda rel, kind=None: F.get(F.filter("link", lambda x: (x["_rel"] == rel) & (x["_type"].contains(kind) if kind else F.lit(True))), F.lit(0))["_href"]
-    page = F.coalesce(link("alternate"), F.get("link", F.lit(0))["_href"])
-    host_ok = F.lit(True) if host is None else F.regexp_extract(page, r"^https?://([^/?#:]+)", 1).isin(host, f"www.{host}")
+from docwatch.operators.select import positions
+
+FEED = """entry array<struct<title string, published string, updated string, summary string,
+link array<struct<_href:string,_rel:string,_type:string>>>>, _corrupt string"""
+
+
+def feed_documents(spark: SparkSession, path: str, max_bytes: int = 64 * 2**20) -> DataFrame:
+    """A1: (path, length, problem, entries) of the feed files under a path. A file is a document and is parsed whole, so one over max_bytes
+    isn't read but reported (`size`), like one that declares a DTD or an entity (`dtd`; sought with NULs taken out, so that no
+    wide encoding hides it), one that isn't UTF-8 (`encoding`) and one that doesn't parse (`malformed`); the others have null. Spark passes over files of no bytes:
+    they have no row."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    small = files.where(F.col("length") <= max_bytes)  # reaches the source, which then skips the content
+    probe = F.translate(F.decode("content", "ISO-8859-1"), "\0", "")
+    guard = F.when(probe.contains("<!DOCTYPE") | probe.contains("<!ENTITY"), "dtd").when(~F.is_valid_utf8(F.col("content").cast("string")), "encoding")
+    guarded = small.withColumn("problem", guard)
+    body = F.when(F.col("problem").isNull(), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", ""))
+    parsed = guarded.withColumn("feed", F.from_xml(body, FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("problem").isNull() & (F.col("feed").isNull() | F.col("feed._corrupt").isNotNull())
+    read = parsed.select("path", "length", F.when(bad, "malformed").otherwise(F.col("problem")).alias("problem"), F.when(~bad, F.col("feed.entry")).alias("entries"))
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit("size").alias("problem"), F.lit(None).cast(read.schema["entries"].dataType).alias("entries"))
+    return read.unionByName(large)
+
+
+def read_feed(spark: SparkSession, path: str, source: str, host: str | None = None, max_bytes: int = 64 * 2**20) -> DataFrame:
+    """A1: Atom entries of the documents without a problem (feed_documents) as candidates; entries without an id are skipped. path is the
+    site's own part of the url where the link is on `host` or a name under it; a link elsewhere, also on a look-alike, keeps
+    its whole url there. The alternate link is the last that names an opinion."""
+    raw = feed_documents(spark, path, max_bytes).where("problem is null").select(F.explode("entries").alias("e")).select("e.*")
+    last = lambda test: F.try_element_at(F.filter("link", test), F.lit(-1))["_href"]
+    page = last(lambda x: (x["_rel"] == "alternate") & x["_href"].contains("/opinion/"))
+    pdf = last(lambda x: (x["_rel"] == "enclosure") & ((x["_type"] == "application/pdf") | x["_href"].endswith(".pdf")))
+    named = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    own = F.lit(False) if host is None else (named == host) | named.endswith(f".{host}")
+    local = F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?s)<[^>]*>", " "), r"\s+", " "))
-    return raw.where(host_ok).select(
-        F.regexp_extract(page, r"/opinion/(\d+)/", 1).try_cast("bigint").alias("item_id"),
+    rows = raw.withColumn("url", page)
+    return rows.select(
+        F.regexp_extract("url", r"/opinion/(\d+)/", 1).try_cast("bigint").alias("item_id"),
         F.trim("title").alias("name"),
         F.lit(source).alias("source"),
-        page.alias("url"),
-        link("enclosure", "pdf").alias("pdf_url"),
+        "url",
+        F.when(own, F.when(local.startswith("/"), local).otherwise(F.concat(F.lit("/"), local))).otherwise(F.col("url")).alias("path"),
+        pdf.alias("pdf_url"),
         F.try_to_date(F.substring(F.coalesce(blank_to_null(F.col("published")), "updated"), 1, 10), "yyyy-MM-dd").alias("date"),
         F.substring(plain, 1, 1500).alias("snippet"),
         blank_to_null(F.regexp_extract(plain, r"(?i)docket (?:no\.?|number)[: ]*([A-Z0-9-]+)", 1)).alias("docket"),
@@ -47,24 +73,27 @@ def flatten_master_list(df: DataFrame, payload: str, record: str, metadata_key:
     return df.select(*keep, F.explode(parsed).alias("k", "r")).where(F.col("k") != metadata_key).select(*keep, "r.*").where(F.col(id_field).isNotNull())
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """A4: the good rows of a JSONL log, and a one-row count of lines, good and corrupt ones. Blank lines count as neither."""
+def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Observation]:
+    """A4: the good rows of a JSONL log, and the counts of lines, good and corrupt ones as metrics of the pass that reads it: after the first
+    action on the rows, get holds them; the log isn't read a second time. Blank lines count as neither."""
     lines = spark.read.text(path).where(blank_to_null(F.col("value")).isNotNull())
     parsed = lines.select(F.from_json("value", f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
-    good = parsed.where("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
     ok = F.expr("r is not null and r._corrupt is null")
-    counts = parsed.agg(F.count("*").alias("lines"), F.count_if(ok).alias("good"), F.count_if(~ok).alias("corrupt"))
-    return good, counts
+    counts = Observation()
+    seen = parsed.observe(counts, F.count(F.lit(1)).alias("lines"), F.count_if(ok).alias("good"), F.count_if(~ok).alias("corrupt"))
+    return seen.where(ok).select("r.*").drop("_corrupt"), counts
 
 
-def flatten_link_report(df: DataFrame, maps: list[str]) -> DataFrame:
-    """Crawler maps url -> ARRAY<STRUCT<url, status>> by source under any of several columns, to distinct failing http(s) links; the first source stays."""
-    parts = [df.select(F.posexplode(F.map_entries(F.coalesce(m, F.create_map().cast(df.schema[m].dataType)))).alias("pos", "e"), F.lit(k).alias("m")) for k, m in enumerate(maps)]
+def flatten_link_report(df: DataFrame, maps: list[str], part: str | None = None) -> DataFrame:
+    """Crawler maps url -> ARRAY<STRUCT<url, status>> by source under any of several columns, to distinct failing http(s) links; the first source stays.
+    A large report comes in parts, a row each, in the order of the column `part`."""
+    at = F.col(part) if part else F.lit(0)
+    parts = [df.select(at.alias("part"), F.posexplode(F.map_entries(F.coalesce(m, F.create_map().cast(df.schema[m].dataType)))).alias("pos", "e"), F.lit(k).alias("m")) for k, m in enumerate(maps)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    flat = rows.select("m", "pos", F.col("e.key").alias("source"), F.posexplode("e.value").alias("at", "link")).select("m", "pos", "at", "source", F.trim("link.url").alias("url"), "link.status")
-    first = Window.partitionBy("url").orderBy("m", "pos", "at")
+    flat = rows.select("part", "m", "pos", F.col("e.key").alias("source"), F.posexplode("e.value").alias("at", "link")).select("part", "m", "pos", "at", "source", F.trim("link.url").alias("url"), "link.status")
+    first = Window.partitionBy("url").orderBy("part", "m", "pos", "at", "source")
     return flat.where(F.col("url").rlike("^https?://")).withColumn("n", F.row_number().over(first)).where("n = 1").select("url", "status", "source")
 
 
@@ -98,12 +127,14 @@ def slices(df: DataFrame, areas: str, known: DataFrame, order: list) -> tuple[Da
     """(rows per area, newest first within `position`; the index area, n with untouched areas of known(area) as 0)."""
     rows = df.withColumn("area", F.explode(areas))
     counts = known.join(rows.groupBy("area").agg(F.count("*").alias("n")), "area", "left").select("area", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("area").orderBy(*order))), counts
+    return positions(rows, ["area"], order), counts
 
 
-def write_slices(sliced: DataFrame, path: str) -> None:
-    """A folder per area."""
-    sliced.repartition("area").sortWithinPartitions("area", "position").write.partitionBy("area").mode("overwrite").parquet(path)
+def write_slices(sliced: DataFrame, path: str, index: DataFrame | None = None, index_path: str | None = None) -> None:
+    """A folder per area, written by ranges of positions, so that many tasks share a large area; and the index, one file."""
+    sliced.repartitionByRange("area", "position").sortWithinPartitions("area", "position").write.partitionBy("area").mode("overwrite").parquet(path)
+    if index is not None:
+        index.orderBy("area").coalesce(1).write.mode("overwrite").parquet(index_path)  # a row per area
 
 
 def append_bounded(log: DataFrame, new: DataFrame, sequence: str, cap: int) -> DataFrame:

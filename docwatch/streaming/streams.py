@@ -86,9 +86,25 @@ def stream_digest(stream: DataFrame, kind: str, ts: str, delay: str = "7 days")
     return per.select(F.to_date("window.start").alias("week"), kind, "n")
 
 
+FAR = 2**62
+CHECKS = {"min_f": "min", "max_f": "max", "min_h": "min", "max_h": "max", "n_f": "sum"}  # how two summaries of a second become one
+
+
 def stream_two_strike(stream: DataFrame, wait_seconds: int = 86_400, delay: str = "1 day") -> DataFrame:
     """(url, failed, ts) checks: the first failure makes a suspect with a clock, a healthy check clears it, a failure
-    after the wait confirms it. Rows of a batch are taken in time order; a suspect nobody checks again leaves after 30 days."""
+    after the wait (at least a second) confirms it. Rows of a batch are taken in time order, at equal times healthy ones first; a suspect
+    nobody checks again leaves after 30 days. Rows without a time are left out, an unknown outcome is healthy.
+
+    Before the shuffle each task sums a url's checks up in a row per second: first and last failure, first and last healthy
+    check, and whether there are two failures. Nothing else of a second can change the outcome, and such rows add up,
+    so a url that is checked all the time costs a row per second, whatever number of checks there are."""
+
+    def per_second(frames):
+        for f in frames:
+            at, bad = f["us"], f["failed"].astype(bool)
+            one = pd.DataFrame({"url": f["url"], "second": at // 1_000_000, "min_f": at.where(bad, FAR), "max_f": at.where(bad, -FAR), "min_h": at.where(~bad, FAR), "max_h": at.where(~bad, -FAR), "n_f": bad.astype("int64")})
+            out = one.groupby(["url", "second"], dropna=False, sort=False, as_index=False).agg(CHECKS)
+            yield out.assign(n_f=out["n_f"].clip(upper=2), last=out[["max_f", "max_h"]].max(axis=1))
 
     def step(key, frames, state):
         first = state.get[0] if state.exists else None
@@ -96,30 +112,48 @@ def stream_two_strike(stream: DataFrame, wait_seconds: int = 86_400, delay: str
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "failed"])
-        for ts, failed in zip(rows["ts"], rows["failed"]):
-            now = int(ts.timestamp())
-            if not failed:
-                first = None
-            elif first is None:
-                first = now
-            elif now - first >= wait_seconds:
-                out.append((key[0], first, now))
-                first = None
+        seconds: dict[int, tuple] = {}
+        for f in frames:
+            for now, *s in zip(f["second"], *(f[c] for c in CHECKS)):
+                o = seconds.get(now, (FAR, -FAR, FAR, -FAR, 0))
+                seconds[now] = (min(o[0], s[0]), max(o[1], s[1]), min(o[2], s[2]), max(o[3], s[3]), o[4] + s[4])
+        for now, (min_f, max_f, min_h, max_h, n_f) in sorted(seconds.items()):
+            healthy = min_h < FAR
+            checks = [True] * min(n_f, 2) if not healthy else [True] * (min_f < min_h) + [False] + [True] * (n_f > 0 and max_f >= max_h)
+            for failed in checks:
+                if not failed:
+                    first = None
+                elif first is None:
+                    first = now
+                elif now - first >= wait_seconds:
+                    out.append((key[0], first, now))
+                    first = None
         if first is None:
             if state.exists:
                 state.remove()
         else:
-            state.update((first,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (first + 30 * 86_400) * 1000))
+            state.update((int(first),))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(first) + 30 * 86_400) * 1000))
         yield pd.DataFrame(out, columns=["url", "first_failed", "confirmed_at"])
 
-    watched = stream.withWatermark("ts", delay).groupBy("url")
+    checks = stream.where("ts is not null").select("url", F.coalesce("failed", F.lit(False)).alias("failed"), F.unix_micros("ts").alias("us"))
+    seconds = checks.mapInPandas(per_second, f"url string, second long, {', '.join(f'{c} long' for c in CHECKS)}, last long")
+    watched = seconds.withColumn("ts", F.timestamp_micros("last")).withWatermark("ts", delay).groupBy("url")
     return watched.applyInPandasWithState(step, "url string, first_failed long, confirmed_at long", "first long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_staleness(stream: DataFrame, hours: int, delay: str = "1 hour") -> DataFrame:
-    """(source, last_seen) for every gap of more than `hours` between a source's rows, also a gap that is still open when the watermark passes."""
+    """(source, last_seen) for every gap of more than `hours` between a source's rows, also a gap that is still open when the watermark passes.
+    Rows without a time are left out.
+
+    Inside a slot of `hours` there is no such gap, so before the shuffle each task sums a source's rows up in the first and last
+    of each slot; a busy source costs a row per slot and task, and its state step holds two numbers per slot."""
+    limit = hours * 3600
+
+    def per_slot(frames):
+        for f in frames:
+            one = pd.DataFrame({"source": f["source"], "slot": f["s"] // limit, "first": f["s"], "last": f["s"]})
+            yield one.groupby(["source", "slot"], dropna=False, sort=False, as_index=False).agg({"first": "min", "last": "max"})
 
     def step(key, frames, state):
         last = state.get[0] if state.exists else None
@@ -128,16 +162,22 @@ def stream_staleness(stream: DataFrame, hours: int, delay: str = "1 hour") -> Da
             out.append((key[0], last, True))
             state.remove()
         else:
-            for ts in sorted(t for f in frames for t in f["ts"]):
-                now = int(ts.timestamp())
-                if last is not None and now - last > hours * 3600:
+            slots: dict[int, tuple] = {}
+            for f in frames:
+                for slot, low, high in zip(f["slot"], f["first"], f["last"]):
+                    o = slots.get(slot, (low, high))
+                    slots[slot] = (min(o[0], low), max(o[1], high))
+            for _, (low, high) in sorted(slots.items()):
+                if last is not None and low - last > limit:
                     out.append((key[0], last, False))
-                last = max(now, last or now)
-            state.update((last,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (last + hours * 3600) * 1000))
+                last = max(high, last) if last is not None else high
+            state.update((int(last),))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(last) + limit) * 1000))
         yield pd.DataFrame(out, columns=["source", "last_seen", "open"])
 
-    return stream.withWatermark("ts", delay).groupBy("source").applyInPandasWithState(step, "source string, last_seen long, open boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    slots = stream.where("ts is not null").select("source", F.unix_seconds("ts").alias("s")).mapInPandas(per_slot, "source string, slot long, first long, last long")
+    watched = slots.withColumn("ts", F.timestamp_seconds("last")).withWatermark("ts", delay).groupBy("source")
+    return watched.applyInPandasWithState(step, "source string, last_seen long, open boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_late_verdicts(requests: DataFrame, results: DataFrame, days: int = 25, delay: str = "1 day") -> DataFrame:

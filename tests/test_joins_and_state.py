@@ -59,6 +59,43 @@ def test_reverse_sweep_caps_and_order(spark):
     assert [(r.item_id, r.citer_id) for r in out] == [(1, 4), (1, 13), (1, 12), (2, 31)]
 
 
+def test_sweep_keeps_to_its_courts(spark):
+    items = spark.createDataFrame([(1, "ok", D(2024, 1, 1), None)], "item_id long, status string, date date, full_at date")
+    edges = spark.createDataFrame([(5, 1, D(2024, 2, 1), "a"), (6, 1, D(2024, 2, 2), "b"), (7, 1, D(2024, 2, 3), None), (8, 1, D(2024, 2, 4), "a")], "src_id long, dst_id long, ts date, court string")
+    none = spark.createDataFrame([], "item_id long, citer_id long")
+    pending = spark.createDataFrame([(1, 9, "b"), (1, 10, "a")], "item_id long, citer_id long, court string")
+    run = lambda scope, **caps: [r.citer_id for r in M.reverse_sweep(items, edges, none, pending, "2024-06-01", scope=scope, **caps).collect()]
+    assert run(["a"]) == [10, 8, 5] and run(["a"], per_item=2) == [10, 8] and run([]) == [] and run(None) == [10, 9, 8, 7, 6, 5]
+
+
+def test_positions_of_a_hot_group(spark):
+    rows = [("hot", k) for k in range(500)] + [(None, k) for k in range(3)] + [("cold", 7)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(5)
+    out = S.positions(df, ["g"], [F.desc("k")], ranges=12)
+    assert {(r.g, r.k): r.position for r in out.collect()} == {(g, k): (500 - k if g == "hot" else 3 - k if g is None else 1) for g, k in rows}
+    assert S.positions(df, [], ["g", F.desc("k")], ranges=6).agg(F.countDistinct("position"), F.max("position")).first() == (504, 504)
+    assert S.positions(df.where("k < 0"), ["g"], ["k"]).count() == 0
+    share = df.repartitionByRange(12, "g", F.desc("k")).groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert share < 120  # no task holds the hot group
+
+
+def test_forced_reads_close_a_deferred_row(spark):
+    schema = "item_id long, stage string, seq long, smell string, smell_outcome string, audit_verdict string, audit_depth string, audit_by string, audited_at string, audit_note string"
+    log = spark.createDataFrame([(1, "triage", 1, "suspect", "deferred", None, None, None, None, None), (2, "triage", 2, "suspect", "deferred", "x", "skim", "a", "t", None), (1, "text", 3, None, None, "w", "full", "b", "t", "n")], schema)
+    stamps = spark.createDataFrame([(1, "declined", "why"), (9, "declined", None)], "item_id long, verdict string, note string")
+    once = G.stamp_forced(log, stamps, "forced", "2024-01-01")
+    assert sorted((r.seq, r.audit_verdict, r.audit_depth, r.audit_by, r.audit_note) for r in once.collect()) == [(1, "declined", "full", "forced", "why"), (2, "x", "skim", "a", None), (3, "declined", "full", "forced", "why")]
+    assert sorted(once.collect()) == sorted(G.stamp_forced(once, stamps, "forced", "2024-01-01").collect())
+    assert [r.item_id for r in S.select_for_audit(once, ["triage"], 9).collect()] == [2]
+
+
+def test_reference_tables(spark):
+    tables = spark.createDataFrame([("ok", "2024-01-09"), ("empty", "2024-01-09"), ("undated", "soon"), ("old", "2023-01-01")], "name string, generated_at string")
+    entries = spark.createDataFrame([(n,) for n in ("ok", "undated", "old", "headless")], "name string")
+    assert {r.name: r.code for r in G.reference_health(tables, entries, "2024-01-10", 90).collect()} == {"ok": 0, "empty": 5, "undated": 5, "old": 5, "headless": 5}
+    assert G.reference_health(tables, entries, "2024-01-10", 0).count() == 0 and G.reference_health(tables.where("false"), entries.where("false"), "2024-01-10", 90).count() == 0
+
+
 def test_citation_windows(spark):
     docs = spark.createDataFrame([(9, "x" * 3000 + " In Smith we said " + "y" * 3000), (8, "nothing here")], "item_id long, text string")
     pairs = spark.createDataFrame([(1, 9), (1, 8)], "item_id long, citer_id long")

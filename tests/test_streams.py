@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,49 @@ def test_staleness_sees_gaps(spark, folder):
     assert [(r.source, r.open) for r in out] == [("a", False)]
 
 
+def test_strikes_and_gaps_of_busy_keys_against_brute_force(spark, folder):
+    rng, us = random.Random(3), lambda t: round((t - T0).total_seconds() * 10**6)
+    base = int(T0.replace(tzinfo=dt.UTC).timestamp())
+    rows = [(u, rng.random() < 0.8, T0 + dt.timedelta(milliseconds=100 * rng.randrange(300))) for u in ("hot", "b", None) for _ in range(400 if u == "hot" else 30)]
+    rows += [("c", True, None), ("c", None, T0)]
+    strikes = []
+    for u in {r[0] for r in rows}:
+        first = None
+        for t, failed in sorted((us(t), bool(f)) for v, f, t in rows if v == u and t):
+            now = base + t // 10**6
+            if not failed:
+                first = None
+            elif first is None:
+                first = now
+            elif now - first >= 2:
+                strikes.append((u, first, now))
+                first = None
+    d = folder("x", rows, "url string, failed boolean, ts timestamp", 4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)  # a key comes in many frames
+    try:
+        got = S.drain(S.stream_two_strike(S.file_stream(spark, d, "x"), 2)).collect()
+        assert len(strikes) > 3 and sorted(map(tuple, got), key=str) == sorted(strikes, key=str)
+
+        seen = [(s, T0 + dt.timedelta(minutes=rng.randrange(60 * 24 * days))) for s, n, days in (("hot", 500, 9), ("rare", 12, 9), (None, 9, 9)) for _ in range(n)]
+        gaps = [(s, a, False) for s in {r[0] for r in seen} for t in [sorted(base + us(x) // 10**6 for v, x in seen if v == s)] for a, b in zip(t, t[1:]) if b - a > 5 * 3600]
+        d = folder("y", seen, "source string, ts timestamp", 4)
+        got = S.drain(S.stream_staleness(S.file_stream(spark, d, "y"), 5, "20 days")).collect()
+        assert len(gaps) > 5 and sorted((tuple(r) for r in got if not r.open), key=str) == sorted(gaps, key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_strikes_go_on_after_a_restart(spark, folder):
+    home = S.work_folder(spark)
+    schema = "url string, failed boolean, ts timestamp"
+    day = dt.timedelta(days=1)
+    d = folder("x", [("a", True, T0), ("b", True, T0)], schema, 1)
+    assert S.drain(S.stream_two_strike(S.file_stream(spark, d, "x")), folder=home).count() == 0
+    spark.createDataFrame([("a", True, T0 + 2 * day), ("b", False, T0 + day), ("b", True, T0 + 2 * day)], schema).coalesce(1).write.mode("append").parquet(f"{d}/x.parquet")
+    assert [r.url for r in S.drain(S.stream_two_strike(S.file_stream(spark, d, "x")), folder=home).collect()] == ["a"]
+
+
 def test_late_verdicts_join_their_version(spark, folder):
     folder("q", [(1, "h", T0), (2, "h", T0), (3, "h", T0), (9, "h", T0 + dt.timedelta(days=90))], "item_id long, content_hash string, ts timestamp")
     d = folder("r", [(1, "h", T0 + dt.timedelta(days=3), "keep"), (2, "old", T0 + dt.timedelta(days=3), "keep"), (3, "h", T0 + dt.timedelta(days=30), "keep"), (9, "x", T0 + dt.timedelta(days=90), "drop")], "item_id long, content_hash string, ts timestamp, verdict string")
