@@ -27,10 +27,11 @@ class Funnel:
 @dataclass(frozen=True)
 class FunnelRun:
     cards: DataFrame  # item_id, source, flags, a column per guard, reasons, lane
-    drops: DataFrame  # item_id, source, tier, reason, smell
+    drops: DataFrame  # item_id, source, tier, reason, smell, smell_outcome
     floored: DataFrame  # source, floored
     seen: DataFrame  # item_id
     record: DataFrame  # one row
+    smells: DataFrame  # item_id, smell, smell_outcome of what the suspect pass judged
     memos: dict[str, DataFrame] = field(default_factory=dict)  # by tier, of its classifier: fingerprint, passes, reason to add
 
 
@@ -73,17 +74,21 @@ def funnel(candidates: DataFrame, known: list[DataFrame], since, today, exempt:
 
 def funnel_run(
     candidates: DataFrame, known: list[DataFrame], existing: DataFrame, since, today, exempt: list[str], tiers: list[Tier], *,
-    smells: DataFrame, validity: dict[str, Column], guards: dict[str, DataFrame], overruling: DataFrame, cleared: DataFrame, seen: DataFrame, tries: int = 3, smell_cap: int = 5, seen_cap: int = 5_000,
+    smells: DataFrame, validity: dict[str, Column], guards: dict[str, DataFrame], overruling: DataFrame, cleared: DataFrame, seen: DataFrame, reads: DataFrame | None = None, smell_tier: str | None = None, tries: int = 3, smell_cap: int = 5, seen_cap: int = 5_000,
 ) -> FunnelRun:
     """A whole run, from candidates to the two lanes and the next seen state.
 
     candidates and existing carry item_id, source, date, docket_tokens and party_tokens; candidates also ingest_seq and
     text. In order: selection (C1), twins of existing items, the text gate (A9), the tiers with the override by existing
-    items (D4), suspect drops of a tier that come back, up to smell_cap of them (C10: smells(item_id, verdict)), twins
-    within the run (D2: by ingest_seq, an item that does not pass shadows nobody), validity flags (C15), the guards'
+    items (D4), twins within the run (D2: by ingest_seq, an item that does not pass shadows nobody), suspect drops of one tier (the last,
+    if smell_tier names none), up to smell_cap of them (C10: smells(item_id, verdict)), validity flags (C15), the guards'
     consensus over guards[name](item, attempt, vote, reason) (E10; an item without attempts was not guarded and isn't
     held for that), routing (G11; overruling(item_id) holds, cleared(item_id) lifts), the seen ids (G13: what has a
-    definite outcome, is not held and has a text; a missing verdict comes again) and the run's record (E5)."""
+    definite outcome, is not held and has a text; a missing verdict comes again) and the run's record (E5).
+
+    A suspect drop gets a smell_outcome: `capped`; `twin` of a case that passed or of an earlier suspect; `carded` or `drop-stands` as its full
+    read in reads(item_id, passes) says; `deferred` where there is no read, which C11 selects again. Without a table of
+    reads every suspect under the cap is read and passes. Only `carded` ones lose their drop row."""
     slim = candidates.select("item_id", "source", "date", "ingest_seq", "docket_tokens", "party_tokens", S.reasons(**validity).alias("flags"), readable("text").alias("readable"))
     chosen, floored = S.select_candidates(slim, known, since, today, exempt)  # no text crosses a shuffle
     twins = M.same_item_keys(chosen).join(M.same_item_keys(existing).select("key"), "key", "left_semi").select("item_id", F.lit(True).alias("__twin")).distinct()
@@ -93,14 +98,23 @@ def funnel_run(
     rows = rows.withColumn("reason", F.when(F.col("__twin").isNull(), F.col("reason")))
     rows = M.checkpointed(rows.select("item_id", "source", "date", "ingest_seq", "docket_tokens", "party_tokens", "flags", "tier", "reason"))
 
-    judged_out = rows.where(F.col("tier").isin([name for name, _ in tiers])).select("item_id", "reason", F.struct("ingest_seq", "item_id").alias("seq"))
-    smelled = rows.join(S.escalate_suspects(judged_out, smells, smell_cap).select("item_id", "smell"), "item_id", "left")
-    passed = F.col("tier").isNull() | F.coalesce(F.col("smell") == "suspect", F.lit(False))
-    smelled = M.checkpointed(smelled.withColumn("passed", passed))
-    passing = smelled.where("passed")
-    firsts = M.dedup_greedy(passing, M.same_item_keys(passing), "ingest_seq").select("item_id", F.lit(True).alias("__card"))
-    fate = smelled.join(firsts, "item_id", "left")
-    fate = M.checkpointed(fate.withColumn("tier", F.when(F.col("__card"), F.lit(None)).when(F.col("passed"), F.lit("duplicate")).otherwise(F.col("tier"))))
+    judged_out = rows.where(F.col("tier") == (smell_tier or tiers[-1][0])).select("item_id", "reason", F.struct("ingest_seq", "item_id").alias("seq"))
+    smelled = M.checkpointed(rows.join(S.escalate_suspects(judged_out, smells, smell_cap).select("item_id", "smell"), "item_id", "left"))
+    passing, suspects = smelled.where("tier is null"), smelled.where("smell = 'suspect'")  # smell_cap suspects at most
+    firsts = M.checkpointed(M.dedup_greedy(passing, M.same_item_keys(passing), "ingest_seq").select("item_id"))
+    taken = M.same_item_keys(passing.join(firsts, "item_id", "left_semi")).select("key")
+    free = suspects.join(M.same_item_keys(suspects).join(taken, "key", "left_semi").select("item_id"), "item_id", "left_anti")
+    free = M.checkpointed(free)
+    read = M.dedup_greedy(free, M.same_item_keys(free), "ingest_seq").select("item_id")
+    said = F.lit(True) if reads is None else F.col("__passes")
+    read = read if reads is None else read.join(reads.select("item_id", F.col("passes").alias("__passes")), "item_id", "left")
+    read = read.select("item_id", F.when(said, "carded").when(~said, "drop-stands").otherwise("deferred").alias("__read"))
+
+    fate = smelled.join(firsts.withColumn("__first", F.lit(True)), "item_id", "left").join(read, "item_id", "left")
+    outcome = F.when(F.col("smell") == "suspect", F.coalesce("__read", F.lit("twin"))).when(F.col("smell") == "capped", "capped")
+    fate = fate.withColumn("smell_outcome", outcome).withColumn("smell", F.when(F.col("smell") == "capped", "suspect").otherwise(F.col("smell")))
+    carded = F.col("__first") | F.coalesce(F.col("__read") == "carded", F.lit(False))
+    fate = M.checkpointed(fate.withColumn("tier", F.when(carded, F.lit(None)).when(F.col("tier").isNull(), F.lit("duplicate")).otherwise(F.col("tier"))))
 
     cards = fate.where("tier is null").select("item_id", "source", "flags")
     holds = {"flags": F.size("flags") > 0, "overrules": F.col("__over").isNotNull()}
@@ -116,15 +130,15 @@ def funnel_run(
     auto, held = (cards.where(F.col("lane") == lane).select("item_id") for lane in ("auto", "held"))
     after = G.advance_seen(seen_cap, held, seen.select("item_id"), definite, existing.select("item_id"), auto)
     record = E.run_record(fate.select(F.coalesce("tier", F.lit("carded")).alias("tier"), F.col("tier").isNotNull().alias("dropped")), floored)
-    return FunnelRun(cards, drops.select("item_id", "source", "tier", "reason", "smell"), floored, after, record, memos)
+    return FunnelRun(cards, drops.select("item_id", "source", "tier", "reason", "smell", "smell_outcome"), floored, after, record, fate.where("smell is not null").select("item_id", "smell", "smell_outcome"), memos)
 
 
 def funnel_counts(f: Funnel | FunnelRun) -> DataFrame:
-    """Rows per source and stage: carded ones (of a whole run by lane), each tier's drops (with their smell, where
-    they have one), and the floored ones."""
+    """Rows per source and stage: carded ones (of a whole run by lane), each tier's drops (with their smell and its
+    outcome, where they have them), and the floored ones."""
     whole = isinstance(f, FunnelRun)
     kept = f.cards.select("source", F.col("lane").alias("stage")) if whole else f.kept.select("source", F.lit("carded").alias("stage"))
-    drops = f.drops.select("source", F.concat_ws(": ", "tier", "smell") if whole else F.col("tier"))
+    drops = f.drops.select("source", F.concat_ws(": ", "tier", "smell", "smell_outcome") if whole else F.col("tier"))
     return kept.union(drops).groupBy("source", "stage").agg(F.count("*").alias("n")).union(f.floored.select("source", F.lit("floored"), F.col("floored").alias("n")))
 
 

@@ -26,11 +26,13 @@ RUN = """, b AS (SELECT item_id, source, text, item_id // 3 AS docket, item_id /
         WHEN item_id % 12 = 0 THEN 'screen: retry'
         WHEN item_id % 6 = 0 AND NOT EXISTS (SELECT 1 FROM b k WHERE k.known AND k.source = c.source AND k.party = c.party) THEN 'screen'
         WHEN item_id % 7 = 0 THEN 'triage' END AS tier FROM b c WHERE p AND NOT known),
-    m AS (SELECT *, CASE WHEN tier IN ('screen', 'triage') THEN CASE WHEN item_id % 21 = 0 OR item_id % 4 = 1 THEN 'suspect' WHEN item_id % 4 = 2 THEN 'ok' END END AS raw FROM g),
-    c AS (SELECT *, CASE WHEN raw = 'suspect' AND row_number() OVER (PARTITION BY raw ORDER BY item_id) > 5 THEN 'capped' ELSE raw END AS smell FROM m),
-    a AS (SELECT *, tier IS NULL OR coalesce(smell = 'suspect', false) AS passed FROM c),
-    k AS (SELECT *, row_number() OVER (PARTITION BY source, docket, passed ORDER BY item_id) AS place FROM a),
-    f AS (SELECT *, CASE WHEN passed AND place = 1 THEN NULL WHEN passed THEN 'duplicate' ELSE tier END AS fate,
+    m AS (SELECT *, CASE WHEN tier = 'triage' THEN CASE WHEN item_id % 21 = 0 OR item_id % 4 = 1 THEN 'suspect' WHEN item_id % 4 = 2 THEN 'ok' END END AS smell FROM g),
+    c AS (SELECT *, smell = 'suspect' AND row_number() OVER (PARTITION BY smell ORDER BY item_id) <= 5 AS up FROM m),
+    t AS (SELECT *, up AND (EXISTS (SELECT 1 FROM c o WHERE o.tier IS NULL AND o.source = c.source AND o.docket = c.docket)
+            OR EXISTS (SELECT 1 FROM c o WHERE o.up AND o.source = c.source AND o.docket = c.docket AND o.item_id < c.item_id)) AS twin,
+        row_number() OVER (PARTITION BY source, docket, tier IS NULL ORDER BY item_id) AS place FROM c),
+    k AS (SELECT *, CASE WHEN smell IS DISTINCT FROM 'suspect' THEN NULL WHEN NOT up THEN 'capped' WHEN twin THEN 'twin' WHEN item_id % 9 = 0 THEN 'deferred' WHEN item_id % 5 = 1 THEN 'drop-stands' ELSE 'carded' END AS outcome FROM t),
+    f AS (SELECT *, CASE WHEN tier IS NULL AND place = 1 OR outcome = 'carded' THEN NULL WHEN tier IS NULL THEN 'duplicate' ELSE tier END AS fate,
         len(list_filter([1, 2, 3], lambda x: (item_id * x) % 5 IN (1, 2))) AS flags, len(list_filter([1, 2, 3], lambda x: (item_id * x) % 5 IN (3, 4))) AS clears,
         len(list_filter([1, 2, 3], lambda x: (item_id + x) % 4 = 1)) AS gaps, len(list_filter([1, 2, 3], lambda x: (item_id + x) % 4 > 1)) AS shown FROM k),
     r AS (SELECT *, CASE WHEN (length(text) < 700 OR item_id % 9 = 0 OR flags > 1 OR clears < 2 OR gaps > 1 OR shown < 2 OR item_id % 10 = 1) AND item_id % 4 <> 3 THEN 'held' ELSE 'auto' END AS lane FROM f),
@@ -56,16 +58,21 @@ def run(spark, d):
     return J.funnel_run(
         rows, [existing.select("item_id")], existing, "2024-03-01", "2024-12-31", ["src3"], [("screen", screen), ("triage", triage)],
         smells=smells, validity={"low_confidence": F.length("text") < 700, "unverified_date": i % 9 == 0}, guards=guards,
-        overruling=others.where("item_id % 10 = 1"), cleared=others.where("item_id % 4 = 3"), seen=existing.select("item_id"),
+        reads=others.where("item_id % 9 <> 0").select("item_id", (i % 5 != 1).alias("passes")), overruling=others.where("item_id % 10 = 1"), cleared=others.where("item_id % 4 = 3"), seen=existing.select("item_id"),
     )
 
 
-@query("j1_funnel", f"""{RUN} SELECT source, CASE WHEN fate IS NULL THEN lane ELSE concat_ws(': ', fate, smell) END AS stage, count(*) AS n FROM r GROUP BY 1, 2
+@query("j1_funnel", f"""{RUN} SELECT source, CASE WHEN fate IS NULL THEN lane ELSE concat_ws(': ', fate, smell, outcome) END AS stage, count(*) AS n FROM r GROUP BY 1, 2
     UNION ALL SELECT source, 'floored', floored FROM l""", "cand")
 def j1(spark, d):
     return J.funnel_counts(run(spark, d))
 
 
+@query("j1_smells", f"""{RUN} SELECT item_id, smell, outcome AS smell_outcome FROM r WHERE smell IS NOT NULL""", "cand")
+def j1_smells(spark, d):
+    return run(spark, d).smells
+
+
 @query("j1_seen", f"""{RUN} SELECT item_id FROM (SELECT item_id FROM b WHERE known UNION SELECT item_id FROM r WHERE fate IN ('duplicate', 'screen', 'triage') OR fate IS NULL AND lane = 'auto')
     ORDER BY item_id DESC LIMIT 5000""", "cand")
 def j1_seen(spark, d):

@@ -146,3 +146,29 @@ def test_funnel_logs_every_drop(spark):
     assert sorted(r.item_id for r in f.kept.collect()) == [1, 2, 4, 7]
     assert {r.item_id: r.tier for r in f.drops.collect()} == {3: "text", 5: "screen", 6: "screen: retry"}
     assert jobs.funnel_counts(f).agg(F.sum("n")).first()[0] == 7
+
+
+def test_suspect_drops_and_their_outcomes(spark):
+    day, text = dt.date(2024, 1, 5), "letters " * 100
+    rows = [(k, "s", day, k, text, [f"D{k // 2}"], []) for k in range(2, 22)]  # two ids are a case
+    df = spark.createDataFrame(rows, "item_id long, source string, date date, ingest_seq long, text string, docket_tokens array<string>, party_tokens array<string>")
+    none = spark.createDataFrame([], "item_id long")
+    screen = df.select("item_id", (F.col("item_id") != 20).alias("passes"), F.lit("").alias("reason"))  # a suspect reason, but not of the last tier
+    lost = [2, 4, 5, 6, 8, 10, 12, 14, 16, 21]
+    triage = df.select("item_id", (~F.col("item_id").isin(lost)).alias("passes"), F.lit("off").alias("reason"))
+    verdict = {2: "suspect", 4: "suspect", 5: "suspect", 6: "ok", 21: "suspect", 3: "suspect"}
+    smells = spark.createDataFrame(list(verdict.items()), "item_id long, verdict string")
+    guards = {"g": spark.createDataFrame([], "item long, attempt int, vote string, reason string")}
+
+    def run(reads, cap=9):
+        f = jobs.funnel_run(df, [none], df.where("false"), "2024-01-01", "2024-02-01", [], [("screen", screen), ("triage", triage)], smells=smells, validity={"never": F.lit(False)}, guards=guards,
+            overruling=none, cleared=none, seen=none, reads=reads, smell_cap=cap)
+        return {r.item_id: (r.smell, r.smell_outcome) for r in f.smells.collect()}, {r.item_id for r in f.cards.collect()}, {r.item_id: r.tier for r in f.drops.collect()}
+
+    reads = spark.createDataFrame([(4, False), (21, True)], "item_id long, passes boolean")
+    smelled, cards, drops = run(reads)
+    assert smelled == {2: ("suspect", "twin"), 4: ("suspect", "drop-stands"), 5: ("suspect", "twin"), 6: ("ok", None), 21: ("suspect", "carded")}
+    assert 21 in cards and 21 not in drops and drops[2] == drops[4] == drops[5] == "triage" and drops[20] == "screen" and 3 in cards
+    smelled, cards, _ = run(reads.where("item_id = 21"), 2)
+    assert smelled[4] == ("suspect", "deferred") and smelled[21] == ("suspect", "capped") == smelled[5] and 21 not in cards
+    assert run(None)[0][4] == ("suspect", "carded")
