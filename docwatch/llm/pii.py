@@ -7,12 +7,12 @@ entity in at least min_texts different texts and discloses PMI / IC >= generalis
 it is generalised to its word class, or removed at PMI / IC >= remove. Common words disclose little and stay.
 
 Term counts are exact: all documents count, but a fixed-size bit filter made from the candidate terms drops most
-other terms before the shuffle (a false positive only ships a row more). find() gives the revealing terms beside
-their entities; mark() and sanitise() every occurrence of a revealing term, in whatever document it stands.
+other terms before the shuffle (a false positive only ships a row more). mark() gives, and sanitise() takes out, every
+occurrence of a revealing term, in whatever document it stands.
 
 Defined cases: null text counts as empty; very long texts and words are read whole; spans depend on the text alone, so equal
 texts get equal spans and repeated rows results of their own; spans that start together are listed in the order of KINDS;
-null ids are kept; an empty table gives an empty result; other columns, whatever their names, are ignored by find() and
+null ids are kept; an empty table gives an empty result; other columns, whatever their names, are ignored by mark() and
 kept by sanitise().
 """
 
@@ -40,6 +40,10 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W_]+")
+#: All four kinds of base spans need a digit or @.
+SUSPECT = re.compile("[0-9@]")
+#: ASCII letters in lower case and digits are parts of terms, other ASCII characters are not, further bytes are left to TERM.
+TABLE = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -93,6 +97,8 @@ def phones(text: str):
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in code points, by start, then kind."""
+    if not SUSPECT.search(text):
+        return []
     return sorted((a, k, b) for k, find in enumerate((emails, ips, cards, phones)) for a, b in find(text))
 
 
@@ -122,38 +128,53 @@ def contexts(text: str, spans: list[tuple[int, int, int]], reach: int, least: in
     return out
 
 
-def suspects(text) -> F.Column:
-    """Only such texts can hold a base span: all four kinds need a digit or @."""
-    return F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-
-
 def detect(docs: DataFrame, reach: int = 8, least: int = 4) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, key, base, near) for the texts that suspects() picks; key identifies the text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """docs(text) to (key, near) for the texts with a term near a base span; key identifies the text."""
 
     def work(batches):
-        span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        context = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        context = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
         for batch in batches:
-            keys, base, near = [], [], []
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
-                base.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
-                near.append([dict(zip(("entity", "term", "start", "end"), c)) for c in contexts(text, spans, reach, least)])
-                keys.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(base, span), pa.array(near, context)], names=["doc_id", "key", "base", "near"])
+            keys, near = [], []
+            for text in batch.column(0).to_pylist():
+                if found := contexts(text, base_spans(text), reach, least):
+                    near.append([dict(zip(("entity", "term"), c)) for c in found])
+                    keys.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(near, context)], names=["key", "near"])
+
+    return docs.select("text").where(F.col("text").rlike(SUSPECT.pattern)).mapInArrow(work, "key string, near array<struct<entity:string,term:string>>")
+
+
+def bit_filter(terms: DataFrame, bits: int) -> Broadcast:
+    """2**bits bits: those of the CRC-32 of terms(term). Tasks build bitmaps of 2**15 bits each, which are merged before and after
+    the shuffle; 2**(bits - 15) of them at most reach the driver, whatever the number of terms."""
+    slot = F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark numbers bits from 1
+    maps = terms.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    mask = np.zeros((max(1, 1 << bits >> 15), 1 << 15), bool)
+    for b, found in maps.collect():
+        mask[b - 1] = np.unpackbits(np.frombuffer(found, np.uint8), bitorder="little")
+    return terms.sparkSession.sparkContext.broadcast(np.packbits(mask.reshape(-1)[: 1 << bits]).tobytes())
+
 
-    schema = f"doc_id {kind}, key string, base {SPANS}, near array<struct<entity:string,term:string,start:int,end:int>>"
-    return docs.where(suspects(F.col("text"))).mapInArrow(work, schema)
+class Passing:
+    """The distinct terms of texts, in lower case and UTF-8, that a bit filter lets through.
 
+    A table cuts at ASCII characters, words with other characters meet the pattern. Words without a passing term are remembered,
+    so that frequent ones are judged once per task; what is remembered is bounded in number and length."""
 
-def bit_filter(terms: DataFrame, bits: int):
-    """A broadcast of 2**bits bits: those of the CRC-32 of terms(term)."""
-    slots = terms.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit((1 << bits) - 1)).alias("s")).distinct()
-    mask = np.zeros(1 << bits, bool)
-    for row in slots.toLocalIterator():  # 2**bits at most, whatever the number of terms
-        mask[row[0]] = True
-    return terms.sparkSession.sparkContext.broadcast(np.packbits(mask).tobytes())
+    def __init__(self, mask: bytes):
+        self.mask, self.low, self.clean = mask, len(mask) * 8 - 1, set()
+
+    def __call__(self, text: str) -> set[bytes]:
+        found = set()
+        for word in set(text.encode("utf-8", "surrogatepass").translate(TABLE).split()) - self.clean:
+            terms = [word] if word.isascii() else [w.lower().encode("utf-8") for w in TERM.findall(word.decode("utf-8", "surrogatepass"))]
+            passing = [t for t in terms if self.mask[(slot := zlib.crc32(t) & self.low) >> 3] & (128 >> (slot & 7))]
+            found.update(passing)
+            if not passing and len(word) <= 64:
+                self.clean.add(word)
+        if len(self.clean) > 500_000:
+            self.clean.clear()
+        return found
 
 
 def document_counts(docs: DataFrame, terms: DataFrame, bits: int = 20) -> DataFrame:
@@ -161,20 +182,19 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = 20) -> DataFr
     shared = bit_filter(terms, bits)
 
     def work(batches):
-        mask = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool).tolist()
-        low = (1 << bits) - 1
-        counts: dict[str, int] = {}
+        counts: dict[bytes, int] = {}
+        passing = Passing(shared.value)
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            out = pa.RecordBatch.from_arrays([terms, pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
             counts.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for term in {w.lower() for w in TERM.findall(text)} if text else ():
-                    if mask[zlib.crc32(term.encode("utf-8", "surrogatepass")) & low]:
-                        counts[term] = counts.get(term, 0) + 1
+                for term in passing(text or ""):
+                    counts[term] = counts.get(term, 0) + 1
             if len(counts) > 100_000:
                 yield flush()
         yield flush()
@@ -185,80 +205,51 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = 20) -> DataFr
 EMPTY = "array<struct<start:int,end:int,remove:boolean>>"
 
 
-def evidence(slim: DataFrame, generalise: float, remove: float, min_texts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(seen, carried, revealing): seen is detect()'s, carried has its texts with a span once, revealing(entity, term, remove) the terms that disclose an entity."""
-    seen = cut(detect(slim))
+def revealing_terms(slim: DataFrame, generalise: float, remove: float, min_texts: int) -> DataFrame:
+    """(term, remove): a row per entity that a term of slim(text) discloses."""
     total = slim.count()
-    held = seen.where(F.size("base") > 0)
     # a text once, with the number of documents that carry it
-    carried = cut(held.groupBy("key").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("near").alias("near")))
+    carried = cut(detect(slim).groupBy("key").agg(F.count("*").alias("copies"), F.first("near").alias("near")))
     linked = carried.select("key", "copies", F.explode("near").alias("c")).select("key", "copies", "c.entity", "c.term").distinct()
     pairs = cut(linked.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts))
     if pairs.isEmpty():
-        return seen, carried, pairs.select("entity", "term", F.lit(False).alias("remove"))
+        return pairs.select("term", F.lit(False).alias("remove"))
     entities = linked.select("key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
     terms = document_counts(slim, pairs.select("term").distinct())
     pairs = pairs.join(entities, "entity").join(terms, "term")
     pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_t") * F.col("n_e")))
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
     disclosed = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-    return seen, carried, cut(pairs.withColumn("disclosed", disclosed).where(F.col("disclosed") >= generalise).select("entity", "term", (F.col("disclosed") >= remove).alias("remove")))
-
-
-def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_texts: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): rows(doc_id, base, terms) has a row per row of docs, texts(key, base, terms) one per text with a span.
-
-    terms holds (start, end, remove) for the revealing terms beside their entities; key is the text's SHA-256.
-    """
-    slim = columns(docs, doc_id=doc_id, text=text)
-    seen, carried, revealing = evidence(slim, generalise, remove, min_texts)
-    empty = F.array().cast(EMPTY)
-    spots = carried.select("key", F.explode("near").alias("c")).select("key", "c.*")
-    found = spots.join(revealing, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("remove").alias("remove"))
-    extra = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
-    texts = cut(carried.join(extra, "key", "left").select("key", "base", F.coalesce("terms", empty).alias("terms")))
-    none = F.array().cast(SPANS)
-    rest = slim.where(~suspects(F.col("text"))).select("doc_id", none.alias("base"), empty.alias("terms"))
-    clean = seen.where(F.size("base") == 0).select("doc_id", "base", empty.alias("terms"))
-    marked = seen.where(F.size("base") > 0).select("doc_id", "key").join(texts, "key").select("doc_id", "base", "terms")
-    return rest.union(clean).union(marked), texts
-
-
-def passing(text: str, mask: bytes) -> set[str]:
-    """The terms of a text, in lower case, that a bit filter lets through."""
-    low = len(mask) * 8 - 1
-    found = set()
-    for term in {w.lower() for w in TERM.findall(text)}:
-        slot = zlib.crc32(term.encode("utf-8", "surrogatepass")) & low
-        if mask[slot >> 3] & (128 >> (slot & 7)):
-            found.add(term)
-    return found
+    return pairs.withColumn("disclosed", disclosed).where(F.col("disclosed") >= generalise).select("term", (F.col("disclosed") >= remove).alias("remove"))
 
 
-def occurrences(text: str, spans: list[tuple[int, int, int]], terms: set[str]) -> list[tuple[str, int, int]]:
+def occurrences(text: str, spans: list[tuple[int, int, int]], terms: set[bytes]) -> list[tuple[str, int, int]]:
     """(term, start, end) of every word in terms that overlaps no base span."""
     if not terms:
         return []
-    return [(word, a, b) for a, b, free in terms_of(text, spans) if free and (word := text[a:b].lower()) in terms]
+    words = {t.decode("utf-8", "surrogatepass") for t in terms}
+    return [(word, a, b) for a, b, free in terms_of(text, spans) if free and (word := text[a:b].lower()) in words]
 
 
 def mark(docs: DataFrame, generalise: float = 0.8, remove: float = 0.9, min_texts: int = 2, doc_id: str = "doc_id", text: str = "text", bits: int = 24) -> tuple[DataFrame, DataFrame, Broadcast]:
-    """(rows, texts, mask) like find()'s, but terms holds every occurrence of a term that reveals some entity, whether the
-    entity is near, elsewhere in the text or not in it; mask is the bit filter of these terms."""
+    """(rows, texts, mask): rows(doc_id, base, terms) has a row per row of docs, texts(key, base, terms) one per text with a span or
+    a term that the bit filter mask lets through. terms holds (start, end, remove) for every occurrence of a term that reveals some
+    entity, whether the entity is near, elsewhere in the text or not in it; key is the text's SHA-256."""
     slim = columns(docs, doc_id=doc_id, text=text)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    _, _, revealing = evidence(slim, generalise, remove, min_texts)
+    revealing = revealing_terms(slim, generalise, remove, min_texts)
     terms = cut(revealing.groupBy("term").agg(F.max("remove").alias("remove")))
     shared = bit_filter(terms, bits)
 
     def work(batches):
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         spot = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        passing = Passing(shared.value)
         for batch in batches:
             keys, bases, spots = [], [], []
             for t in batch.column("text").to_pylist():
                 spans = base_spans(t or "")
-                found = passing(t or "", shared.value)
+                found = passing(t or "")
                 keys.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() if spans or found else None)
                 bases.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
                 spots.append([dict(zip(("term", "start", "end"), s)) for s in occurrences(t, spans, found)] if spans or found else [])
@@ -300,9 +291,10 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     def touched(batches):
+        passing = Passing(shared.value)
         for batch in batches:
             texts = batch.column(where).to_pylist()
-            yield batch.append_column("dirty", pa.array([bool(base_spans(t or "") or passing(t or "", shared.value)) for t in texts], pa.bool_()))
+            yield batch.append_column("dirty", pa.array([bool(base_spans(t or "") or passing(t or "")) for t in texts], pa.bool_()))
 
     seen = rows.mapInArrow(touched, StructType([*rows.schema, StructField("dirty", BooleanType())]))
     joined = seen.where("dirty").withColumn("key", F.sha2(names[where], 256)).join(spans, "key").select(*names, "found")

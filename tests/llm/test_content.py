@@ -71,7 +71,7 @@ def test_revealing_terms_are_found_and_common_words_stay(spark):
     secret = "agent zorblatt wrote the note to bob@hq.example.com about the plan {}"
     rows = [(k, secret.format(f"number{k}"), "s") for k in range(3)] + [(k, f"wrote about the note and the plan {k} agent", "s") for k in range(10, 400)]
     docs = make_docs(spark, rows)
-    found, _ = pii.find(docs)
+    found = pii.mark(docs)[0]
     terms = {rows[0][1][t.start : t.end] for r in found.where("doc_id = 0").collect() for t in r.terms}
     assert terms == {"zorblatt"}
     texts = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
@@ -101,22 +101,43 @@ def test_disclosure_against_brute_force(spark):
     for k in range(300):
         t = " ".join(r.choices(vocabulary, weights=range(1, 61), k=30))
         rows.append((k, t + f" u{k % 5}@mail.example.com " + " ".join(r.choices(vocabulary[: 5 + k % 5], k=3)) if k % 10 == 0 else t, "s"))
-    got = {(x.doc_id, t.start, t.end, t.remove) for x in pii.find(make_docs(spark, rows), generalise=0.3, remove=0.4)[0].collect() for t in x.terms}
-    near = {i: pii.contexts(t, pii.base_spans(t), 8, 4) for i, t, _ in rows}
-    want, n = set(), len(rows)
-    for i, c in near.items():
-        for e, term, a, b in c:
-            n_e = sum(any(x[0] == e for x in v) for v in near.values())
-            n_et = sum(any(x[:2] == (e, term) for x in v) for v in near.values())
-            n_t = sum(term in re.findall(r"[^\W_]+", t.lower()) for _, t, _ in rows)
-            d = math.log2(n * n_et / (n_t * n_e)) / math.log2(n / n_e)
-            if n_et >= 2 and d >= 0.3:
-                want.add((i, a, b, d >= 0.4))
-    assert got == want and want
+    near = {i: pii.contexts(t, sorted(brute_spans(t)), 8, 4) for i, t, _ in rows}
+    reveals, n = {}, len(rows)
+    for e, term in {x[:2] for c in near.values() for x in c}:
+        n_e = sum(any(x[0] == e for x in v) for v in near.values())
+        n_et = sum(any(x[:2] == (e, term) for x in v) for v in near.values())
+        n_t = sum(term in re.findall(r"[^\W_]+", t.lower()) for _, t, _ in rows)
+        d = math.log2(n * n_et / (n_t * n_e)) / math.log2(n / n_e)
+        if n_et >= 2 and d >= 0.3:
+            reveals[term] = reveals.get(term, False) or d >= 0.4
+    want = set()
+    for i, t, _ in rows:
+        base = sorted(brute_spans(t))
+        for m in re.finditer(r"[^\W_]+", t):
+            if m.group().lower() in reveals and not any(a < m.end() and m.start() < b for a, _, b in base):
+                want.add((i, *m.span(), reveals[m.group().lower()]))
+    got = {(x.doc_id, t.start, t.end, t.remove) for x in pii.mark(make_docs(spark, rows), generalise=0.3, remove=0.4)[0].collect() for t in x.terms}
+    assert got == want and {w[0] for w in want} > {i for i, c in near.items() if c}  # more documents than those with an entity
+
+
+@pytest.mark.parametrize("text", ["", "A_b a.B!c9", "İstanbul ΑΣ ΑΣ' xΣ_Σ Éa-éA Ⅷ ½ ٣x \u212a\x00k\x85z\u2028y", "naïve\u0301 ǅ\tß\u1e9e_\ufb01"])
+def test_terms_of_a_text(text):
+    passing = pii.Passing(b"\xff" * 8)
+    assert passing(text) == passing(text) == {w.lower().encode() for w in re.findall(r"[^\W_]+", text)}
+
+
+@pytest.mark.parametrize("bits", [12, 20])
+def test_bit_filter_lets_its_terms_through(spark, bits):
+    terms = [f"térm{k}" for k in range(500)] + ["a", "zz"]
+    mask = pii.bit_filter(spark.createDataFrame([(t,) for t in terms], "term string"), bits).value
+    slots = {zlib.crc32(t.encode()) % (1 << bits) for t in terms}
+    assert {k for k in range(1 << bits) if mask[k >> 3] & (128 >> (k & 7))} == slots
+    passing = pii.Passing(mask)
+    assert not passing("and !") and passing(" ".join(["and", *terms, "!"]).upper()) == {t.encode() for t in terms}
 
 
 def test_no_documents(none, spark):
-    assert pii.find(none)[0].count() == 0 and pii.sanitise(none).count() == 0
+    assert pii.mark(none)[0].count() == 0 and pii.sanitise(none).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.fit(none, labels).judge(none).count() == 0
 
@@ -191,7 +212,7 @@ def test_terms_are_whole_words_however_far(spark):
     text = f"{long} Node1.2.3.4 {' ' * 500} far éa_b"
     assert [c[1] for c in pii.contexts(text, pii.base_spans(text), 8, 1)] == [long, "far", "éa", "b"]
     rows = [(k, f"{long} sent by bob@x.example {' ' * 400} zorblatt {k}" if k < 3 else f"sent by nobody {k}", "s") for k in range(300)]
-    found, _ = pii.find(make_docs(spark, rows))
+    found = pii.mark(make_docs(spark, rows))[0]
     assert {rows[0][1][t.start : t.end] for r in found.where("doc_id = 0").collect() for t in r.terms} == {long, "zorblatt"}
 
 
