@@ -53,18 +53,21 @@ class Hashes(dict):
         return value
 
 
-def ngrams(text: str | None, hashes: Hashes, buckets: int) -> np.ndarray:
-    """Bucket of every uni- and bigram."""
+def hashed(text: str | None, hashes: Hashes) -> np.ndarray:
+    """Hash of every token; n-grams and words both derive from it, so that a pass cuts each text once."""
     tokens = TOKENS.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    one = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+    return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def ngrams(one: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of every uni- and bigram of hashed tokens."""
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(29)
     return np.concatenate((one, two)).astype(np.int64) % buckets
 
 
-def words_in(text: str | None, hashes: Hashes) -> np.ndarray:
-    """Distinct word buckets of a text."""
-    tokens = set(TOKENS.findall((text or "").encode("utf-8", "surrogatepass").lower()))
-    return np.unique(np.fromiter(map(hashes.__getitem__, tokens), np.int64, len(tokens)) % WORD_BUCKETS)
+def words_in(one: np.ndarray) -> np.ndarray:
+    """Distinct word buckets of hashed tokens."""
+    return np.unique(one.astype(np.int64) % WORD_BUCKETS)
 
 
 def bucket_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +81,15 @@ def bucket_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray
         grams, words = total[: 2 * buckets].reshape(2, buckets), total[2 * buckets :].reshape(2, WORD_BUCKETS)
         for batch in batches:
             for t, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = ngrams(t, hashes, buckets)
+                tokens = hashed(t, hashes)
+                found = ngrams(tokens, buckets)
                 for row in grams[: 2 if kind == GOOD else 1]:
                     if len(found) < buckets // 16:
                         np.add.at(row, found, 1)
                     else:
                         row += np.bincount(found, minlength=buckets)
                 if kind in (GOOD, TOXIC):
-                    words[int(kind == TOXIC), words_in(t, hashes)] += 1
+                    words[int(kind == TOXIC), words_in(tokens)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
     def add(batches):
@@ -123,9 +127,10 @@ def scores(docs: DataFrame, models: Broadcast, text: str, weight: str, evidence:
         for batch in batches:
             weights, evidences = [], []
             for t in batch.column(where).to_pylist():
-                found = ngrams(t, hashes, len(ratio))
+                tokens = hashed(t, hashes)
+                found = ngrams(tokens, len(ratio))
                 weights.append(STRENGTH * float(ratio[found].mean()) if len(found) else 0.0)
-                evidences.append(float(toxic[words_in(t, hashes)].sum()) if len(found) else 0.0)
+                evidences.append(float(toxic[words_in(tokens)].sum()) if len(found) else 0.0)
             arrays = [*(batch.column(k) for k in held), pa.array(weights, pa.float64()), pa.array(evidences, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
