@@ -58,3 +58,7 @@ def test_silence_next_to_other_letters(same):
 def test_citations_next_to_other_letters(same):
     rows = [(k, t) for k, t in enumerate(["é12 Foo 3", "12 Foo 3é", "12 Foo 3x", "éA12B3456", None])]
     same("t5_caption_facts", documents=(rows, "doc_id long, text string"))
+
+
+def test_merge_counts_from_a_million_on(same):
+    same("g1_merge_counts", orders=orders([21, 1_000_021, 1_000_006, 1_000_013, 42, 999_999, 999_992]))
