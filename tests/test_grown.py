@@ -62,3 +62,10 @@ def test_citations_next_to_other_letters(same):
 
 def test_merge_counts_from_a_million_on(same):
     same("g1_merge_counts", orders=orders([21, 1_000_021, 1_000_006, 1_000_013, 42, 999_999, 999_992]))
+
+
+PAGES = [(k, f"http://x/{k // 5 if k < 30 else k}", f"<p>{'The ' if k % 4 else ''}{k}</p>") for k in range(60)], "page_id long, url string, html string"
+
+
+def test_page_changes_of_one_url(same):
+    same("g5_detect_page_changes", pages=PAGES)
