@@ -69,3 +69,7 @@ PAGES = [(k, f"http://x/{k // 5 if k < 30 else k}", f"<p>{'The ' if k % 4 else '
 
 def test_page_changes_of_one_url(same):
     same("g5_detect_page_changes", pages=PAGES)
+
+
+def test_page_state_of_one_url(same):
+    same("g5_page_state", pages=PAGES)
