@@ -170,3 +170,14 @@ def test_the_funnel_takes_a_classifier_for_a_tier(spark):
     want = {k: "text" if k == 7 else {0: "screen", 3: "triage", 5: "triage: retry"}.get(k % 6) for k in range(30)}
     assert tier == {k: v for k, v in want.items() if v} and out.kept.count() == sum(v is None for v in want.values())
     assert (calls[1].value, calls[3].value) == (6, 5)  # equal texts once; triage sees what passed the screen
+
+
+def test_a_model_gets_long_texts_in_parts(spark):
+    """Forty texts of 100,000 characters come in one batch; the model gets about a million characters at a time."""
+    docs = spark.range(40).repartition(1).select(F.col("id").alias("item_id"), F.concat(F.repeat(F.lit("x"), 100_000), F.col("id").cast("string")).alias("text"))
+
+    def load():
+        return lambda frame: pd.DataFrame({"passes": True, "reason": [str(frame["text"].str.len().sum())] * len(frame)})
+
+    got = classified(docs, Classifier(load, ("text",)))[0].collect()
+    assert len(got) == 40 and max(int(r.reason) for r in got) < 1_200_000
