@@ -203,7 +203,7 @@ def s2(spark, d):
     SELECT CAST(start AS VARCHAR) AS start, CAST(start + INTERVAL 1 HOUR AS VARCHAR) AS "end", user_id, CAST(sum(n) AS BIGINT) AS calls FROM w WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL""")
 def s3(spark, d):
     rows = S.file_stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return S.drain(S.stream_usage(rows, "user_id", "ts")).select(*text("start", "end"), "user_id", "calls")
+    return S.usage_windows(S.drain(S.stream_usage(rows, "user_id", "ts")), "user_id").select(*text("start", "end"), "user_id", "calls")
 
 
 @query("s4_stream_digest", """SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, event_type AS kind, count(*) AS n FROM events WHERE date_trunc('week', ts) + INTERVAL 14 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL""")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -72,12 +73,88 @@ def stream_dedup(stream: DataFrame, key: str, ts: str, delay: str, seen: DataFra
     return stream.withWatermark(ts, delay).join(seen, key, "left_anti").dropDuplicatesWithinWatermark([key])
 
 
-def stream_usage(stream: DataFrame, account: str, ts: str, span: str = "1 hour", slide: str = "1 minute", delay: str = "1 hour") -> DataFrame:
-    """S3: calls per account in sliding windows. Calls are counted once, in panes as long as the slide; windows add up the
-    panes, so a call is written once and a busy minute is one row, whatever number of windows share it."""
-    panes = stream.withWatermark(ts, delay).groupBy(F.window(ts, slide).alias("pane"), account).agg(F.count("*").alias("calls"))
-    per = panes.groupBy(F.window(F.window_time("pane"), span, slide).alias("window"), account).agg(F.sum("calls").alias("calls"))
-    return per.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), account, "calls")
+def micros(interval: str) -> int:
+    """An interval such as "1 hour" in microseconds."""
+    return pd.Timedelta(interval) // pd.Timedelta("1us")
+
+
+PANES = pa.schema([("who", pa.string()), ("pane", pa.int64()), ("n", pa.int64())])
+NO_PANES = PANES.empty_table().to_pandas()
+MERGE = 100_000  # rows that wait for a merge at most, or as many as there are merged ones
+
+
+def summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per account and pane, in this order, with the sum of n."""
+    return rows.groupby(["who", "pane"], dropna=False, as_index=False)["n"].sum()
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    """An Arrow stream of the rows, which fits in a state."""
+    table = pa.Table.from_pandas(rows, PANES, preserve_index=False)
+    with pa.BufferOutputStream() as out:
+        with pa.ipc.new_stream(out, PANES) as writer:
+            writer.write_table(table)
+        return out.getvalue().to_pybytes()
+
+
+def stream_usage(stream: DataFrame, account: str, ts: str, span: str = "1 hour", slide: str = "1 minute", delay: str = "1 hour", parts: int = 1024) -> DataFrame:
+    """S3: calls per account in sliding windows, in runs: (account, first, last, calls) are the windows that start at first, a slide
+    later, and so on up to last (microseconds), and hold equally many calls; usage_windows() opens them. A window comes out once the
+    watermark has passed its end; a call is late once the watermark has passed its pane, which is as long as the slide. The delay
+    counts in whole slides, rounded up. Rows without a time are left out.
+
+    A count changes only where a pane comes in or goes out of the span, so the state is the counts of the panes whose windows are not
+    over, and an event costs at most two runs, whatever number of windows hold it. Accounts share the state of a hash part, and
+    a step takes a part at once. Before the shuffle each task counts the calls of a pane, so a busy pane is few rows."""
+    step_us, size = micros(slide), micros(span) // micros(slide)
+    if step_us % 1000 or micros(span) % step_us:
+        raise ValueError(f"the span ({span}) must be a multiple of the slide ({slide}), and that one of a millisecond")
+
+    def per_pane(batches):
+        for b in batches:
+            rows = pa.Table.from_batches([b]).group_by(["part", "who", "pane"]).aggregate([([], "count_all")])
+            yield from rows.rename_columns(["part", "who", "pane", "n"]).to_batches()
+
+    def step(key, frames, state):
+        done, rows = None, NO_PANES
+        if state.exists:
+            done, kept = state.get
+            rows = pa.ipc.open_stream(bytes(kept)).read_all().to_pandas()
+        if not state.hasTimedOut:
+            new, waiting = [], 0
+            for f in frames:
+                new.append(f[["who", "pane", "n"]])
+                waiting += len(f)
+                if waiting > max(MERGE, len(rows)):
+                    rows, new, waiting = summed(pd.concat([rows, *new])), [], 0
+            rows = summed(pd.concat([rows, *new]))
+        live_from = state.getCurrentWatermarkMs() * 1000 // step_us - size + 1  # the windows before this one are over
+        moves = summed(pd.concat([rows.assign(pane=rows["pane"] - size + 1), rows.assign(pane=rows["pane"] + 1, n=-rows["n"])]))
+        stop, calls = moves["pane"].shift(-1, fill_value=live_from).clip(upper=live_from), moves["n"].cumsum()  # 0 after an account's last move
+        first = moves["pane"] if done is None else moves["pane"].clip(lower=done)
+        runs = pd.DataFrame({"who": moves["who"], "first": first * step_us, "last": (stop - 1) * step_us, "calls": calls})[(first < stop) & (calls > 0)]
+        live = rows[rows["pane"] >= live_from]
+        if len(live):
+            state.update((int(live_from), packed(live)))
+            state.setTimeoutTimestamp((max(live_from, int(live["pane"].min()) - size + 1) + size) * step_us // 1000 - 1)  # a timeout comes after its time
+        elif state.exists:
+            state.remove()
+        if len(runs):
+            yield runs
+
+    calls = stream.where(F.col(ts).isNotNull()).select(F.pmod(F.hash(account), F.lit(parts)).alias("part"), F.col(account).cast("string").alias("who"), F.unix_micros(ts).alias("us"))
+    calls = calls.selectExpr("part", "who", f"(us - pmod(us, {step_us})) div {step_us} as pane")
+    panes = calls.mapInArrow(per_pane, "part int, who string, pane long, n long").withColumn("until", F.timestamp_micros((F.col("pane") + 1) * step_us - 1))
+    # Whole slides before a pane's last microsecond lies in the same pane as whole slides before any of its calls: the same panes and windows are over.
+    watched = panes.withWatermark("until", f"{-(-micros(delay) // step_us) * step_us // 1000} milliseconds").groupBy("part")
+    runs = watched.applyInPandasWithState(step, "who string, first long, last long, calls long", "done long, panes binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return runs.select(F.col("who").cast(stream.schema[account].dataType).alias(account), "first", "last", "calls")
+
+
+def usage_windows(runs: DataFrame, account: str, span: str = "1 hour", slide: str = "1 minute") -> DataFrame:
+    """The runs of stream_usage(), a stream or what it has left, as windows: start, end, account, calls."""
+    at = F.explode(F.sequence("first", "last", F.lit(micros(slide)))).alias("at")
+    return runs.select(at, account, "calls").select(F.timestamp_micros("at").alias("start"), F.timestamp_micros(F.col("at") + micros(span)).alias("end"), account, "calls")
 
 
 def stream_digest(stream: DataFrame, kind: str, ts: str, delay: str = "7 days") -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,39 @@ def test_strikes_go_on_after_a_restart(spark, folder):
     assert [r.url for r in S.drain(S.stream_two_strike(S.file_stream(spark, d, "x")), folder=home).collect()] == ["a"]
 
 
+def test_usage_against_brute_force_over_restarts(spark, folder, monkeypatch):
+    monkeypatch.setattr(S, "MERGE", 30)  # parts are merged many times
+    rng, home, minute, schema = random.Random(5), S.work_folder(spark), 60_000_000, "who long, ts timestamp"
+    d, taken, over = folder("usage", [], schema), [], 0
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)  # a part comes in many frames
+    try:
+        for k, end in enumerate((100, 101.5, 104.5, 190, 191, 400)):
+            rows = [(w, T0 + dt.timedelta(seconds=rng.randrange(round(60 * end)))) for w, n in ((1, 150), (2**60 + 1, 40), (2**60, 6), (None, 20), (7, 3)) for _ in range(n)]
+            rows += [(k, T0 + dt.timedelta(minutes=end)), (1, None)]
+            spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(f"{d}/usage.parquet")
+            calls = [(w, (t.replace(tzinfo=dt.UTC) - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)) // dt.timedelta(microseconds=1)) for w, t in rows if t]
+            taken += [(w, t) for w, t in calls if (t // minute + 1) * minute > over]  # the others are late
+            over = max(over, max(t for _, t in calls) - 10 * minute)
+            windows = Counter((w, s * minute) for w, t in taken for s in range(t // minute - 4, t // minute + 1) if (s + 5) * minute <= over)
+            runs = S.drain(S.stream_usage(S.file_stream(spark, d, "usage"), "who", "ts", "5 minutes", "1 minute", "10 minutes", parts=2), folder=home)
+            got = S.usage_windows(runs, "who", "5 minutes").select("who", F.unix_micros("start"), F.unix_micros("end"), "calls").collect()
+            assert sorted(map(tuple, got), key=str) == sorted(((w, s, s + 5 * minute, n) for (w, s), n in windows.items()), key=str)
+        assert len(windows) > 300 and len(taken) < 6 * 200  # some calls were late
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_usage_keeps_no_windows(spark, folder):
+    rows = [(k % 40, T0 + dt.timedelta(minutes=37 * k)) for k in range(400)]
+    d = folder("x", rows, "who long, ts timestamp")
+    stream = S.stream_usage(S.file_stream(spark, d, "x"), "who", "ts")
+    q = stream.writeStream.format("noop").option("checkpointLocation", S.work_folder(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"]) <= 2 * len(rows)
+    assert S.drain(stream).count() <= 2 * len(rows)
+
+
 def test_late_verdicts_join_their_version(spark, folder):
     folder("q", [(1, "h", T0), (2, "h", T0), (3, "h", T0), (9, "h", T0 + dt.timedelta(days=90))], "item_id long, content_hash string, ts timestamp")
     d = folder("r", [(1, "h", T0 + dt.timedelta(days=3), "keep"), (2, "old", T0 + dt.timedelta(days=3), "keep"), (3, "h", T0 + dt.timedelta(days=30), "keep"), (9, "x", T0 + dt.timedelta(days=90), "drop")], "item_id long, content_hash string, ts timestamp, verdict string")
