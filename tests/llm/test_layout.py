@@ -183,3 +183,11 @@ def test_top_k(spark):
         want = Counter((a, b, c, max(-(2**63), min(2**63 - 1, d))) for a, b, c, d in brute_top(small, 5))
         assert Counter(map(tuple, got)) == want
     assert topk.top_k(df.limit(0), "true").count() == 0
+
+
+def test_top_k_broadcasts_no_queries(spark):
+    vectors = spark.range(2000).selectExpr("id vec_id", "transform(sequence(1, 8), x -> cast(pmod(hash(id, x), 9) as float)) embedding")
+    got = topk.top_k(vectors, "vec_id % 50 = 0", shard_rows=100, block_rows=10)
+    assert got.count() == 200
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
