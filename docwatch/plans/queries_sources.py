@@ -48,7 +48,7 @@ def a1b(spark, d):
 def a2(spark, d):
     p = F.col("l_partkey")
     opinion = F.struct(p.alias("id"), F.when(p % 3 == 0, F.concat(F.lit("p/"), p.cast("string"))).otherwise(" ").alias("local_path"), F.when(p % 3 == 1, F.concat(F.lit("http://d/"), p.cast("string"))).otherwise("ftp://d").alias("download_url"))
-    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(line_order(), "l_linenumber", opinion.alias("o")))), lambda x: x["o"]).alias("opinions"))
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*line_order(), opinion.alias("o")))), lambda x: x["o"]).alias("opinions"))
     hits = table(spark, d, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey")).alias("cluster_id"), F.lit("n").alias("caseName"), F.col("o_orderpriority").alias("court_id"), F.col("o_orderdate").cast("date").cast("string").alias("dateFiled"), F.lit(" a  b").alias("snippet"), "opinions")
     return feeds.flatten_search_hits(hits).select("item_id", *text("date"), "pdf_url", F.size("opinion_ids").cast("long").alias("opinions"))

@@ -42,6 +42,14 @@ def test_search_hits_of_high_parts(same):
     same("a2_flatten_search_hits", lineitem=lines(LINES), orders=orders([1, 2, 3]))
 
 
+#: Lines of one number; tied rows are neighbours in one file, so that any number of DuckDB's threads meets them in this order.
+TIES = [(1, 2, 5), (1, 1, 100_005), (2, 1, 100_007), (2, 2, 7), (3, 4, 3), (3, 1, 300_003), (4, 1, 300_009), (4, 4, 9)]
+
+
+def test_search_hits_of_lines_of_one_number(same):
+    same("a2_flatten_search_hits", lineitem=lines(TIES), orders=orders([1, 2, 3, 4]))
+
+
 def test_enrich_with_high_parts(same):
     same("d17_enrich", lineitem=lines(LINES), orders=orders([1, 2, 3]))
 
